@@ -113,7 +113,7 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         total *= _BASE
         total += words[j : j + n]
-    return mix64(total + np.uint64(k) * _STEP)
+    return mix64(total + np.uint64(k * int(_STEP) % 2**64))
 
 
 def shingle_sets(hashes: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.ndarray]:

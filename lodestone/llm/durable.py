@@ -1,0 +1,19 @@
+"""Lineage cuts that survive lost executors."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that all executors share, and read from there.
+
+    The folder is the session's ``spark.checkpoint.dir``; only where none is set, as
+    in tests on one machine, a temporary one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
+    return df.checkpoint()

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.byte_bpe import round_trip
+from lodestone.llm.ngram_jaccard import near_duplicates
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.url_filters import url_verdicts
 
@@ -20,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -53,6 +58,7 @@ FROM judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_url_filters": op8_url_filters,
 }
