@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.byte_bpe import round_trip
 from lodestone.llm.decontamination import contamination
 from lodestone.llm.ngram_jaccard import near_duplicates
+from lodestone.llm.quality_classifier import fit_quality, score_quality
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.url_filters import url_verdicts
 
@@ -86,11 +87,24 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), _remainder(5) != 0)
+    scored = score_quality(docs, model, columns=["doc_id"])
+    return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_decontamination": op7_decontamination,
     "op8_url_filters": op8_url_filters,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {"op7_decontamination": OP7_SQL, "op8_url_filters": OP8_SQL}
