@@ -12,6 +12,7 @@ from lodestone.llm.byte_bpe import round_trip
 from lodestone.llm.decontamination import contamination
 from lodestone.llm.ngram_jaccard import near_duplicates
 from lodestone.llm.quality_classifier import fit_quality, score_quality
+from lodestone.llm.quality_rules import judge, ratios, trusted
 from lodestone.llm.token_counts import token_counts
 from lodestone.llm.url_filters import url_verdicts
 
@@ -32,6 +33,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, ratios(docs, trusted(docs, table(spark, sf_dir, "labels"))), columns=["doc_id"])
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_url_filters": op8_url_filters,
     "op9_quality_classifier": op9_quality_classifier,
