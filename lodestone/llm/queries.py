@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.byte_bpe import round_trip
 from lodestone.llm.decontamination import contamination
+from lodestone.llm.lm_scoring import lm_scores
 from lodestone.llm.ngram_jaccard import near_duplicates
 from lodestone.llm.quality_classifier import fit_quality, score_quality
 from lodestone.llm.quality_rules import judge, ratios, trusted
@@ -29,6 +30,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), _remainder(7) == 2)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -108,6 +113,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_lm_scoring": op3_lm_scoring,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
