@@ -3,7 +3,7 @@
 1. Each text becomes the set of its k-word shingles (64-bit hashes). Texts of one
    set are one class, named by a hash of the set.
 2. Of each class only the smallest hashes are dealt out: as many as make it sure
-   that two alike sets share one of them. Equal hashes of classes of matching size
+   that two alike sets share one of them, ``DEALT`` at most. Equal hashes of classes of matching size
    are live; the others are dropped.
 3. The classes of each live hash are joined by a signature tree over their bitmaps.
    What passes is a candidate link: a superset of the true links, as a spanning forest.
@@ -37,8 +37,10 @@ from lodestone.llm.components import components
 from lodestone.llm.durable import durable
 from lodestone.llm.signature_tree import Groups, Similarity, bitmap, join_all, width
 
-#: Sets of more shingles have no bitmap in step 3: all of matching size are candidates.
-BITMAP_SHINGLES = 4096
+#: Smallest hashes of a set that are dealt out at most. Of the smallest hashes of the union of
+#: two alike sets each is in both with a chance of num / den or more, so that none of so many
+#: is has a chance of 0.2 ** 40 = 1e-28 at 0.8: far less than that of two equal 64-bit hashes.
+DEALT = 40
 #: Classes of one live hash, and shingles of one candidate component, that one task takes whole.
 BLOCK_CLASSES, BLOCK_SHINGLES = 4096, 1 << 20
 #: Ids of candidates that are broadcast (8 bytes each); more are joined by a shuffle.
@@ -73,8 +75,8 @@ def _sketches(rows: DataFrame, k: int, like: Similarity) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, k):
             n = [len(s) for s in sets]
-            first = [s[: len(s) - (like.num * len(s) + like.den - 1) // like.den + (len(s) > 0)] for s in sets]
-            bits = [bitmap(s, width(len(s))) if 0 < len(s) <= BITMAP_SHINGLES else s[:0] for s in sets]
+            first = [s[: min(DEALT, len(s) - (like.num * len(s) + like.den - 1) // like.den + 1)] for s in sets]
+            bits = [bitmap(s, width(len(s))) if len(s) else s for s in sets]
             yield pa.RecordBatch.from_arrays([ids, pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(n, pa.int32()), _binary(first), _binary(bits)], ["id", "cls", "n", "first", "bits"])
 
     return rows.mapInArrow(run, "id long, cls long, n int, first binary, bits binary")

@@ -156,10 +156,9 @@ def join(keys: np.ndarray, sizes: np.ndarray, words: np.ndarray, like: Similarit
 
 def join_all(keys: np.ndarray, sizes: np.ndarray, bitmaps: list[np.ndarray], like: Similarity, groups: Groups, same: Callable[[int, int], bool] | None = None) -> None:
     """``join`` over sets of any sizes: those with bitmaps of one width together, then each
-    width's largest with the next width's smallest. An empty bitmap tells nothing:
-    such sets are linked by their sizes, unless ``same`` says no."""
+    width's largest with the next width's smallest."""
     bits = np.array([len(b) * 64 for b in bitmaps])
-    for w in np.unique(bits[bits > 0]):
+    for w in np.unique(bits):
         own = np.flatnonzero(bits == w)
         words = np.stack([bitmaps[k] for k in own])
         join(keys[own], sizes[own], words, like, groups, same and (lambda i, j, own=own: same(int(own[i]), int(own[j]))))
@@ -169,10 +168,3 @@ def join_all(keys: np.ndarray, sizes: np.ndarray, bitmaps: list[np.ndarray], lik
             both = np.concatenate([upper, lower])
             words = np.concatenate([np.stack([bitmaps[k] for k in upper]), folded(np.stack([bitmaps[k] for k in lower]), w)])
             join(keys[both], sizes[both], words, like, groups, same and (lambda i, j, both=both: same(int(both[i]), int(both[j]))), np.repeat([0, 1], [len(upper), len(lower)]))
-    if (bare := np.flatnonzero(bits == 0)).size:
-        least = sizes[bare].min()
-        near = np.flatnonzero((bits == 0) | like.sizes(sizes, least))
-        near = near[np.argsort(sizes[near], kind="stable")]
-        for i, j in zip(near[:-1].tolist(), near[1:].tolist(), strict=True):
-            if like.sizes(sizes[i], sizes[j]):
-                groups.link(int(keys[i]), int(keys[j]))
