@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.byte_bpe import round_trip
 from lodestone.llm.decontamination import contamination
+from lodestone.llm.license_scan import licences
 from lodestone.llm.lm_scoring import lm_scores
 from lodestone.llm.ngram_jaccard import near_duplicates
 from lodestone.llm.quality_classifier import fit_quality, score_quality
 from lodestone.llm.quality_rules import judge, ratios, trusted
 from lodestone.llm.token_counts import token_counts
+from lodestone.llm.toxicity import fit_toxicity, severities
 from lodestone.llm.url_filters import url_verdicts
 
 
@@ -34,6 +36,14 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), _remainder(7) == 2)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a file of the folder of its source and language. Documents whose first line
+    speaks of a licence stand for the licence files of their folders."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.substring_index("text", "\n", 1).rlike("(?i)licen[sc]e"), F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    return licences(docs.select("doc_id", F.concat_ws("/", "source", "lang", name).alias("path"), "text"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -110,14 +120,22 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), _remainder(5) != 0)
+    return severities(docs, model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_license_scan": op4_license_scan,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op8_url_filters": op8_url_filters,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {"op7_decontamination": OP7_SQL, "op8_url_filters": OP8_SQL}
