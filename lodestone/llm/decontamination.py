@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.durable import durable
+from lodestone.llm.durable import durable, small
 
 #: Every character that is not part of a word (fixed value): ASCII but for 0-9 and a-z.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -95,3 +95,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = rows.select("id", "key", F.size(split_words(F.lower("text"))).cast("long").alias("n_words")).join(spans, "key", "left")
     out = out.select("id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns."""
+    key = F.md5(text_col)
+    found = contamination(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, "key", "text", **options)
+    return docs.join(small(durable(found.where("contaminated").select(F.col("key").alias("_found")).distinct())), key == F.col("_found"), "left_anti")

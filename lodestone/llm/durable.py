@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -17,3 +18,12 @@ def durable(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint()
+
+
+#: Keys that are broadcast at most (a few dozen bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.arrays import Words, lower_ascii, mix64, shingle_sets, slices, text_bytes
 from lodestone.llm.components import components
-from lodestone.llm.durable import durable
+from lodestone.llm.durable import durable, small
 from lodestone.llm.signature_tree import Groups, Similarity, bitmap, join_all, width
 
 #: Smallest hashes of a set that are dealt out at most. Of the smallest hashes of the union of
@@ -54,15 +54,15 @@ def _class_of(own: np.ndarray) -> int:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for part in slices(batch, "text"):
             raw, at = text_bytes(part.column("text"))
             words = Words(lower_ascii(raw), at)
-            yield part.column("id"), list(shingle_sets(words.hashes(), words.first, k))
+            yield part, list(shingle_sets(words.hashes(), words.first, k))
 
 
 def _binary(parts: list[np.ndarray]) -> pa.Array:
@@ -70,16 +70,16 @@ def _binary(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _sketches(rows: DataFrame, k: int, like: Similarity) -> DataFrame:
-    """id, cls, n, and the first hashes and the bitmap of each row's set."""
+    """id, key of the text, cls, n, and the first hashes and the bitmap of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, k):
+        for part, sets in _sets(batches, k):
             n = [len(s) for s in sets]
             first = [s[: min(DEALT, len(s) - (like.num * len(s) + like.den - 1) // like.den + 1)] for s in sets]
             bits = [bitmap(s, width(len(s))) if len(s) else s for s in sets]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(n, pa.int32()), _binary(first), _binary(bits)], ["id", "cls", "n", "first", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(n, pa.int32()), _binary(first), _binary(bits)], ["id", "key", "cls", "n", "first", "bits"])
 
-    return rows.mapInArrow(run, "id long, cls long, n int, first binary, bits binary")
+    return rows.mapInArrow(run, "id long, key long, cls long, n int, first binary, bits binary")
 
 
 def _scatter(sketches: DataFrame, buckets: int) -> DataFrame:
@@ -227,9 +227,9 @@ def _confirmed(sets: DataFrame, sizes: DataFrame, like: Similarity, partitions:
     return _dealt(rows.select("label", "x", "y", "cls", "shingles"), ["label", "x", "y"], partitions).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """For each row its id, ``n_shingles`` and ``component_id``, the smallest id that links
-    lead to; two rows link when den * intersection >= num * union."""
+def _members(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
+    """(id, key, n, component) of each row: its id, a hash of its text, the size of its set and the
+    smallest id that links lead to."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     like = Similarity(num, den)
@@ -247,5 +247,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = classes.where("label IS NOT NULL")
     smallest = linked.groupBy("label").agg(F.min("least").alias("component"))
     several = linked.join(smallest, "label").select("cls", "component").union(classes.where("label IS NULL AND many > 1").select("cls", "least"))
-    out = sketches.select("id", "cls", F.col("n").cast("long").alias("n_shingles")).join(several, "cls", "left")
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_shingles", F.coalesce("component", "id").cast(docs.schema[id_col].dataType).alias("component_id"))
+    out = sketches.select("id", "key", "cls", "n").join(several, "cls", "left")
+    return out.select("id", "key", F.col("n").cast("long").alias("n"), F.coalesce("component", "id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """For each row its id, ``n_shingles`` and ``component_id``, the smallest id that links
+    lead to; two rows link when den * intersection >= num * union."""
+    kind = docs.schema[id_col].dataType
+    found = _members(docs, id_col, text_col, words, num, den)
+    return found.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without those of a component that have not its smallest id. Of rows of one
+    id and one text one stays. Rows without an id go if a row with an id is linked to them."""
+    found = durable(_members(docs, id_col, text_col, words, num, den).select("id", "key", "component"))
+    gone = found.where("component IS NOT NULL AND NOT id <=> component").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    own = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key"))
+    kept = docs.join(small(gone), own, "left_anti")
+    again = found.where("id <=> component").groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    again = small(durable(again.select("_id", "_key")))
+    return kept.join(again, own, "left_anti").union(kept.join(again, own, "left_semi").dropDuplicates([id_col, text_col]))
