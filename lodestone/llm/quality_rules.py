@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 #: Buckets of single tokens, and as many of pairs.
 BUCKETS = 1 << 14
 SCALE = 1000
+#: Ids of trusted rows that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Mean log ratio (natural) below which a text is rejected.
 THRESHOLD = -0.3
 
@@ -101,11 +103,16 @@ def judge(docs: DataFrame, table: np.ndarray, text_col: str = "text", columns: l
     parts = F.zip_with("_tokens", "_next", lambda a, b: at(0, a) + F.when(b.isNull(), 0).otherwise(at(buckets, a, b)))
     total = F.aggregate(parts, F.lit(0).cast("long"), lambda t, p: t + p) if table.any() else F.lit(0)
     rows = rows.withColumn("llr", F.coalesce(total / F.greatest(2 * F.size("_tokens") - 1, F.lit(1)) / SCALE, F.lit(0.0)))
-    rows = rows.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words")))
+    # the partition's number keeps Catalyst from moving a filter on the verdict below the
+    # columns above, where it would write each of them out wherever it is used
+    here = F.spark_partition_id() >= 0
+    rows = rows.withColumn("base_failed", here & ((F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select(*kept, *added)
 
 
 def trusted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs`` whose id has the label 1."""
+    """The rows of ``docs`` whose id has the label 1. Texts are not shuffled while the ids can be broadcast."""
     good = labels.where(F.col(label_col) == 1).select(id_col).distinct()
+    if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
     return docs.join(good, id_col, "left_semi")
