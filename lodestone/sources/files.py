@@ -43,3 +43,41 @@ def read_corpus(spark: SparkSession, folder: str, course: str) -> DataFrame:
 
 def write_trace(summary: DataFrame, folder: str) -> None:
     summary.coalesce(1).write.mode("overwrite").json(folder)
+
+
+def _inside(root: str, uri: str) -> str:
+    """The path of a stored file; a uri that would leave the folder raises."""
+    if uri.startswith("/") or ".." in uri.split("/"):
+        raise ValueError(f"not a stored file: {uri}")
+    return f"{root.rstrip('/')}/{uri}"
+
+
+def _each_file(rows: DataFrame, root: str, act) -> None:
+    rows.rdd.foreachPartition(lambda part: [act(_inside(root, r.storage_uri), r) for r in part])
+
+
+def save_files(checked: DataFrame, root: str) -> None:
+    """Keeps the content of checked uploads under ``root``, a folder that all executors see, by storage_uri. A file
+    is written beside its place and renamed, so that none is ever seen half written."""
+    import os
+
+    def write(path: str, row) -> None:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        part = f"{path}.{os.getpid()}.part"
+        with open(part, "wb") as f:
+            f.write(row.content)
+        os.replace(part, path)
+
+    _each_file(checked.select("storage_uri", "content"), root, write)
+
+
+def remove_files(stored: DataFrame, root: str) -> None:
+    """Removes files by storage_uri; one that is not there is no error."""
+    import contextlib
+    import os
+
+    def remove(path: str, row) -> None:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(path)
+
+    _each_file(stored.select("storage_uri"), root, remove)
