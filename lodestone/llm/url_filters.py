@@ -51,16 +51,16 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url_col: str = "url", defau
     table = table.withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, 8))
     if table.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         table = F.broadcast(table)
-    urls = pages.select(F.col(url_col).alias("u")).where(F.col("u").isNotNull()).distinct()
-    urls = urls.select("u", host_of(F.col("u")).alias("h"), path_of(F.col("u")).alias("p")).where("h <> ''")
-    met = urls.select("u", F.explode(expressions(F.col("h"), F.col("p"))).alias("expression"))
-    met = met.select("u", F.sha2("expression", 256).alias("full")).withColumn("short", F.substring("full", 1, 8))
+    urls = pages.select(F.col(url_col).alias("_url")).where(F.col("_url").isNotNull()).distinct()
+    urls = urls.select("_url", host_of(F.col("_url")).alias("h"), path_of(F.col("_url")).alias("p")).where("h <> ''")
+    met = urls.select("_url", F.explode(expressions(F.col("h"), F.col("p"))).alias("expression"))
+    met = met.select("_url", F.sha2("expression", 256).alias("full")).withColumn("short", F.substring("full", 1, 8))
     best = (
         met.join(table, "short").where("full = digest")
-        .groupBy("u").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best"))
-        .select("u", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
-    )
-    kept = [F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict", "u")]
-    rows = pages.select(*kept, F.col(url_col).alias("u"))
-    out = rows.join(best, "u", "left")
-    return out.select(*kept, host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+        .groupBy("_url").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best"))
+        .select("_url", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+    )
+    kept = [F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    rows = pages.select(*kept, F.col(url_col).alias("_url"))
+    out = rows.join(best, "_url", "left")
+    return out.select(*kept, host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
