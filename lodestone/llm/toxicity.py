@@ -31,6 +31,8 @@ from lodestone.llm.arrays import Words, lower_ascii, mix64, slices, text_bytes
 TRAIN_ROWS = 20_000
 #: Features that the model knows, and grades above 0.
 KEPT, GRADES = 4096, 3
+#: Likelihood ratio that a feature must have: chance gives it to one in some hundred thousand.
+GAIN = 20.0
 
 _GAPS = np.ones(256, bool)
 _GAPS[48:58] = _GAPS[97:123] = _GAPS[128:] = False
@@ -140,9 +142,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     total = a_all + max(b_all, 0)
     part = lambda got, share: F.when(got > 0, got * F.log(got / ((a + b) * share))).otherwise(0.0)
     gain = 2 * (part(a, a_all / total) + part(b, max(b_all, 1e-9) / total))
-    best = counts.withColumn("gain", gain).orderBy(F.desc("gain"), "feature").limit(kept).toArrow()
+    best = counts.withColumn("gain", gain).where(F.col("gain") >= GAIN).orderBy(F.desc("gain"), "feature").limit(kept).toArrow()
     name = best.column("feature").to_numpy().view(np.uint64)
     order = np.argsort(name)
+    if not len(name):
+        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 50.0))
     name, a, b = name[order], best.column("a").to_numpy()[order], best.column("b").to_numpy()[order]
     model = OrdinalModel(name, np.zeros(len(name)), np.zeros(GRADES))
 
@@ -168,9 +172,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     return model
 
 
-def severities(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """For each row its id, ``severity`` (the expected grade), ``grade`` (the likeliest), ``score``
-    (P(grade > 0)) and ``toxic`` (score of at least ``threshold``). No shuffle."""
+def severities(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.2) -> DataFrame:
+    """For each row its id, ``severity`` (the expected grade), ``grade`` (the likeliest, above 0 if
+    toxic), ``score`` (P(grade > 0)) and ``toxic`` (score of at least ``threshold``: to miss a toxic text
+    is held to be worse than to look at one in vain). No shuffle."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +183,7 @@ def severities(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", tex
             for part in slices(batch, "text"):
                 above = model.above(model.linear(*features(*text_bytes(part.column("text"))), part.num_rows))
                 edge = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], 1)
-                grade = (edge[:, :-1] - edge[:, 1:]).argmax(1).astype(np.int32)
+                grade = np.maximum((edge[:, :-1] - edge[:, 1:]).argmax(1), above[:, 0] >= threshold).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(above.sum(1)), pa.array(grade), pa.array(above[:, 0].copy()), pa.array(above[:, 0] >= threshold)], ["id", "severity", "grade", "score", "toxic"])
 
     kind = rows.schema["id"].dataType.simpleString()
