@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,18 @@ BM25_K1, BM25_B, RRF_K = 1.2, 0.75, 60
 BROADCAST_DOCUMENTS = 200_000
 
 
+def check_request(course: str, text: str, top_k: int = 5, purpose: str = "context") -> None:
+    """Raises for a request out of bounds: the course's name, 1 to 2000 characters, 1 to 50 results, a known purpose."""
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]{0,63}", course):
+        raise ValueError("a course is named by up to 64 letters, digits, dots, dashes and underscores")
+    if not 1 <= len(text) <= 2000:
+        raise ValueError("a query has 1 to 2000 characters")
+    if not 1 <= top_k <= 50:
+        raise ValueError("1 to 50 results can be asked for")
+    if purpose not in ("mandatory", "context"):
+        raise ValueError("evidence is asked for as mandatory or as context")
+
+
 def admitted(purpose: str, role: Column) -> Column:
     """Mandatory evidence comes from primary sources alone, context from all."""
     return role == "primary" if purpose == "mandatory" else role.isNotNull()

@@ -135,3 +135,13 @@ def test_bootstrap_is_repeatable(spark):
     df = spark.createDataFrame([(k % 20, float(k % 5)) for k in range(100)], "request_id long, value double")
     a, b = metrics.bootstrap_interval(df).first(), metrics.bootstrap_interval(df.repartition(3)).first()
     assert a == b and a.low <= a["mean"] <= a.high
+
+
+@pytest.mark.parametrize("request_", [("", "x", 5), ("a b", "x", 5), ("OS", "", 5), ("OS", "x" * 2001, 5), ("OS", "x", 0), ("OS", "x", 51), ("OS", "x", 5, "other")])
+def test_requests_out_of_bounds(request_):
+    with pytest.raises(ValueError):
+        retrieval.check_request(*request_)
+
+
+def test_request_within_bounds():
+    retrieval.check_request("OS-2026", "named pipe", 50, "mandatory")

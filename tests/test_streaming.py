@@ -41,3 +41,15 @@ def test_file_storage(spark, tmp_path):
     gone = checked.where("filename = 'a.md'").select("storage_uri")
     remove_files(gone, root)
     assert [bytes(r.content) for r in read_files(spark, root).collect()] == [b"two"]
+
+
+def test_streamed_event_counts(spark, tmp_path):
+    from lodestone.streaming.landing import event_counts
+
+    batch = spark.sql("SELECT timestamp_seconds(id * 600) AS ts, 'k' AS event_type, 1.0D AS value FROM range(40)")
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = event_counts(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")))
+    run = stream.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    run.awaitTermination()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(spark.table("counted")) == rows(event_counts(batch)) and len(rows(event_counts(batch))) == 7
