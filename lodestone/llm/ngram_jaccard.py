@@ -11,8 +11,7 @@
    and joined by a signature tree again, this time with the exact test.
 5. Connected components of the confirmed links.
 
-Groups that are too large for one task are cut into blocks, and each pair of
-blocks is a task of its own. Nothing is capped or sampled: the links form a
+Groups that are too large for one task are cut into blocks, as ``_linked`` tells. Nothing is capped or sampled: the links form a
 spanning forest of each true component, so no component is lost.
 
 Defined results: a text of fewer words than k has its whole word sequence as its
@@ -25,7 +24,7 @@ and shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +41,7 @@ from lodestone.llm.signature_tree import Groups, Similarity, bitmap, join_all, w
 #: is has a chance of 0.2 ** 40 = 1e-28 at 0.8: far less than that of two equal 64-bit hashes.
 DEALT = 40
 #: Classes of one live hash, and shingles of one candidate component, that one task takes whole.
-BLOCK_CLASSES, BLOCK_SHINGLES = 4096, 1 << 20
-#: Ids of candidates that are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 16_384, 1 << 21
 #: A worker's memory of which classes it has dealt out already.
 SEEN = 200_000
 
@@ -153,65 +150,114 @@ def _live(scattered: DataFrame, like: Similarity, partitions: int) -> DataFrame:
     return scattered.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "token long, cls long, n int")
 
 
-def _blocks(rows: DataFrame, key: str, weight: str, limit: int) -> DataFrame:
-    """``rows`` with (x, y): a key of more than ``limit`` weight has its classes dealt to
-    blocks by hash, and a copy of each class for every pair of blocks it is in."""
-    total = rows.groupBy(key).agg(F.sum(weight).alias("_w")).where(F.col("_w") > limit).select(key, F.ceil(F.col("_w") / limit).cast("int").alias("_m"))
-    cut = rows.join(total, key, "left").withColumn("_m", F.coalesce("_m", F.lit(1)))
-    own = F.pmod(F.xxhash64("cls"), F.col("_m")).cast("int")
-    return cut.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).withColumn("x", F.least("_o", own)).withColumn("y", F.greatest("_o", own)).drop("_o", "_m")
+def _linked(rows: DataFrame, key: str, weight: str, limit: int, join: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """The links that ``join`` finds among the classes of each key of ``rows`` (key, cls, weight, ...).
+
+    ``join`` takes rows with (x, y), which together with the key name a task, and ``known``, a class that a
+    class is linked with already; its second argument says whether it is called more than once. A key of more than ``limit`` weight is joined in blocks:
+    first each block by itself, then one class of each group so found, and at last every pair of blocks
+    that has classes outside the key's largest group. So a large group of copies costs as many tasks as
+    it has blocks, not as many as these have pairs; and no pair of groups is left out.
+    """
+    none = F.lit(None).cast("long")
+    total = rows.groupBy(key).agg(F.sum(weight).alias("_w"))
+    large = durable(total.where(F.col("_w") > limit).select(key))
+    links = join(rows.join(small(large), key, "left_anti").withColumns({"x": F.lit(0), "y": F.lit(0), "known": none}), False)
+    if large.isEmpty():
+        return links
+    links, rows = durable(links), durable(rows.join(small(large), key))
+
+    def cut(part: DataFrame) -> DataFrame:
+        """``part`` with ``b``, the block of each class, and ``m``, the number of its key's blocks."""
+        blocks = part.groupBy(key).agg(F.ceil(F.sum(weight) / limit).cast("int").alias("m"))
+        return part.join(small(durable(blocks)), key).withColumn("b", F.pmod(F.xxhash64("cls"), F.col("m")).cast("int"))
+
+    def grouped() -> DataFrame:
+        labels = components(links).select(F.col("node").alias("cls"), F.col("label").alias("_label"))
+        return durable(rows.join(labels, "cls", "left").withColumn("known", F.coalesce("_label", "cls")).select(*rows.columns, "known"))
+
+    def each(part: DataFrame) -> DataFrame:
+        return durable(join(cut(part).withColumns({"x": F.col("b"), "y": F.col("b")}), True))
+
+    links = links.union(each(rows.withColumn("known", none)))
+    links = links.union(each(_one_of_each_group(grouped(), key)))
+    now = grouped()
+    sizes = now.groupBy(key, "known").agg(F.sum(weight).alias("_w")).groupBy(key).agg(F.max_by("known", "_w").alias("_top"))
+    now = now.join(small(durable(sizes)), key)
+    rest = cut(now.where("known <> _top"))
+    outside = durable(rest.select(key, F.col("m").alias("_r")).distinct())
+    top = cut(now.where("known = _top")).join(small(outside), key)
+    inside = durable(top.select(key, F.col("m").alias("_t")).distinct())
+    rest = rest.join(small(inside), key)
+    kept = [*rows.columns, "known"]
+    # blocks of the largest group are numbered 0 to _t - 1, the others from _t on
+    own = F.col("b") + F.col("_t")
+    meet_top = top.withColumn("y", F.explode(F.sequence(F.col("m"), F.col("m") + F.col("_r") - 1))).select(*kept, F.col("b").alias("x"), "y")
+    meet_rest = rest.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_t") + F.col("m") - 1))).select(*kept, F.least("_o", own).alias("x"), F.greatest("_o", own).alias("y"))
+    return links.union(join(meet_top.union(meet_rest), True))
+
+
+def _one_of_each_group(rows: DataFrame, key: str) -> DataFrame:
+    """The smallest class of each key and group."""
+    first = rows.groupBy(key, "known").agg(F.min("cls").alias("cls"))
+    return rows.join(first, [key, "known", "cls"], "left_semi").select(rows.columns)
 
 
 def _dealt(rows: DataFrame, keys: list[str], partitions: int) -> DataFrame:
     return rows.repartition(partitions, *keys).sortWithinPartitions(*keys)
 
 
+def _known(groups: Groups, keys: np.ndarray, group: pa.Table) -> None:
+    for a, b in zip(keys.tolist(), group.column("known").to_pylist(), strict=True):
+        if b is not None:
+            groups.link(a, b, known=True)
+
+
+def _links(groups: Groups) -> pa.RecordBatch:
+    a, b = zip(*groups.links, strict=True) if groups.links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _candidates(live: DataFrame, sketches: DataFrame, like: Similarity, partitions: int) -> DataFrame:
     """Links (a, b) that the bitmaps allow among the classes of each live hash."""
     bits = sketches.where("n > 0").select("cls", "bits").dropDuplicates(["cls"])
-    rows = _blocks(live.withColumn("_one", F.lit(1)), "token", "_one", BLOCK_CLASSES).drop("_one").join(bits, "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = Groups()
         for group in _runs(batches, ["token", "x", "y"]):
             keys = group.column("cls").to_numpy()
-            if len(np.unique(groups.roots(keys))) == 1:
-                continue
-            join_all(keys, group.column("n").to_numpy().astype(np.int64), [np.frombuffer(b, np.uint64) for b in group.column("bits").to_pylist()], like, groups)
-        a, b = zip(*groups.links, strict=True) if groups.links else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            _known(groups, keys, group)
+            if len(np.unique(groups.roots(keys))) > 1:
+                join_all(keys, group.column("n").to_numpy().astype(np.int64), [np.frombuffer(b, np.uint64) for b in group.column("bits").to_pylist()], like, groups)
+        yield _links(groups)
+
+    def join(rows: DataFrame, _: bool) -> DataFrame:
+        return _dealt(rows.join(bits, "cls").select("token", "x", "y", "cls", "n", "bits", "known"), ["token", "x", "y"], partitions).mapInArrow(run, "a long, b long")
 
-    return _dealt(rows.select("token", "x", "y", "cls", "n", "bits"), ["token", "x", "y"], partitions).mapInArrow(run, "a long, b long")
+    return _linked(live.withColumn("one", F.lit(1)), "token", "one", BLOCK_CLASSES, join)
 
 
 def _full_sets(rows: DataFrame, sketches: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """(label, cls, n, shingles) of the classes in ``labels``, from one text each."""
+    """(cls, shingles) of the classes in ``labels``, from one text each."""
     wanted = sketches.join(labels, F.col("cls") == F.col("node"), "left_semi").groupBy("cls").agg(F.min("id").alias("id")).where("id IS NOT NULL").select("id").distinct()
-    wanted = durable(wanted)
-    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = rows.join(wanted, "id", "left_semi").union(rows.where("id IS NULL"))
+    texts = rows.join(small(durable(wanted)), "id", "left_semi").union(rows.where("id IS NULL"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in _sets(batches, k):
             sets = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _binary(sets)], ["cls", "n", "shingles"])
 
-    sets = texts.mapInArrow(run, "cls long, n int, shingles binary")
-    return sets.join(labels.select(F.col("node").alias("cls"), "label"), "cls")
+    return texts.mapInArrow(run, "cls long, n int, shingles binary").select("cls", "shingles")
 
 
 def _confirmed(sets: DataFrame, sizes: DataFrame, like: Similarity, partitions: int) -> DataFrame:
     """Links (a, b) between classes that are alike; ``sizes`` has (label, cls, n)."""
-    blocks = _blocks(sizes, "label", "n", BLOCK_SHINGLES).select("label", "cls", "x", "y")
-    rows = sets.select("cls", "n", "shingles").join(blocks, "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, ["label", "x", "y"]):
             keys, first = np.unique(group.column("cls").to_numpy(), return_index=True)
             held = group.column("shingles").to_pylist()
             sets = [np.frombuffer(held[i], np.uint64) for i in first]
-            sizes = np.array([len(s) for s in sets])
 
             def same(i: int, j: int, sets: list = sets) -> bool:
                 a, b = sorted((sets[i], sets[j]), key=len)
@@ -220,11 +266,18 @@ def _confirmed(sets: DataFrame, sizes: DataFrame, like: Similarity, partitions:
                 return bool(like.overlap(common, len(a), len(b)))
 
             groups = Groups()
-            join_all(keys, sizes, [bitmap(s, width(len(s))) for s in sets], like, groups, same)
-            a, b = zip(*groups.links, strict=True) if groups.links else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            _known(groups, group.column("cls").to_numpy(), group)
+            join_all(keys, np.array([len(s) for s in sets]), [bitmap(s, width(len(s))) for s in sets], like, groups, same)
+            yield _links(groups)
+
+    held: list[DataFrame] = []
+
+    def join(rows: DataFrame, again: bool) -> DataFrame:
+        if again and not held:
+            held.append(durable(sets))  # else each call would read the texts anew
+        return _dealt(rows.join(held[0] if again else sets, "cls").select("label", "x", "y", "cls", "shingles", "known"), ["label", "x", "y"], partitions).mapInArrow(run, "a long, b long")
 
-    return _dealt(rows.select("label", "x", "y", "cls", "shingles"), ["label", "x", "y"], partitions).mapInArrow(run, "a long, b long")
+    return _linked(sizes, "label", "n", BLOCK_SHINGLES, join)
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
@@ -239,7 +292,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
     labels = components(_candidates(live, sketches, like, partitions))
     labels = durable(labels)
     sizes = sketches.select("cls", "n").join(labels.select(F.col("node").alias("cls"), "label"), "cls").distinct()
-    links = _confirmed(_full_sets(rows, sketches, labels, words), sizes, like, partitions)
+    links = _confirmed(_full_sets(rows, sketches, labels, words), durable(sizes), like, partitions)
     parts = durable(components(links))
     # the smallest id of each class, then of each component
     classes = sketches.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("many"))
@@ -247,7 +300,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
     linked = classes.where("label IS NOT NULL")
     smallest = linked.groupBy("label").agg(F.min("least").alias("component"))
     several = linked.join(smallest, "label").select("cls", "component").union(classes.where("label IS NULL AND many > 1").select("cls", "least"))
-    out = sketches.select("id", "key", "cls", "n").join(several, "cls", "left")
+    out = sketches.select("id", "key", "cls", "n").join(small(durable(several)), "cls", "left")
     return out.select("id", "key", F.col("n").cast("long").alias("n"), F.coalesce("component", "id").alias("component"))
 
 

@@ -56,11 +56,13 @@ class Groups:
     def roots(self, keys: np.ndarray) -> np.ndarray:
         return np.fromiter(map(self.root, keys.tolist()), np.int64, len(keys))
 
-    def link(self, a: int, b: int) -> None:
+    def link(self, a: int, b: int, known: bool = False) -> None:
+        """Joins two groups; ``known`` says that the link is not a new one."""
         x, y = self.root(a), self.root(b)
         if x != y:
             self.parent[max(x, y)] = min(x, y)
-            self.links.append((a, b))
+            if not known:
+                self.links.append((a, b))
 
 
 class Similarity:

@@ -233,3 +233,20 @@ def test_rules_on_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert judge(df, ratios(df, df)).count() == 0
     assert judge(df.withColumn("x", F.lit(1)), np.zeros(4, np.int64), columns=["doc_id"]).columns[0] == "doc_id"
+
+
+@pytest.mark.parametrize("classes, shingles", [(3, 300), (7, 2000)])
+def test_blocks_lose_no_link(spark, monkeypatch, classes, shingles):
+    from lodestone.llm import ngram_jaccard
+
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_CLASSES", classes)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SHINGLES", shingles)
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    docs = [" ".join([f"d{k}x{j}" for j in range(20)] + passage) for k in range(12)]  # alike only in part
+    for size in (40, 90):
+        base = [f"b{size}x{k}" for k in range(size)]
+        docs += [" ".join(variant(rng, base, rng.choice([0, 1, 1, 2]))) for _ in range(25)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    assert got == dict(enumerate(brute(list(range(len(docs))), sets(docs))))
