@@ -172,7 +172,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     return model
 
 
-def severities(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.2) -> DataFrame:
+def severities(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.35) -> DataFrame:
     """For each row its id, ``severity`` (the expected grade), ``grade`` (the likeliest, above 0 if
     toxic), ``score`` (P(grade > 0)) and ``toxic`` (score of at least ``threshold``: to miss a toxic text
     is held to be worse than to look at one in vain). No shuffle."""
