@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.durable import small
+
 #: Buckets of single tokens, and as many of pairs.
 BUCKETS = 1 << 14
 SCALE = 1000
@@ -113,6 +115,4 @@ def judge(docs: DataFrame, table: np.ndarray, text_col: str = "text", columns: l
 def trusted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs`` whose id has the label 1. Texts are not shuffled while the ids can be broadcast."""
     good = labels.where(F.col(label_col) == 1).select(id_col).distinct()
-    if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        good = F.broadcast(good)
-    return docs.join(good, id_col, "left_semi")
+    return docs.join(small(good, BROADCAST_IDS), id_col, "left_semi")
