@@ -30,6 +30,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Up to so many benchmark fingerprints (16 bytes and an id each) are broadcast; more are joined by a shuffle.
 BROADCAST_FINGERPRINTS = 200_000
+#: The same for texts with hits.
+BROADCAST_TEXTS = 100_000
 
 
 def split_words(text: Column) -> Column:
@@ -41,19 +43,27 @@ def exact_words(text: Column) -> Column:
     return split_words(F.translate(text, _UPPER, _LOWER))
 
 
-def fingerprints(rows: DataFrame, k: int, window: int, *keep: str) -> DataFrame:
-    """(keep, i, f): the hash f of the k-gram at word i, for each k-gram that is the least
-    of some ``window`` neighbouring ones. ``rows`` has ``w``, the array of words."""
+def _grams(rows: DataFrame, k: int, window: int, keep: tuple[str, ...]) -> DataFrame:
+    """(keep, g, m): the hashes of a row's k-grams and the least of each ``window`` neighbouring ones. ``rows`` has ``w``,
+    the array of words; rows too short for a window are left out."""
     gram = ", ".join(f"h[i + {j}]" for j in range(k))
     rows = rows.where(F.size("w") >= k + window - 1).select(*keep, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     rows = rows.select(*keep, F.expr(f"transform(sequence(0, size(h) - {k}), i -> xxhash64({gram}))").alias("g"))
-    if window == 1:
-        return rows.select(*keep, F.posexplode("g").alias("i", "f"))
-    rows = rows.select(*keep, "g", F.expr(f"transform(sequence(1, size(g) - {window - 1}), s -> array_min(slice(g, s, {window})))").alias("m"))
+    least = F.expr(f"transform(sequence(1, size(g) - {window - 1}), s -> array_min(slice(g, s, {window})))") if window > 1 else F.col("g")
+    return rows.select(*keep, "g", least.alias("m"))
+
+
+def minima(rows: DataFrame, k: int, window: int, *keep: str) -> DataFrame:
+    """(keep, f): the distinct fingerprints of each row."""
+    return _grams(rows, k, window, keep).select(*keep, F.explode(F.array_distinct("m")).alias("f"))
+
+
+def fingerprints(rows: DataFrame, k: int, window: int, *keep: str) -> DataFrame:
+    """(keep, i, f): the fingerprints of each row and the words they begin at."""
     # a k-gram is the least of a window it is in if no such window has only smaller minima
     chosen = F.expr(f"""filter(transform(g, (f, i) -> struct(i, f)), e -> e.f = array_max(slice(m,
         greatest(e.i - {window - 2}, 1), least(e.i + 1, size(m)) - greatest(e.i - {window - 2}, 1) + 1)))""")
-    return rows.select(*keep, F.explode(chosen).alias("e")).select(*keep, "e.i", "e.f")
+    return _grams(rows, k, window, keep).select(*keep, F.explode(chosen).alias("e")).select(*keep, "e.i", "e.f")
 
 
 def shared_runs(docs: DataFrame, items: DataFrame, words: int, k: int) -> DataFrame:
@@ -61,17 +71,18 @@ def shared_runs(docs: DataFrame, items: DataFrame, words: int, k: int) -> DataFr
     ``docs`` has key and text, ``items`` item and text."""
     items = durable(items.select("item", exact_words(F.col("text")).alias("iw"), split_words(F.lower("text")).alias("w")).where(F.size("w") > 0))
     short = [r.n for r in items.where(F.size("iw") < words).select(F.size("iw").alias("n")).distinct().orderBy("n").collect()]
-    tokens = docs.select("key", split_words(F.lower("text")).alias("w"))
+    every = docs.select("key", split_words(F.lower("text")).alias("w"))
     families = [(k, words - k + 1, F.size("iw") >= words), *((m, 1, F.size("iw") == m) for m in short)]
-    found = []
+    theirs, met = [], []
     for size, window, which in families:
-        theirs = fingerprints(items.where(which), size, window, "item").select("item", F.col("i").alias("q"), "f")
-        if theirs.limit(BROADCAST_FINGERPRINTS + 1).count() <= BROADCAST_FINGERPRINTS:
-            theirs = F.broadcast(theirs)
-        ours = fingerprints(tokens, size, window, "key")
-        found.append(ours.join(theirs, "f").select("key", "item", (F.col("i") - F.col("q")).alias("shift")))
-    hits = durable(reduce(DataFrame.union, found).distinct())
-    texts = docs.join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", exact_words(F.col("text")).alias("dw"))
+        own = fingerprints(items.where(which), size, window, "item").select("item", F.col("i").alias("q"), "f")
+        theirs.append(small(durable(own), BROADCAST_FINGERPRINTS))
+        met.append(minima(every, size, window, "key").join(small(own.select("f").distinct(), BROADCAST_FINGERPRINTS), "f", "left_semi").select("key"))
+    # texts that share a fingerprint with any item, one of each; only for these are places looked up
+    keys = small(durable(reduce(DataFrame.union, met).distinct()))
+    texts = durable(docs.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", exact_words(F.col("text")).alias("dw"), split_words(F.lower("text")).alias("w")))
+    found = [fingerprints(texts, size, window, "key").join(own, "f").select("key", "item", (F.col("i") - F.col("q")).alias("shift")) for (size, window, _), own in zip(families, theirs, strict=True)]
+    hits, texts = reduce(DataFrame.union, found).distinct(), texts.select("key", "dw")
     both = hits.join(texts, "key").join(items.select("item", "iw"), "item")
     both = both.withColumns({"a": F.greatest("shift", F.lit(0)), "b": F.greatest(-F.col("shift"), F.lit(0))})
     both = both.withColumn("n", F.least(F.size("dw") - F.col("a"), F.size("iw") - F.col("b"))).where("n > 0")
@@ -91,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     covered = F.expr("""aggregate(array_sort(spans), struct(0 AS n, 0 AS reach),
         (t, r) -> struct(t.n + greatest(r.e - greatest(r.s, t.reach), 0) AS n, greatest(t.reach, r.e) AS reach), t -> t.n)""")
     spans = runs.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-    spans = spans.select("key", covered.cast("long").alias("n_hit"), "items")
+    spans = small(durable(spans.select("key", covered.cast("long").alias("n_hit"), "items")), BROADCAST_TEXTS)
     out = rows.select("id", "key", F.size(split_words(F.lower("text"))).cast("long").alias("n_words")).join(spans, "key", "left")
     out = out.select("id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
