@@ -50,7 +50,7 @@ def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _role():
-    return F.when(F.substring("source", 4, 9).cast("int") < 10, "primary").otherwise("supplementary")
+    return F.when(F.substring("source", 4, 9).try_cast("int") < 10, "primary").otherwise("supplementary")
 
 
 def knowledge_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DOCS = """WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, lang AS course_id, source, n_chars, text,
-    CASE WHEN CAST(substr(source, 4) AS INT) < 10 THEN 'primary' ELSE 'supplementary' END AS knowledge_base_role,
+    CASE WHEN TRY_CAST(substr(source, 4) AS INT) < 10 THEN 'primary' ELSE 'supplementary' END AS knowledge_base_role,
     CASE l.quality WHEN 1 THEN 'indexed' WHEN 0 THEN 'failed' ELSE 'queued' END AS ingestion_status,
     CASE WHEN l.quality = 0 THEN 'bad text' END AS error_message,
     to_timestamp(1704067200 + 60 * (doc_id % 500)) AS created_at
@@ -486,7 +486,7 @@ def _claims(spark, sf_dir):
     return claims, rows.where("n_chars > 800").select(F.col("doc_id").alias("claim_id"), _role().alias("knowledge_base_role"))
 
 
-_CLAIMS = """WITH c AS (SELECT lang AS run_id, doc_id AS claim_id, toxic = 1 AS mandatory, quality = 1 AS ok, source, n_chars > 800 AS cited, CAST(substr(source, 4) AS INT) < 10 AS prim FROM labels JOIN documents USING (doc_id))
+_CLAIMS = """WITH c AS (SELECT lang AS run_id, doc_id AS claim_id, toxic = 1 AS mandatory, quality = 1 AS ok, source, n_chars > 800 AS cited, TRY_CAST(substr(source, 4) AS INT) < 10 AS prim FROM labels JOIN documents USING (doc_id))
 """
 
 
@@ -505,7 +505,7 @@ def claim_quality(spark, sf_dir):
 @query(_CLAIMS + "SELECT run_id, count(*) AS links, round(avg(CASE WHEN t IS NULL THEN 0 ELSE 1 END), 9) AS resolvable, round(avg(CASE WHEN t IS NOT NULL AND ok AND prim THEN 1 ELSE 0 END), 9) AS correct FROM c LEFT JOIN (SELECT conv_id || ':1' AS k, any_value(turn) AS t FROM conversations WHERE turn = 1 GROUP BY conv_id) ON k = claim_id || ':1' GROUP BY run_id")
 def citation_quality(spark, sf_dir):
     claims, _ = _claims(spark, sf_dir)
-    links = claims.select("run_id", F.concat(F.col("claim_id").cast("string"), F.lit(":1")).alias("chunk_id"), (F.col("verdict") == "supported").alias("supports"), (F.substring("requirement", 4, 9).cast("int") < 10).alias("authoritative"))
+    links = claims.select("run_id", F.concat(F.col("claim_id").cast("string"), F.lit(":1")).alias("chunk_id"), (F.col("verdict") == "supported").alias("supports"), (F.substring("requirement", 4, 9).try_cast("int") < 10).alias("authoritative"))
     out = metrics.citation_measures(links, fragments(spark, sf_dir).where("chunk_index = 1").select("chunk_id").distinct())
     return out.select("run_id", "links", F.round("resolvable", 9).alias("resolvable"), F.round("correct", 9).alias("correct"))
 
