@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrays import slices
+from lodestone.llm.arrays import in_small_batches, slices
 from lodestone.llm.token_counts import byte_characters
 
 #: Words whose codes a worker remembers between batches; only a memory bound.
@@ -123,7 +123,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 coded = [own.encode(t or "") for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array([c[k] for c in coded], pa.list_(pa.int32())) for k in range(3))], ["id", "ids", "starts", "ends"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>")
     return out.withColumnRenamed("id", id_col)
 
@@ -138,7 +138,7 @@ def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", id
             raw = [own.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(raw, pa.binary()), pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())], ["id", "decoded", "decoded_text"])
 
-    rows = coded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    rows = in_small_batches(coded).select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, decoded binary, decoded_text string")
     return out.withColumnRenamed("id", id_col)
 
@@ -154,6 +154,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 count, ids, decoded = zip(*own.digests(part.column("text").to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrays import Words, lower_ascii, mix64, shingle_sets, slices, text_bytes
+from lodestone.llm.arrays import Words, in_small_batches, lower_ascii, mix64, shingle_sets, slices, text_bytes
 from lodestone.llm.components import components
 from lodestone.llm.durable import durable, small
 from lodestone.llm.signature_tree import Groups, Similarity, bitmap, join_all, width
@@ -51,7 +51,7 @@ def _class_of(own: np.ndarray) -> int:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrays import Words, slices, text_bytes, window_hashes
+from lodestone.llm.arrays import Words, in_small_batches, slices, text_bytes, window_hashes
 
 #: Labelled rows that are learnt from: those with the least hashes of their ids.
 TRAIN_ROWS = 20_000
@@ -203,7 +203,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id
     that a row of ``labels`` must meet."""
     chosen = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
+    texts = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +221,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id
 def score_quality(docs: DataFrame, model: AdditiveModel, text_col: str = "text", threshold: float = 0.3, columns: list[str] | None = None) -> DataFrame:
     """``docs`` (or just ``columns`` of it) with ``score``, the probability of label 1, and ``predicted``. No shuffle."""
     kept = [c for c in (columns or docs.columns) if c not in ("score", "predicted")]
-    rows = docs.select(F.col(text_col).alias("_text"), *kept)
+    rows = in_small_batches(docs).select(F.col(text_col).alias("_text"), *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrays import slices
+from lodestone.llm.arrays import in_small_batches, slices
 
 #: The split that byte-level tokenizer files with ``use_regex`` stand for (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -182,7 +182,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counter.count(part.column("text").to_pylist()), pa.int64()), part.column("n_bytes")], ["id", "n_tokens", "n_bytes"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
     id_type = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(count, f"id {id_type}, n_tokens long, n_bytes long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.arrays import Words, lower_ascii, mix64, slices, text_bytes
+from lodestone.llm.arrays import Words, in_small_batches, lower_ascii, mix64, slices, text_bytes
 
 #: Labelled rows that are learnt from: those with the least hashes of their ids.
 TRAIN_ROWS = 20_000
@@ -118,7 +118,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     row of ``labels`` must meet."""
     chosen = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
+    texts = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +176,7 @@ def severities(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", tex
     """For each row its id, ``severity`` (the expected grade), ``grade`` (the likeliest, above 0 if
     toxic), ``score`` (P(grade > 0)) and ``toxic`` (score of at least ``threshold``: to miss a toxic text
     is held to be worse than to look at one in vain). No shuffle."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
