@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import recurrent
-from lodestone.llm.license_scan import TEMPLATES, licences
+from lodestone.llm.license_scan import TEMPLATES, full_texts, licences
 from lodestone.llm.lm_scoring import lm_scores
 from lodestone.llm.queries import QUERIES
 from lodestone.llm.quality_classifier import FEATURES, fit_additive, fit_quality, score_quality, text_features
@@ -218,6 +219,43 @@ def test_cosine_by_hand(spark):
     assert math.isclose(got[2], math.sqrt(2) * idf(2) / math.sqrt(2 * idf(2) ** 2 + idf(1) ** 2), rel_tol=1e-9)
 
 
+def test_wrapped_headers_and_whole_licence_files(spark):
+    gpl, bsd = (textwrap.wrap(next(t for n, t in TEMPLATES if n == m and len(t) > 90), 72) for m in ("GPL-3.0", "BSD-3-Clause"))
+    assert len(gpl) == 4 and len(bsd) == 2
+    whole = dict(full_texts())
+    rows = [
+        (1, "g/a.c", "/* tool\n * Copyright someone\n *\n" + "\n".join(f" * {x}" for x in gpl) + "\n */\nint main"), (2, "b/LICENSE", "\n".join(f"# {x}" for x in bsd)), (3, "b/src/x.go", "package x"),
+        (4, "a/LICENSE", whole["Apache-2.0"]), (5, "a/deep/er/y.py", "import os"), (6, "c/COPYING", "Ours alone\n" + whole["GPL-3.0"]), (7, "c/z.c", "int z"), (8, "d/readme.txt", whole["CC0-1.0"]),
+        (9, "e/LICENSE.txt", whole["BSD-2-Clause"].replace("<copyright holder>", "Jo Doe")), (10, "f/w.py", "\n\n".join(f"# {w}" for w in " ".join(bsd).split())), (11, "h/v.py", gpl[0] + "\n" + "unlike words of some other matter that no licence has ever used before or since" + "\n" + gpl[1]),
+        (12, "i/COPYING", whole["GPL-2.0"]), (13, "j/LICENSE", "the\n" * 5000), (14, "k/m.c", f"// ({bsd[0]}\n// {bsd[1]})"), *((20 + k, f"p/{k}", f"file number {k} of a folder") for k in range(30)),
+    ]
+    got = {r.doc_id: (r.own_licence, r.licence, r.inherited_from, r.line) for r in licences(spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(3)).collect() if r.doc_id < 20}
+    assert got == {
+        1: ("GPL-3.0", "GPL-3.0", None, 4), 2: ("BSD-3-Clause", "BSD-3-Clause", None, 1), 3: (None, "BSD-3-Clause", "b", None), 4: ("Apache-2.0", "Apache-2.0", None, got[4][3]), 5: (None, "Apache-2.0", "a", None),
+        6: ("GPL-3.0", "GPL-3.0", None, 1), 7: (None, "GPL-3.0", "c", None), 8: (None, None, None, None), 9: ("BSD-2-Clause", "BSD-2-Clause", None, 1), 10: ("BSD-3-Clause", "BSD-3-Clause", None, 1), 11: (None, None, None, None),
+        12: ("GPL-2.0", "GPL-2.0", None, 1), 13: (None, None, None, None), 14: ("BSD-3-Clause", "BSD-3-Clause", None, 1),
+    }
+
+
+def test_runs_equal_every_run_by_brute_force(spark):
+    rng = random.Random(8)
+    known = [("X", "a b c d e f g"), ("Y", "f g h i"), ("Z", "a j")]
+    texts = ["\n".join(" ".join(rng.choice("abcdefghijqrstuv") for _ in range(rng.choice([0, 1, 1, 2, 3]))) for _ in range(rng.randint(1, 14))) for _ in range(120)]
+    df = spark.createDataFrame([(k, f"p/{k}", t) for k, t in enumerate(texts)], "doc_id long, path string, text string").repartition(3)
+    got = {r.doc_id: (r.own_licence, r.cosine and round(r.cosine, 9)) for r in licences(df, known, least=0.7).collect()}
+    terms = {n: set(t.split()) for n, t in known}
+    idf = lambda w: math.log(121 / (1 + sum(w in t.split() for t in texts))) + 1 if any(w in s for s in terms.values()) else math.log(121 / 2) + 1
+    weight = {w: idf(w) for w in "abcdefghijqrstuv"}
+    size = lambda s: math.sqrt(sum(weight[w] ** 2 for w in s))
+    for k, t in enumerate(texts):
+        lines = t.split("\n")
+        runs = [s for i in range(len(lines)) for j in range(i, len(lines)) if (s := set(" ".join(lines[i : j + 1]).split()))]
+        best = {n: max((round(size(s & x) ** 2 / size(s) / size(x), 9) for s in runs), default=0) for n, x in terms.items()}
+        name = max(sorted(best), key=best.get)
+        assert got[k][1] == (best[name] if best[name] >= 0.7 else None), (k, t)
+        assert got[k][0] is None or best[got[k][0]] == best[name]
+
+
 # pipeline
 
 
