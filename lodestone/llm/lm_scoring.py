@@ -10,10 +10,10 @@ The model goes over classes of words: the most frequent words and the end are cl
 their own, all others are classed by their last three bytes. P(word) is P(class | what came
 before), from the recurrent network, times (c + 1) / (N + V + 1) within the class, c being the
 word's count and N and V the class's training tokens and distinct words. Networks are trained
-where the data is, each partition from the same weights on its own share of the training
-rows, and averaged by the number of tokens; there are ``ROUNDS`` of that, over disjoint shares.
-Their shares are a fixed part of the corpus, chosen by hash, and grow with it; counts and
-classes are of all training rows.
+where the data is, each partition from the same weights on its own training rows, and averaged by
+the number of tokens. The rows are dealt into ``LOTS`` lots by hash, and there is a round of
+that over each lot, so that the network learns from every training row once; counts and
+classes are of all training rows too.
 
 Defined results: a null or empty text is just an end; equal texts have equal scores; a row
 without an id belongs to the training rows (there is no id to hold it out by); other columns
@@ -38,10 +38,10 @@ from lodestone.llm.durable import durable
 #: Classes of words by their last bytes; the most frequent words that are classes of their own; members of an output group.
 TAIL_CLASSES, HEAD_WORDS, MEMBERS = 191, 320, 23
 HIDDEN = 32
-#: Of the training rows one in so many is used in each of so many rounds of network training.
-SHARE, ROUNDS = 24, 3
-#: Tokens that a worker packs at once, and classes that it scores at once.
-PACK_TOKENS, SCORE_TOKENS = 1_500_000, 5_000_000
+#: Lots that the training rows are dealt into, with a round of network training over each.
+LOTS = 3
+#: Tokens that a worker packs at once, and classes that it learns from and scores at once.
+PACK_TOKENS, LEARN_TOKENS, SCORE_TOKENS = 1_500_000, 1_000_000, 5_000_000
 #: The hash that stands for the end of a document.
 END = np.uint64(0x1D8E4E27C47D124F)
 
@@ -248,8 +248,15 @@ def _trained(rows: DataFrame, classes: Classes, weights: recurrent.Weights) -> r
     """The average of what every partition makes of ``weights``."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        documents = [d for _, found in _documents(batches, classes) for d in found]
-        w, n = recurrent.train(weights, documents, 0)
+        w, n, held, total = weights, 0, [], 0
+        for _, found in _documents(batches, classes):
+            held += found
+            total += sum(map(len, found))
+            if total > LEARN_TOKENS:
+                w, more = recurrent.train(w, held, 0)
+                n, held, total = n + more, [], 0
+        w, more = recurrent.train(w, held, 0)
+        n += more
         yield pa.RecordBatch.from_arrays([pa.array([n] if n else [], pa.int64()), pa.array([_write(w)] if n else [], pa.binary())], ["n", "w"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,9 +276,9 @@ def _trained(rows: DataFrame, classes: Classes, weights: recurrent.Weights) -> r
     return _read(batch.column("w")[0].as_py(), weights)
 
 
-def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE, rounds: int = ROUNDS, hidden: int = HIDDEN) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", share: int = LOTS, hidden: int = HIDDEN) -> DataFrame:
     """For each row its id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
-    ``score``, both log10. Rows for which ``held_out`` is true are not learnt from."""
+    ``score``, both log10. Rows for which ``held_out`` is true are not learnt from; the others are dealt into ``share`` lots."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = in_small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
@@ -282,7 +289,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     classes = Classes(head, tail)
     weights = recurrent.initial(classes.n, hidden, MEMBERS)
     lot = F.pmod(F.xxhash64("text", F.lit("share")), F.lit(share))
-    for k in range(rounds):
+    for k in range(share):
         weights = _trained(rows.where(~F.col("held_out") & F.col("text").isNotNull() & (lot == k)).select("text"), classes, weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

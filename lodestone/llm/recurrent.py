@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 STEPS = 32
-LANES = 64
+LANES = 256
 PIECE = 1024
 
 Weights = dict[str, np.ndarray]
@@ -76,20 +76,21 @@ def gradients(w: Weights, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray
     n = h.shape[1]
     members = w["mb"].shape[1]
     table = w["x"] + w["b"]
-    kept, states = [], []
+    before, z, r, new, hun, states = (np.empty((*inputs.shape, n), h.dtype) for _ in range(6))
     for t in range(len(inputs)):
-        h = np.where(begins[t][:, None], np.float32(0), h)
-        before = h
-        h, z, r, new, hun = step(w, h, table[inputs[t]])
-        kept.append((before, z, r, new, hun))
-        states.append(h)
-    flat = np.concatenate(states)
+        if begins[t].any():
+            h = np.where(begins[t][:, None], h.dtype.type(0), h)
+        before[t] = h
+        states[t], z[t], r[t], new[t], hun[t] = step(w, h, table[inputs[t]])
+        h = states[t]
+    flat = states.reshape(-1, n)
     want = targets.ravel()
     real = want >= 0
     group, member = np.divmod(np.maximum(want, 0), members)
     rows = np.arange(len(flat))
     a = flat @ w["g"] + w["gb"]
-    a = np.exp(a - a.max(1, keepdims=True))
+    a -= a.max(1, keepdims=True)
+    np.exp(a, out=a)
     a /= a.sum(1, keepdims=True)
     loss = -np.log(a[rows, group][real] + 1e-30).sum()
     a[rows, group] -= 1
@@ -98,30 +99,44 @@ def gradients(w: Weights, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray
     d = {k: np.zeros_like(v) for k, v in w.items()}
     d["g"], d["gb"] = flat.T @ a, a.sum(0)
     back = a @ w["g"].T
-    for g in np.unique(group[real]):
-        at = np.flatnonzero((group == g) & real)
-        b = flat[at] @ w["m"][g] + w["mb"][g]
-        b = np.exp(b - b.max(1, keepdims=True))
+    order = np.argsort(np.where(real, group, len(w["gb"])).astype(np.int16), kind="stable")[: int(real.sum())]
+    cut = np.searchsorted(group[order], np.arange(len(w["gb"]) + 1))
+    for g in np.flatnonzero(np.diff(cut)):
+        at = order[cut[g] : cut[g + 1]]
+        own = flat[at]
+        b = own @ w["m"][g] + w["mb"][g]
+        b -= b.max(1, keepdims=True)
+        np.exp(b, out=b)
         b /= b.sum(1, keepdims=True)
-        loss -= np.log(b[np.arange(len(b)), member[at]] + 1e-30).sum()
-        b[np.arange(len(b)), member[at]] -= 1
-        d["m"][g], d["mb"][g] = flat[at].T @ b, b.sum(0)
+        each = np.arange(len(b)), member[at]
+        loss -= np.log(b[each] + 1e-30).sum()
+        b[each] -= 1
+        d["m"][g], d["mb"][g] = own.T @ b, b.sum(0)
         back[at] += b @ w["m"][g].T
-    back = back.reshape(len(inputs), -1, n)
+    back = back.reshape(before.shape)
     dh = np.zeros_like(h)
+    # what a step's gradients are multiplied by is known for all steps at once
+    by_z, by_n, by_r = (before - new) * z * (1 - z), (1 - z) * (1 - new**2), hun * r * (1 - r)
+    dx, du = (np.empty((*inputs.shape, 3 * n), h.dtype) for _ in range(2))
+    back_u = np.ascontiguousarray(w["u"].T)
     for t in reversed(range(len(inputs))):
-        before, z, r, new, hun = kept[t]
-        dh = dh + back[t]
-        dz = dh * (before - new) * z * (1 - z)
-        dn = dh * (1 - z) * (1 - new**2)
-        dr = dn * hun * r * (1 - r)
-        dx = np.concatenate([dz, dr, dn], 1)
-        du = np.concatenate([dz, dr, dn * r], 1)
-        np.add.at(d["x"], inputs[t], dx)
-        d["b"] += dx.sum(0)
-        d["u"] += before.T @ du
-        dh = dh * z + du @ w["u"].T
-        dh = np.where(begins[t][:, None], np.float32(0), dh)
+        dh += back[t]
+        np.multiply(dh, by_z[t], out=dx[t, :, :n])
+        np.multiply(dh, by_n[t], out=dx[t, :, 2 * n :])
+        np.multiply(dx[t, :, 2 * n :], by_r[t], out=dx[t, :, n : 2 * n])
+        du[t, :, : 2 * n] = dx[t, :, : 2 * n]
+        np.multiply(dx[t, :, 2 * n :], r[t], out=du[t, :, 2 * n :])
+        dh *= z[t]
+        dh += du[t] @ back_u
+        if begins[t].any():
+            dh[begins[t]] = 0
+    dx = dx.reshape(-1, 3 * n)
+    order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
+    at = np.searchsorted(inputs.ravel()[order], np.arange(len(w["x"]) + 1))
+    symbol = np.flatnonzero(np.diff(at))
+    d["x"][symbol] = np.add.reduceat(dx[order], at[symbol])
+    d["b"] = dx.sum(0)
+    d["u"] = before.reshape(-1, n).T @ du.reshape(-1, 3 * n)
     return {k: v / count for k, v in d.items()}, h, float(loss)
 
 
@@ -134,7 +149,7 @@ def train(w: Weights, documents: list[np.ndarray], start: int, rate: float = 0.0
     total = sum(map(len, documents))
     if not total:
         return w, 0
-    lanes = max(1, min(lanes, total // (4 * steps) or 1))
+    lanes = max(1, min(lanes, total // (64 * steps)))  # so that there are some 64 steps of Adam at least
     load, own = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
     for before, d in pieces:
         k = int(load.argmin())

@@ -8,10 +8,11 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import recurrent
+from lodestone.llm import lm_scoring, recurrent
 from lodestone.llm.license_scan import TEMPLATES, full_texts, licences
 from lodestone.llm.lm_scoring import lm_scores
 from lodestone.llm.queries import QUERIES
@@ -105,6 +106,29 @@ def test_base_scores_equal_brute_force(spark):
     assert lm_scores(df.limit(0), held(7, 2)).count() == 0
 
 
+def test_network_learns_from_every_training_row(spark, monkeypatch):
+    trained, rows = [], [(k, f"w{k} " * (1 + k % 5), 0) for k in range(40)] + [(40 + k, "same text", 0) for k in range(20)] + [(None, "no id", 0)]
+    monkeypatch.setattr(lm_scoring, "_trained", lambda df, classes, weights: trained.extend(r.text for r in df.collect()) or weights)
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    lm_scores(df, held(7, 2))
+    assert sorted(trained) == sorted(t for i, t, _ in rows if i is None or crc(i) % 7 != 2)
+
+
+def test_training_in_pieces_counts_all_tokens(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LEARN_TOKENS", 50)
+    seen, train = [], recurrent.train
+    monkeypatch.setattr(recurrent, "train", lambda w, documents, start: seen.append(sum(map(len, documents))) or train(w, documents, start))
+    batch = pa.record_batch({"text": pa.array(["a b c " * 20] * 7)})
+
+    class Rows:
+        def mapInArrow(self, run, kind):
+            self.out = list(run(iter([batch] * 3)))
+            return spark.createDataFrame([(r["n"], r["w"]) for b in self.out for r in b.to_pylist()], kind)
+
+    lm_scoring._trained(rows := Rows(), classes := lm_scoring.Classes([], []), recurrent.initial(classes.n, 4, 23))
+    assert sum(seen) == 21 * 61 and len(seen) > 3 and rows.out[0].column("n").to_pylist() == [21 * 61]
+
+
 def test_model_beats_counts_on_held_out_rows(spark):
     got = QUERIES["op3_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
