@@ -2,32 +2,36 @@
 language model, and under the counts of the training tokens alone.
 
 Tokens are the words of a text, lower-cased A-Z, and one end. The training rows' tokens are
-all counted: each task packs the hashes of its words by bucket, and the task of a bucket adds
-the counts up, and adds up for each text the logs of the counts of its words. No table of
-the vocabulary is ever brought together; what is sent grows with the corpus.
+all counted: each task adds up its own, and Spark adds up those of all tasks by word, so that the most
+frequent word is one row of each task. The counts of the ``FREQUENT`` most frequent words, and so of the end, go
+to every task, which looks them up in place; any other word makes up less than 1 in ``FREQUENT`` of the
+tokens, and its pairs of row and word are joined with the counts by word. So no key is hot, and what
+is gathered, a count for every word, grows with the corpus.
 
 The model goes over classes of words: the most frequent words and the end are classes of
 their own, all others are classed by their last three bytes. P(word) is P(class | what came
 before), from the recurrent network, times (c + 1) / (N + V + 1) within the class, c being the
 word's count and N and V the class's training tokens and distinct words. Networks are trained
 where the data is, each partition from the same weights on its own training rows, and averaged by
-the number of tokens. The rows are dealt into ``LOTS`` lots by hash, and there is a round of
+the number of tokens, 16 at a time. The rows are dealt into ``LOTS`` lots by hash, and there is a round of
 that over each lot, so that the network learns from every training row once; counts and
-classes are of all training rows too.
+classes are of all training rows too. Training carries the state over pieces of ``recurrent.PIECE``
+symbols, scoring over whole documents.
 
 Defined results: a null or empty text is just an end; equal texts have equal scores; a row
 without an id belongs to the training rows (there is no id to hold it out by); other columns
-are not looked at. Words and texts are told apart by 64-bit hashes.
+are not looked at. Words are told apart by 64-bit hashes. The logs of the less frequent words are added up as whole
+numbers of 1e-9, so that a score does not depend on the order of addition.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,17 +41,23 @@ from lodestone.llm.durable import durable
 
 #: Classes of words by their last bytes; the most frequent words that are classes of their own; members of an output group.
 TAIL_CLASSES, HEAD_WORDS, MEMBERS = 191, 320, 23
-HIDDEN = 32
+HIDDEN = 16
+#: Words whose counts are sent to every task (16 bytes each).
+FREQUENT = 1 << 15
 #: Lots that the training rows are dealt into, with a round of network training over each.
 LOTS = 3
-#: Tokens that a worker packs at once, and classes that it learns from and scores at once.
-PACK_TOKENS, LEARN_TOKENS, SCORE_TOKENS = 1_500_000, 1_000_000, 5_000_000
+#: Networks that one task averages.
+AVERAGED = 16
+#: Tokens that a worker counts at once, and classes that it learns from and scores at once.
+COUNT_TOKENS, LEARN_TOKENS, SCORE_TOKENS = 1_500_000, 1_000_000, 5_000_000
 #: The hash that stands for the end of a document.
 END = np.uint64(0x1D8E4E27C47D124F)
+#: Parts of one in which logs are added up.
+SCALE = 1e9
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each slice the hashes and tail classes of its words, and the index of each row's first."""
+    """Of each slice the hashes and tail classes of its tokens, and the index of each row's first; each row ends with ``END``."""
     for batch in batches:
         for part in slices(batch, "text"):
             raw, at = text_bytes(part.column("text"))
@@ -57,179 +67,84 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             for k in range(1, 4):
                 place = words.end - k
                 last = last * 257 + np.where(place >= words.start, raw[np.maximum(place, 0)].astype(np.int64) + 1, 0)
-            yield part, words.hashes(), (last * 0x9E3779B1 % 4294967291 % TAIL_CLASSES).astype(np.uint8), words.first
-
-
-def _keys(part: pa.RecordBatch) -> list[int]:
-    """A hash of each text."""
-    raw, at = text_bytes(part.column("text"))
-    held = raw.tobytes()
-    return [int.from_bytes(hashlib.blake2b(held[a:b], digest_size=8).digest(), "little", signed=True) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-
-
-def _pack(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, packed): the words of some texts. Packed are the numbers of words, pairs and texts;
-    by word its hash, tail class and number of texts; by pair its text and how often the word is in
-    it; by text its key and how many training rows have it."""
-
-    def pack(held: list, keys: dict[int, int], learnt: list[int]) -> pa.RecordBatch:
-        hashes, classes, texts = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((texts, hashes))
-        hashes, classes, texts = hashes[order], classes[order], texts[order]
-        new = np.append(True, (hashes[1:] != hashes[:-1]) | (texts[1:] != texts[:-1]))
-        at = np.flatnonzero(new)
-        often = np.diff(np.append(at, len(hashes))).astype(np.uint32)
-        hashes, classes, texts = hashes[at], classes[at], texts[at].astype(np.uint32)
-        bucket = ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        hashes, classes, texts, often, bucket = (x[order] for x in (hashes, classes, texts, often, bucket))
-        names, found, parts = np.array(list(keys), np.int64), np.array(learnt, np.uint32), []
-        which, cut = np.unique(bucket, return_index=True)
-        for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
-            word = np.flatnonzero(np.append(True, hashes[a + 1 : b] != hashes[a : b - 1]))
-            own, inside = np.unique(texts[a:b], return_inverse=True)
-            sizes = np.array([len(word), b - a, len(own)], np.int64)
-            small = np.minimum(often[a:b], 255).astype(np.uint8)
-            large = often[a:b][small == 255]
-            parts.append(b"".join(x.tobytes() for x in (sizes, hashes[a:b][word], classes[a:b][word], np.diff(np.append(word, b - a)).astype(np.uint32), inside.astype(np.uint32), small, large, names[own], found[own])))
-        return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(parts, pa.binary())], ["bucket", "packed"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        keys: dict[int, int] = {}
-        learnt: list[int] = []
-        total = 0
-        for part, hashes, classes, first in _tokens(batches):
-            for k, (key, held_out) in enumerate(zip(_keys(part), part.column("held_out").to_pylist(), strict=True)):
-                number = keys.setdefault(key, len(keys))
-                if number == len(learnt):
-                    learnt.append(0)
-                    own = slice(first[k], first[k + 1])
-                    held.append((np.append(hashes[own], END), np.append(classes[own], np.uint8(0)), np.full(own.stop - own.start + 1, number, np.int64)))
-                    total += own.stop - own.start + 1
-                learnt[number] += not held_out
-            if total > PACK_TOKENS:
-                yield pack(held, keys, learnt)
-                held, keys, learnt, total = [], {}, [], 0
-        if held:
-            yield pack(held, keys, learnt)
-
-    return rows.mapInArrow(run, "bucket int, packed binary")
+            tails = (last * 0x9E3779B1 % 4294967291 % TAIL_CLASSES).astype(np.uint8)
+            ends = words.first[1:]
+            yield part, np.insert(words.hashes(), ends, END), np.insert(tails, ends, 0), words.first + np.arange(len(words.first))
 
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, ...]:
-    """By pair: hash, tail class, text key, how often, training rows."""
-    words, pairs, texts = np.frombuffer(packed, np.int64, 3)
-    at = 24
+def _counted(rows: DataFrame) -> DataFrame:
+    """(word, cls, n): the number of each token of the texts; the end's class is -1."""
 
-    def take(kind: type, n: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(packed, kind, n, at)
-        at += out.nbytes
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add_up(held: list) -> pa.RecordBatch:
+            hashes, tails = (np.concatenate(x) for x in zip(*held, strict=True))
+            word, first, n = np.unique(hashes, return_index=True, return_counts=True)
+            cls = np.where(word == END, -1, tails[first].astype(np.int32)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(cls), pa.array(n.astype(np.int64))], ["word", "cls", "n"])
 
-    hashes, classes, spans, inside, small = take(np.uint64, words), take(np.uint8, words), take(np.uint32, words), take(np.uint32, pairs), take(np.uint8, pairs)
-    often = small.astype(np.int64)
-    often[small == 255] = take(np.uint32, int((small == 255).sum()))
-    names, learnt = take(np.int64, texts), take(np.uint32, texts)
-    return np.repeat(hashes, spans), np.repeat(classes, spans), names[inside], often, learnt[inside].astype(np.int64)
+        held, total = [], 0
+        for _, hashes, tails, _ in _tokens(batches):
+            held.append((hashes, tails))
+            total += len(hashes)
+            if total > COUNT_TOKENS:
+                yield add_up(held)
+                held, total = [], 0
+        if held:
+            yield add_up(held)
 
+    return rows.mapInArrow(run, "word long, cls int, n long").groupBy("word").agg(F.min("cls").alias("cls"), F.sum("n").alias("n"))
 
-def _add_up(packs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of two kinds. With a ``part``: packed, the sums of a bucket for the texts whose keys
-    fall into it: keys, sums of log10(c + 1), and of c > 0. Without: a ``word`` (0: all words of a tail class ``cls``), its
-    training tokens ``n``, and ``v``, its distinct words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, p in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                held.setdefault(b, []).append(p)
-        for b in list(held):
-            hashes, classes, keys, often, learnt = (np.concatenate(x) for x in zip(*map(_unpack, held.pop(b)), strict=True))
-            word, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-            c = np.bincount(number, often * learnt, len(word)).astype(np.int64)
-            # a text that several packs hold has its pairs several times
-            order = np.lexsort((number, keys))
-            keys, number, often = keys[order], number[order], often[order]
-            once = np.append(True, (keys[1:] != keys[:-1]) | (number[1:] != number[:-1]))
-            keys, number, often = keys[once], number[once], often[once]
-            at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            logs = np.add.reduceat(often * np.log10(c[number] + 1.0), at)
-            known = np.add.reduceat(often * (c[number] > 0), at)
-            sums = np.rec.fromarrays([keys[at], logs, known], dtype=_SUMS)
-            part = sums["key"] % buckets
-            order = np.argsort(part, kind="stable")
-            which, cut = np.unique(part[order], return_index=True)
-            blobs = [x.tobytes() for x in np.split(sums[order], cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(blobs, pa.binary()), *(pa.nulls(len(which), pa.int64()) for _ in range(4))], names)
-            cls = np.where(word == END, -1, classes[first].astype(np.int64))
-            top = np.argsort(-c, kind="stable")[:HEAD_WORDS]
-            top = top[(c[top] > 0) & (word[top] != END)]
-            kinds, member = np.unique(cls, return_inverse=True)
-            stats = [
-                (word[top].view(np.int64), cls[top], c[top], np.ones(len(top), np.int64)),
-                (np.zeros(len(kinds), np.int64), kinds, np.bincount(member, c).astype(np.int64), np.bincount(member, c > 0).astype(np.int64)),
-            ]
-            for columns in stats:
-                m = len(columns[0])
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), *map(pa.array, columns)], names)
-
-    names = ["part", "sums", "word", "cls", "n", "v"]
-    return packs.repartitionById(buckets, "bucket").mapInArrow(run, "part int, sums binary, word long, cls long, n long, v long")
-
-
-_SUMS = [("key", "<i8"), ("logs", "<f8"), ("known", "<i8")]
-
-
-def _by_text(sums: DataFrame, buckets: int) -> DataFrame:
-    """(key, logs, n_known) of each text, over all buckets."""
+class Frequent:
+    """The counts and symbols of the most frequent words, ascending by word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [x for batch in batches for x in batch.column("sums").to_pylist()]
-        rows = np.frombuffer(b"".join(held), _SUMS)
-        if not len(rows):
-            return
-        rows = rows[np.lexsort((rows["known"], rows["logs"], rows["key"]))]  # one order of addition, whatever order they came in
-        at = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(rows["key"][at]), pa.array(np.add.reduceat(rows["logs"], at)), pa.array(np.add.reduceat(rows["known"], at))], ["key", "logs", "n_known"])
+    def __init__(self, word: np.ndarray, n: np.ndarray, symbol: np.ndarray) -> None:
+        order = np.argsort(word)
+        self.word, self.symbol = word[order], symbol[order].astype(np.int16)
+        self.logs = np.log10(n[order] + 1.0)
 
-    parts = sums.where("part IS NOT NULL").select("part", "sums")
-    return parts.repartitionById(buckets, "part").mapInArrow(run, "key long, logs double, n_known long")
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word, or -1."""
+        if not len(self.word):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.word, hashes), len(self.word) - 1)
+        return np.where(self.word[at] == hashes, at, -1)
 
 
 class Classes:
-    """Symbols of the network: the end, the head words, then the tail classes."""
-
-    def __init__(self, head: list, tail: list) -> None:
-        order = np.argsort([r.word for r in head]) if head else np.zeros(0, np.int64)
-        self.words = np.array([head[k].word for k in order], np.int64)
-        self.n, self.v = np.zeros(1 + len(head) + TAIL_CLASSES), np.zeros(1 + len(head) + TAIL_CLASSES)
+    """Symbols of the network: the end, the head words, then the tail classes. ``tail`` has rows of cls, n and v, over
+    all words of a tail class."""
+
+    def __init__(self, word: np.ndarray, cls: np.ndarray, n: np.ndarray, tail: list) -> None:
+        order = np.argsort(word)
+        self.words, own = word[order], 1 + np.arange(len(word))
+        size = 1 + len(word) + TAIL_CLASSES
+        self.n, self.v = np.zeros(size), np.zeros(size)
         for r in tail:
-            at = 0 if r.cls < 0 else 1 + len(head) + r.cls
+            at = 0 if r.cls < 0 else 1 + len(word) + r.cls
             self.n[at], self.v[at] = r.n, r.v
-        for place, k in enumerate(order):
-            r = head[k]
-            self.n[1 + place], self.v[1 + place] = r.n, 1
-            self.n[1 + len(head) + r.cls] -= r.n
-            self.v[1 + len(head) + r.cls] -= 1
+        self.n[own], self.v[own] = n[order], 1
+        for lost, by in ((self.n, n[order]), (self.v, np.ones(len(word)))):
+            np.subtract.at(lost, 1 + len(word) + cls[order], by)
         self.tokens, self.distinct = int(self.n.sum()), int(self.v.sum())
         self.within = np.log10(self.n + self.v + 1)
 
-    def symbols(self, hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
-        out = (1 + len(self.words) + tails.astype(np.int64)).astype(np.int16)
+    def symbol(self, word: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """The symbols of words (signed hashes) of tail classes; class -1 is the end."""
+        out = np.where(cls < 0, 0, 1 + len(self.words) + cls)
         if len(self.words):
-            signed = hashes.view(np.int64)
-            at = np.minimum(np.searchsorted(self.words, signed), len(self.words) - 1)
-            head = self.words[at] == signed
-            out[head] = 1 + at[head]
+            at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+            out = np.where(self.words[at] == word, 1 + at, out)
         return out
 
 
-def _documents(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for part, hashes, tails, first in _tokens(batches):
-        symbols = classes.symbols(hashes, tails)
-        yield part, [np.append(symbols[a:b], np.int16(0)) for a, b in zip(first[:-1], first[1:], strict=True)]
+def _symbols(hashes: np.ndarray, tails: np.ndarray, frequent: Frequent, heads: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of tokens, and their places among the frequent words."""
+    place = frequent.places(hashes)
+    rare = (1 + heads + tails.astype(np.int16)).astype(np.int16)
+    symbol = np.where(place >= 0, frequent.symbol[place], rare) if len(frequent.word) else rare
+    symbol[hashes == END] = 0
+    return symbol, place
 
 
 def _write(w: recurrent.Weights) -> bytes:
@@ -244,78 +159,112 @@ def _read(raw: bytes, like: recurrent.Weights) -> recurrent.Weights:
     return out
 
 
-def _trained(rows: DataFrame, classes: Classes, weights: recurrent.Weights) -> recurrent.Weights:
+def _trained(rows: DataFrame, frequent: Frequent, heads: int, weights: recurrent.Weights) -> recurrent.Weights:
     """The average of what every partition makes of ``weights``."""
+    many = AVERAGED
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, n, held, total = weights, 0, [], 0
-        for _, found in _documents(batches, classes):
-            held += found
-            total += sum(map(len, found))
+        for _, hashes, tails, first in _tokens(batches):
+            symbols = _symbols(hashes, tails, frequent, heads)[0]
+            held += np.split(symbols, first[1:-1])
+            total += len(symbols)
             if total > LEARN_TOKENS:
                 w, more = recurrent.train(w, held, 0)
                 n, held, total = n + more, [], 0
         w, more = recurrent.train(w, held, 0)
         n += more
-        yield pa.RecordBatch.from_arrays([pa.array([n] if n else [], pa.int64()), pa.array([_write(w)] if n else [], pa.binary())], ["n", "w"])
+        task = TaskContext.get()
+        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId() if task else 0] if n else [], pa.int32()), pa.array([n] if n else [], pa.int64()), pa.array([_write(w)] if n else [], pa.binary())], ["task", "n", "w"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, sums = 0, None
-        for batch in batches:
-            for n, raw in zip(batch.column("n").to_pylist(), batch.column("w").to_pylist(), strict=True):
-                w = np.frombuffer(raw, np.float32).astype(np.float64) * n
-                total, sums = total + n, w if sums is None else sums + w
+        total, sums, task = 0, None, 0
+        rows = sorted((t, n, w) for batch in batches for t, n, w in zip(*(batch.column(c).to_pylist() for c in ("task", "n", "w")), strict=True))
+        for task, n, raw in rows:  # in one order, whatever order they came in
+            w = np.frombuffer(raw, np.float32).astype(np.float64) * n
+            total, sums = total + n, w if sums is None else sums + w
         if sums is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([(sums / total).astype(np.float32).tobytes()], pa.binary())], ["n", "w"])
-
-    # partial averages in 8 tasks, so that 8 rows at most come to the driver
-    found = rows.mapInArrow(learn, "n long, w binary").repartition(8).mapInArrow(average, "n long, w binary").toArrow()
+            yield pa.RecordBatch.from_arrays([pa.array([task // many], pa.int32()), pa.array([total], pa.int64()), pa.array([(sums / total).astype(np.float32).tobytes()], pa.binary())], ["task", "n", "w"])
+
+    kind = "task int, n long, w binary"
+    found = rows.mapInArrow(learn, kind)
+    # a tree of averages, so that no task and not the driver has many
+    tasks = rows.rdd.getNumPartitions()
+    while tasks > many:
+        tasks = -(-tasks // many)
+        found = found.repartitionById(tasks, F.floor(F.col("task") / many).cast("int")).mapInArrow(average, kind)
+    found = found.toArrow()
     if not found.num_rows:
         return weights
     batch = next(average(iter(found.combine_chunks().to_batches())))
     return _read(batch.column("w")[0].as_py(), weights)
 
 
-def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", share: int = LOTS, hidden: int = HIDDEN) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", share: int = LOTS, hidden: int = HIDDEN, frequent: int = FREQUENT) -> DataFrame:
     """For each row its id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
     ``score``, both log10. Rows for which ``held_out`` is true are not learnt from; the others are dealt into ``share`` lots."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = in_small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    sums = durable(_add_up(_pack(rows.select("held_out", "text"), buckets), buckets))
-    # of every word that may be among the most frequent, and of every tail class: rows that do not grow with the corpus
-    head = sums.where("word <> 0").orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word", "cls", "n").collect()
-    tail = sums.where("word = 0").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    classes = Classes(head, tail)
+    counts = durable(_counted(rows.where(~F.col("held_out")).select("text")))
+    # the most frequent words, and a row for each tail class: neither grows with the corpus
+    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    word, cls, n = (top.column(c).to_numpy() for c in ("word", "cls", "n"))
+    tail = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).orderBy("cls").collect()
+    own = np.flatnonzero(cls >= 0)[:HEAD_WORDS]
+    classes = Classes(word[own], cls[own], n[own], tail)
+    known = Frequent(word.view(np.uint64), n, classes.symbol(word, cls))
+    heads, within = len(classes.words), classes.within
     weights = recurrent.initial(classes.n, hidden, MEMBERS)
     lot = F.pmod(F.xxhash64("text", F.lit("share")), F.lit(share))
     for k in range(share):
-        weights = _trained(rows.where(~F.col("held_out") & F.col("text").isNotNull() & (lot == k)).select("text"), classes, weights)
+        weights = _trained(rows.where(~F.col("held_out") & F.col("text").isNotNull() & (lot == k)).select("text"), known, heads, weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId() << 40, 0
+
+        def looked_up(hashes: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple:
+            """By row: the logs and the number of its frequent words, its other words, and how often it has each."""
+            there, n = place >= 0, len(at) - 1
+            row = np.repeat(np.arange(n), np.diff(at))
+            logs = np.bincount(row[there], known.logs[place[there]], n)
+            n_known = np.bincount(row[there], minlength=n)
+            row, word = row[~there], hashes[~there].view(np.int64)
+            order = np.lexsort((word, row))
+            row, word = row[order], word[order]
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (word[1:] != word[:-1]))) if len(row) else np.zeros(0, np.int64)
+            cut = pa.array(np.searchsorted(row[first], np.arange(n + 1)).astype(np.int32))
+            often = np.diff(np.append(first, len(row))).astype(np.int32)
+            return pa.array(n_known), pa.array(logs), pa.ListArray.from_arrays(cut, pa.array(word[first])), pa.ListArray.from_arrays(cut, pa.array(often))
+
         def give(held: list) -> pa.RecordBatch:
-            documents = [d for _, found in held for d in found]
+            documents = [d for *_, symbols, at, _ in held for d in np.split(symbols, at[1:-1])]
             likely = recurrent.log_likelihoods(weights, documents, 0) / math.log(10)
-            likely -= [classes.within[d].sum() for d in documents]
-            keys = [k for part, _ in held for k in _keys(part)]
-            ids, out = (pa.concat_arrays([part.column(c) for part, _ in held]) for c in ("id", "held_out"))
-            return pa.RecordBatch.from_arrays([ids, out, pa.array(keys, pa.int64()), pa.array([len(d) for d in documents], pa.int64()), pa.array(likely)], ["id", "held_out", "key", "n_tokens", "likely"])
+            likely -= [within[d].sum() for d in documents]
+            ids, out = (pa.concat_arrays([part.column(c) for part, *_ in held]) for c in ("id", "held_out"))
+            sums = [pa.concat_arrays([found[k] for *_, found in held]) for k in range(4)]
+            return pa.RecordBatch.from_arrays([ids, out, pa.array(np.arange(task + number, task + number + len(ids))), pa.array([len(d) for d in documents], pa.int64()), pa.array(likely), *sums], names)
 
         held, total = [], 0
-        for part, found in _documents(batches, classes):
-            held.append((part, found))
-            total += sum(map(len, found))
+        for part, hashes, tails, first in _tokens(batches):
+            symbols, place = _symbols(hashes, tails, known, heads)
+            held.append((part.select(["id", "held_out"]), symbols, first, looked_up(hashes, place, first)))
+            total += len(hashes)
             if total > SCORE_TOKENS:
                 yield give(held)
+                number += sum(part.num_rows for part, *_ in held)
                 held, total = [], 0
         if held:
             yield give(held)
 
+    names = ["id", "held_out", "row", "n_tokens", "likely", "n_known", "logs", "rare", "often"]
     kind = rows.schema["id"].dataType.simpleString()
-    scored = rows.mapInArrow(score, f"id {kind}, held_out boolean, key long, n_tokens long, likely double")
-    out = scored.join(_by_text(sums, buckets), "key")
+    scored = durable(rows.mapInArrow(score, f"id {kind}, held_out boolean, row long, n_tokens long, likely double, n_known long, logs double, rare array<long>, often array<int>"))
+    pairs = scored.select("row", F.explode(F.arrays_zip("rare", "often")).alias("p")).select("row", F.col("p.rare").alias("word"), F.col("p.often").alias("often"))
+    part = F.round(F.log10(F.col("n") + 1) * SCALE).cast("long") * F.col("often")
+    rest = pairs.join(counts.select("word", "n"), "word").groupBy("row").agg(F.sum(part).alias("more"), F.sum("often").alias("found"))
+    out = scored.drop("rare", "often").join(rest, "row", "left")
     lost = math.log10(classes.tokens + classes.distinct + 1)
+    logs = F.col("logs") + F.coalesce(F.col("more") / SCALE, F.lit(0.0))
     return out.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(classes.tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") - F.col("n_tokens") * lost).alias("base_score"), (F.col("logs") + F.col("likely")).alias("score"),
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(classes.tokens).cast("long").alias("train_tokens"),
+        (logs - F.col("n_tokens") * lost).alias("base_score"), (logs + F.col("likely")).alias("score"),
     )

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 
-STEPS = 32
-LANES = 256
+STEPS = 16
+LANES = 512
+#: Symbols over which training carries the state; scoring carries it over whole documents.
 PIECE = 1024
+#: Bound of the logits of a softmax, so that no exponential overflows.
+LOGIT = 60.0
 
 Weights = dict[str, np.ndarray]
 
@@ -52,20 +55,33 @@ def step(w: Weights, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
     return new + z * (h - new), z, r, new, hu[:, 2 * n :]
 
 
+def _logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    a = h @ weights
+    a += bias
+    np.clip(a, -LOGIT, LOGIT, out=a)
+    return a
+
+
+def _row_sums(a: np.ndarray) -> np.ndarray:
+    return a @ np.ones(a.shape[1], a.dtype)
+
+
 def log_output(w: Weights, h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """Natural log probability of each symbol in the state of its row."""
     members = w["mb"].shape[1]
-    group, member = np.divmod(symbol, members)
-    a = h @ w["g"] + w["gb"]
-    a -= a.max(1, keepdims=True)
-    out = a[np.arange(len(a)), group] - np.log(np.exp(a).sum(1))
+    group, member = np.divmod(symbol.astype(np.int16), np.int16(members))
+    a = _logits(h, w["g"], w["gb"])
+    out = a[np.arange(len(a)), group]
+    total = _row_sums(np.exp(a, out=a))
     order = np.argsort(group, kind="stable")
     cut = np.searchsorted(group[order], np.arange(len(w["gb"]) + 1))
+    h, member, inner, part = h[order], member[order], np.empty_like(out), np.empty_like(out)
     for g in np.flatnonzero(np.diff(cut)):
-        at = order[cut[g] : cut[g + 1]]
-        b = h[at] @ w["m"][g] + w["mb"][g]
-        b -= b.max(1, keepdims=True)
-        out[at] += b[np.arange(len(b)), member[at]] - np.log(np.exp(b).sum(1))
+        own = slice(cut[g], cut[g + 1])
+        b = _logits(h[own], w["m"][g], w["mb"][g])
+        inner[own] = b[np.arange(len(b)), member[own]]
+        part[own] = _row_sums(np.exp(b, out=b))
+    out[order] += inner - np.log(part * total[order])
     return out
 
 
@@ -88,10 +104,9 @@ def gradients(w: Weights, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray
     real = want >= 0
     group, member = np.divmod(np.maximum(want, 0), members)
     rows = np.arange(len(flat))
-    a = flat @ w["g"] + w["gb"]
-    a -= a.max(1, keepdims=True)
+    a = _logits(flat, w["g"], w["gb"])
     np.exp(a, out=a)
-    a /= a.sum(1, keepdims=True)
+    a /= _row_sums(a)[:, None]
     loss = -np.log(a[rows, group][real] + 1e-30).sum()
     a[rows, group] -= 1
     a[~real] = 0
@@ -101,18 +116,19 @@ def gradients(w: Weights, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray
     back = a @ w["g"].T
     order = np.argsort(np.where(real, group, len(w["gb"])).astype(np.int16), kind="stable")[: int(real.sum())]
     cut = np.searchsorted(group[order], np.arange(len(w["gb"]) + 1))
+    held, member, inner = flat[order], member[order], np.empty((len(order), n), flat.dtype)
     for g in np.flatnonzero(np.diff(cut)):
-        at = order[cut[g] : cut[g + 1]]
-        own = flat[at]
-        b = own @ w["m"][g] + w["mb"][g]
-        b -= b.max(1, keepdims=True)
+        at = slice(cut[g], cut[g + 1])
+        own = held[at]
+        b = _logits(own, w["m"][g], w["mb"][g])
         np.exp(b, out=b)
-        b /= b.sum(1, keepdims=True)
+        b /= _row_sums(b)[:, None]
         each = np.arange(len(b)), member[at]
         loss -= np.log(b[each] + 1e-30).sum()
         b[each] -= 1
         d["m"][g], d["mb"][g] = own.T @ b, b.sum(0)
-        back[at] += b @ w["m"][g].T
+        inner[at] = b @ w["m"][g].T
+    back[order] += inner
     back = back.reshape(before.shape)
     dh = np.zeros_like(h)
     # what a step's gradients are multiplied by is known for all steps at once

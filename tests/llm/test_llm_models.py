@@ -89,26 +89,75 @@ def test_training_learns_an_order():
     assert recurrent.train(w, [], 0)[1] == 0
 
 
-def test_base_scores_equal_brute_force(spark):
+def naive_log10(w, symbols):
+    """One symbol after another, by the formulas of a gated unit and of two softmaxes, in double precision."""
+    w = {k: v.astype(np.float64) for k, v in w.items()}
+    n, members, h, before, total = len(w["u"]), w["mb"].shape[1], np.zeros(len(w["u"])), 0, 0.0
+    soft = lambda a: np.exp(a) / np.exp(a).sum()
+    for s in symbols:
+        x, u = w["x"][before] + w["b"], h @ w["u"]
+        z, r = (1 / (1 + np.exp(-(x[k : k + n] + u[k : k + n]))) for k in (0, n))
+        h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * u[2 * n :])
+        g, m = divmod(s, members)
+        total += math.log10(soft(h @ w["g"] + w["gb"])[g] * soft(h @ w["m"][g] + w["mb"][g])[m])
+        before = s
+    return total
+
+
+@pytest.mark.parametrize("frequent", [lm_scoring.FREQUENT, 7])
+def test_scores_equal_brute_force(spark, monkeypatch, frequent):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["The", "the", "a", "ab,", "x" * 99, "é", f"w{rng.randrange(80)}"]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
     texts += [None, "", " \n", "the " * 700, texts[3], texts[3]]
     rows = [(k, t, 0.5, 1) for k, t in enumerate(texts)] + [(5, texts[5], 0.1, 2), (None, "the a", 0.1, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double, key int").repartition(3)
-    got = lm_scores(df, held(7, 2), share=3).collect()
+    held_back, made, train = {}, [], lm_scoring._trained
+    monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 5)
+    monkeypatch.setattr(lm_scoring, "Classes", type("Kept", (lm_scoring.Classes,), {"__init__": lambda self, *a: (made.append(self), lm_scoring.Classes.__mro__[1].__init__(self, *a))[1]}))
+    monkeypatch.setattr(lm_scoring, "_trained", lambda *a: held_back.update(w=train(*a)) or held_back["w"])
+    got = lm_scores(df, held(7, 2), frequent=frequent).collect()
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(AZ)), "\n"]
     out = lambda i: i is not None and crc(i) % 7 == 2
     c = collections.Counter(w for i, t, *_ in rows if not out(i) for w in tokens(t))
     n, v = sum(c.values()), len(c)
-    want = sorted((str(i), out(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for i, t, *_ in rows)
+    base = lambda t: sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t))
+    want = sorted((str(i), out(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(base(t), 6)) for i, t, *_ in rows)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    # the model's score: class by class as the network says, then within the class by counts
+    classes, w = made[-1], held_back["w"]
+    hashes = {}
+    for t in {x for _, t, *_ in rows for x in tokens(t)} - {"\n"}:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        _, (h, _), (tail, _), _ = next(lm_scoring._tokens(iter([pa.record_batch({"text": pa.array([t])})])))
+        hashes[t] = int(classes.symbol(np.array([h]).view(np.int64), np.array([int(tail)]))[0])
+        assert len(raw)
+    hashes["\n"] = 0
+    of, kinds = collections.Counter(), collections.Counter()
+    for word, k in c.items():
+        of[hashes[word]] += k
+        kinds[hashes[word]] += 1
+    assert len(classes.words) == 5
+    by = {str(r.doc_id) + str(r.n_tokens): r.score for r in got}
+    for i, t, *_ in rows:
+        symbols = [hashes[x] for x in tokens(t)]
+        inner = sum(math.log10((c[x] + 1) / (of[hashes[x]] + kinds[hashes[x]] + 1)) for x in tokens(t))
+        assert math.isclose(by[str(i) + str(len(symbols))], naive_log10(w, symbols) + inner, rel_tol=1e-4)
     assert lm_scores(df.limit(0), held(7, 2)).count() == 0
 
 
+def test_averages_meet_in_a_tree(spark, monkeypatch):
+    none = np.zeros(0, np.int64)
+    df = spark.createDataFrame([(f"a b{k} " * (1 + k),) for k in range(9)], "text string").repartition(9)
+    weights, got = recurrent.initial(np.ones(1 + lm_scoring.TAIL_CLASSES), 4, 23), []
+    for many in (2, 100):
+        monkeypatch.setattr(lm_scoring, "AVERAGED", many)
+        got.append(lm_scoring._trained(df, lm_scoring.Frequent(none.view(np.uint64), none, none), 0, weights))
+    assert all(np.allclose(got[0][k], got[1][k], atol=1e-5) and not np.allclose(got[0][k], weights[k]) for k in ("u", "mb"))
+
+
 def test_network_learns_from_every_training_row(spark, monkeypatch):
     trained, rows = [], [(k, f"w{k} " * (1 + k % 5), 0) for k in range(40)] + [(40 + k, "same text", 0) for k in range(20)] + [(None, "no id", 0)]
-    monkeypatch.setattr(lm_scoring, "_trained", lambda df, classes, weights: trained.extend(r.text for r in df.collect()) or weights)
+    monkeypatch.setattr(lm_scoring, "_trained", lambda df, known, heads, weights: trained.extend(r.text for r in df.collect()) or weights)
     df = spark.createDataFrame(rows, "doc_id long, text string, n long")
     lm_scores(df, held(7, 2))
     assert sorted(trained) == sorted(t for i, t, _ in rows if i is None or crc(i) % 7 != 2)
@@ -121,11 +170,14 @@ def test_training_in_pieces_counts_all_tokens(spark, monkeypatch):
     batch = pa.record_batch({"text": pa.array(["a b c " * 20] * 7)})
 
     class Rows:
+        rdd = spark.sparkContext.parallelize([], 1)
+
         def mapInArrow(self, run, kind):
             self.out = list(run(iter([batch] * 3)))
-            return spark.createDataFrame([(r["n"], r["w"]) for b in self.out for r in b.to_pylist()], kind)
+            return spark.createDataFrame([(r["task"], r["n"], r["w"]) for b in self.out for r in b.to_pylist()], kind)
 
-    lm_scoring._trained(rows := Rows(), classes := lm_scoring.Classes([], []), recurrent.initial(classes.n, 4, 23))
+    none = np.zeros(0, np.int64)
+    lm_scoring._trained(rows := Rows(), lm_scoring.Frequent(none.view(np.uint64), none, none), 0, recurrent.initial(lm_scoring.Classes(none, none, none, []).n, 4, 23))
     assert sum(seen) == 21 * 61 and len(seen) > 3 and rows.out[0].column("n").to_pylist() == [21 * 61]
 
 
