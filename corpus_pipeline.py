@@ -2,6 +2,11 @@
 
 Every stage works on all that the one before kept. All but the last return the columns
 of ``documents``; the last returns the encoded documents.
+
+Defined results: a null or empty text has no words, so the quality rules reject it; rows of one id and one text are
+one document, of which the Jaccard join keeps one, and of near duplicates that of the smallest id; a row without an id is judged
+like any other, and goes if a row with an id is linked to it; empty tables give empty results; columns beside those of ``documents``
+are carried along by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import byte_bpe, decontamination, ngram_jaccard, quality_classifier, quality_rules
-from lodestone.llm.durable import durable
+from lodestone.operators.durable import durable
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 

@@ -13,7 +13,9 @@ MEDIA_TYPES = {"md": "text/markdown", "markdown": "text/markdown", "txt": "text/
 PDF = MEDIA_TYPES["pdf"]
 
 #: What Python's str.rstrip takes off but for the line feed (fixed values), as a Java character class.
-_TRAILING = r"[\t\x0B\x0C\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+(?=\n|\z)"
+_SPACE = r"[\t\x0B\x0C\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: Such a run at the end of a line. It is tried once, where it begins, and not given back.
+_TRAILING = rf"(?<!{_SPACE}){_SPACE}++(?=\n|\z)"
 
 #: HTTP status by error code (fixed values); anything else is 400.
 HTTP_STATUS = {
@@ -40,9 +42,29 @@ def collapse_space(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", " ")
 
 
+_TOKEN = r"[\p{L}\p{N}_]+"
+
+
 def tokens(text: Column) -> Column:
     """Runs of letters, digits and underscores, lower-cased once matched."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), F.lower)
+
+
+def token_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(_TOKEN))
+
+
+def runs(words: Column) -> Column:
+    """(word, n) for each distinct element of an array, counted within the row, so that nothing is shuffled for it. Arrays of one
+    element stand for names: what they hold is worked out once."""
+    named = lambda value, use: F.transform(F.array(value), use)[0]
+
+    def of(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        begins = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return named(begins, lambda b: F.zip_with(b, F.slice(F.array_append(b, F.size(s)), F.lit(2), F.size(b)), lambda x, y: F.struct(F.get(s, x).alias("word"), (y - x).cast("long").alias("n"))))
+
+    return named(F.sort_array(words), of)
 
 
 def media_type(filename: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.scalars import json_merge, json_text, unknown_fields
+from lodestone.operators.durable import durable
 
 #: Metadata keys that may be edited (fixed values).
 EDITABLE = ["authority_level", "difficulty", "document_type", "learning_outcomes", "topic", "version"]
@@ -48,7 +49,7 @@ def page(documents: DataFrame, bases: DataFrame, chunks: DataFrame, condition: C
     cut before fragments are counted, so that only its own are."""
     if not 1 <= limit <= 100 or offset < 0:
         raise ValueError("a page has 1 to 100 rows and begins at 0 or later")
-    rows = with_bases(documents, bases).where(condition).orderBy("created_at", "document_id").offset(offset).limit(limit)
+    rows = durable(with_bases(documents, bases).where(condition).orderBy("created_at", "document_id").offset(offset).limit(limit))
     counted = chunks.join(F.broadcast(rows.select("document_id")), "document_id", "left_semi")
     return rows.join(chunk_counts(counted), "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
 
@@ -131,3 +132,24 @@ def document_view(documents: DataFrame) -> DataFrame:
 def may_see(owner: Column, user: str, role: str) -> Column:
     """Own rows, and all for an administrator."""
     return (owner == user) | F.lit(role == "administrator")
+
+
+def may_act(role: Column, *allowed: str) -> Column:
+    """Whether a role is one of those that an operation is open to."""
+    return F.coalesce(role.isin(sorted(allowed)), F.lit(False)) if allowed else F.lit(False)
+
+
+def empty_courses(wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """(course_id, error_code): the courses of ``wanted`` that have no document, and so nothing to index or search."""
+    return wanted.select("course_id").distinct().join(documents.select("course_id"), "course_id", "left_anti").withColumn("error_code", F.lit("NOT_FOUND"))
+
+
+def insert(table: DataFrame, fresh: DataFrame, *key: str) -> DataFrame:
+    """``table`` with the rows of ``fresh`` whose key it does not have yet; of several with one key any one."""
+    return table.unionByName(fresh.dropDuplicates(list(key)).join(table.select(*key), list(key), "left_anti").select(table.columns))
+
+
+def page_view(items: DataFrame, total_: DataFrame, limit: int, offset: int) -> DataFrame:
+    """One row: the items of a page (100 at most), the total, and the limit and offset."""
+    listed = items.limit(limit).agg(F.collect_list(F.struct(*items.columns)).alias("items"))
+    return listed.join(F.broadcast(total_.select("total"))).select("items", "total", F.lit(limit).alias("limit"), F.lit(offset).alias("offset"))

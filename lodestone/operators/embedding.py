@@ -48,7 +48,7 @@ def embed(rows: DataFrame, text_col: str, dimensions: int = DIMENSIONS, client:
     def vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             if client is None:
-                yield pd.Series([hashed_vector(t, dimensions).tolist() for t in batch])
+                yield pd.Series([hashed_vector(t, dimensions) for t in batch])
             else:
                 values = batch.fillna("").tolist()
                 yield pd.Series([v for k in range(0, len(values), 256) for v in client(values[k : k + 256])])

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import seconds_between
 from lodestone.operators.catalog import latest
+from lodestone.operators.durable import durable
 
 #: State by the last event of a job, and what each type of job is aimed at (fixed values).
 STATES = {"job.queued": "queued", "job.started": "running", "job.succeeded": "succeeded", "job.failed": "failed"}
@@ -61,10 +65,63 @@ def outcome_log(outcomes: DataFrame) -> DataFrame:
     return outcomes.select("job_id", F.when(failed, "error").otherwise("info").alias("level"), F.when(failed, "job.failed").otherwise("job.succeeded").alias("event_type"), F.when(failed, F.col("error_message")).otherwise(F.concat("job_type", F.lit(" succeeded"))).alias("message"), details.alias("details"), "recorded_at")
 
 
+Handler = Callable[[DataFrame], DataFrame]
+
+
+def run(jobs: DataFrame, log: DataFrame, handlers: Mapping[str, Handler], at: Column) -> DataFrame:
+    """Runs all pending jobs and gives a row for each: (job_id, job_type, result, error_code, error_message, recorded_at), from
+    which ``outcome_log`` makes log rows. Jobs that have ended already are left out.
+
+    A handler takes the jobs of its type as one DataFrame and gives (job_id, result, error_code, error_message). Every job ends in a
+    recorded state: one of a wrong target or an unknown type with the code of ``dispatch``; one whose handler raises, or gives no row
+    for it, with INTERNAL_ERROR.
+    """
+    waiting = durable(dispatch(pending(jobs, log)))
+    known = F.col("job_type").isin(list(handlers))
+    refused = waiting.where(F.col("error_code").isNotNull() | ~known)
+    code = F.coalesce("error_code", F.lit("VALIDATION_FAILED"))
+    ends = [refused.select("job_id", "job_type", F.lit(None).cast("string").alias("result"), code.alias("error_code"), F.lit("The job cannot be run.").alias("error_message"))]
+    for kind, handler in handlers.items():
+        own = waiting.where(F.col("error_code").isNull() & (F.col("job_type") == kind))
+        done = None
+        if not own.isEmpty():
+            try:
+                done = durable(handler(own).select("job_id", F.col("result").cast("string").alias("result"), "error_code", "error_message", F.lit(True).alias("_ended")))
+            except Exception:
+                logging.getLogger(__name__).exception("the jobs of type %s failed", kind)
+        if done is None:
+            done = own.sparkSession.createDataFrame([], f"job_id {own.schema['job_id'].dataType.simpleString()}, result string, error_code string, error_message string, _ended boolean")
+        lost = F.col("_ended").isNull()
+        ends.append(own.select("job_id", "job_type").join(done, "job_id", "left").select(
+            "job_id", "job_type", "result", F.when(lost, "INTERNAL_ERROR").otherwise(F.col("error_code")).alias("error_code"),
+            F.when(lost, "The job ended without a result.").otherwise(F.col("error_message")).alias("error_message"),
+        ))
+    whole = ends[0]
+    for one in ends[1:]:
+        whole = whole.unionByName(one)
+    return whole.withColumn("recorded_at", at)
+
+
+def job_view(jobs: DataFrame) -> DataFrame:
+    """What a client sees of a job; ``error`` only where it failed."""
+    failed = F.when(F.col("status") == "failed", F.struct(F.coalesce("error_code", F.lit("UNKNOWN")).alias("code"), F.coalesce("error_message", F.lit("")).alias("message")))
+    return jobs.select("job_id", "job_type", "status", "course_id", "document_id", "result", failed.alias("error"), "created_at", "started_at", "completed_at")
+
+
+def log_view(log: DataFrame) -> DataFrame:
+    """What a client sees of a log row; missing details are an empty object."""
+    return log.select("job_id", "level", "event_type", "message", F.coalesce("details", F.lit("{}")).alias("details"))
+
+
 def course_summary(documents: DataFrame) -> DataFrame:
-    """(course_id, documents, indexed, failed, chunk_count) after indexing; ``failed`` lists ids and errors."""
-    failed = F.when(F.col("ingestion_status") == "failed", F.struct("document_id", F.coalesce("error_message", F.lit("")).alias("error")))
-    return documents.groupBy("course_id").agg(F.count("*").alias("documents"), F.sum((F.col("ingestion_status") == "indexed").cast("int")).alias("indexed"), F.array_sort(F.collect_list(failed)).alias("failed"), F.sum("chunk_count").alias("chunk_count"))
+    """(course_id, documents, indexed, failures, chunk_count) after indexing."""
+    is_ = lambda status: F.sum((F.col("ingestion_status") == status).cast("int"))
+    return documents.groupBy("course_id").agg(F.count("*").alias("documents"), is_("indexed").alias("indexed"), is_("failed").alias("failures"), F.sum("chunk_count").alias("chunk_count"))
+
+
+def course_failures(documents: DataFrame) -> DataFrame:
+    """(course_id, document_id, error): the documents that failed. Any number of one course's."""
+    return documents.where("ingestion_status = 'failed'").select("course_id", "document_id", F.coalesce("error_message", F.lit("")).alias("error"))
 
 
 def all_ok(checks: DataFrame) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.durable import durable
+
+#: Ranges of values that a group is counted by at once.
+RANGES = 1024
 #: Grades from here on count as relevant (fixed value).
 RELEVANT = 2
 
@@ -17,12 +24,24 @@ def ranking_measures(ranking: DataFrame, grades: DataFrame, cutoffs: list[int],
     Precision divides by what was returned, up to k, and is 0 where nothing was; recall is null without relevant
     items, nDCG where the ideal is zero. Queries are those of ``grades``.
     """
+    judged = ranking.join(grades, ["query_id", item], "left").select("query_id", "rank", F.coalesce("grade", F.lit(0)).alias("grade"))
+    return graded_measures(judged, grades.groupBy("query_id", "grade").agg(F.count("*").alias("items")), cutoffs)
+
+
+def graded_measures(judged: DataFrame, supply: DataFrame, cutoffs: list[int]) -> DataFrame:
+    """The same from the grades of what was returned (query_id, rank, grade) and the number of ``items`` of each query
+    and grade (query_id, grade, items): the ideal ranking is known from these numbers, without its items."""
     ks = F.explode(F.array(*map(F.lit, cutoffs))).alias("k")
-    judged = ranking.join(grades, ["query_id", item], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
-    gain = lambda g, r: (F.pow(F.lit(2.0), g) - 1) / F.log2(r + 1.0)
-    got = judged.select("*", ks).where(F.col("rank") <= F.col("k")).groupBy("query_id", "k").agg(F.count("*").alias("returned"), F.sum((F.col("grade") >= RELEVANT).cast("int")).alias("hits"), F.sum(gain(F.col("grade"), F.col("rank"))).alias("dcg"))
-    ideal = grades.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), item)))
-    best = ideal.select("*", ks).groupBy("query_id", "k").agg(F.sum((F.col("grade") >= RELEVANT).cast("int")).alias("relevant"), F.sum(F.when(F.col("r") <= F.col("k"), gain(F.col("grade"), F.col("r"))).otherwise(0.0)).alias("idcg"))
+    gain = F.pow(F.lit(2.0), "grade") - 1
+    got = judged.select("*", ks).where("rank <= k").groupBy("query_id", "k").agg(F.count("*").alias("returned"), F.sum((F.col("grade") >= RELEVANT).cast("int")).alias("hits"), F.sum(gain / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    discounts = [0.0]
+    for rank in range(1, max(cutoffs) + 1):
+        discounts.append(discounts[-1] + 1 / math.log2(rank + 1))
+    upto = lambda rank: F.get(F.array(*map(F.lit, discounts)), F.least(rank, F.col("k")).cast("int"))
+    place = supply.withColumn("end", F.sum("items").over(Window.partitionBy("query_id").orderBy(F.desc("grade")))).select("*", ks)
+    best = place.groupBy("query_id", "k").agg(
+        F.sum(F.when(F.col("grade") >= RELEVANT, F.col("items")).otherwise(0)).alias("relevant"), F.sum(gain * (upto(F.col("end")) - upto(F.col("end") - F.col("items")))).alias("idcg"),
+    )
     both = best.join(got, ["query_id", "k"], "left").fillna(0, ["returned", "hits", "dcg"])
     return both.select(
         "query_id", "k", F.coalesce(F.try_divide("hits", "returned"), F.lit(0.0)).alias("precision"), F.try_divide("hits", "relevant").alias("recall"),
@@ -57,13 +76,18 @@ def claim_measures(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
+def confusion(pairs: DataFrame, truth: str, found: str) -> DataFrame:
+    """(truth, found, n): how often each class was taken for each."""
+    return pairs.groupBy(F.col(truth).cast("string").alias("truth"), F.col(found).cast("string").alias("found")).agg(F.count("*").alias("n"))
+
+
 def class_measures(pairs: DataFrame, truth: str, found: str) -> DataFrame:
     """(class, support, precision, recall, f1), and a row 'macro' with the mean F1. One aggregation of the confusion
     counts; each class's sums are taken from those few rows."""
-    cells = pairs.groupBy(F.col(truth).cast("string").alias("t"), F.col(found).cast("string").alias("f")).agg(F.count("*").alias("n"))
-    ends = cells.select(F.explode(F.array(F.struct(F.col("t").alias("class"), F.lit("t").alias("side")), F.struct(F.col("f").alias("class"), F.lit("f").alias("side")))).alias("e"), (F.col("t") == F.col("f")).alias("hit"), "n").select("e.*", "hit", "n")
+    side = lambda name: F.struct(F.col(name).alias("class"), F.lit(name).alias("side"))
+    ends = confusion(pairs, truth, found).select(F.explode(F.array(side("truth"), side("found"))).alias("e"), (F.col("truth") == F.col("found")).alias("hit"), "n").select("e.*", "hit", "n")
     of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    per = ends.groupBy("class").agg(of(F.col("side") == "t").alias("support"), of(F.col("side") == "f").alias("found"), of((F.col("side") == "t") & F.col("hit")).alias("hits"))
+    per = ends.groupBy("class").agg(of(F.col("side") == "truth").alias("support"), of(F.col("side") == "found").alias("found"), of((F.col("side") == "truth") & F.col("hit")).alias("hits"))
     each = per.select("class", "support", F.coalesce(F.try_divide("hits", "found"), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide("hits", "support"), F.lit(0.0)).alias("recall"), (2.0 * F.col("hits") / (F.col("support") + F.col("found"))).alias("f1"))
     macro = each.agg(F.lit("macro").alias("class"), F.sum("support").alias("support"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
     return each.unionByName(macro)
@@ -76,13 +100,45 @@ def nearest_rank(values: Column, share: float) -> Column:
     return F.when(F.size(held) > 0, F.get(held, F.bround(F.lit(share) * (F.size(held) - 1), 0).cast("int")))
 
 
+def values_at(rows: DataFrame, key: str, value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """The key and, for each of ``ranks`` - a function of the number of values of a group - the value that stands at that rank (from
+    0) among the sorted values of the group.
+
+    No group is brought together: its values are counted by ``RANGES`` ranges of equal width, the range that holds the rank is
+    counted by finer ranges, and so on until it holds a single value. Each time one row for each key, rank and range
+    is shuffled, and the ranges of a key and rank are all that a window orders. Nulls and NaN are left out.
+    """
+    v = F.col(value).cast("double")
+    held = rows.where(v.isNotNull() & ~F.isnan(v)).select(F.col(key).alias("key"), v.alias("v"))
+    whole = held.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    goals = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("at")) for name, rank in ranks.items()))).alias("g")
+    open_ = durable(whole.select("key", "low", "high", goals).select("key", "g.name", "g.at", "low", "high"))
+    done = None
+    while True:
+        found = open_.where("low = high")
+        done = found if done is None else done.unionByName(found)
+        open_ = open_.where("low < high")
+        if open_.isEmpty():
+            break
+        inside = held.join(open_, "key").where("v BETWEEN low AND high")
+        share = F.nanvl((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")), F.lit(0.5))  # NaN: between infinite ends
+        which = F.when(F.col("v") == F.col("high"), RANGES - 1).otherwise(F.least(F.floor(share * RANGES), F.lit(RANGES - 1)).cast("int"))
+        counted = inside.groupBy("key", "name", "at", which.alias("range")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        run = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("key", "name").orderBy("range")))
+        open_ = durable(run.where("upto - n <= at AND at < upto").select("key", "name", (F.col("at") - F.col("upto") + F.col("n")).alias("at"), "low", "high"))
+    kind = rows.schema[value].dataType
+    return done.groupBy(F.col("key").alias(key)).agg(*(F.max(F.when(F.col("name") == name, F.col("low"))).cast(kind).alias(name) for name in ranks))
+
+
 def nearest_rank_by(rows: DataFrame, key: str, value: str, share: float, name: str = "value") -> DataFrame:
-    """The same for groups of any size, without bringing a group together: equal values are counted, and the
-    running count of values says which one holds the rank."""
-    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
-    run = counted.withColumn("_upto", F.sum("_n").over(Window.partitionBy(key).orderBy(value))).withColumn("_all", F.sum("_n").over(Window.partitionBy(key)))
-    at = F.bround(F.lit(share) * (F.col("_all") - 1), 0)
-    return run.where((F.col("_upto") - F.col("_n") <= at) & (at < F.col("_upto"))).select(key, F.col(value).alias(name))
+    """``nearest_rank`` for groups of any size."""
+    return values_at(rows, key, value, {name: lambda n: F.bround(F.lit(share) * (n - 1), 0)})
+
+
+def median_by(rows: DataFrame, key: str, value: str, name: str = "median") -> DataFrame:
+    """The median of groups of any size: the mean of the two values in the middle."""
+    middle = values_at(rows, key, value, {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.ceil((n - 1) / 2)})
+    return middle.select(key, ((F.col("_low") + F.col("_high")) / 2).alias(name))
 
 
 def bootstrap_interval(scores: DataFrame, rounds: int = 200, level: float = 0.95, seed: int = 7) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.scalars import tokens
+from lodestone.functions.scalars import token_count, tokens
+from lodestone.operators.durable import durable, small
 from lodestone.operators.vectors import nearest
 
 #: What a supplementary source's similarity is lowered by, and how many times top_k are looked at (fixed values).
@@ -17,6 +18,10 @@ PENALTY, OVERSAMPLING = 0.05, 3
 BM25_K1, BM25_B, RRF_K = 1.2, 0.75, 60
 #: Documents that are broadcast to filter vectors; more are joined by a shuffle.
 BROADCAST_DOCUMENTS = 200_000
+#: Words of a query, the weightiest, that give a first bound of its best scores.
+FIRST_WORDS = 4
+#: Entities of a context that are paired in one task.
+CONTEXT_BLOCK = 1024
 
 
 def check_request(course: str, text: str, top_k: int = 5, purpose: str = "context") -> None:
@@ -41,40 +46,61 @@ def rank_score(similarity: Column, role: Column) -> Column:
 
 
 def dense(vectors: DataFrame, documents: DataFrame, chunks: DataFrame, queries: DataFrame, top_k: int = 5, purpose: str = "context") -> DataFrame:
-    """Evidence for each query: (query_id, rank, chunk_id, document_id, knowledge_base_role, content, similarity, score).
+    """Evidence for each query: (query_id, rank, chunk_id, document_id, filename, knowledge_base_role, section_path, page_number,
+    content, similarity, score).
 
     Only vectors of indexed and admitted documents are compared. The nearest 3 * top_k meet their
     fragments and documents - a vector without a fragment is no evidence - and are ranked again by score.
     """
-    eligible = documents.where((F.col("ingestion_status") == "indexed") & admitted(purpose, F.col("knowledge_base_role"))).select("document_id", "knowledge_base_role")
-    ids = eligible.select("document_id")
-    if ids.limit(BROADCAST_DOCUMENTS + 1).count() <= BROADCAST_DOCUMENTS:
-        ids = F.broadcast(ids)
-    hits = nearest(vectors.join(ids, "document_id", "left_semi"), queries, OVERSAMPLING * top_k).drop("rank")
-    found = hits.withColumnRenamed("record_id", "chunk_id").join(chunks.select("chunk_id", "document_id", "content"), "chunk_id").join(eligible, "document_id")
+    eligible = documents.where((F.col("ingestion_status") == "indexed") & admitted(purpose, F.col("knowledge_base_role"))).select("document_id", "filename", "knowledge_base_role")
+    hits = nearest(vectors.join(small(eligible.select("document_id"), BROADCAST_DOCUMENTS), "document_id", "left_semi"), queries, OVERSAMPLING * top_k).drop("rank")
+    found = hits.withColumnRenamed("record_id", "chunk_id").join(chunks.select("chunk_id", "document_id", "section_path", "page_number", "content"), "chunk_id").join(eligible, "document_id")
     similarity = 1 - F.col("distance")
     scored = found.withColumns({"similarity": F.round(similarity, 6), "score": F.round(rank_score(similarity, F.col("knowledge_base_role")), 6)})
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "distance", "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "chunk_id", "document_id", "knowledge_base_role", "content", "similarity", "score")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    return best.select("query_id", "rank", "chunk_id", "document_id", "filename", "knowledge_base_role", "section_path", "page_number", "content", "similarity", "score")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str = "doc_id", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(query_id, id, score, rank) by BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)). ``docs`` has the id and text,
     ``queries`` query_id and text; a query's repeated words count once.
 
-    Postings are kept only of the queries' words; lengths and document counts are over all documents.
+    Postings are kept only of the queries' words; lengths and document counts are over all documents. Not every document that has
+    some word of a query is scored: the weightiest words of a query give a score that its ``top_k`` best reach, and
+    words that cannot reach it even together, such as stop words, bring no document in; they only add to those that another word has brought in.
     """
-    counted = docs.select(id_col, tokens(F.col("text")).alias("t")).withColumn("length", F.size("t"))
-    totals = counted.agg(F.count("*").alias("n"), F.avg("length").alias("average")).first()
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
+    totals = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(token_count(F.col("text")), F.lit(0))).alias("average")).first()
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).distinct()
     words = asked.select("word").distinct()
-    postings = counted.select(id_col, "length", F.explode("t").alias("word")).join(words, "word", "left_semi").groupBy(id_col, "length", "word").agg(F.count("*").alias("f"))
+    # an outer explode: for an inner one Catalyst adds a filter that cuts each text up once more
+    counted = docs.select(id_col, token_count(F.col("text")).alias("length"), F.explode_outer(tokens(F.col("text"))).alias("word"))
+    postings = durable(counted.join(words, "word", "left_semi").groupBy(id_col, "length", "word").agg(F.count("*").alias("f")))
     df = postings.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.log(1 + (totals.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / F.lit(totals.average or 1.0)))
-    scored = postings.join(df, "word").withColumn("w", weight).join(asked, "word").groupBy("query_id", id_col).agg(F.round(F.sum("w"), 9).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    weighed = durable(postings.join(df, "word").select("word", id_col, weight.alias("w")))
+    most = weighed.groupBy("word").agg(F.max("w").alias("most"))
+    heavy = Window.partitionBy("query_id").orderBy(F.desc("most"), "word")
+    asked = asked.join(most, "word").withColumn("place", F.row_number().over(heavy))
+
+    def sums(of: DataFrame) -> DataFrame:
+        return weighed.join(of.select("query_id", "word"), "word").groupBy("query_id", id_col).agg(F.sum("w").alias("s"))
+
+    def ranked(scores: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+        return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+
+    reached = ranked(sums(asked.where(F.col("place") <= FIRST_WORDS)).withColumnRenamed("s", "score")).where(F.col("rank") == top_k).select("query_id", F.col("score").alias("least"))
+    light = Window.partitionBy("query_id").orderBy("most", F.desc("word"))
+    # a margin keeps documents that tie with the least score
+    bounded = asked.withColumn("together", F.sum("most").over(light)).join(reached, "query_id", "left").withColumn("brings", F.coalesce(F.col("together") * (1 + 1e-9) + 1e-8 >= F.col("least"), F.lit(True)))
+    bounded = durable(bounded)
+    rest = bounded.where(~F.col("brings")).groupBy("query_id").agg(F.max("together").alias("more"), F.max("least").alias("least"))
+    found = sums(bounded.where("brings")).join(rest, "query_id", "left")
+    found = durable(found.where("more IS NULL OR (s + more) * (1 + 1e-9) + 1e-8 >= least").select("query_id", id_col, "s"))
+    added = found.join(bounded.where(~F.col("brings")).select("query_id", "word"), "query_id").join(weighed, ["word", id_col]).select("query_id", id_col, F.col("w").alias("s"))
+    return ranked(found.unionByName(added).groupBy("query_id", id_col).agg(F.round(F.sum("s"), 9).alias("score")))
 
 
 def fuse(rankings: list[DataFrame], top_k: int, id_col: str, k: int = RRF_K) -> DataFrame:
@@ -90,8 +116,16 @@ def fuse(rankings: list[DataFrame], top_k: int, id_col: str, k: int = RRF_K) ->
 
 
 def cooccurrence(mentions: DataFrame, context: str, entity: str) -> tuple[DataFrame, DataFrame]:
-    """A graph of entities named in one context: edges (a, b, weight) and vertices (entity, degree, strength)."""
+    """A graph of entities named in one context: edges (a, b, weight) and vertices (entity, degree, strength).
+
+    A context of more than ``CONTEXT_BLOCK`` entities is dealt into blocks, and every two of its blocks are paired by themselves;
+    so no task pairs a whole large context.
+    """
     own = mentions.select(F.col(context).alias("c"), F.col(entity).alias("e")).distinct()
-    edges = own.withColumnRenamed("e", "a").join(own.withColumnRenamed("e", "b"), "c").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    blocks = own.groupBy("c").agg(F.ceil(F.count("*") / CONTEXT_BLOCK).cast("int").alias("m"))
+    dealt = own.join(blocks, "c").withColumn("b", F.pmod(F.xxhash64("e"), F.col("m")).cast("int"))
+    left = dealt.select("c", F.col("e").alias("a"), F.col("b").alias("x"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("y"))
+    right = dealt.select("c", F.col("e").alias("b"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("x"), F.col("b").alias("y"))
+    edges = left.join(right, ["c", "x", "y"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
     ends = edges.select(F.explode(F.array("a", "b")).alias("entity"), "weight")
     return edges, ends.groupBy("entity").agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"))

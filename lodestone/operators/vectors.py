@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Query vectors that are shipped to the tasks at once; more are searched in several passes.
-QUERY_BLOCK = 2048
+#: Queries and vectors of a block.
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 1 << 20
 
 
 def upsert(vectors: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -43,19 +44,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int, id_col: str = "rec
     """(query_id, record_id, distance, rank): of each query (query_id, embedding) the ``top`` vectors of least cosine
     distance, to nine digits, then least id.
 
-    One matrix product for each batch of vectors and block of queries. A task keeps the best ``top``
-    of each query, so what is shuffled does not grow with the vectors, and a window ranks the rest.
+    Queries and vectors are dealt into blocks, and every block of queries meets every block of vectors in a cell, which is
+    read in batches: one matrix product for each batch. A cell keeps the best ``top`` of each query, and a window ranks
+    what the cells of a query have kept. Queries that fit one block are sent to the vectors instead, which then stay where they are.
     """
+    kind, record = queries.schema["query_id"], vectors.schema[id_col]
+    found = T.StructType([T.StructField("query_id", kind.dataType), T.StructField("record", record.dataType), T.StructField("distance", T.DoubleType())])
     if top <= 0:
-        return queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, {id_col} {vectors.schema[id_col].dataType.simpleString()}, distance double, rank int")
-    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("e")).orderBy("query_id").toArrow()
-    found = None
-    for start in range(0, max(1, asked.num_rows), QUERY_BLOCK):
-        block = asked.slice(start, QUERY_BLOCK)
-        one = _nearest_block(vectors, block.column("query_id").combine_chunks(), _matrix(block.column("e").combine_chunks()), top, id_col)
-        found = one if found is None else found.unionByName(one)
-    order = Window.partitionBy("query_id").orderBy("distance", id_col)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+        return queries.sparkSession.createDataFrame([], T.StructType([*found, T.StructField("rank", T.IntegerType())])).withColumnRenamed("record", id_col)
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("e")).where("e IS NOT NULL")
+    rows = vectors.where("embedding IS NOT NULL").select(F.col(id_col).alias("record"), F.col("embedding").cast("array<double>").alias("e"))
+    few = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if few.num_rows <= QUERY_BLOCK:
+        best = rows.mapInArrow(_search(few.combine_chunks(), top), found)
+    else:
+        best = _cells(rows, asked, rows.count(), asked.count()).mapInArrow(_search(None, top), found)
+    order = Window.partitionBy("query_id").orderBy("distance", "record")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumnRenamed("record", id_col)
+
+
+def _cells(rows: DataFrame, asked: DataFrame, n_rows: int, n_asked: int) -> DataFrame:
+    """(x, y, query_id, record, e): the queries of block x and the vectors of block y together, queries first."""
+    across, down = (max(1, -(-n // size)) for n, size in ((n_asked, QUERY_BLOCK), (n_rows, VECTOR_BLOCK)))
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    record, query = (F.lit(None).cast(t) for t in (rows.schema["record"].dataType, asked.schema["query_id"].dataType))
+    left = asked.select(own("query_id", across).alias("x"), blocks(down).alias("y"), "query_id", record.alias("record"), "e")
+    right = rows.select(blocks(across).alias("x"), own("record", down).alias("y"), query.alias("query_id"), "record", "e")
+    both = left.withColumn("late", F.lit(0)).unionByName(right.withColumn("late", F.lit(1)))
+    return both.repartition("x", "y").sortWithinPartitions("x", "y", "late")
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -69,37 +86,73 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _nearest_block(vectors: DataFrame, ids: pa.Array, unit: np.ndarray, top: int, id_col: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = []  # of each query so far: distances, ids
+class _Best:
+    """The best ``top`` of each of some queries, as vectors come by."""
+
+    def __init__(self, ids: pa.Array, unit: np.ndarray, top: int) -> None:
+        self.ids, self.unit, self.top = ids, unit, top
+        self.held: list[tuple[np.ndarray, np.ndarray]] | None = None  # of each query: distances, records
+
+    def look(self, record: np.ndarray, unit: np.ndarray) -> None:
+        if not len(self.unit) or not len(record):
+            return
+        if self.held is None:
+            self.held = [(np.zeros(0), record[:0])] * len(self.unit)
+        for a in range(0, len(record), 4096):
+            own = record[a : a + 4096]
+            for q, d in enumerate(np.round(1 - self.unit @ unit[a : a + 4096].T, 9)):
+                held, names = self.held[q]
+                some = np.flatnonzero(d <= (held[-1] if len(held) == self.top else np.inf))
+                if len(some) > 8 * self.top:
+                    some = some[d[some] <= np.partition(d[some], self.top)[self.top]]
+                if len(some):
+                    d, names = np.concatenate([held, d[some]]), np.concatenate([names, own[some]])
+                    order = np.lexsort((names, d))[: self.top]
+                    self.held[q] = d[order], names[order]
+
+    def rows(self, schema: list[str]) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            each = [len(d) for d, _ in self.held]
+            records, distances = (np.concatenate([h[k] for h in self.held]) for k in (1, 0))
+            yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(np.repeat(np.arange(len(each)), each))), pa.array(records), pa.array(distances)], schema)
+
+
+def _search(asked: pa.Table | None, top: int):
+    """Of batches of vectors (record, e) the best for the queries ``asked``; without these, of batches of cells."""
+    names = ["query_id", "record", "distance"]
+
+    def of(table: pa.Table | pa.RecordBatch) -> _Best:
+        ids = table.column("query_id")
+        return _Best(ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, _matrix(table.column("e")), top)
+
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = of(asked)
+        for batch in batches:
+            best.look(batch.column("record").to_numpy(zero_copy_only=False), _matrix(batch.column("e")))
+        yield from best.rows(names)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, waiting, best = None, [], None
 
-        def keep(d: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            order = np.lexsort((r, d))[:top]
-            return d[order], r[order]
+        def vectors(part: pa.RecordBatch) -> None:
+            nonlocal best
+            if best is None:
+                best = of(pa.Table.from_batches(waiting)) if waiting else _Best(pa.nulls(0), np.zeros((0, 0)), top)
+            best.look(part.column("record").to_numpy(zero_copy_only=False), _matrix(part.column("e")))
 
         for batch in batches:
-            if not batch.num_rows or not len(unit):
-                continue
-            record = batch.column(0).to_numpy(zero_copy_only=False)
-            for a in range(0, batch.num_rows, 4096):
-                own = record[a : a + 4096]
-                distance = np.round(1 - unit @ _matrix(batch.column(1).slice(a, 4096)).T, 9)
-                if not best:
-                    best = [(np.zeros(0), own[:0])] * len(unit)
-                for q, d in enumerate(distance):
-                    held, ids_ = best[q]
-                    worst = held[-1] if len(held) == top else np.inf
-                    some = np.flatnonzero(d <= worst)
-                    if len(some) > 8 * top:
-                        some = some[d[some] <= np.partition(d[some], top)[top]]
-                    if len(some):
-                        best[q] = keep(np.concatenate([held, d[some]]), np.concatenate([ids_, own[some]]))
+            key = np.stack([batch.column(c).to_numpy() for c in ("x", "y", "late")], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if (now := tuple(key[a, :2])) != cell:
+                    if best:
+                        yield from best.rows(names)
+                    cell, waiting, best = now, [], None
+                part = batch.slice(a, b - a)
+                vectors(part) if key[a, 2] else waiting.append(part)
         if best:
-            each = [len(d) for d, _ in best]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(best)), each))), pa.array(np.concatenate([r for _, r in best])), pa.array(np.concatenate([d for d, _ in best]))], ["query_id", id_col, "distance"])
-
-    from pyspark.sql.types import DoubleType, StructType
-    from pyspark.sql.pandas.types import from_arrow_type
+            yield from best.rows(names)
 
-    schema = StructType().add("query_id", from_arrow_type(ids.type)).add(id_col, vectors.schema[id_col].dataType).add("distance", DoubleType())
-    return vectors.where("embedding IS NOT NULL").select(id_col, "embedding").mapInArrow(run, schema)
+    return given if asked is not None else cells

@@ -8,31 +8,33 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.scalars import collection_name, embedding_text
-from lodestone.operators.chunking import MAX_CHARS, OVERLAP, chunk_documents
+from lodestone.functions.scalars import collection_name, embedding_text, tokens
+from lodestone.operators.chunking import MAX_CHARS, OVERLAP, fragment_files, number_fragments
 from lodestone.operators.embedding import DIMENSIONS, embed, model_id
-from lodestone.sources.extract import extract_blocks
+from lodestone.sources.extract import BLOCKS
 
 
 @dataclass(frozen=True)
 class Ingested:
-    documents: DataFrame  # document_id, ingestion_status, error_code, error_message, chunk_count, characters
+    documents: DataFrame  # document_id, ingestion_status, error_code, error_message, chunk_count, characters, tokens, embedding_model, collection
     chunks: DataFrame  # document_id, chunk_index, chunk_id, content, section_path, page_number
     vectors: DataFrame  # collection, record_id, document_id, embedding
 
 
 def ingest(files: DataFrame, most: int = MAX_CHARS, overlap: int = OVERLAP, dimensions: int = DIMENSIONS) -> Ingested:
-    """``files`` has document_id, course_id, media_type and content."""
-    read = extract_blocks(files)
-    chunks = chunk_documents(read.where("error_code IS NULL"), F.col("blocks"), "document_id", most, overlap)
-    of = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"), F.sum(F.length("content")).alias("characters"))
-    none = F.col("chunk_count").isNull()
-    code = F.coalesce("error_code", F.when(none, F.lit("EMPTY_DOCUMENT")))
-    documents = read.drop("blocks", "content").join(of, "document_id", "left").select(
-        "document_id", F.when(code.isNull(), "indexed").otherwise("failed").alias("ingestion_status"), code.alias("error_code"),
-        F.coalesce("error_message", F.when(none, F.lit("The document has no text."))).alias("error_message"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("characters", F.lit(0)).alias("characters"),
+    """``files`` has document_id, course_id, media_type and content. No table needs a shuffle: a file's fragments, its counts
+    and the collection of its course all come from its own row."""
+    model = model_id(dimensions)
+    cut = files.select("document_id", "course_id", fragment_files(most, overlap)(F.col("media_type"), F.col("content")).alias("_x"))
+    read = cut.select("document_id", "course_id", F.coalesce("_x.blocks", F.array().cast(BLOCKS)).alias("_f"), "_x.error_code", "_x.error_message")
+    failed = F.col("error_code").isNotNull()
+    words = F.aggregate("_f", F.lit(0).cast("long"), lambda n, f: n + F.size(tokens(f["text"])))
+    documents = read.select(
+        "document_id", F.when(failed, "failed").otherwise("indexed").alias("ingestion_status"), "error_code", "error_message", F.size("_f").cast("long").alias("chunk_count"),
+        F.aggregate("_f", F.lit(0).cast("long"), lambda n, f: n + F.length(f["text"])).alias("characters"), words.alias("tokens"), F.lit(model).alias("embedding_model"),
+        F.when(~failed, collection_name(F.col("course_id"), F.lit(model))).alias("collection"),
     )
+    chunks = number_fragments(read, F.col("_f"), "document_id", "course_id")
     texts = chunks.withColumn("_t", embedding_text(F.col("section_path"), F.col("content")))
-    courses = files.select("document_id", collection_name(F.col("course_id"), F.lit(model_id(dimensions))).alias("collection"))
-    vectors = embed(texts, "_t", dimensions).join(courses, "document_id").select("collection", F.col("chunk_id").alias("record_id"), "document_id", "embedding")
-    return Ingested(documents, chunks, vectors)
+    named = embed(texts, "_t", dimensions).withColumn("collection", collection_name(F.col("course_id"), F.lit(model)))
+    return Ingested(documents, chunks.drop("course_id"), named.select("collection", F.col("chunk_id").alias("record_id"), "document_id", "embedding"))

@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.functions import scalars as S
 from lodestone.operators import catalog, chunking, embedding, jobs, metrics, retrieval, validation, vectors
@@ -162,14 +161,54 @@ def number_fragments(spark, sf_dir):
     return catalog.chunk_indices(rows, "document_id", "turn", "role", "text").select("document_id", "chunk_index", "turn")
 
 
-@query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS document_id, turn AS chunk_index, 'duplicate index' AS problem FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1")
+@query("""WITH f AS (SELECT conv_id, turn - CASE WHEN conv_id % 7 = 0 THEN 1 ELSE 0 END AS i, conv_id % 11 AS page FROM conversations UNION ALL SELECT conv_id, turn, 1 FROM conversations WHERE conv_id % 5 = 0)
+  SELECT CAST(conv_id AS VARCHAR) AS document_id, i AS chunk_index, 'duplicate index' AS problem FROM f GROUP BY conv_id, i HAVING count(*) > 1
+  UNION ALL SELECT CAST(conv_id AS VARCHAR), i, 'negative index' FROM f WHERE i < 0 UNION ALL SELECT CAST(conv_id AS VARCHAR), i, 'page below 1' FROM f WHERE page <= 0""")
 def key_violations(spark, sf_dir):
-    return catalog.violations(fragments(spark, sf_dir))
+    """Fragments of which some are there twice, some are numbered from -1, and some have a page 0."""
+    rows, number = fragments(spark, sf_dir), F.col("document_id").cast("long")
+    spoilt = rows.withColumn("chunk_index", F.col("chunk_index") - F.when(number % 7 == 0, 1).otherwise(0)).withColumn("page_number", (number % 11).cast("int"))
+    return catalog.violations(spoilt.unionByName(rows.where(number % 5 == 0).withColumn("page_number", F.lit(1))))
 
 
-@query("SELECT event_id, user_id FROM events WHERE CAST(user_id AS VARCHAR) = '7'")
+@query("SELECT event_id, user_id, 'student' AS role FROM events WHERE CAST(user_id AS VARCHAR) = '7' UNION ALL SELECT event_id, user_id, 'administrator' FROM events")
 def owned_rows(spark, sf_dir):
-    return table(spark, sf_dir, "events").where(catalog.may_see(F.col("user_id").cast("string"), "7", "student")).select("event_id", "user_id")
+    rows = table(spark, sf_dir, "events")
+    seen = [rows.where(catalog.may_see(F.col("user_id").cast("string"), "7", role)).select("event_id", "user_id", F.lit(role).alias("role")) for role in ("student", "administrator")]
+    return seen[0].unionByName(seen[1])
+
+
+@query("SELECT event_id, event_type IN ('click', 'view') AS allowed FROM events")
+def allowed_roles(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", catalog.may_act(F.col("event_type"), "view", "click").alias("allowed"))
+
+
+@query("SELECT DISTINCT source AS course_id, 'NOT_FOUND' AS error_code FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'en')")
+def courses_without_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("course_id"), "lang")
+    return catalog.empty_courses(docs, docs.where("lang = 'en'"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE 'new' END AS state FROM documents")
+def inserted_rows(spark, sf_dir):
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    return catalog.insert(ids.where("doc_id % 3 = 0").withColumn("state", F.lit("old")), ids.unionByName(ids).withColumn("state", F.lit("new")), "doc_id")
+
+
+@query(_DOCS + """SELECT count(*) AS total, 20 AS "limit", 20 AS "offset", (SELECT string_agg(document_id, ',' ORDER BY created_at, document_id) FROM (SELECT * FROM b WHERE course_id = 'en' AND ingestion_status = 'indexed' ORDER BY created_at, document_id LIMIT 20 OFFSET 20)) AS items
+  FROM b WHERE course_id = 'en' AND ingestion_status = 'indexed'""")
+def page_of_documents(spark, sf_dir):
+    """The response for one page: its items, the total, the limit and the offset."""
+    docs, bases, wanted = source_documents(spark, sf_dir), knowledge_bases(spark, sf_dir), catalog.document_filter(course="en", status="indexed")
+    shown = catalog.page(docs, bases, fragments(spark, sf_dir), wanted, 20, 20).select("created_at", "document_id")
+    view = catalog.page_view(shown, catalog.total(docs, bases, wanted), 20, 20)
+    return view.select("total", "limit", "offset", F.array_join(F.transform(F.array_sort("items"), lambda i: i["document_id"]), ",").alias("items"))
+
+
+@query("SELECT doc_id, source AS document_id FROM documents WHERE lang = 'fr' AND source = 'src3'")
+def documents_by_key(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id", F.col("source").alias("document_id"))
+    return catalog.by_id(rows, "document_id", "src3")
 
 
 # text
@@ -182,8 +221,8 @@ def normalized_digests(spark, sf_dir):
 
 @query(r"SELECT token, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS token FROM documents) GROUP BY token")
 def token_frequencies(spark, sf_dir):
-    each = table(spark, sf_dir, "documents").select("doc_id", F.explode(S.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    return each.groupBy("token").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents"))
+    each = table(spark, sf_dir, "documents").select(F.explode_outer(S.runs(S.tokens(F.col("text")))).alias("r")).where("r IS NOT NULL")
+    return each.groupBy(F.col("r.word").alias("token")).agg(F.sum("r.n").alias("occurrences"), F.count("*").alias("documents"))
 
 
 @query("SELECT doc_id, sha256(text) AS checksum_sha256, length(text) AS characters FROM documents")
@@ -191,13 +230,27 @@ def checksums(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("checksum_sha256"), F.length("text").cast("long").alias("characters"))
 
 
-@query(r"""SELECT page_id, regexp_replace(trim(regexp_replace(url, '[^a-zA-Z0-9._-]+', '-', 'g') || '--hashing-bow-1024', '-._'), '^x$', 'x') AS collection,
-    regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]*)/*$', 1) AS filename,
-    coalesce(CASE regexp_extract(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]*)/*$', 1), '^.+\.([^.]+)$', 1) WHEN 'html' THEN 'text/html' END) AS media_type FROM pages""")
+@query(r"""WITH n AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN '-' || page_id % 10 || '..' WHEN 2 THEN repeat('x', 600) ELSE 'a/b' END AS course,
+    CASE page_id % 4 WHEN 0 THEN split_part(split_part(url, '?', 1), '#', 1) WHEN 1 THEN 'c\d\' || page_id || '.Md' WHEN 2 THEN repeat('y', 600) || '.pdf' ELSE '//' END AS path FROM pages),
+  c AS (SELECT page_id, trim(left(trim(regexp_replace(course || CASE WHEN page_id % 4 = 1 THEN '--' ELSE '--hashing-bow-1024' END, '[^a-zA-Z0-9._-]+', '-', 'g'), '-._'), 512), '-._') AS c, left(regexp_extract(replace(path, '\', '/'), '([^/]*)/*$', 1), 512) AS f FROM n)
+  SELECT page_id, CASE WHEN length(c) >= 3 THEN c ELSE 'col-' || c || '-x' END AS collection, CASE WHEN f = '' THEN 'document' ELSE f END AS filename,
+    CASE lower(regexp_extract(f, '^.+\.([^.]+)$', 1)) WHEN 'html' THEN 'text/html' WHEN 'md' THEN 'text/markdown' END AS media_type FROM c""")
 def names_of_pages(spark, sf_dir):
-    path = F.regexp_replace("url", r"[?#].*$", "")
+    """Names from URLs, and ones that are too short, too long or empty."""
+    kind, id_ = F.col("page_id") % 4, F.col("page_id")
+    course = F.when(kind == 0, F.col("url")).when(kind == 1, F.concat(F.lit("-"), (id_ % 10).cast("string"), F.lit(".."))).when(kind == 2, F.repeat(F.lit("x"), F.lit(600))).otherwise("a/b")
+    path = F.when(kind == 0, F.regexp_replace("url", r"[?#].*$", "")).when(kind == 1, F.concat(F.lit("c\\d\\"), id_.cast("string"), F.lit(".Md"))).when(kind == 2, F.concat(F.repeat(F.lit("y"), F.lit(600)), F.lit(".pdf"))).otherwise("//")
     name = S.safe_filename(path)
-    return table(spark, sf_dir, "pages").select("page_id", S.collection_name(F.col("url"), F.lit(embedding.model_id())).alias("collection"), name.alias("filename"), S.media_type(name).alias("media_type"))
+    model = F.when(kind == 1, "").otherwise(embedding.model_id())
+    return table(spark, sf_dir, "pages").select("page_id", S.collection_name(course, model).alias("collection"), name.alias("filename"), S.media_type(name).alias("media_type"))
+
+
+@query(r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'tutorial' WHEN 1 THEN 'sample_task' WHEN 2 THEN 'test_task' ELSE 'lab_task' END AS document_type, CASE WHEN doc_id % 3 = 0 THEN 'On ' || source END AS topic FROM documents""")
+def types_and_topics(spark, sf_dir):
+    kind, number = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    name = F.when(kind == 0, F.concat(F.lit("L_Tutorial_"), number)).when(kind == 1, F.concat(F.lit("L_Sample_Task_"), number)).when(kind == 2, F.concat(F.lit("Test_Task"), number)).otherwise(F.concat(F.lit("Lab"), number))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# T\n*Topic:  On "), "source", F.lit(" * \n"), "text")).otherwise(F.concat(F.lit("Topic: none\n"), "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.document_type(name).alias("document_type"), S.topic_line(text).alias("topic"))
 
 
 @query(r"""SELECT event_id, CASE WHEN regexp_full_match(event_type || '-' || user_id, '[A-Za-z0-9_-]{1,64}') THEN event_type || '-' || user_id END AS request_id,
@@ -217,63 +270,111 @@ def embedding_texts(spark, sf_dir):
 # extraction, fragments, vectors
 
 
-@query(r"""WITH RECURSIVE d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\t\x0B\x0C\r\x1C-\x1F ]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS t FROM documents),
+_FRAGMENTS = r"""WITH RECURSIVE d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\t\x0B\x0C\r\x1C-\x1F ]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS t FROM documents),
 w(doc_id, t, s, e, k) AS (
   SELECT doc_id, t, 0, CASE WHEN length(t) <= 1200 THEN length(t) ELSE 0 + 600 + coalesce(nullif(length(regexp_extract(substr(t, 601, 600), '^((?s:.*))[\n ]', 1)), 0) - 0, CASE WHEN regexp_matches(substr(t, 601, 600), '^[\n ]') AND NOT regexp_matches(substr(t, 602, 599), '[\n ]') THEN 0 ELSE 600 END) END, 0 FROM d WHERE length(t) > 0
   UNION ALL
   SELECT doc_id, t, n, CASE WHEN n + 1200 >= length(t) THEN length(t) ELSE n + 600 + coalesce(nullif(length(regexp_extract(substr(t, n + 601, 600), '^((?s:.*))[\n ]', 1)), 0), CASE WHEN regexp_matches(substr(t, n + 601, 600), '^[\n ]') AND NOT regexp_matches(substr(t, n + 602, 599), '[\n ]') THEN 0 ELSE 600 END) END, k + 1
-  FROM (SELECT doc_id, t, k, e - 150 + CASE WHEN instr(substr(t, e - 149, 150), ' ') > 0 THEN instr(substr(t, e - 149, 150), ' ') ELSE 0 END AS n FROM w WHERE e < length(t)))
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index, sha256(p) AS digest FROM (SELECT doc_id, k, trim(substr(t, s + 1, e - s), chr(10) || ' ') AS p FROM w) WHERE p <> ''""")
+  FROM (SELECT doc_id, t, k, e - 150 + CASE WHEN instr(substr(t, e - 149, 150), ' ') > 0 THEN instr(substr(t, e - 149, 150), ' ') ELSE 0 END AS n FROM w WHERE e < length(t))),
+p AS (SELECT doc_id, k, trim(substr(t, s + 1, e - s), chr(10) || ' ') AS p FROM w)
+"""
+
+
+@query(_FRAGMENTS + """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index, sha256(p) AS digest FROM p WHERE p <> ''""")
 def document_fragments(spark, sf_dir):
     """In the driver's tables every document is one paragraph; packing has its own tests."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", S.normalize_text(F.col("text")).alias("text"))
-    cut = chunking.chunk_documents(docs, chunking.text_blocks(F.col("text")), "doc_id")
+    cut = chunking.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), "doc_id")
     return cut.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("content", 256).alias("digest"))
 
 
-@query()
+@query(_FRAGMENTS + """, f AS (SELECT doc_id, k, p, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM p WHERE p <> '')
+  SELECT a.doc_id, a.i - 1 AS chunk_index, (SELECT coalesce(max(n), 0) FROM (SELECT unnest(range(1, 151)) AS n) WHERE n <= length(a.p) AND n <= length(b.p) AND right(b.p, n) = left(a.p, n)) AS overlap
+  FROM f a LEFT JOIN f b ON a.doc_id = b.doc_id AND b.i = a.i - 1""")
+def fragment_overlaps(spark, sf_dir):
+    cut = chunking.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text"), "doc_id")
+    return chunking.overlaps(cut, "doc_id").select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("overlap").cast("long").alias("overlap"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, 'S' || source AS top, lang, doc_id % 7 + 1 AS n FROM documents),
+p AS (SELECT doc_id, top, lang, unnest(range(1, n + 1)) AS k FROM d)
+SELECT doc_id, 0 AS chunk_index, top AS section, sha256('```' || chr(10) || '# code' || chr(10) || chr(10) || doc_id || chr(10) || '```') AS digest FROM d
+UNION ALL SELECT doc_id, (k + 1) // 2, any_value(top || ' > ' || lang), sha256(string_agg(rpad('p' || k || ' of ' || doc_id, 500, '.'), chr(10) || chr(10) ORDER BY k)) FROM p GROUP BY doc_id, (k + 1) // 2""")
+def markdown_fragments(spark, sf_dir):
+    """A Markdown file of each document: a heading with marks, a fenced block, a deeper heading, and paragraphs of 500 characters, of
+    which two fit a fragment."""
+    paragraphs = F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 7 + 1).cast("int")), lambda k: F.rpad(F.concat(F.lit("p"), k.cast("string"), F.lit(" of "), F.col("doc_id").cast("string")), 500, "."))
+    text = F.concat(F.lit("# *S_"), "source", F.lit("* ##\r\n```\n# code\n\n"), F.col("doc_id").cast("string"), F.lit("\n```\n## "), "lang", F.lit("\n"), F.array_join(paragraphs, "\n\n"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit("c").alias("course_id"), F.lit("text/markdown").alias("media_type"), F.encode(text, "UTF-8").alias("content"))
+    return ingest(files).chunks.select(F.col("document_id").cast("long").alias("doc_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join("section_path", " > ").alias("section"), F.sha2("content", 256).alias("digest"))
+
+
+_GAPS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '</?(article|div|footer|li|nav|p|ul)( [^>]*)?>', chr(10) || chr(10), 'g'), '<br>', chr(10), 'g'), '<[^>]*>', '', 'g'), ' *\\n *', chr(10), 'g')"
+
+
+@query(r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(substr(html, strpos(html, '</head>') + 7), '<script>.*?</script>', '', 'gs'), '<!--.*?-->', '', 'gs'), '\s+', ' ', 'g') AS h FROM pages),
+parts AS (SELECT page_id, 0 AS k, '' AS section, split_part(h, '<h1>', 1) AS x FROM t UNION ALL SELECT page_id, 1, regexp_extract(h, '<h1>(.*?)</h1>', 1), split_part(h, '</h1>', 2) FROM t),
+plain AS (SELECT page_id, k, section, trim(regexp_replace(""" + _GAPS.format("x") + r""", '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS x FROM parts),
+real AS (SELECT page_id, k, replace(replace(replace(replace(section, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS section, replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS x FROM plain WHERE x <> '')
+SELECT page_id, NULL::VARCHAR AS error_code, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS block, trim(section) AS section, sha256(x) AS digest FROM real""")
 def page_blocks(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.lit("text/html").alias("media_type"), F.encode("html", "UTF-8").alias("content"))
     found = extract_blocks(pages).select("page_id", "error_code", F.posexplode_outer("blocks").alias("block", "b"))
     return found.select("page_id", "error_code", "block", F.array_join("b.section_path", " > ").alias("section"), F.sha2("b.text", 256).alias("digest"))
 
 
+@query(r"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'EXTRACTION_FAILED' WHEN 1 THEN 'EXTRACTION_FAILED' WHEN 2 THEN 'EXTRACTION_FAILED' WHEN 3 THEN 'UNSUPPORTED_DOCUMENT_FORMAT' WHEN 4 THEN 'EMPTY_DOCUMENT' END AS error_code,
+  CASE doc_id % 6 WHEN 5 THEN 1 ELSE 0 END AS blocks FROM documents""")
+def damaged_files(spark, sf_dir):
+    """Files that cannot be read, each with its own error, beside ones that can."""
+    k = F.col("doc_id") % 6
+    media = F.when(k == 0, "text/html").when(k == 1, "application/pdf").when(k == 3, F.lit(None)).otherwise("text/plain")
+    content = F.when(k == 0, F.encode(F.lit("<![foo[x]]>a"), "UTF-8")).when(k == 1, F.encode(F.concat(F.lit("%PDF-1.4 "), "source"), "UTF-8")).when(k == 2, F.unhex(F.lit("FFFE00"))).when(k == 4, F.encode(F.lit(" \n"), "UTF-8")).otherwise(F.encode(F.col("source"), "UTF-8"))
+    out = extract_blocks(table(spark, sf_dir, "documents").select("doc_id", media.alias("media_type"), content.alias("content")))
+    return out.select("doc_id", "error_code", F.when(F.col("error_code").isNull(), F.size("blocks")).otherwise(0).cast("long").alias("blocks"))
+
+
 @query()
 def hashed_vectors(spark, sf_dir):
-    rows = embedding.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 256)
+    rows = embedding.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return rows.select("doc_id", "embedding", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x * x)), 9).alias("norm"))
 
 
 def _ingested(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("lang").alias("course_id"), F.lit("text/plain").alias("media_type"), F.encode("text", "UTF-8").alias("content"))
-    return ingest(docs, dimensions=256)
+    return ingest(docs)
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN trim(text, chr(10) || ' ') = '' THEN 'failed' ELSE 'indexed' END AS ingestion_status FROM documents")
+@query(_FRAGMENTS + r""", g AS (SELECT doc_id, count(*) AS n, sum(length(p)) AS c, sum(len(regexp_extract_all(p, '[\p{L}\p{N}_]+'))) AS t FROM p WHERE p <> '' GROUP BY doc_id)
+  SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN n IS NULL THEN 'failed' ELSE 'indexed' END AS ingestion_status, coalesce(n, 0) AS chunk_count, CAST(coalesce(c, 0) AS BIGINT) AS characters, CAST(coalesce(t, 0) AS BIGINT) AS tokens,
+    'hashing-bow-1024' AS embedding_model, CASE WHEN n IS NOT NULL THEN lang || '--hashing-bow-1024' END AS collection FROM documents LEFT JOIN g USING (doc_id)""")
 def ingest_documents(spark, sf_dir):
-    return _ingested(spark, sf_dir).documents.select("document_id", "ingestion_status")
+    return _ingested(spark, sf_dir).documents.select("document_id", "ingestion_status", "chunk_count", "characters", "tokens", "embedding_model", "collection")
 
 
-@query()
+@query(_FRAGMENTS + "SELECT lang || '--hashing-bow-1024' AS collection, count(*) AS records FROM p JOIN documents USING (doc_id) WHERE p <> '' GROUP BY lang")
 def ingested_vectors(spark, sf_dir):
     return vectors.collection_counts(_ingested(spark, sf_dir).vectors)
 
 
+@query(_DOCS + "SELECT course_id, document_id, error_message AS error FROM b WHERE ingestion_status = 'failed'")
+def course_failures(spark, sf_dir):
+    return jobs.course_failures(catalog.with_bases(source_documents(spark, sf_dir), knowledge_bases(spark, sf_dir)))
+
+
 @query(_DOCS + """, s AS (SELECT document_id, count(*) AS n FROM c GROUP BY document_id)
   SELECT course_id, count(*) AS documents, sum(CASE WHEN ingestion_status = 'indexed' THEN 1 ELSE 0 END) AS indexed, sum(CASE WHEN ingestion_status = 'failed' THEN 1 ELSE 0 END) AS failures, sum(coalesce(n, 0)) AS chunk_count
   FROM b LEFT JOIN s USING (document_id) GROUP BY course_id""")
 def course_summaries(spark, sf_dir):
     docs = catalog.with_bases(source_documents(spark, sf_dir), knowledge_bases(spark, sf_dir)).join(catalog.chunk_counts(fragments(spark, sf_dir)), "document_id", "left").fillna(0, ["chunk_count"])
-    out = jobs.course_summary(docs)
-    return out.select("course_id", "documents", "indexed", F.size("failed").cast("long").alias("failures"), "chunk_count")
+    return jobs.course_summary(docs)
 
 
 def _vector_tables(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     stored = rows.select(F.lit("c").alias("collection"), F.col("vec_id").alias("record_id"), F.col("label").cast("string").alias("document_id"), "embedding")
-    documents = rows.select(F.col("label").cast("string").alias("document_id")).distinct().withColumns({"knowledge_base_role": F.when(F.col("document_id").cast("int") % 2 == 0, "primary").otherwise("supplementary"), "ingestion_status": F.when(F.col("document_id") == "9", "failed").otherwise("indexed")})
+    documents = rows.select(F.col("label").cast("string").alias("document_id")).distinct().withColumns({"knowledge_base_role": F.when(F.col("document_id").cast("int") % 2 == 0, "primary").otherwise("supplementary"), "ingestion_status": F.when(F.col("document_id") == "9", "failed").otherwise("indexed"), "filename": F.concat("document_id", F.lit(".md"))})
     kept = rows.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")  # some vectors have lost their fragments
-    chunks = kept.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("document_id"), F.concat(F.lit("fragment "), F.col("vec_id").cast("string")).alias("content"))
+    chunks = kept.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("document_id"), F.concat(F.lit("fragment "), F.col("vec_id").cast("string")).alias("content"), F.array(F.lit("Part"), F.concat(F.lit("s"), F.col("vec_id").cast("string"))).alias("section_path"), F.when(F.col("vec_id") % 2 == 0, F.col("vec_id") + 1).cast("int").alias("page_number"))
     queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return stored, documents, chunks, queries
 
@@ -293,20 +394,24 @@ def nearest_vectors(spark, sf_dir):
 _DENSE = _PAIRS + """, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r FROM p WHERE label <> 9 AND {admitted}) WHERE r <= 15),
 s AS (SELECT *, CASE WHEN label % 2 = 0 THEN 'primary' ELSE 'supplementary' END AS knowledge_base_role, round(1 - distance, 6) AS similarity,
       round(1 - distance - CASE WHEN label % 2 = 0 THEN 0 ELSE 0.05 END, 6) AS score FROM h WHERE vec_id IN (SELECT doc_id FROM labels))
-SELECT query_id, rank, vec_id AS chunk_id, CAST(label AS VARCHAR) AS document_id, knowledge_base_role, 'fragment ' || vec_id AS content, similarity, score
+SELECT query_id, rank, vec_id AS chunk_id, CAST(label AS VARCHAR) AS document_id, label || '.md' AS filename, knowledge_base_role, 'Part > s' || vec_id AS section, CASE WHEN vec_id % 2 = 0 THEN CAST(vec_id + 1 AS INT) END AS page_number, 'fragment ' || vec_id AS content, similarity, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, distance, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
 
+def _shown(evidence):
+    return evidence.withColumn("section", F.array_join("section_path", " > ")).drop("section_path")
+
+
 @query(_DENSE.format(admitted="true"))
 def retrieve_context(spark, sf_dir):
     stored, documents, chunks, queries = _vector_tables(spark, sf_dir)
-    return retrieval.dense(stored, documents, chunks, queries, 5, "context")
+    return _shown(retrieval.dense(stored, documents, chunks, queries, 5, "context"))
 
 
 @query(_DENSE.format(admitted="label % 2 = 0"))
 def retrieve_mandatory(spark, sf_dir):
     stored, documents, chunks, queries = _vector_tables(spark, sf_dir)
-    return retrieval.dense(stored, documents, chunks, queries, 5, "mandatory")
+    return _shown(retrieval.dense(stored, documents, chunks, queries, 5, "mandatory"))
 
 
 @query("SELECT vec_id AS record_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
@@ -340,13 +445,19 @@ def bm25_search(spark, sf_dir):
     return retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10).select("query_id", "doc_id", "rank")
 
 
-@query(_BM25 + """, a AS (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) FROM bm),
+@query(_BM25 + """, v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  near AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT item_id AS query_id, v.vec_id, round(1 - coalesce(list_dot_product(q.e, v.e) / nullif(sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)), 0), 0), 9) AS distance
+    FROM benchmark JOIN v q ON q.vec_id = item_id, v)),
+  a AS (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM near WHERE rank <= 10),
   z AS (SELECT query_id, doc_id, round(sum(1 / (60.0 + rank)), 12) AS score FROM a GROUP BY query_id, doc_id)
   SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM z) WHERE rank <= 5""")
 def fused_search(spark, sf_dir):
-    first = retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
-    second = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
-    return retrieval.fuse([first, second], 5, "doc_id")
+    """Words and vectors together: the text of each benchmark item is asked by BM25, the vector of the same number among the vectors."""
+    items, rows = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
+    words = retrieval.bm25(table(spark, sf_dir, "documents"), items.select(F.col("item_id").alias("query_id"), "text"), 10)
+    asked = rows.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    near = vectors.nearest(rows.withColumnRenamed("vec_id", "doc_id"), asked, 10, "doc_id")
+    return retrieval.fuse([words, near], 5, "doc_id")
 
 
 @query("""WITH m AS (SELECT DISTINCT user_id AS c, event_type AS e FROM events), g AS (SELECT a.e AS a, b.e AS b, count(*) AS w FROM m a JOIN m b ON a.c = b.c AND a.e < b.e GROUP BY a.e, b.e)
@@ -368,31 +479,43 @@ best AS (SELECT query_id, c.k, sum(CASE WHEN grade >= 2 THEN 1 ELSE 0 END) AS re
 
 
 def _ranking(spark, sf_dir):
+    """What was returned with its grades, and how many items each query has of each grade: 3 for its own label, 1 for the
+    neighbouring ones. Items are counted by label, so no item meets a query that did not return it."""
     stored, _, _, queries = _vector_tables(spark, sf_dir)
-    ranking = vectors.nearest(stored, queries, 10).select("query_id", F.col("record_id").alias("item"), "rank")
-    rows = table(spark, sf_dir, "embeddings")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q"))
-    # grades by label: each label meets the queries of its own and of neighbouring labels, the rest are 0
-    near = rows.select(F.col("vec_id").alias("item"), "label").withColumn("q", F.explode(F.array(F.col("label") - 1, "label", F.col("label") + 1)))
-    grades = near.join(asked, "q").select("query_id", "item", F.when(F.col("q") == F.col("label"), 3).otherwise(1).alias("grade"))
-    return ranking, grades
+    grade = lambda a, b: F.when(a == b, 3).when(F.abs(a - b) == 1, 1).otherwise(0)
+    ranking = vectors.nearest(stored, queries, 10).select("query_id", F.col("record_id").alias("vec_id"), "rank")
+    judged = ranking.join(rows, "vec_id").join(asked, "query_id").select("query_id", "rank", grade(F.col("q"), F.col("label")).alias("grade"))
+    labels = rows.groupBy("label").agg(F.count("*").alias("items")).withColumn("q", F.explode(F.array(F.col("label") - 1, "label", F.col("label") + 1)))
+    supply = asked.join(labels, "q").groupBy("query_id", grade(F.col("q"), F.col("label")).alias("grade")).agg(F.sum("items").alias("items"))
+    return judged, supply
 
 
 @query(_RANKED + "SELECT query_id, k, round(coalesce(hits, 0) / returned, 9) AS precision, round(coalesce(hits, 0) / relevant, 9) AS recall, round(dcg / idcg, 9) AS ndcg FROM best JOIN got USING (query_id, k)")
 def ranking_quality(spark, sf_dir):
-    out = metrics.ranking_measures(*_ranking(spark, sf_dir), [1, 5, 10])
+    out = metrics.graded_measures(*_ranking(spark, sf_dir), [1, 5, 10])
     return out.select("query_id", "k", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "ndcg")))
 
 
-@query("""WITH p AS (SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS t, CASE WHEN n_chars > 800 THEN 'good' ELSE 'bad' END AS f FROM labels JOIN documents USING (doc_id)),
-  k AS (SELECT unnest(['good', 'bad']) AS class),
+@query("""WITH p AS (SELECT CASE WHEN quality = 1 THEN 'good' WHEN doc_id % 2 = 0 THEN 'fair' ELSE 'bad' END AS t, CASE WHEN n_chars > 1500 THEN 'good' WHEN n_chars > 500 THEN 'fair' ELSE 'bad' END AS f FROM (SELECT doc_id, quality, toxic, n_chars FROM labels JOIN documents USING (doc_id))),
+  k AS (SELECT unnest(['good', 'fair', 'bad']) AS class),
   m AS (SELECT class, (SELECT count(*) FROM p WHERE t = class) AS support, (SELECT count(*) FROM p WHERE f = class) AS found, (SELECT count(*) FROM p WHERE t = class AND f = class) AS hits FROM k),
-  e AS (SELECT class, support, hits / found AS precision, hits / support AS recall, 2 * hits / (support + found) AS f1 FROM m)
+  e AS (SELECT class, support, coalesce(hits / nullif(found, 0), 0) AS precision, coalesce(hits / nullif(support, 0), 0) AS recall, 2 * hits / (support + found) AS f1 FROM m)
   SELECT class, support, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM (SELECT * FROM e UNION ALL SELECT 'macro', sum(support), avg(precision), avg(recall), avg(f1) FROM e)""")
 def class_quality(spark, sf_dir):
+    return metrics.class_measures(_taken(spark, sf_dir), "t", "f").select("class", "support", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def _taken(spark, sf_dir):
+    """The classes of labelled documents, three of them, and what they are taken for by their length."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    pairs = rows.select(F.when(F.col("quality") == 1, "good").otherwise("bad").alias("t"), F.when(F.col("n_chars") > 800, "good").otherwise("bad").alias("f"))
-    return metrics.class_measures(pairs, "t", "f").select("class", "support", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+    return rows.select(F.when(F.col("quality") == 1, "good").when(F.col("doc_id") % 2 == 0, "fair").otherwise("bad").alias("t"), F.when(F.col("n_chars") > 1500, "good").when(F.col("n_chars") > 500, "fair").otherwise("bad").alias("f"))
+
+
+@query("""SELECT CASE WHEN quality = 1 THEN 'good' WHEN doc_id % 2 = 0 THEN 'fair' ELSE 'bad' END AS truth, CASE WHEN n_chars > 1500 THEN 'good' WHEN n_chars > 500 THEN 'fair' ELSE 'bad' END AS found, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL""")
+def confusion_table(spark, sf_dir):
+    return metrics.confusion(_taken(spark, sf_dir), "t", "f")
 
 
 @query("""SELECT event_type, v AS p95 FROM (SELECT event_type, list_sort(list(value)) AS l, round_even(0.95 * (count(value) - 1), 0) AS r FROM events GROUP BY event_type), LATERAL (SELECT l[CAST(r AS INT) + 1] AS v)""")
@@ -402,7 +525,9 @@ def tail_latencies(spark, sf_dir):
 
 @query("SELECT event_type, round(median(value), 6) AS typical, round(max(value), 6) AS most FROM events GROUP BY event_type")
 def typical_latencies(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("typical"), F.round(F.max("value"), 6).alias("most"))
+    events = table(spark, sf_dir, "events")
+    most = events.groupBy("event_type").agg(F.round(F.max("value"), 6).alias("most"))
+    return metrics.median_by(events, "event_type", "value", "typical").withColumn("typical", F.round("typical", 6)).join(most, "event_type")
 
 
 @query()
@@ -416,10 +541,25 @@ def metric_rows(spark, sf_dir):
     return metrics.as_metric_rows(wide, ["event_type"], ["events", "users"])
 
 
-@query("""WITH r AS (SELECT event_type AS architecture, count(DISTINCT user_id) AS grounding, count(*) AS correctness FROM events GROUP BY event_type) SELECT architecture, grounding FROM r WHERE correctness > 10 ORDER BY grounding DESC, correctness DESC, architecture LIMIT 1""")
+@query("""WITH r AS (SELECT user_id AS architecture, count(DISTINCT event_type) AS grounding, sum(event_id % 3) AS correctness, max(event_id % 4) AS alignment, sum(event_id % 7) AS cost FROM events GROUP BY user_id)
+  SELECT architecture, grounding, alignment, CAST(cost AS BIGINT) AS cost FROM r WHERE correctness BETWEEN 3 AND 6 ORDER BY grounding DESC, correctness DESC, alignment DESC, cost, architecture LIMIT 1""")
 def best_architecture(spark, sf_dir):
-    runs = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("architecture")).agg(F.count_distinct("user_id").alias("grounding"), F.count("*").alias("correctness"), F.lit(0).alias("alignment"), F.lit(0).alias("cost"))
-    return metrics.select_architecture(runs, F.col("correctness") > 10).select("architecture", "grounding")
+    of = lambda n: F.col("event_id") % n
+    runs = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("architecture")).agg(F.count_distinct("event_type").alias("grounding"), F.sum(of(3)).alias("correctness"), F.max(of(4)).alias("alignment"), F.sum(of(7)).alias("cost"))
+    return metrics.select_architecture(runs, F.col("correctness").between(3, 6)).select("architecture", "grounding", "alignment", "cost")
+
+
+@query("""SELECT count(*) AS documents, CAST(sum(CASE WHEN event_id % 10 < 9 THEN 1 ELSE 0 END) AS BIGINT) AS indexed, count(*) - CAST(sum(CASE WHEN event_id % 10 < 9 THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(sum(CASE WHEN event_id % 10 < 9 THEN user_id ELSE 0 END) AS BIGINT) AS chunks,
+  round(median(value), 2) AS upload_ms_median, round(median(CASE WHEN event_id % 10 < 9 AND value <> 0 THEN value END), 3) AS processing_s_median FROM events WHERE user_id < 20""")
+def trace_of_uploads(spark, sf_dir):
+    """A trace of some uploads, as one test run of the service records them."""
+    rows = table(spark, sf_dir, "events").where("user_id < 20").select(F.col("event_id").cast("string").alias("file"), F.when(F.col("event_id") % 10 < 9, "succeeded").otherwise("failed").alias("status"), F.col("user_id").alias("chunk_count"), F.col("value").alias("upload_ms"), F.col("value").alias("processing_s"))
+    return metrics.trace_summary(rows).select("documents", "indexed", F.size("failed").cast("long").alias("failed"), "chunks", "upload_ms_median", "processing_s_median")
+
+
+@query("SELECT bool_and(value >= 0) AS ok FROM events")
+def all_checks(spark, sf_dir):
+    return jobs.all_ok(table(spark, sf_dir, "events").select((F.col("value") >= 0).alias("ok")))
 
 
 # jobs: each user is a job, each event one of its log rows
@@ -458,6 +598,53 @@ def dispatch_jobs(spark, sf_dir):
     return jobs.dispatch(rows).select("job_id", "error_code")
 
 
+_RUN = """WITH j AS (SELECT doc_id AS job_id, CASE doc_id % 5 WHEN 0 THEN 'document_ingestion' WHEN 1 THEN 'course_indexing' WHEN 4 THEN 'unheard of' ELSE 'retrieval' END AS job_type, doc_id % 10 = 0 AS ended, n_chars FROM documents)
+"""
+
+
+def _jobs_run(spark, sf_dir):
+    """Jobs by document: ingestions, of which some have ended before; indexings, whose handler raises; retrievals, of which the
+    handler forgets those of short documents and fails odd ones; and jobs of an unknown type."""
+    k, id_ = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    kind = F.when(k == 0, "document_ingestion").when(k == 1, "course_indexing").when(k == 4, "unheard of").otherwise("retrieval")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), kind.alias("job_type"), F.when(k == 0, id_).alias("document_id"), F.when(k != 0, id_).alias("course_id"), "n_chars")
+    log = rows.where("job_id % 10 = 0").select(F.col("job_id").alias("log_id"), "job_id", F.lit("job.failed").alias("event_type"), F.timestamp_seconds(F.lit(0)).alias("recorded_at"))
+    none = F.lit(None).cast("string")
+
+    def raises(own: DataFrame) -> DataFrame:
+        return own.select("job_id", F.raise_error(F.lit("out of order")).cast("string").alias("result"), none.alias("error_code"), none.alias("error_message"))
+
+    def search(own: DataFrame) -> DataFrame:
+        odd = F.col("job_id") % 2 == 1
+        return own.where("n_chars > 500").select("job_id", F.when(~odd, "found").alias("result"), F.when(odd, "NOT_FOUND").alias("error_code"), F.when(odd, "no such course").alias("error_message"))
+
+    handlers = {"document_ingestion": lambda own: own.select("job_id", F.lit("done").alias("result"), none.alias("error_code"), none.alias("error_message")), "course_indexing": raises, "retrieval": search}
+    return jobs.run(rows, log, handlers, F.timestamp_seconds(F.lit(1)))
+
+
+@query(_RUN + """SELECT job_id, CASE WHEN job_type = 'document_ingestion' THEN 'done' WHEN job_type = 'retrieval' AND n_chars > 500 AND job_id % 2 = 0 THEN 'found' END AS result,
+  CASE WHEN job_type = 'course_indexing' OR job_type = 'retrieval' AND n_chars <= 500 THEN 'INTERNAL_ERROR' WHEN job_type = 'retrieval' AND job_id % 2 = 1 THEN 'NOT_FOUND' WHEN job_type = 'unheard of' THEN 'VALIDATION_FAILED' END AS error_code FROM j WHERE NOT ended""")
+def jobs_run(spark, sf_dir):
+    return _jobs_run(spark, sf_dir).select("job_id", "result", "error_code")
+
+
+@query(_RUN + """, r AS (SELECT job_id, job_type, NOT (job_type = 'document_ingestion' OR job_type = 'retrieval' AND n_chars > 500 AND job_id % 2 = 0) AS failed FROM j WHERE NOT ended)
+  SELECT job_id, CASE WHEN failed THEN 'error' ELSE 'info' END AS level, CASE WHEN failed THEN 'job.failed' ELSE 'job.succeeded' END AS event_type FROM r""")
+def jobs_log(spark, sf_dir):
+    return jobs.log_view(jobs.outcome_log(_jobs_run(spark, sf_dir))).select("job_id", "level", "event_type")
+
+
+@query("""SELECT event_id AS job_id, ['queued', 'running', 'succeeded', 'failed'][event_id % 4 + 1] AS status, CASE WHEN event_id % 4 = 3 THEN CASE WHEN event_id % 8 = 3 THEN 'UNKNOWN' ELSE 'NOT_FOUND' END END AS code FROM events""")
+def job_views(spark, sf_dir):
+    state = F.get(F.array(*map(F.lit, jobs.STATES.values())), (F.col("event_id") % 4).cast("int"))
+    none, at = F.lit(None).cast("string"), F.col("ts")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("job_id"), F.lit("retrieval").alias("job_type"), state.alias("status"), none.alias("document_id"), F.lit("c").alias("course_id"), none.alias("result"), F.when(F.col("event_id") % 8 == 7, "NOT_FOUND").alias("error_code"), none.alias("error_message"),
+        at.alias("created_at"), at.alias("started_at"), at.alias("completed_at"),
+    )
+    return jobs.job_view(rows).select("job_id", "status", "error.code")
+
+
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def hourly_events(spark, sf_dir):
     return event_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 6))
@@ -472,11 +659,17 @@ def structural_validation(spark, sf_dir):
     return validation.missing_sections(rows, ["summary", "src1", "src2"]).select("assignment_id", F.array_join("missing", ",").alias("missing"))
 
 
-@query("""WITH l AS (SELECT doc_id AS claim_id, doc_id || ':1' AS chunk_id, 'zzz' AS quote FROM documents)
-  SELECT claim_id, chunk_id, CASE WHEN text IS NULL THEN 'unresolved' ELSE 'quote differs' END AS problem FROM l LEFT JOIN (SELECT conv_id || ':' || turn AS chunk_id, text FROM conversations) USING (chunk_id) WHERE text IS NULL OR NOT contains(text, quote)""")
+@query("""WITH f AS (SELECT conv_id || ':' || turn AS chunk_id, conv_id, turn, text FROM conversations),
+  l AS (SELECT conv_id * 100 + turn AS claim_id, chunk_id, CASE WHEN conv_id % 3 = 0 THEN 'zzz' ELSE substr(text, 3, 9) END AS quote FROM f UNION ALL SELECT conv_id * 100 + turn, chunk_id || ':gone', text FROM f WHERE turn = 0)
+  SELECT claim_id, chunk_id, CASE WHEN text IS NULL THEN 'unresolved' ELSE 'quote differs' END AS problem FROM l LEFT JOIN f USING (chunk_id) WHERE text IS NULL OR NOT contains(text, quote)""")
 def reference_validation(spark, sf_dir):
-    links = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), F.concat(F.col("doc_id").cast("string"), F.lit(":1")).alias("chunk_id"), F.lit("zzz").alias("quote"))
-    return validation.broken_references(links, fragments(spark, sf_dir))
+    """Claims that quote their fragment, that quote what it does not say, and that name one that is not there."""
+    rows = fragments(spark, sf_dir)
+    number = F.col("document_id").cast("long")
+    claim = (number * 100 + F.col("chunk_index")).alias("claim_id")
+    quotes = rows.select(claim, "chunk_id", F.when(number % 3 == 0, "zzz").otherwise(F.substring("content", 3, 9)).alias("quote"))
+    gone = rows.where("chunk_index = 0").select(claim, F.concat("chunk_id", F.lit(":gone")).alias("chunk_id"), F.col("content").alias("quote"))
+    return validation.broken_references(quotes.unionByName(gone), rows)
 
 
 def _claims(spark, sf_dir):
@@ -551,8 +744,8 @@ def evaluation_runs(spark, sf_dir):
     return validation.evaluate(rows).withColumn("mean", F.round("mean", 6))
 
 
-@query("""SELECT page_id, sha256(html) AS checksum_sha256, CASE WHEN length(encode(html)) > 8000 THEN 'DOCUMENT_TOO_LARGE' WHEN length(html) = 0 THEN 'EMPTY_DOCUMENT' WHEN page_id % 10 = 0 THEN 'UNSUPPORTED_DOCUMENT_FORMAT' END AS error_code FROM pages""".replace("length(encode(html))", "octet_length(encode(html))"))
+@query("""SELECT page_id, sha256(html) AS checksum_sha256, CASE WHEN length(encode(html)) > 8000 THEN 'DOCUMENT_TOO_LARGE' WHEN length(html) = 0 THEN 'EMPTY_DOCUMENT' WHEN page_id % 10 = 0 OR page_id % 20 = 1 THEN 'UNSUPPORTED_DOCUMENT_FORMAT' END AS error_code FROM (SELECT page_id, CASE WHEN page_id % 20 = 11 THEN '%PDF-' || html ELSE html END AS html FROM pages)""".replace("length(encode(html))", "octet_length(encode(html))"))
 def upload_checks(spark, sf_dir):
-    name = F.concat(F.lit("a\\b/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 10 == 0, ".exe").otherwise(".HTML"))
-    pages = table(spark, sf_dir, "pages").select("page_id", name.alias("filename"), F.encode("html", "UTF-8").alias("content"))
+    name = F.concat(F.lit("a\\b/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 10 == 0, ".exe").when(F.col("page_id") % 10 == 1, ".pdf").otherwise(".HTML"))
+    pages = table(spark, sf_dir, "pages").select("page_id", name.alias("filename"), F.encode(F.when(F.col("page_id") % 20 == 11, F.concat(F.lit("%PDF-"), "html")).otherwise(F.col("html")), "UTF-8").alias("content"))
     return sources.checked_uploads(pages, 8000).select("page_id", "checksum_sha256", "error_code")

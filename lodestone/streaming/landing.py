@@ -25,7 +25,7 @@ def ingest_landing(spark: SparkSession, folder: str, tables: str, checkpoint: st
         checked = checked_uploads(files).withColumn("document_id", F.sha2(F.concat_ws("/", F.lit(course), "filename"), 256)).withColumn("course_id", F.lit(course))
         done = ingest(checked.where("error_code IS NULL").drop("error_code"), **sizes)
         rejected = checked.where("error_code IS NOT NULL").select("document_id", F.lit("failed").alias("ingestion_status"), "error_code", F.lit("The file was rejected.").alias("error_message"), F.lit(0).cast("long").alias("chunk_count"), F.lit(0).cast("long").alias("characters"))
-        for name, df in (("documents", done.documents.unionByName(rejected)), ("chunks", done.chunks), ("vectors", done.vectors)):
+        for name, df in (("documents", done.documents.unionByName(rejected, allowMissingColumns=True)), ("chunks", done.chunks), ("vectors", done.vectors)):
             df.write.mode("overwrite").parquet(f"{tables}/{name}/batch={number}")
 
     return landing_stream(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -27,7 +27,7 @@ def test_ingest(ingested):
 
 
 def test_dense_retrieval_over_ingested(spark, ingested):
-    documents = ingested.documents.withColumn("knowledge_base_role", F.when(F.col("document_id") == "m", "primary").otherwise("supplementary"))
+    documents = ingested.documents.withColumn("filename", F.concat("document_id", F.lit(".md"))).withColumn("knowledge_base_role", F.when(F.col("document_id") == "m", "primary").otherwise("supplementary"))
     queries = spark.createDataFrame([(1, hashed_vector("mutex shared counter", 256).tolist()), (2, hashed_vector("pipe between processes", 256).tolist())], "query_id int, embedding array<double>")
     got = retrieval.dense(ingested.vectors, documents, ingested.chunks, queries, 2).orderBy("query_id", "rank").collect()
     assert "protects a shared counter" in got[0].content and (got[0].query_id, got[0].rank) == (1, 1)
@@ -145,3 +145,59 @@ def test_requests_out_of_bounds(request_):
 
 def test_request_within_bounds():
     retrieval.check_request("OS-2026", "named pipe", 50, "mandatory")
+
+
+def test_nearest_in_cells_equals_one_block(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"r{k}", [rng.gauss(0, 1) for _ in range(5)]) for k in range(300)] + [("n", None), ("z", [0.0] * 5)]
+    table = spark.createDataFrame(rows, "record_id string, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(5)]) for k in range(40)], "query_id int, embedding array<double>")
+    whole = sorted(map(tuple, vectors.nearest(table, queries, 7).collect()))
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 6)
+    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 50)
+    assert sorted(map(tuple, vectors.nearest(table, queries, 7).collect())) == whole and len(whole) == 280
+
+
+def test_pruned_bm25_equals_all_scores(spark):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{min(int(rng.paretovariate(0.7)), 60)}" for _ in range(4000)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for k in range(150)]
+    asked = [(q, " ".join(rng.choice(words) for _ in range(rng.randint(1, 15)))) for q in range(25)]
+    got = retrieval.bm25(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id int, text string"), 5).collect()
+    sets = {k: t.split() for k, t in docs}
+    average = sum(map(len, sets.values())) / len(sets)
+    for q, text in asked:
+        scores = {}
+        for w in set(text.split()):
+            df = sum(w in t for t in sets.values())
+            for k, t in sets.items():
+                if f := t.count(w):
+                    scores[k] = scores.get(k, 0) + math.log(1 + (150 - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(t) / average))
+        best = sorted(((-round(s, 9), k) for k, s in scores.items()))[:5]
+        mine = sorted((-r.score, r.doc_id) for r in got if r.query_id == q)
+        assert [k for _, k in mine] == [k for _, k in best] and all(abs(a[0] - b[0]) < 1e-6 for a, b in zip(mine, best, strict=True))
+
+
+def test_ranks_of_large_groups(spark, monkeypatch):
+    import random
+    import statistics
+
+    rng = random.Random(5)
+    groups = {"even": [rng.random() for _ in range(500)], "heavy": [10 ** rng.uniform(-300, 300) for _ in range(301)], "same": [2.5] * 40, "one": [-1.0], "ends": [float("-inf"), 0.0, 1.0, float("inf")], "few": [1.0, 1.0, 3.0, 3.0]}
+    rows = [(k, v) for k, own in groups.items() for v in own] + [("even", None), ("even", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "key string, v double")
+    monkeypatch.setattr(metrics, "RANGES", 8)
+    assert {r.key: r.m for r in metrics.median_by(df, "key", "v", "m").collect()} == {k: statistics.median(v) for k, v in groups.items()}
+    assert {r.key: r.value for r in metrics.nearest_rank_by(df, "key", "v", 0.95).collect()} == {k: sorted(v)[round(0.95 * (len(v) - 1))] for k, v in groups.items()}
+
+
+def test_graph_of_large_contexts(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CONTEXT_BLOCK", 3)
+    rows = [("big", f"e{k}") for k in range(11)] + [("small", "e1"), ("small", "e2"), ("small", "e2")]
+    edges, vertices = retrieval.cooccurrence(spark.createDataFrame(rows, "c string, e string"), "c", "e")
+    assert {(r.a, r.b): r.weight for r in edges.collect()} == {(a, b): 1 + (a == "e1" and b == "e2") for a in sorted({e for _, e in rows}) for b in sorted({e for _, e in rows}) if a < b}
+    assert {r.entity: (r.degree, r.strength) for r in vertices.collect()}["e1"] == (10, 11)
