@@ -3,7 +3,7 @@
 1. Each text becomes the set of its k-word shingles (64-bit hashes). Texts of one
    set are one class, named by a hash of the set.
 2. Of each class only the smallest hashes are dealt out: as many as make it sure
-   that two alike sets share one of them, ``DEALT`` at most. Equal hashes of classes of matching size
+   that two alike sets share one of them. Equal hashes of classes of matching size
    are live; the others are dropped.
 3. The classes of each live hash are joined by a signature tree over their bitmaps.
    What passes is a candidate link: a superset of the true links, as a spanning forest.
@@ -17,8 +17,8 @@ spanning forest of each true component, so no component is lost.
 Defined results: a text of fewer words than k has its whole word sequence as its
 one shingle; a null text or one without words has an empty set and is linked with
 nothing. Repeated rows are one class and each gets a result row. A row without an
-id takes part, but is never the smallest id. Other columns are not looked at. Sets
-and shingles are compared by 64-bit hashes.
+id takes part, but is never the smallest id. Ids are whole numbers, or strings of such; any
+other string raises. Other columns are not looked at. Sets and shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,13 +33,11 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.arrays import Words, in_small_batches, lower_ascii, mix64, shingle_sets, slices, text_bytes
 from lodestone.llm.components import components
-from lodestone.llm.durable import durable, small
+from lodestone.operators.durable import durable, small
 from lodestone.llm.signature_tree import Groups, Similarity, bitmap, join_all, width
 
-#: Smallest hashes of a set that are dealt out at most. Of the smallest hashes of the union of
-#: two alike sets each is in both with a chance of num / den or more, so that none of so many
-#: is has a chance of 0.2 ** 40 = 1e-28 at 0.8: far less than that of two equal 64-bit hashes.
-DEALT = 40
+#: Hashes of a bucket, of which one task holds one at a time; the more hashes, the more buckets.
+BUCKET_HASHES = 1 << 20
 #: Classes of one live hash, and shingles of one candidate component, that one task takes whole.
 BLOCK_CLASSES, BLOCK_SHINGLES = 16_384, 1 << 21
 #: A worker's memory of which classes it has dealt out already.
@@ -72,15 +70,18 @@ def _sketches(rows: DataFrame, k: int, like: Similarity) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, k):
             n = [len(s) for s in sets]
-            first = [s[: min(DEALT, len(s) - (like.num * len(s) + like.den - 1) // like.den + 1)] for s in sets]
+            first = [s[: len(s) - (like.num * len(s) + like.den - 1) // like.den + 1] for s in sets]
             bits = [bitmap(s, width(len(s))) if len(s) else s for s in sets]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(n, pa.int32()), _binary(first), _binary(bits)], ["id", "key", "cls", "n", "first", "bits"])
 
     return rows.mapInArrow(run, "id long, key long, cls long, n int, first binary, bits binary")
 
 
+_DEALT = [("token", "<u8"), ("cls", "<i8"), ("n", "<i4")]
+
+
 def _scatter(sketches: DataFrame, buckets: int) -> DataFrame:
-    """The first hashes of all classes by bucket, packed: 4 bytes of the hash, 8 of the class, 4 of its size."""
+    """The first hashes of all classes by bucket, packed: 8 bytes of the hash, 8 of the class, 4 of its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -94,10 +95,9 @@ def _scatter(sketches: DataFrame, buckets: int) -> DataFrame:
             at = list(fresh.values())
             tokens = np.frombuffer(b"".join(first[r] for r in at), np.uint64)
             each = np.array([len(first[r]) // 8 for r in at])
-            spread = mix64(tokens.copy())
-            bucket = (spread >> np.uint64(32)).astype(np.int64) % buckets
-            packed = np.zeros(len(tokens), [("token", "<u4"), ("cls", "<i8"), ("n", "<i4")])
-            packed["token"] = spread & np.uint64(0xFFFFFFFF)
+            bucket = (mix64(tokens.copy()) >> np.uint64(16)).astype(np.int64) % buckets
+            packed = np.zeros(len(tokens), _DEALT)
+            packed["token"] = tokens
             packed["cls"] = np.repeat(np.array(list(fresh), np.int64), each)
             packed["n"] = np.repeat(batch.column("n").to_numpy()[at], each)
             order = np.argsort(bucket, kind="stable")
@@ -136,16 +136,14 @@ def _live(scattered: DataFrame, like: Similarity, partitions: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, ["bucket"]):
-            bucket = group.column("bucket")[0].as_py()
-            rows = np.frombuffer(b"".join(group.column("packed").to_pylist()), [("token", "<u4"), ("cls", "<i8"), ("n", "<i4")])
+            rows = np.frombuffer(b"".join(group.column("packed").to_pylist()), _DEALT)
             rows = rows[np.lexsort((rows["cls"], rows["n"], rows["token"]))]
             rows = rows[np.append(True, rows[1:] != rows[:-1])]
             n = rows["n"].astype(np.int64)
             near = (rows["token"][1:] == rows["token"][:-1]) & like.sizes(n[:-1], n[1:])
             live = np.append(near, False) | np.append(False, near)
             rows = rows[live]
-            token = (np.uint64(bucket) << np.uint64(32)) | rows["token"].astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(rows["cls"].copy()), pa.array(rows["n"].copy())], ["token", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows["token"].copy().view(np.int64)), pa.array(rows["cls"].copy()), pa.array(rows["n"].copy())], ["token", "cls", "n"])
 
     return scattered.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "token long, cls long, n int")
 
@@ -288,7 +286,9 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
     like = Similarity(num, den)
     rows = _rows(docs, id_col, text_col)
     sketches = durable(_sketches(rows, words, like))
-    live = durable(_live(_scatter(sketches, 8 * partitions), like, partitions))
+    dealt = sketches.agg(F.sum(F.octet_length("first"))).first()[0] or 0
+    buckets = max(8 * partitions, -(-dealt // (8 * BUCKET_HASHES)))
+    live = durable(_live(_scatter(sketches, buckets), like, partitions))
     labels = components(_candidates(live, sketches, like, partitions))
     labels = durable(labels)
     sizes = sketches.select("cls", "n").join(labels.select(F.col("node").alias("cls"), "label"), "cls").distinct()

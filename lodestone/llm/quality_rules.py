@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.durable import small
+from lodestone.operators.durable import small
 
 #: Buckets of single tokens, and as many of pairs.
 BUCKETS = 1 << 14

@@ -1,14 +1,14 @@
 """URL filters: host-suffix and path-prefix expressions, joined by hash prefix.
 
-A URL is expanded into every suffix of its host that begins at a label, times
-every prefix of its path that ends with a slash, and the whole path. Each such
-expression meets the rules by the first four bytes of its SHA-256; the whole digest then
-confirms it, and of the confirmed rules the longest wins.
+A URL is expanded into suffixes of its host that begin at a label, times prefixes of
+its path: those of as many labels and characters as some rule has, and no others, so that what is
+made of a URL is bounded by the rules and not by its length. Each such expression meets the rules by the first
+four bytes of its SHA-256; the whole digest then confirms it, and of the confirmed rules the longest wins.
 
 Defined results: a URL that is null or has no ``://`` has an empty host and path
-and gets the default verdict; so does a URL that no rule fits. Equal URLs are
-judged once and every row gets its verdict; other columns are kept unless their
-names are those of the result, which replace them.
+and gets the default verdict; so does a URL that no rule fits. A rule without a host, path or verdict, or of an empty
+host, fits nothing. Equal URLs are judged once and every row gets its verdict, however long they are; other columns
+are kept unless their names are those of the result, which replace them.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.durable import durable, small
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Up to so many rules are broadcast (under 20 MB of digests); more are joined by a shuffle.
@@ -30,31 +32,39 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def expressions(host: Column, path: Column) -> Column:
-    """The array of host suffix + path prefix of one URL."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    parts = F.split(path, "/")
-    cuts = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
-    prefixes = F.array_distinct(F.concat(cuts, F.array(path)))
-    return F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p)))))
+def expression(host: Column, path: Column) -> Column:
+    """One string for a host and a path, from which both can be told."""
+    return F.concat(host, F.lit("\n"), path)
+
+
+def labels_of(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+
+
+def expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """The expressions of one URL: for each of ``shapes``, a number of labels and a length, the last labels of the host and the
+    beginning of the path, if they have so many."""
+    labels, size = labels_of(host), F.length(path)
+    each = [F.when((labels >= n) & (size >= m), expression(F.substring_index(host, ".", -n), F.left(path, F.lit(m)))) for n, m in shapes]
+    return F.array_compact(F.array(*each)) if each else F.array().cast("array<string>")
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
-    ``rules`` has host, path and verdict. A rule's path ends with ``/`` or stands
-    for that one path alone. Of several rules with one expression, block wins.
+    ``rules`` has host, path and verdict. A rule fits its host and all below it, if the URL's path starts with the rule's. Of several
+    rules of one host and path, block wins.
     """
-    rule = F.concat(F.translate("host", _UPPER, _LOWER), F.col("path"))
-    table = rules.where(rule.isNotNull()).groupBy(rule.alias("rule")).agg(F.max("verdict").alias("verdict"))
-    table = table.withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, 8))
-    if table.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        table = F.broadcast(table)
+    table = rules.select(F.translate("host", _UPPER, _LOWER).alias("rh"), F.col("path").alias("rp"), F.col("verdict").alias("rv")).where("rh <> '' AND rp IS NOT NULL AND rv IS NOT NULL")
+    # as many rows as there are lengths of rules, however many rules
+    shapes = sorted(map(tuple, table.select(labels_of(F.col("rh")), F.length("rp")).distinct().collect()))
+    digest = F.sha2(expression(F.col("rh"), F.col("rp")), 256)
+    table = table.groupBy(F.concat("rh", "rp").alias("rule"), digest.alias("digest")).agg(F.max("rv").alias("verdict")).withColumn("short", F.substring("digest", 1, 8))
+    table = small(durable(table), BROADCAST_RULES)
     urls = pages.select(F.col(url_col).alias("_url")).where(F.col("_url").isNotNull()).distinct()
     urls = urls.select("_url", host_of(F.col("_url")).alias("h"), path_of(F.col("_url")).alias("p")).where("h <> ''")
-    met = urls.select("_url", F.explode(expressions(F.col("h"), F.col("p"))).alias("expression"))
-    met = met.select("_url", F.sha2("expression", 256).alias("full")).withColumn("short", F.substring("full", 1, 8))
+    met = urls.select("_url", F.explode_outer(expressions(F.col("h"), F.col("p"), shapes)).alias("expression"))
+    met = met.where("expression IS NOT NULL").select("_url", F.sha2("expression", 256).alias("full")).withColumn("short", F.substring("full", 1, 8))
     best = (
         met.join(table, "short").where("full = digest")
         .groupBy("_url").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best"))

@@ -1,5 +1,6 @@
 """Token counts, byte-level BPE and URL filters against the libraries and by hand."""
 
+import time
 import base64
 import hashlib
 import random
@@ -123,6 +124,28 @@ def test_block_wins_between_equal_rules(spark):
     assert url_verdicts(spark.createDataFrame([("x://a/",)], "url string"), rules).first().verdict == "block"
 
 
+def test_any_path_and_long_urls(spark):
+    rules = spark.createDataFrame([("a.net", "/ab", "block"), ("net", "", "block"), ("b.a.net", "/abc/d", "allow"), ("a", ".net/x", "block"), ("", "/", "block"), ("x.org", None, "block")], "host string, path string, verdict string")
+    urls = ["h://a.net/abz", "h://b.a.net/abc/de", "h://b.a.net/abc", "h://c.net", "h://net/", "h://x.org/", "h://a/.net/x", "h://a.net/" + "/" * 100_000, "h://" + "a." * 50_000 + "a.net/ab" + "/" * 50_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: r.rule for r in url_verdicts(df, rules).collect()}
+    assert got == {0: "a.net/ab", 1: "b.a.net/abc/d", 2: "a.net/ab", 3: "net", 4: "net", 5: None, 6: None, 7: "net", 8: "a.net/ab"}
+    assert time.time() - began < 30
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(9)
+    name = lambda n: ".".join(rng.choice(["a", "b", "net"]) for _ in range(rng.randint(1, n)))
+    rules = list({(name(3), rng.choice(["", "/", "/a", "/a/", "/ab", "/a/b/"])): rng.choice(["block", "allow"]) for _ in range(25)}.items())
+    urls = [f"s://{name(4)}/{''.join(rng.choice('ab/') for _ in range(rng.randint(0, 6)))}" for _ in range(300)]
+    got = {r.url: (r.rule, r.verdict) for r in url_verdicts(spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame([(h, p, v) for (h, p), v in rules], "host string, path string, verdict string")).collect()}
+    for u in urls:
+        host, path = u[4:].split("/", 1)
+        fit = [(len(h + p), h + p, v) for (h, p), v in rules if ("." + host).endswith("." + h) and ("/" + path).startswith(p)]
+        assert got[u] == (max(fit)[1:] if fit else (None, "allow")), u
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(name, spark, sf_dir):
     con = duckdb.connect()
