@@ -8,7 +8,7 @@ so every feature's part in it can be read off.
 
 Defined results: a null or empty text has all features zero and gets a score like any
 other; rows without a label, or whose label is null, are not learnt from; of several
-labels of one id the lowest counts; with no labels of both kinds the score is the
+labels of one id the lowest counts, and of several texts the least; with no labels of both kinds the score is the
 prior. Columns of the input are kept; those named like a result are replaced.
 """
 
@@ -19,10 +19,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.arrays import Words, in_small_batches, slices, text_bytes, window_hashes
+from lodestone.operators.durable import durable
 
 #: Labelled rows that are learnt from: those with the least hashes of their ids.
 TRAIN_ROWS = 20_000
@@ -198,12 +199,19 @@ def fit_additive(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150
     return model
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, learn: Column, label: Column, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """(y, text) of the ``rows`` labelled ids of least hashes: one row for each id, however often it is found. ``label`` is the
+    aggregate that makes one label of those of an id. The rows are kept, so that the documents are read once for them."""
+    chosen = labels.where(learn & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(label.alias("y")).where("y IS NOT NULL")
+    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rows)
+    texts = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    return durable(texts.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text"))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> AdditiveModel:
     """Learns from at most ``rows`` labelled texts; ``learn`` is the condition on the id column
     that a row of ``labels`` must meet."""
-    chosen = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("double").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
+    texts = labelled_texts(docs, labels, learn, F.min(label_col).cast("double"), id_col, text_col, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ The model is logit P(grade > k) = w . x - t_k with one w for all k and ascending
 Its result is the expected grade, the sum of P(grade > k).
 
 Defined results: a null or empty text has no features and gets what the thresholds alone say;
-rows without a label are not learnt from; of several labels of one id the highest counts; with no
+rows without a label are not learnt from; of several labels of one id the highest counts, and of several texts the least; with no
 toxic training row every severity is 0. Columns of the input other than the id and the
 text are not looked at.
 """
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.arrays import Words, in_small_batches, lower_ascii, mix64, slices, text_bytes
+from lodestone.llm.quality_classifier import labelled_texts
 
 #: Labelled rows that are learnt from: those with the least hashes of their ids.
 TRAIN_ROWS = 20_000
@@ -116,9 +117,7 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, kept: int = KEPT) -> OrdinalModel:
     """Learns from at most ``rows`` labelled texts; ``learn`` is the condition on the id column that a
     row of ``labels`` must meet."""
-    chosen = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = in_small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
+    texts = labelled_texts(docs, labels, learn, F.max(label_col).cast("int"), id_col, text_col, rows)
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

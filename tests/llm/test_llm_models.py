@@ -18,7 +18,7 @@ from lodestone.llm.lm_scoring import lm_scores
 from lodestone.llm.queries import QUERIES
 from lodestone.llm.quality_classifier import FEATURES, fit_additive, fit_quality, score_quality, text_features
 from lodestone.llm.arrays import Words, slices, text_bytes
-from lodestone.llm.toxicity import OrdinalModel, fit_ordinal, fit_toxicity, severities
+from lodestone.llm.toxicity import OrdinalModel, features, fit_ordinal, fit_toxicity, severities
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -223,6 +223,50 @@ def test_quality_on_held_out_rows(spark):
     assert got.count() == 1000
 
 
+def plain_features(text):
+    """The features of one text, character by character and word by word."""
+    data = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    if not words:
+        return [0.0] * len(FEATURES) if not data else None
+    n, lines = len(words), [[w for w in re.split(rb"[\x20\x09-\x0D]+", line) if w] for line in data.split(b"\n")]
+    count = lambda test: sum(map(test, data))
+    upper, lower = count(lambda c: 65 <= c <= 90), count(lambda c: 97 <= c <= 122)
+    own = [line for line in data.split(b"\n") if line]
+    twice = lambda xs: sum(xs.count(x) > 1 for x in xs) / len(xs) if len(xs) > 1 else 0.0
+    threes = [tuple(words[k : k + 3]) for k in range(n - 2)]
+    assert lines
+    return [
+        math.log1p(n), sum(map(len, words)) / n, upper / max(upper + lower, 1), count(lambda c: c in b"#*$%&|<>") / n, count(lambda c: c == 124) / n, count(lambda c: c == 33) / n, count(lambda c: c in b".,;:?") / n,
+        count(lambda c: 48 <= c <= 57) / n, count(lambda c: c >= 192) / n, data.count(b"\n") / n, len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(n - 1, 1), twice(threes), twice(own), math.log1p(n / max(1, len(own))),
+    ]
+
+
+def test_quality_scores_equal_brute_force(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_quality(docs, labels, ~held(5, 0))
+    rows = score_quality(docs, model).collect()
+    assert len(model.pairs) == 5 and len(rows) == 200
+    for r in rows:
+        x = plain_features(r.text)
+        if x is None:
+            continue
+        place = [sum(c <= v for c in cuts) for v, cuts in zip(x, model.cuts, strict=True)]
+        total = model.base + sum(t[k] for t, k in zip(model.tables, place, strict=True)) + sum(g[place[i], place[j]] for (i, j), g in zip(model.pairs, model.grids, strict=True))
+        assert math.isclose(r.score, 1 / (1 + math.exp(-total)), abs_tol=1e-9), r.doc_id
+
+
+def test_repeated_ids_are_learnt_once(spark):
+    texts = [(k, f"text number {k} ") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(texts, "doc_id long, text string")
+    often = once.unionByName(spark.createDataFrame([(7, "zzz later text")] * 500 + texts[:3], "doc_id long, text string"))
+    a, b = (fit_quality(df, labels, F.lit(True)) for df in (once, often))
+    assert all(np.array_equal(x, y) for x, y in zip(a.tables, b.tables, strict=True))
+    a, b = (fit_toxicity(df, labels, F.lit(True)) for df in (once, often))
+    assert np.array_equal(a.names, b.names) and np.array_equal(a.weights, b.weights)
+
+
 def test_quality_odd_rows(spark):
     df = spark.createDataFrame([(1, "fine text here", "c"), (None, None, "d"), (2, "", "e"), (2, "", "e"), (3, "x" * 300000, "f")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (9, 1)], "doc_id long, quality int")
@@ -267,6 +311,25 @@ def test_toxicity(spark):
     assert severities(df.limit(0), none).count() == 0
 
 
+def test_severities_equal_brute_force(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_toxicity(docs, labels, ~held(5, 0))
+    weight = dict(zip(model.names.tolist(), model.weights.tolist(), strict=True))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    known = {}
+    for r in severities(docs, model).collect():
+        seen = collections.Counter()
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text[r.doc_id] or "").translate(AZ).encode()):
+            if w not in known:
+                known[w] = features(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0].tolist()
+            seen.update(known[w])
+        linear = sum(weight[f] * math.log1p(n) for f, n in seen.items() if f in weight)
+        above = [1 / (1 + math.exp(min(50, max(-50, cut - linear)))) for cut in model.thresholds]
+        chance = [a - b for a, b in zip([1, *above], [*above, 0], strict=True)]
+        assert math.isclose(r.severity, sum(above), abs_tol=1e-9) and math.isclose(r.score, above[0], abs_tol=1e-9) and r.toxic == (above[0] >= 0.35)
+        assert r.grade == max(chance.index(max(chance)), int(r.toxic))
+
+
 # licences
 
 
