@@ -4,9 +4,11 @@
    set are one class, named by a hash of the set.
 2. Of each class only the smallest hashes are dealt out: as many as make it sure
    that two alike sets share one of them. Equal hashes of classes of matching size
-   are live; the others are dropped.
+   are live; the others are dropped. Hashes that the very same classes share are one.
 3. The classes of each live hash are joined by a signature tree over their bitmaps.
-   What passes is a candidate link: a superset of the true links, as a spanning forest.
+   What passes is a candidate link: a superset of the true links, as a spanning forest. First this is
+   done for one hash in ``EARLY``; of the others those need not be looked at whose classes
+   are in one candidate component by then.
 4. The full sets of each candidate component, and no others, are brought together
    and joined by a signature tree again, this time with the exact test.
 5. Connected components of the confirmed links.
@@ -40,7 +42,9 @@ from lodestone.llm.signature_tree import Groups, Similarity, bitmap, join_all, w
 BUCKET_HASHES = 1 << 20
 #: Classes of one live hash, and shingles of one candidate component, that one task takes whole.
 BLOCK_CLASSES, BLOCK_SHINGLES = 16_384, 1 << 21
-#: A worker's memory of which classes it has dealt out already.
+#: One in so many live hashes is joined first.
+EARLY = 16
+#: A worker's memory of which classes it has dealt out already, and of which groups of classes.
 SEEN = 200_000
 
 
@@ -132,9 +136,11 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
 
 
 def _live(scattered: DataFrame, like: Similarity, partitions: int) -> DataFrame:
-    """(token, cls, n) of the hashes that two classes of matching sizes share."""
+    """(token, cls, n) of the hashes that two classes of matching sizes share. A token is a hash of the classes that share it,
+    so that hashes shared by the same classes are one; two unlike groups of one token would just be joined together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
         for group in _runs(batches, ["bucket"]):
             rows = np.frombuffer(b"".join(group.column("packed").to_pylist()), _DEALT)
             rows = rows[np.lexsort((rows["cls"], rows["n"], rows["token"]))]
@@ -143,13 +149,25 @@ def _live(scattered: DataFrame, like: Similarity, partitions: int) -> DataFrame:
             near = (rows["token"][1:] == rows["token"][:-1]) & like.sizes(n[:-1], n[1:])
             live = np.append(near, False) | np.append(False, near)
             rows = rows[live]
-            yield pa.RecordBatch.from_arrays([pa.array(rows["token"].copy().view(np.int64)), pa.array(rows["cls"].copy()), pa.array(rows["n"].copy())], ["token", "cls", "n"])
+            if not len(rows):
+                continue
+            first = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
+            many = np.diff(np.append(first, len(rows)))
+            token = mix64(np.add.reduceat(mix64(np.ascontiguousarray(rows["cls"]).view(np.uint64)), first) + many.astype(np.uint64))
+            _, fresh = np.unique(token, return_index=True)
+            fresh = fresh[~np.isin(token[fresh], seen)]
+            if len(seen) < SEEN:
+                seen = np.concatenate([seen, token[fresh]])
+            kept = np.zeros(len(first), bool)
+            kept[fresh] = True
+            own = np.repeat(kept, many)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(token, many)[own].view(np.int64)), pa.array(rows["cls"][own].copy()), pa.array(rows["n"][own].copy())], ["token", "cls", "n"])
 
-    return scattered.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "token long, cls long, n int")
+    return scattered.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "token long, cls long, n int").distinct()
 
 
 def _linked(rows: DataFrame, key: str, weight: str, limit: int, join: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
-    """The links that ``join`` finds among the classes of each key of ``rows`` (key, cls, weight, ...).
+    """The links that ``join`` finds among the classes of each key of ``rows`` (key, cls, weight, ..., and ``known`` if there is one).
 
     ``join`` takes rows with (x, y), which together with the key name a task, and ``known``, a class that a
     class is linked with already; its second argument says whether it is called more than once. A key of more than ``limit`` weight is joined in blocks:
@@ -158,12 +176,14 @@ def _linked(rows: DataFrame, key: str, weight: str, limit: int, join: Callable[[
     it has blocks, not as many as these have pairs; and no pair of groups is left out.
     """
     none = F.lit(None).cast("long")
+    if "known" not in rows.columns:
+        rows = rows.withColumn("known", none)
     total = rows.groupBy(key).agg(F.sum(weight).alias("_w"))
     large = durable(total.where(F.col("_w") > limit).select(key))
-    links = join(rows.join(small(large), key, "left_anti").withColumns({"x": F.lit(0), "y": F.lit(0), "known": none}), False)
+    links = join(rows.join(small(large), key, "left_anti").withColumns({"x": F.lit(0), "y": F.lit(0)}), False)
     if large.isEmpty():
         return links
-    links, rows = durable(links), durable(rows.join(small(large), key))
+    links, rows = durable(links), durable(rows.drop("known").join(small(large), key))
 
     def cut(part: DataFrame) -> DataFrame:
         """``part`` with ``b``, the block of each class, and ``m``, the number of its key's blocks."""
@@ -289,8 +309,13 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
     dealt = sketches.agg(F.sum(F.octet_length("first"))).first()[0] or 0
     buckets = max(8 * partitions, -(-dealt // (8 * BUCKET_HASHES)))
     live = durable(_live(_scatter(sketches, buckets), like, partitions))
-    labels = components(_candidates(live, sketches, like, partitions))
-    labels = durable(labels)
+    late = F.pmod("token", F.lit(EARLY)) != 0
+    early = durable(_candidates(live.where(~late), sketches, like, partitions))
+    known = components(early).select(F.col("node").alias("cls"), F.col("label").alias("_label"))
+    rest = durable(live.where(late).join(known, "cls", "left").select("token", "cls", "n", F.coalesce("_label", "cls").alias("known")))
+    apart = rest.groupBy("token").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high").select("token")
+    links = early.union(_candidates(rest.join(small(durable(apart)), "token", "left_semi"), sketches, like, partitions))
+    labels = durable(components(links))
     sizes = sketches.select("cls", "n").join(labels.select(F.col("node").alias("cls"), "label"), "cls").distinct()
     links = _confirmed(_full_sets(rows, sketches, labels, words), durable(sizes), like, partitions)
     parts = durable(components(links))
