@@ -376,6 +376,12 @@ def test_wrapped_headers_and_whole_licence_files(spark):
     }
 
 
+def test_licences_of_one_family_are_told_apart(spark):
+    rows = [(k, f"d{k}/a.c", "/*\n * A tool.\n" + "\n".join(f" * {x}" for x in textwrap.wrap(t, 60)) + "\n */\nint main;") for k, (_, t) in enumerate(TEMPLATES)]
+    got = {r.doc_id: r.own_licence for r in licences(spark.createDataFrame(rows + [(100 + k, f"q/{k}", f"file {k} of other words") for k in range(30)], "doc_id long, path string, text string")).collect()}
+    assert {k: got[k] for k in range(len(TEMPLATES))} == {k: n for k, (n, _) in enumerate(TEMPLATES)}
+
+
 def test_runs_equal_every_run_by_brute_force(spark):
     rng = random.Random(8)
     known = [("X", "a b c d e f g"), ("Y", "f g h i"), ("Z", "a j")]
