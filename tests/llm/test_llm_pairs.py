@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.llm import ngram_jaccard
 from lodestone.llm.components import components
 from lodestone.llm.decontamination import clean, contamination
 from lodestone.llm.ngram_jaccard import near_duplicates, one_of_each
@@ -92,6 +93,15 @@ def test_many_near_copies(spark):
     assert {r.component_id for r in near_duplicates(df).collect()} == {0}
 
 
+@pytest.mark.parametrize("early", [2, 1 << 20])
+def test_order_of_hashes_does_not_matter(spark, monkeypatch, early):
+    monkeypatch.setattr(ngram_jaccard, "EARLY", early)
+    docs = corpus(7)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
+    own = sets(docs)
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == dict(enumerate(brute(list(range(len(docs))), own)))
+
+
 def test_jaccard_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (7, None), (None, None)], "doc_id int, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect()), key=str)
@@ -237,7 +247,6 @@ def test_rules_on_an_empty_table(spark):
 
 @pytest.mark.parametrize("classes, shingles", [(3, 300), (7, 2000)])
 def test_blocks_lose_no_link(spark, monkeypatch, classes, shingles):
-    from lodestone.llm import ngram_jaccard
 
     monkeypatch.setattr(ngram_jaccard, "BLOCK_CLASSES", classes)
     monkeypatch.setattr(ngram_jaccard, "BLOCK_SHINGLES", shingles)
