@@ -3,7 +3,9 @@
 1. Each text becomes the set of its k-word shingles (64-bit hashes). Texts of one
    set are one class, named by a hash of the set.
 2. Of each class only the smallest hashes are dealt out: as many as make it sure
-   that two alike sets share one of them. Equal hashes of classes of matching size
+   that two alike sets share one of them. Hashes that a great many classes deal out, such as
+   those of a passage that many texts share, are then put last in the order of all hashes, and dealt
+   only by sets that hold little else. Equal hashes of classes of matching size
    are live; the others are dropped. Hashes that the very same classes share are one.
 3. The classes of each live hash are joined by a signature tree over their bitmaps.
    What passes is a candidate link: a superset of the true links, as a spanning forest. First this is
@@ -42,6 +44,11 @@ from lodestone.llm.signature_tree import Groups, Similarity, bitmap, join_all, w
 BUCKET_HASHES = 1 << 20
 #: Classes of one live hash, and shingles of one candidate component, that one task takes whole.
 BLOCK_CLASSES, BLOCK_SHINGLES = 16_384, 1 << 21
+#: A hash is frequent if ``BLOCK_CLASSES`` classes or more deal it out, and more than one in so many of what is dealt out; so
+#: there are at most so many of them, 8 bytes each. ``ROUNDS`` times at most frequent hashes are put last and dealt anew.
+FREQUENT, ROUNDS = 1 << 17, 3
+#: Hashes that a worker counts at once, and the least count of them that it hands on.
+COUNTED, LEAST = 1 << 22, 16
 #: One in so many live hashes is joined first.
 EARLY = 16
 #: A worker's memory of which classes it has dealt out already, and of which groups of classes.
@@ -68,13 +75,21 @@ def _binary(parts: list[np.ndarray]) -> pa.Array:
     return pa.array([p.tobytes() for p in parts], pa.binary())
 
 
-def _sketches(rows: DataFrame, k: int, like: Similarity) -> DataFrame:
+def _last(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """A sorted set with its frequent hashes last. Alike sets share one of their first hashes in any order that is the same for all."""
+    if not len(frequent):
+        return own
+    there = np.isin(own, frequent)
+    return np.concatenate([own[~there], own[there]])
+
+
+def _sketches(rows: DataFrame, k: int, like: Similarity, frequent: np.ndarray) -> DataFrame:
     """id, key of the text, cls, n, and the first hashes and the bitmap of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, k):
             n = [len(s) for s in sets]
-            first = [s[: len(s) - (like.num * len(s) + like.den - 1) // like.den + 1] for s in sets]
+            first = [_last(s, frequent)[: len(s) - (like.num * len(s) + like.den - 1) // like.den + 1] for s in sets]
             bits = [bitmap(s, width(len(s))) if len(s) else s for s in sets]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(n, pa.int32()), _binary(first), _binary(bits)], ["id", "key", "cls", "n", "first", "bits"])
 
@@ -84,34 +99,78 @@ def _sketches(rows: DataFrame, k: int, like: Similarity) -> DataFrame:
 _DEALT = [("token", "<u8"), ("cls", "<i8"), ("n", "<i4")]
 
 
-def _scatter(sketches: DataFrame, buckets: int) -> DataFrame:
-    """The first hashes of all classes by bucket, packed: 8 bytes of the hash, 8 of the class, 4 of its size."""
+def _dealers(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The first hashes of the classes of batches, each class once as far as a worker remembers."""
+    seen: set[int] = set()
+    for batch in batches:
+        cls, first = batch.column("cls").to_pylist(), batch.column("first").to_pylist()
+        fresh = {c: r for r, c in enumerate(cls) if c not in seen}
+        if len(seen) < SEEN:
+            seen.update(fresh)
+        if not fresh:
+            continue
+        at = list(fresh.values())
+        tokens = np.frombuffer(b"".join(first[r] for r in at), np.uint64)
+        each = np.array([len(first[r]) // 8 for r in at])
+        packed = np.zeros(len(tokens), _DEALT)
+        packed["token"] = tokens
+        packed["cls"] = np.repeat(np.array(list(fresh), np.int64), each)
+        packed["n"] = np.repeat(batch.column("n").to_numpy()[at], each)
+        yield packed
+
+
+def _frequent(sketches: DataFrame, dealt: int) -> np.ndarray:
+    """The frequent ones of ``dealt`` first hashes, sorted. Counts of less than ``LEAST`` in ``COUNTED`` hashes are left out of the sums:
+    a hash just above the bound may be overlooked by that, and is then joined in blocks like any other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            cls, first = batch.column("cls").to_pylist(), batch.column("first").to_pylist()
-            fresh = {c: r for r, c in enumerate(cls) if c not in seen}
-            if len(seen) < SEEN:
-                seen.update(fresh)
-            if not fresh:
-                continue
-            at = list(fresh.values())
-            tokens = np.frombuffer(b"".join(first[r] for r in at), np.uint64)
-            each = np.array([len(first[r]) // 8 for r in at])
-            bucket = (mix64(tokens.copy()) >> np.uint64(16)).astype(np.int64) % buckets
-            packed = np.zeros(len(tokens), _DEALT)
-            packed["token"] = tokens
-            packed["cls"] = np.repeat(np.array(list(fresh), np.int64), each)
-            packed["n"] = np.repeat(batch.column("n").to_numpy()[at], each)
+        def add_up(held: list[np.ndarray]) -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate(held), return_counts=True)
+            many = n >= LEAST
+            return pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["token", "n"])
+
+        held, total = [], 0
+        for packed in _dealers(batches):
+            held.append(packed["token"].copy())
+            total += len(packed)
+            if total > COUNTED:
+                yield add_up(held)
+                held, total = [], 0
+        if held:
+            yield add_up(held)
+
+    most = max(BLOCK_CLASSES, dealt // FREQUENT)
+    counts = sketches.where("n > 0").select("cls", "n", "first").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return np.sort(counts.where(F.col("n") > most).select("token").toArrow().column("token").to_numpy().view(np.uint64))
+
+
+def _scatter(sketches: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
+    """The first hashes of all classes by bucket, packed: 8 bytes of the hash, 8 of the class, 4 of its size. Frequent ones are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packed in _dealers(batches):
+            if len(frequent):
+                packed = packed[~np.isin(packed["token"], frequent)]
+            bucket = (mix64(packed["token"].copy()) >> np.uint64(16)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             held, cut = np.unique(bucket[order], return_index=True)
-            parts = np.split(packed[order], cut[1:])
+            parts = np.split(packed[order], cut[1:]) if len(packed) else []
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), _binary(parts)], ["bucket", "packed"])
 
     return sketches.where("n > 0").select("cls", "n", "first").mapInArrow(run, "bucket long, packed binary")
 
 
+def _live_at_once(sketches: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(token, cls, n) of the frequent hashes that are dealt out all the same. That they are shared is known, so that they need not meet in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packed in _dealers(batches):
+            packed = packed[np.isin(packed["token"], frequent)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed["token"].copy().view(np.int64)), pa.array(packed["cls"].copy()), pa.array(packed["n"].copy())], ["token", "cls", "n"])
+
+    return sketches.where("n > 0").select("cls", "n", "first").mapInArrow(run, "token long, cls long, n int").distinct()
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The rows of each key of batches that are sorted by the keys."""
     held: list[pa.RecordBatch] = []
@@ -305,10 +364,17 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     like = Similarity(num, den)
     rows = _rows(docs, id_col, text_col)
-    sketches = durable(_sketches(rows, words, like))
-    dealt = sketches.agg(F.sum(F.octet_length("first"))).first()[0] or 0
-    buckets = max(8 * partitions, -(-dealt // (8 * BUCKET_HASHES)))
-    live = durable(_live(_scatter(sketches, buckets), like, partitions))
+    frequent = np.zeros(0, np.uint64)
+    for turn in range(ROUNDS + 1):
+        sketches = durable(_sketches(rows, words, like, frequent))
+        dealt = (sketches.agg(F.sum(F.octet_length("first"))).first()[0] or 0) // 8
+        fresh = np.setdiff1d(_frequent(sketches, dealt), frequent) if turn < ROUNDS else frequent[:0]
+        if not len(fresh):
+            break
+        frequent = np.union1d(frequent, fresh)
+    buckets = max(8 * partitions, -(-dealt // BUCKET_HASHES))
+    live = _live(_scatter(sketches, buckets, frequent), like, partitions)
+    live = durable(live.union(_live_at_once(sketches, frequent)) if len(frequent) else live)
     late = F.pmod("token", F.lit(EARLY)) != 0
     early = durable(_candidates(live.where(~late), sketches, like, partitions))
     known = components(early).select(F.col("node").alias("cls"), F.col("label").alias("_label"))

@@ -259,3 +259,38 @@ def test_blocks_lose_no_link(spark, monkeypatch, classes, shingles):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
     assert got == dict(enumerate(brute(list(range(len(docs))), sets(docs))))
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_frequent_hashes_are_put_last(spark, monkeypatch, rounds):
+    """Passages that many different texts share, and a large group of near copies, beside other near copies."""
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(50)]
+    own = [[f"d{k}x{j}" for j in range(rng.choice([30, 80, 130]))] for k in range(30)]
+    docs = [" ".join(w[: len(w) // 2] + passage + w[len(w) // 2 :]) for w in own]
+    docs += [" ".join(variant(rng, docs[k].split(), 1)) for k in range(0, 30, 3)]
+    docs += [" ".join(variant(rng, passage, n)) for n in (0, 0, 1, 1, 2)]  # little but the passage
+    base = [f"b{k}" for k in range(90)]
+    docs += [" ".join(variant(rng, base, rng.choice([0, 1, 1, 2]))) for _ in range(25)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(ngram_jaccard, "LEAST", 1)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_CLASSES", 6)
+    monkeypatch.setattr(ngram_jaccard, "FREQUENT", 1 << 9)
+    monkeypatch.setattr(ngram_jaccard, "ROUNDS", rounds)
+    turns, sketch = [], ngram_jaccard._sketches
+    monkeypatch.setattr(ngram_jaccard, "_sketches", lambda *a: turns.append(a[3]) or sketch(*a))
+    got = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    assert got == dict(enumerate(brute(list(range(len(docs))), sets(docs))))
+    assert len(turns[0]) == 0 < len(turns[1])
+
+
+def test_passages_no_longer_deal_out_every_text(spark, monkeypatch):
+    passage = [f"p{k}" for k in range(40)]
+    docs = [" ".join([f"d{k}x{j}" for j in range(200)] + passage) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    monkeypatch.setattr(ngram_jaccard, "LEAST", 1)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_CLASSES", 10)
+    dealt, live = [], ngram_jaccard._candidates
+    monkeypatch.setattr(ngram_jaccard, "_candidates", lambda rows, *a: dealt.extend(r["count"] for r in rows.groupBy("token").count().collect()) or live(rows, *a))
+    assert {r.component_id for r in near_duplicates(df).collect()} == set(range(40))
+    assert max(dealt, default=0) <= 10
