@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,20 +13,41 @@ from pyspark.sql import types as T
 BROADCAST_KEYS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share, and read from there.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is set and the master is local, as
-    in tests on one machine, a temporary one is made. Spark removes a checkpoint once nothing refers to it
-    if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
-    """
-    context = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the session's ``spark.checkpoint.dir``. Only where none is set and the master is
+    local, as in tests on one machine, a temporary one is made."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet under the checkpoint folder, which all executors share, and read from there.
+
+    What is read back has the size of its files as its estimate, whatever was estimated for the plan that made it, so that cuts
+    in a loop do not carry estimates on, and tables that have become small are broadcast. Columns are written by number: names may
+    clash or hold any character. ``forget`` removes what a loop no longer needs.
+    """
+    spark, names = df.sparkSession, df.columns
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)]
+    df.toDF(*(f.name for f in fields)).write.parquet(path)
+    out = spark.read.schema(T.StructType(fields)).parquet(path).toDF(*names)
+    out._durable = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Removes the files of tables that ``durable`` gave and that nothing will read any more."""
+    for df in tables:
+        if path := getattr(df, "_durable", None):
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def _row_bytes(df: DataFrame):
