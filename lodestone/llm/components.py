@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.durable import durable
+from lodestone.operators.durable import durable, forget
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,11 +24,12 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b; 64-bit integers), where label is the
     smallest node that can be reached. The number of rounds grows with the logarithm
-    of the longest path; each is written to the checkpoint folder."""
+    of the longest path; each is written to the checkpoint folder, and the one before it removed."""
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
-        now = durable(_stars(_stars(now, True), False))
+        before, now = now, durable(_stars(_stars(now, True), False))
+        forget(before)
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
         if seen == state or not seen[0]:
             break
