@@ -97,6 +97,28 @@ def _sketches(rows: DataFrame, k: int, like: Similarity, frequent: np.ndarray) -
 
 
 _DEALT = [("token", "<u8"), ("cls", "<i8"), ("n", "<i4")]
+#: The same as it is shuffled: six bytes of the hash, of which the bucket gives some more, and three of the size.
+_SENT = [("token", "u1", 6), ("cls", "<i8"), ("n", "u1", 3)]
+
+
+def _sent(packed: np.ndarray) -> np.ndarray:
+    """Hashes that are cut short may be taken for equal, and sizes from 2^24 on for near ones: that only adds candidates."""
+    out = np.zeros(len(packed), _SENT)
+    out["token"] = np.ascontiguousarray(packed["token"]).view(np.uint8).reshape(-1, 8)[:, :6]
+    out["cls"] = packed["cls"]
+    out["n"] = np.minimum(packed["n"], (1 << 24) - 1).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return out
+
+
+def _received(raw: bytes) -> np.ndarray:
+    sent = np.frombuffer(raw, _SENT)
+    out = np.zeros(len(sent), _DEALT)
+    out["cls"] = sent["cls"]
+    for name, size in (("token", 6), ("n", 3)):
+        wide = np.zeros((len(sent), out[name].itemsize), np.uint8)
+        wide[:, :size] = sent[name]
+        out[name] = wide.view(out[name].dtype)[:, 0]
+    return out
 
 
 def _dealers(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -145,7 +167,7 @@ def _frequent(sketches: DataFrame, dealt: int) -> np.ndarray:
 
 
 def _scatter(sketches: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
-    """The first hashes of all classes by bucket, packed: 8 bytes of the hash, 8 of the class, 4 of its size. Frequent ones are left out."""
+    """The first hashes of all classes by bucket, packed as in ``_SENT``. Frequent ones are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for packed in _dealers(batches):
@@ -154,7 +176,7 @@ def _scatter(sketches: DataFrame, buckets: int, frequent: np.ndarray) -> DataFra
             bucket = (mix64(packed["token"].copy()) >> np.uint64(16)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             held, cut = np.unique(bucket[order], return_index=True)
-            parts = np.split(packed[order], cut[1:]) if len(packed) else []
+            parts = np.split(_sent(packed[order]), cut[1:]) if len(packed) else []
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), _binary(parts)], ["bucket", "packed"])
 
     return sketches.where("n > 0").select("cls", "n", "first").mapInArrow(run, "bucket long, packed binary")
@@ -201,7 +223,7 @@ def _live(scattered: DataFrame, like: Similarity, partitions: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
         for group in _runs(batches, ["bucket"]):
-            rows = np.frombuffer(b"".join(group.column("packed").to_pylist()), _DEALT)
+            rows = _received(b"".join(group.column("packed").to_pylist()))
             rows = rows[np.lexsort((rows["cls"], rows["n"], rows["token"]))]
             rows = rows[np.append(True, rows[1:] != rows[:-1])]
             n = rows["n"].astype(np.int64)
