@@ -54,10 +54,13 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_TOKEN))
 
 
+def named(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once: the one element of an array stands for its name."""
+    return F.transform(F.array(value), use)[0]
+
+
 def runs(words: Column) -> Column:
-    """(word, n) for each distinct element of an array, counted within the row, so that nothing is shuffled for it. Arrays of one
-    element stand for names: what they hold is worked out once."""
-    named = lambda value, use: F.transform(F.array(value), use)[0]
+    """(word, n) for each distinct element of an array, counted within the row, so that nothing is shuffled for it."""
 
     def of(s: Column) -> Column:
         places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
@@ -67,6 +70,11 @@ def runs(words: Column) -> Column:
     return named(F.sort_array(words), of)
 
 
+def postings(text: Column) -> Column:
+    """(word, n, length) for each distinct word of a text, with the number of all of its words. The text is cut up once."""
+    return named(tokens(text), lambda s: F.transform(runs(s), lambda r: F.struct(r["word"].alias("word"), r["n"].alias("n"), F.size(s).cast("long").alias("length"))))
+
+
 def media_type(filename: Column) -> Column:
     """By the suffix of the last path part; null if it is not a supported one."""
     name = F.regexp_extract(filename, r"([^/]*)$", 1)

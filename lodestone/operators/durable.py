@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 BROADCAST_KEYS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: the session's ``spark.checkpoint.dir``. Only where none is set and the master is
     local, as in tests on one machine, a temporary one is made."""
     context = spark.sparkContext
@@ -33,7 +33,7 @@ def durable(df: DataFrame) -> DataFrame:
     clash or hold any character. ``forget`` removes what a loop no longer needs.
     """
     spark, names = df.sparkSession, df.columns
-    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)]
     df.toDF(*(f.name for f in fields)).write.parquet(path)
     out = spark.read.schema(T.StructType(fields)).parquet(path).toDF(*names)

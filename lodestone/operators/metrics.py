@@ -169,11 +169,23 @@ def as_metric_rows(wide: DataFrame, keys: list[str], metrics: list[str]) -> Data
 
 
 def trace_summary(documents: DataFrame) -> DataFrame:
-    """One row: counts, the failed files, fragments, and times of uploads and processing (zeros left out)."""
+    """One row: counts, fragments, and times of uploads and processing (zeros left out). Times stay where they are: their
+    median and high ranks are found by ``values_at``. ``trace_failures`` lists the failed files."""
     done = F.col("status") == "succeeded"
     busy = F.when(done & (F.col("processing_s") != 0), F.col("processing_s"))
-    return documents.agg(
-        F.count("*").alias("documents"), F.sum(done.cast("int")).alias("indexed"), F.array_sort(F.collect_list(F.when(~done, F.col("file")))).alias("failed"),
-        F.sum(F.when(done, F.col("chunk_count")).otherwise(0)).alias("chunks"), F.round(F.median("upload_ms"), 2).alias("upload_ms_median"),
-        F.round(nearest_rank(F.col("upload_ms"), 0.95), 2).alias("upload_ms_p95"), F.round(F.median(busy), 3).alias("processing_s_median"), F.round(F.coalesce(F.sum(busy), F.lit(0.0)), 3).alias("processing_s_total"),
+    rows = documents.select(F.lit(0).alias("all"), done.alias("done"), "chunk_count", F.col("upload_ms").cast("double").alias("upload_ms"), busy.cast("double").alias("busy"))
+    counts = rows.agg(
+        F.count("*").alias("documents"), F.coalesce(F.sum(F.col("done").cast("int")), F.lit(0)).alias("indexed"), F.coalesce(F.sum((~F.col("done")).cast("int")), F.lit(0)).alias("failed"),
+        F.coalesce(F.sum(F.when(F.col("done"), F.col("chunk_count"))), F.lit(0)).alias("chunks"), F.round(F.coalesce(F.sum("busy"), F.lit(0.0)), 3).alias("processing_s_total"), F.lit(0).alias("all"),
     )
+    middle = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.ceil((n - 1) / 2)}
+    upload = values_at(rows, "all", "upload_ms", middle | {"p95": lambda n: F.bround(F.lit(0.95) * (n - 1), 0)})
+    upload = upload.select("all", F.round((F.col("low") + F.col("high")) / 2, 2).alias("upload_ms_median"), F.round("p95", 2).alias("upload_ms_p95"))
+    process = values_at(rows, "all", "busy", middle).select("all", F.round((F.col("low") + F.col("high")) / 2, 3).alias("processing_s_median"))
+    # one row each
+    return counts.join(F.broadcast(upload), "all", "left").join(F.broadcast(process), "all", "left").drop("all")
+
+
+def trace_failures(documents: DataFrame) -> DataFrame:
+    """(file): the files that failed, any number of them."""
+    return documents.where("status <> 'succeeded'").select("file")

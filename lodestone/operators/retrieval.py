@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.scalars import token_count, tokens
+from lodestone.functions.scalars import postings, token_count, tokens
 from lodestone.operators.durable import durable, small
 from lodestone.operators.vectors import nearest
 
@@ -18,8 +18,6 @@ PENALTY, OVERSAMPLING = 0.05, 3
 BM25_K1, BM25_B, RRF_K = 1.2, 0.75, 60
 #: Documents that are broadcast to filter vectors; more are joined by a shuffle.
 BROADCAST_DOCUMENTS = 200_000
-#: Words of a query, the weightiest, that give a first bound of its best scores.
-FIRST_WORDS = 4
 #: Entities of a context that are paired in one task.
 CONTEXT_BLOCK = 1024
 
@@ -62,45 +60,40 @@ def dense(vectors: DataFrame, documents: DataFrame, chunks: DataFrame, queries:
     return best.select("query_id", "rank", "chunk_id", "document_id", "filename", "knowledge_base_role", "section_path", "page_number", "content", "similarity", "score")
 
 
+def bm25_weight(f: Column, length: Column, df: Column, n: float, average: float, k1: float = BM25_K1, b: float = BM25_B) -> Column:
+    """What one word adds to a document's score: idf = ln(1 + (n - df + 0.5) / (df + 0.5)), times its saturated frequency."""
+    return F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * length / F.lit(average or 1.0)))
+
+
+def asked_words(queries: DataFrame) -> DataFrame:
+    """(query_id, word): the distinct words of each query."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).distinct()
+
+
+def ranked(scores: DataFrame, top_k: int, id_col: str) -> DataFrame:
+    """``scores`` (query_id, id, score) with ``rank``: the ``top_k`` highest scores of each query, of equal ones the least id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str = "doc_id", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """(query_id, id, score, rank) by BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)). ``docs`` has the id and text,
-    ``queries`` query_id and text; a query's repeated words count once.
+    """(query_id, id, score, rank) by BM25. ``docs`` has the id and text, ``queries`` query_id and text; a query's repeated words
+    count once.
+
+    Each text is cut into words once, and leaves its row only as the queries' words with their counts; a word's weight is then
+    worked out once for each document that has it, not for each query, and sums are combined before they are shuffled.
 
-    Postings are kept only of the queries' words; lengths and document counts are over all documents. Not every document that has
-    some word of a query is scored: the weightiest words of a query give a score that its ``top_k`` best reach, and
-    words that cannot reach it even together, such as stop words, bring no document in; they only add to those that another word has brought in.
+    A null text has no words; rows of one id add up; of equal scores the least id comes first; queries without a word of any document, and
+    empty tables, give no rows. For repeated searches over one collection see ``inverted``.
     """
     totals = docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(token_count(F.col("text")), F.lit(0))).alias("average")).first()
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).distinct()
-    words = asked.select("word").distinct()
-    # an outer explode: for an inner one Catalyst adds a filter that cuts each text up once more
-    counted = docs.select(id_col, token_count(F.col("text")).alias("length"), F.explode_outer(tokens(F.col("text"))).alias("word"))
-    postings = durable(counted.join(words, "word", "left_semi").groupBy(id_col, "length", "word").agg(F.count("*").alias("f")))
-    df = postings.groupBy("word").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (totals.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / F.lit(totals.average or 1.0)))
-    weighed = durable(postings.join(df, "word").select("word", id_col, weight.alias("w")))
-    most = weighed.groupBy("word").agg(F.max("w").alias("most"))
-    heavy = Window.partitionBy("query_id").orderBy(F.desc("most"), "word")
-    asked = asked.join(most, "word").withColumn("place", F.row_number().over(heavy))
-
-    def sums(of: DataFrame) -> DataFrame:
-        return weighed.join(of.select("query_id", "word"), "word").groupBy("query_id", id_col).agg(F.sum("w").alias("s"))
-
-    def ranked(scores: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-        return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
-
-    reached = ranked(sums(asked.where(F.col("place") <= FIRST_WORDS)).withColumnRenamed("s", "score")).where(F.col("rank") == top_k).select("query_id", F.col("score").alias("least"))
-    light = Window.partitionBy("query_id").orderBy("most", F.desc("word"))
-    # a margin keeps documents that tie with the least score
-    bounded = asked.withColumn("together", F.sum("most").over(light)).join(reached, "query_id", "left").withColumn("brings", F.coalesce(F.col("together") * (1 + 1e-9) + 1e-8 >= F.col("least"), F.lit(True)))
-    bounded = durable(bounded)
-    rest = bounded.where(~F.col("brings")).groupBy("query_id").agg(F.max("together").alias("more"), F.max("least").alias("least"))
-    found = sums(bounded.where("brings")).join(rest, "query_id", "left")
-    found = durable(found.where("more IS NULL OR (s + more) * (1 + 1e-9) + 1e-8 >= least").select("query_id", id_col, "s"))
-    added = found.join(bounded.where(~F.col("brings")).select("query_id", "word"), "query_id").join(weighed, ["word", id_col]).select("query_id", id_col, F.col("w").alias("s"))
-    return ranked(found.unionByName(added).groupBy("query_id", id_col).agg(F.round(F.sum("s"), 9).alias("score")))
+    asked = durable(asked_words(queries))
+    each = docs.select(id_col, F.explode(postings(F.col("text"))).alias("p")).select(id_col, "p.word", F.col("p.n").alias("f"), "p.length")
+    held = durable(each.join(small(asked.select("word").distinct()), "word", "left_semi"))
+    df = durable(held.groupBy("word").agg(F.count("*").alias("df")))
+    weighed = held.join(small(df), "word").select("word", id_col, bm25_weight(F.col("f"), F.col("length"), F.col("df"), totals.n, totals.average, k1, b).alias("w"))
+    sums = weighed.join(small(asked), "word").groupBy("query_id", id_col).agg(F.round(F.sum("w"), 9).alias("score"))
+    return ranked(sums, top_k, id_col)
 
 
 def fuse(rankings: list[DataFrame], top_k: int, id_col: str, k: int = RRF_K) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Queries and vectors of a block.
-QUERY_BLOCK, VECTOR_BLOCK = 2048, 1 << 20
+#: Queries that are sent to the vectors as they are, and bytes of vectors that a task holds at once for more.
+QUERY_BLOCK, BLOCK_BYTES = 2048, 64 << 20
+#: Distances that a task works out at once.
+DISTANCES = 1 << 22
 
 
 def upsert(vectors: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -44,35 +46,52 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int, id_col: str = "rec
     """(query_id, record_id, distance, rank): of each query (query_id, embedding) the ``top`` vectors of least cosine
     distance, to nine digits, then least id.
 
-    Queries and vectors are dealt into blocks, and every block of queries meets every block of vectors in a cell, which is
-    read in batches: one matrix product for each batch. A cell keeps the best ``top`` of each query, and a window ranks
-    what the cells of a query have kept. Queries that fit one block are sent to the vectors instead, which then stay where they are.
+    Up to ``QUERY_BLOCK`` queries are sent to the vectors, which stay where they are. For more the vectors are dealt once into blocks of ``BLOCK_BYTES``, each held by
+    one task, which the queries stream past: a vector is shuffled once, however many queries there are. A task
+    keeps the best ``top`` of each query, and a window ranks what the tasks have kept.
+
+    Null vectors and queries take no part; a vector without length has distance 1 to any; all vectors have one length, else this raises;
+    rows of one id count each, and queries of one id are one query; no vectors or no queries give no rows.
     """
     kind, record = queries.schema["query_id"], vectors.schema[id_col]
-    found = T.StructType([T.StructField("query_id", kind.dataType), T.StructField("record", record.dataType), T.StructField("distance", T.DoubleType())])
     if top <= 0:
-        return queries.sparkSession.createDataFrame([], T.StructType([*found, T.StructField("rank", T.IntegerType())])).withColumnRenamed("record", id_col)
+        return queries.sparkSession.createDataFrame([], T.StructType([*_found(kind.dataType, record.dataType), T.StructField("rank", T.IntegerType())])).withColumnRenamed("record", id_col)
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("e")).where("e IS NOT NULL")
     rows = vectors.where("embedding IS NOT NULL").select(F.col(id_col).alias("record"), F.col("embedding").cast("array<double>").alias("e"))
     few = asked.limit(QUERY_BLOCK + 1).toArrow()
     if few.num_rows <= QUERY_BLOCK:
-        best = rows.mapInArrow(_search(few.combine_chunks(), top), found)
+        best = rows.mapInArrow(_search(few.combine_chunks(), top), _found(kind.dataType, record.dataType))
     else:
-        best = _cells(rows, asked, rows.count(), asked.count()).mapInArrow(_search(None, top), found)
+        size = rows.agg(F.count("*").alias("n"), F.max(F.size("e")).alias("width")).first()
+        n = block_count(rows, size.n, size.width or 1)
+        own = rows.select(F.pmod(F.xxhash64("record", "e"), F.lit(n)).alias("block"), "record", "e")
+        every = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"), "query_id", "e")
+        best = met(own, every, top)
+    return first(best, top).withColumnRenamed("record", id_col)
+
+
+def _found(query: T.DataType, record: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("query_id", query), T.StructField("record", record), T.StructField("distance", T.DoubleType())])
+
+
+def first(best: DataFrame, top: int) -> DataFrame:
+    """``best`` (query_id, record, distance) with ``rank``, up to ``top``."""
     order = Window.partitionBy("query_id").orderBy("distance", "record")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumnRenamed("record", id_col)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def _cells(rows: DataFrame, asked: DataFrame, n_rows: int, n_asked: int) -> DataFrame:
-    """(x, y, query_id, record, e): the queries of block x and the vectors of block y together, queries first."""
-    across, down = (max(1, -(-n // size)) for n, size in ((n_asked, QUERY_BLOCK), (n_rows, VECTOR_BLOCK)))
-    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-    record, query = (F.lit(None).cast(t) for t in (rows.schema["record"].dataType, asked.schema["query_id"].dataType))
-    left = asked.select(own("query_id", across).alias("x"), blocks(down).alias("y"), "query_id", record.alias("record"), "e")
-    right = rows.select(blocks(across).alias("x"), own("record", down).alias("y"), query.alias("query_id"), "record", "e")
-    both = left.withColumn("late", F.lit(0)).unionByName(right.withColumn("late", F.lit(1)))
-    return both.repartition("x", "y").sortWithinPartitions("x", "y", "late")
+def block_count(rows: DataFrame, n: int, width: int) -> int:
+    """Blocks that n vectors are dealt into: as many as their bytes need, or as there are tasks to share the work."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-8 * n * width // BLOCK_BYTES), min(tasks, n // 4096))
+
+
+def met(rows: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    """(query_id, record, distance): for each query of ``asked`` (block, query_id, e) the best ``top`` vectors of ``rows`` (block, record, e) in its block."""
+    record, query = rows.schema["record"].dataType, asked.schema["query_id"].dataType
+    own = rows.select("block", F.lit(0).alias("late"), F.lit(None).cast(query).alias("query_id"), "record", "e")
+    both = own.unionByName(asked.select("block", F.lit(1).alias("late"), "query_id", F.lit(None).cast(record).alias("record"), "e"))
+    return both.repartition("block").sortWithinPartitions("block", "late").mapInArrow(_search(None, top), _found(query, record))
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -118,7 +137,7 @@ class _Best:
 
 
 def _search(asked: pa.Table | None, top: int):
-    """Of batches of vectors (record, e) the best for the queries ``asked``; without these, of batches of cells."""
+    """Of batches of vectors (record, e) the best for the queries ``asked``; without these, of batches of blocks."""
     names = ["query_id", "record", "distance"]
 
     def of(table: pa.Table | pa.RecordBatch) -> _Best:
@@ -131,28 +150,38 @@ def _search(asked: pa.Table | None, top: int):
             best.look(batch.column("record").to_numpy(zero_copy_only=False), _matrix(batch.column("e")))
         yield from best.rows(names)
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, waiting, best = None, [], None
-
-        def vectors(part: pa.RecordBatch) -> None:
-            nonlocal best
-            if best is None:
-                best = of(pa.Table.from_batches(waiting)) if waiting else _Best(pa.nulls(0), np.zeros((0, 0)), top)
-            best.look(part.column("record").to_numpy(zero_copy_only=False), _matrix(part.column("e")))
-
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, held = None, [], None
         for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in ("x", "y", "late")], 1)
+            key = np.stack([batch.column(c).to_numpy() for c in ("block", "late")], 1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                if (now := tuple(key[a, :2])) != cell:
-                    if best:
-                        yield from best.rows(names)
-                    cell, waiting, best = now, [], None
+                if key[a, 0] != now:
+                    now, waiting, held = key[a, 0], [], None
                 part = batch.slice(a, b - a)
-                vectors(part) if key[a, 2] else waiting.append(part)
-        if best:
-            yield from best.rows(names)
-
-    return given if asked is not None else cells
+                if not key[a, 1]:
+                    waiting.append(part)
+                elif waiting:
+                    if held is None:
+                        table = pa.Table.from_batches(waiting)
+                        held, waiting = (table.column("record").to_numpy(), _matrix(table.column("e"))), [None]
+                    yield from _best_of(part, *held, top)
+
+    return given if asked is not None else blocks
+
+
+def _best_of(part: pa.RecordBatch, records: np.ndarray, unit: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
+    """The best ``top`` of a block for each query of a batch, which may have any number of queries."""
+    asked, step = _matrix(part.column("e")), max(1, DISTANCES // len(records))
+    for a in range(0, len(asked), step):
+        distance = np.round(1 - asked[a : a + step] @ unit.T, 9)
+        where, found = [], []
+        for d in distance:
+            some = np.flatnonzero(d <= np.partition(d, top - 1)[top - 1]) if len(d) > top else np.arange(len(d))
+            order = some[np.lexsort((records[some], d[some]))[:top]]
+            where.append(order)
+            found.append(d[order])
+        each = pa.array(np.repeat(np.arange(a, a + len(distance)), [len(w) for w in where]))
+        yield pa.RecordBatch.from_arrays([part.column("query_id").take(each), pa.array(records[np.concatenate(where)]), pa.array(np.concatenate(found))], ["query_id", "record", "distance"])

@@ -1,8 +1,10 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import scalars as S
 from lodestone.operators import catalog, jobs, metrics, retrieval, validation, vectors
 from lodestone.operators.embedding import hashed_vector
 from lodestone.plans.ingestion import ingest
@@ -91,8 +93,10 @@ def test_nearest_rank(spark):
 
 def test_trace_summary(spark):
     rows = [("a", "succeeded", 3, 10.0, 1.0), ("b", "failed", 0, 30.0, None), ("c", "succeeded", 4, 20.0, 0.0)]
-    got = metrics.trace_summary(spark.createDataFrame(rows, "file string, status string, chunk_count int, upload_ms double, processing_s double")).first()
-    assert (got.documents, got.indexed, got.failed, got.chunks, got.upload_ms_median, got.upload_ms_p95, got.processing_s_median, got.processing_s_total) == (3, 2, ["b"], 7, 20.0, 30.0, 1.0, 1.0)
+    got = metrics.trace_summary(spark.createDataFrame(rows, "file string, status string, chunk_count int, upload_ms double, processing_s double"))
+    assert [r.file for r in metrics.trace_failures(spark.createDataFrame(rows, "file string, status string, chunk_count int, upload_ms double, processing_s double")).collect()] == ["b"]
+    got = got.first()
+    assert (got.documents, got.indexed, got.failed, got.chunks, got.upload_ms_median, got.upload_ms_p95, got.processing_s_median, got.processing_s_total) == (3, 2, 1, 7, 20.0, 30.0, 1.0, 1.0)
 
 
 def test_catalog_filters(spark):
@@ -147,7 +151,7 @@ def test_request_within_bounds():
     retrieval.check_request("OS-2026", "named pipe", 50, "mandatory")
 
 
-def test_nearest_in_cells_equals_one_block(spark, monkeypatch):
+def test_nearest_in_blocks_equals_one_block(spark, monkeypatch):
     import random
 
     rng = random.Random(3)
@@ -156,11 +160,12 @@ def test_nearest_in_cells_equals_one_block(spark, monkeypatch):
     queries = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(5)]) for k in range(40)], "query_id int, embedding array<double>")
     whole = sorted(map(tuple, vectors.nearest(table, queries, 7).collect()))
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 6)
-    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 50)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 50 * 8 * 5)
+    monkeypatch.setattr(vectors, "DISTANCES", 100)
     assert sorted(map(tuple, vectors.nearest(table, queries, 7).collect())) == whole and len(whole) == 280
 
 
-def test_pruned_bm25_equals_all_scores(spark):
+def test_bm25_equals_all_scores(spark):
     import random
 
     rng = random.Random(4)
@@ -201,3 +206,16 @@ def test_graph_of_large_contexts(spark, monkeypatch):
     edges, vertices = retrieval.cooccurrence(spark.createDataFrame(rows, "c string, e string"), "c", "e")
     assert {(r.a, r.b): r.weight for r in edges.collect()} == {(a, b): 1 + (a == "e1" and b == "e2") for a in sorted({e for _, e in rows}) for b in sorted({e for _, e in rows}) if a < b}
     assert {r.entity: (r.degree, r.strength) for r in vertices.collect()}["e1"] == (10, 11)
+
+
+def test_bm25_cuts_each_text_once(spark):
+    long = " ".join(f"word{k % 977}" for k in range(200_000))
+    docs = spark.createDataFrame([(1, long), (2, "word1 word2"), (3, None), (3, "word5"), (3, "word5 word5")], "doc_id long, text string").selectExpr("*", "'x' AS word", "1 AS score")
+    asked = spark.createDataFrame([(1, "word1 WORD5 word976"), (2, ""), (3, "nowhere"), (4, None)], "query_id int, text string")
+    began = time.monotonic()
+    got = {(r.query_id, r.doc_id): r["rank"] for r in retrieval.bm25(docs, asked, 5).collect()}
+    assert sorted(got) == [(1, 1), (1, 2), (1, 3)] and time.monotonic() - began < 60
+    plan = docs.select("doc_id", F.explode(S.postings(F.col("text"))).alias("p")).select("doc_id", "p.*")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert "regexp_extract_all" not in above and plan.count("regexp_extract_all") == below.count("regexp_extract_all") >= 1
+    assert retrieval.bm25(docs.limit(0), asked, 5).count() == retrieval.bm25(docs, asked.limit(0), 5).count() == 0
