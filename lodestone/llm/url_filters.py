@@ -7,12 +7,15 @@ four bytes of its SHA-256; the whole digest then confirms it, and of the confirm
 
 Defined results: a URL that is null or has no ``://`` has an empty host and path
 and gets the default verdict; so does a URL that no rule fits. A rule without a host, path or verdict, or of an empty
-host, fits nothing. Equal URLs are judged once and every row gets its verdict, however long they are; other columns
+host, fits nothing. Rules may be of any number of
+lengths. Equal URLs are judged once and every row gets its verdict, however long they are; other columns
 are kept unless their names are those of the result, which replace them.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +44,13 @@ def labels_of(host: Column) -> Column:
     return F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
 
 
-def expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
-    """The expressions of one URL: for each of ``shapes``, a number of labels and a length, the last labels of the host and the
-    beginning of the path, if they have so many."""
-    labels, size = labels_of(host), F.length(path)
-    each = [F.when((labels >= n) & (size >= m), expression(F.substring_index(host, ".", -n), F.left(path, F.lit(m)))) for n, m in shapes]
-    return F.array_compact(F.array(*each)) if each else F.array().cast("array<string>")
+def digests(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """The digests of the expressions of one URL: for each of ``shapes``, a number of labels and a length, of the last labels of the host and the
+    beginning of the path, if they have so many. The shapes are one constant, so that the plan is as small for many as for few."""
+    every = F.from_json(F.lit(json.dumps([{"n": n, "m": m} for n, m in shapes])), "array<struct<n:int,m:int>>")
+    tail = lambda n: F.call_function("substring_index", host, F.lit("."), -n)
+    fits = F.filter(every, lambda s: (labels_of(host) >= s["n"]) & (F.length(path) >= s["m"]))
+    return F.transform(fits, lambda s: F.sha2(expression(tail(s["n"]), F.left(path, s["m"])), 256))
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -63,8 +67,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url_col: str = "url", defau
     table = small(durable(table), BROADCAST_RULES)
     urls = pages.select(F.col(url_col).alias("_url")).where(F.col("_url").isNotNull()).distinct()
     urls = urls.select("_url", host_of(F.col("_url")).alias("h"), path_of(F.col("_url")).alias("p")).where("h <> ''")
-    met = urls.select("_url", F.explode_outer(expressions(F.col("h"), F.col("p"), shapes)).alias("expression"))
-    met = met.where("expression IS NOT NULL").select("_url", F.sha2("expression", 256).alias("full")).withColumn("short", F.substring("full", 1, 8))
+    met = urls.select("_url", F.explode(digests(F.col("h"), F.col("p"), shapes)).alias("full")).withColumn("short", F.substring("full", 1, 8))
     best = (
         met.join(table, "short").where("full = digest")
         .groupBy("_url").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best"))

@@ -1,9 +1,9 @@
 """Token counts, byte-level BPE and URL filters against the libraries and by hand."""
 
-import time
 import base64
 import hashlib
 import random
+import time
 
 import duckdb
 import public_tokenizers
@@ -162,3 +162,30 @@ def test_remainders_are_crc32(spark):
 
     df = spark.range(50).select(F.crc32(F.col("id").cast("string").cast("binary")).alias("c"), "id")
     assert all(r.c == zlib.crc32(str(r.id).encode()) for r in df.collect())
+
+
+def test_many_shapes_of_rules(spark):
+    """5,000 rules of 1,000 shapes against trying each, and in about the time that a few rules take."""
+    rng = random.Random(9)
+    name = lambda n: ".".join(rng.choice(["a", "b", "net"]) for _ in range(n))
+    path = lambda n: "/" + "".join(rng.choice("ab") for _ in range(n))
+    rules = {(name(1 + k % 5), path(k // 5 % 200)): rng.choice(["allow", "block"]) for k in range(5000)}
+    assert len({(h.count("."), len(p)) for h, p in rules}) == 1000
+    urls = [f"s://{name(rng.randint(1, 6))}{path(rng.randint(0, 250))}" for _ in range(200)]
+    urls += [f"s://x.{h}{p}{path(3)}" for h, p in rng.sample(sorted(rules), 200)]
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    as_rules = lambda chosen: spark.createDataFrame([(h, p, v) for (h, p), v in chosen], "host string, path string, verdict string")
+
+    def timed(chosen):
+        began = time.monotonic()
+        return {r.url: r.rule for r in url_verdicts(frame, as_rules(chosen)).collect()}, time.monotonic() - began
+
+    few = list(rules.items())[:4]
+    timed(few)
+    _, short = timed(few)
+    got, long = timed(list(rules.items()))
+    for u in urls:
+        host, _, rest = u[4:].partition("/")
+        fits = [h + p for h, p in rules if ("/" + rest).startswith(p) and f".{host}".endswith(f".{h}")]
+        assert got[u] == max(fits, key=lambda r: (len(r), r), default=None)
+    assert long < 2 * short + 5
