@@ -203,7 +203,7 @@ def _trained(rows: DataFrame, frequent: Frequent, heads: int, weights: recurrent
 def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", share: int = LOTS, hidden: int = HIDDEN, frequent: int = FREQUENT) -> DataFrame:
     """For each row its id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
     ``score``, both log10. Rows for which ``held_out`` is true are not learnt from; the others are dealt into ``share`` lots."""
-    rows = in_small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    rows = in_small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = durable(_counted(rows.where(~F.col("held_out")).select("text")))
     # the most frequent words, and a row for each tail class: neither grows with the corpus
     top = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
@@ -216,7 +216,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     weights = recurrent.initial(classes.n, hidden, MEMBERS)
     lot = F.pmod(F.xxhash64("text", F.lit("share")), F.lit(share))
     for k in range(share):
-        weights = _trained(rows.where(~F.col("held_out") & F.col("text").isNotNull() & (lot == k)).select("text"), known, heads, weights)
+        weights = _trained(rows.where(~F.col("held_out") & (lot == k)).select("text"), known, heads, weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId() << 40, 0
