@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
-from lodestone.operators import catalog, chunking, embedding, jobs, metrics, retrieval, validation, vectors
+from lodestone.operators import catalog, chunking, embedding, graph, jobs, metrics, retrieval, validation, vectors
 from lodestone.operators.durable import shared_folder
 from lodestone.operators.inverted import InvertedIndex
 from lodestone.operators.vector_index import VectorIndex
@@ -22,6 +23,7 @@ from lodestone.operators.versioned import Table
 from lodestone.plans.ingestion import ingest
 from lodestone.sources import files as sources
 from lodestone.sources.extract import extract_blocks
+from lodestone.streaming import jobs as job_streams
 from lodestone.streaming.landing import event_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -533,6 +535,30 @@ def entity_graph(spark, sf_dir):
     return retrieval.cooccurrence(table(spark, sf_dir, "events"), "user_id", "event_type")[1]
 
 
+#: Users who did the same thing in the same hour.
+_GRAPH = """WITH RECURSIVE m AS (SELECT DISTINCT event_type || date_trunc('hour', ts) AS c, user_id AS e FROM events), g AS (SELECT a.e AS v, b.e AS u, count(*) AS w FROM m a JOIN m b ON a.c = b.c AND a.e <> b.e GROUP BY a.e, b.e),
+  k AS (SELECT v, sum(w) AS k FROM g GROUP BY v), s AS (SELECT g.v, u, w / k AS share FROM g JOIN k USING (v)), n AS (SELECT count(*) AS n FROM k),
+"""
+
+
+def _meetings(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.concat("event_type", F.date_trunc("hour", "ts").cast("string")).alias("c"), F.col("user_id").alias("e"))
+    return retrieval.cooccurrence(rows, "c", "e")[0]
+
+
+@query(_GRAPH + """r(v, rank, i) AS (SELECT v, 1.0::DOUBLE / n, 0 FROM k, n UNION ALL SELECT s.u, any_value(0.15 / n) + 0.85 * sum(r.rank * s.share), any_value(r.i) + 1 FROM r JOIN s USING (v), n WHERE r.i < 12 GROUP BY s.u)
+  SELECT v AS entity, round(rank, 9) AS rank FROM r WHERE i = 12""")
+def central_users(spark, sf_dir):
+    """Twelve rounds of PageRank over who meets whom."""
+    return graph.pagerank(_meetings(spark, sf_dir), rounds=12, tolerance=0).select("entity", F.round("rank", 9).alias("rank"))
+
+
+@query()
+def user_communities(spark, sf_dir):
+    """Communities of users: an order of moves, which SQL cannot say; the tests hold modularity against every grouping of small graphs."""
+    return graph.communities(_meetings(spark, sf_dir))
+
+
 # measures
 
 
@@ -645,8 +671,12 @@ def all_checks(spark, sf_dir):
 
 
 def _log(spark, sf_dir):
+    return _log_of(table(spark, sf_dir, "events"))
+
+
+def _log_of(events):
     kinds = F.array(*map(F.lit, jobs.STATES))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("log_id"), F.col("user_id").alias("job_id"), F.get(kinds, (F.col("event_id") % 4).cast("int")).alias("event_type"), F.col("ts").alias("recorded_at"))
+    return events.select(F.col("event_id").alias("log_id"), F.col("user_id").alias("job_id"), F.get(kinds, (F.col("event_id") % 4).cast("int")).alias("event_type"), F.col("ts").alias("recorded_at"))
 
 
 _LOG = """WITH log AS (SELECT event_id AS log_id, user_id AS job_id, ['queued', 'running', 'succeeded', 'failed'][event_id % 4 + 1] AS status, ts FROM events)
@@ -670,6 +700,26 @@ def jobs_to_run(spark, sf_dir):
     return jobs.pending(log.select("job_id").distinct(), log)
 
 
+@query(_LOG.replace("WITH log", "WITH RECURSIVE log") + """, e AS (SELECT job_id, log_id, status, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY job_id ORDER BY epoch_us(ts) // 1000, log_id) AS i, (SELECT max(epoch_us(ts) // 1000) - 3600000 FROM log) AS until FROM log WHERE job_id IS NOT NULL AND ts IS NOT NULL),
+  w AS (
+    SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS log_id, CAST(NULL AS VARCHAR) AS st, CAST(NULL AS BIGINT) AS t, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS since, CAST(NULL AS BIGINT) AS lost, CAST(NULL AS BOOLEAN) AS legal FROM e
+    UNION ALL SELECT job_id, i, log_id, st, t, CASE WHEN legal THEN st ELSE old END, CASE WHEN legal THEN CASE WHEN st = 'running' THEN t END ELSE since END, lost, legal
+    FROM (SELECT *, coalesce(CASE coalesce(old, 'none') WHEN 'none' THEN st = 'queued' WHEN 'queued' THEN st = 'running' WHEN 'running' THEN st <> 'queued' END, false) AS legal
+      FROM (SELECT e.job_id, e.i, e.log_id, e.status AS st, e.t, CASE WHEN w.status = 'running' AND w.since + 86400000 <= e.t THEN 'failed' ELSE w.status END AS old, w.since, CASE WHEN w.status = 'running' AND w.since + 86400000 <= e.t THEN w.since + 86400000 END AS lost
+        FROM w JOIN e ON e.job_id = w.job_id AND e.i = w.i + 1 WHERE e.t <= e.until))),
+  last AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY i DESC) AS r FROM w),
+  every AS (SELECT job_id, log_id, st AS status, t, CASE WHEN NOT legal THEN 'ILLEGAL_TRANSITION' END AS problem FROM w WHERE i > 0 UNION ALL SELECT job_id, -1, 'failed', lost, 'JOB_TIMED_OUT' FROM w WHERE lost IS NOT NULL
+    UNION ALL SELECT job_id, -1, 'failed', since + 86400000, 'JOB_TIMED_OUT' FROM last WHERE r = 1 AND status = 'running' AND since + 86400000 <= (SELECT max(until) FROM e))
+  SELECT job_id, CAST(log_id AS BIGINT) AS log_id, status, t AS "at", problem FROM every""")
+def job_state_stream(spark, sf_dir):
+    """The log of jobs as a stream with state: changes, illegal ones, and jobs that run for a day without an end."""
+    events = table(spark, sf_dir, "events")
+    # by a pattern, since a stream takes a plain path for a folder and the table may be one file
+    stream = _log_of(spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]"))
+    out = job_streams.read_to_end(job_streams.job_stream(stream, timedelta(days=1), timedelta(hours=1)), _new_folder(spark))
+    return out.select("job_id", "log_id", "status", F.unix_millis("at").alias("at"), "problem")
+
+
 @query("""SELECT event_id AS job_id, CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN NULL WHEN event_type = 'view' AND user_id % 3 <> 0 THEN NULL ELSE 'VALIDATION_FAILED' END AS error_code FROM events""")
 def dispatch_jobs(spark, sf_dir):
     target = F.col("user_id").cast("string")
