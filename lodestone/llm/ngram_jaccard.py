@@ -96,17 +96,19 @@ def _sketches(rows: DataFrame, k: int, like: Similarity, frequent: np.ndarray) -
     return rows.mapInArrow(run, "id long, key long, cls long, n int, first binary, bits binary")
 
 
-_DEALT = [("token", "<u8"), ("cls", "<i8"), ("n", "<i4")]
-#: The same as it is shuffled: six bytes of the hash, of which the bucket gives some more, and three of the size.
+#: ``inner`` hashes come so early in their set that they are shared with any alike set that is not smaller.
+_DEALT = [("token", "<u8"), ("cls", "<i8"), ("n", "<i4"), ("inner", "?")]
+#: The same as it is shuffled: six bytes of the hash, of which the bucket gives some more, and three of the size and of ``inner``.
 _SENT = [("token", "u1", 6), ("cls", "<i8"), ("n", "u1", 3)]
 
 
 def _sent(packed: np.ndarray) -> np.ndarray:
-    """Hashes that are cut short may be taken for equal, and sizes from 2^24 on for near ones: that only adds candidates."""
+    """Hashes that are cut short may be taken for equal, and sizes from 2^23 on for near ones: that only adds candidates."""
     out = np.zeros(len(packed), _SENT)
     out["token"] = np.ascontiguousarray(packed["token"]).view(np.uint8).reshape(-1, 8)[:, :6]
     out["cls"] = packed["cls"]
-    out["n"] = np.minimum(packed["n"], (1 << 24) - 1).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3]
+    size = np.minimum(packed["n"], (1 << 23) - 1) | np.where(packed["inner"], 1 << 23, 0)
+    out["n"] = size.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3]
     return out
 
 
@@ -118,11 +120,16 @@ def _received(raw: bytes) -> np.ndarray:
         wide = np.zeros((len(sent), out[name].itemsize), np.uint8)
         wide[:, :size] = sent[name]
         out[name] = wide.view(out[name].dtype)[:, 0]
+    out["inner"], out["n"] = out["n"] >> 23, out["n"] & (1 << 23) - 1
     return out
 
 
-def _dealers(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The first hashes of the classes of batches, each class once as far as a worker remembers."""
+def _dealers(batches: Iterator[pa.RecordBatch], like: Similarity) -> Iterator[np.ndarray]:
+    """The first hashes of the classes of batches, each class once as far as a worker remembers.
+
+    Two alike sets have so many common hashes that the first one of these is among the dealt ones of the larger, and among the ``inner`` ones of
+    the smaller: there the sizes' sum is at least twice its own.
+    """
     seen: set[int] = set()
     for batch in batches:
         cls, first = batch.column("cls").to_pylist(), batch.column("first").to_pylist()
@@ -137,11 +144,14 @@ def _dealers(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         packed = np.zeros(len(tokens), _DEALT)
         packed["token"] = tokens
         packed["cls"] = np.repeat(np.array(list(fresh), np.int64), each)
-        packed["n"] = np.repeat(batch.column("n").to_numpy()[at], each)
+        n = batch.column("n").to_numpy()[at]
+        packed["n"] = np.repeat(n, each)
+        inner = n - -(-2 * like.num * n.astype(np.int64) // (like.num + like.den)) + 1
+        packed["inner"] = np.arange(len(tokens)) - np.repeat(np.cumsum(each) - each, each) < np.repeat(inner, each)
         yield packed
 
 
-def _frequent(sketches: DataFrame, dealt: int) -> np.ndarray:
+def _frequent(sketches: DataFrame, dealt: int, like: Similarity) -> np.ndarray:
     """The frequent ones of ``dealt`` first hashes, sorted. Counts of less than ``LEAST`` in ``COUNTED`` hashes are left out of the sums:
     a hash just above the bound may be overlooked by that, and is then joined in blocks like any other."""
 
@@ -152,7 +162,7 @@ def _frequent(sketches: DataFrame, dealt: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(n[many].astype(np.int64))], ["token", "n"])
 
         held, total = [], 0
-        for packed in _dealers(batches):
+        for packed in _dealers(batches, like):
             held.append(packed["token"].copy())
             total += len(packed)
             if total > COUNTED:
@@ -166,11 +176,11 @@ def _frequent(sketches: DataFrame, dealt: int) -> np.ndarray:
     return np.sort(counts.where(F.col("n") > most).select("token").toArrow().column("token").to_numpy().view(np.uint64))
 
 
-def _scatter(sketches: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
+def _scatter(sketches: DataFrame, buckets: int, frequent: np.ndarray, like: Similarity) -> DataFrame:
     """The first hashes of all classes by bucket, packed as in ``_SENT``. Frequent ones are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for packed in _dealers(batches):
+        for packed in _dealers(batches, like):
             if len(frequent):
                 packed = packed[~np.isin(packed["token"], frequent)]
             bucket = (mix64(packed["token"].copy()) >> np.uint64(16)).astype(np.int64) % buckets
@@ -182,11 +192,11 @@ def _scatter(sketches: DataFrame, buckets: int, frequent: np.ndarray) -> DataFra
     return sketches.where("n > 0").select("cls", "n", "first").mapInArrow(run, "bucket long, packed binary")
 
 
-def _live_at_once(sketches: DataFrame, frequent: np.ndarray) -> DataFrame:
+def _live_at_once(sketches: DataFrame, frequent: np.ndarray, like: Similarity) -> DataFrame:
     """(token, cls, n) of the frequent hashes that are dealt out all the same. That they are shared is known, so that they need not meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for packed in _dealers(batches):
+        for packed in _dealers(batches, like):
             packed = packed[np.isin(packed["token"], frequent)]
             yield pa.RecordBatch.from_arrays([pa.array(packed["token"].copy().view(np.int64)), pa.array(packed["cls"].copy()), pa.array(packed["n"].copy())], ["token", "cls", "n"])
 
@@ -217,18 +227,20 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
 
 
 def _live(scattered: DataFrame, like: Similarity, partitions: int) -> DataFrame:
-    """(token, cls, n) of the hashes that two classes of matching sizes share. A token is a hash of the classes that share it,
+    """(token, cls, n) of the hashes that two classes of matching sizes share, for the smaller one as an inner hash. A token is a hash of the classes that share it,
     so that hashes shared by the same classes are one; two unlike groups of one token would just be joined together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
         for group in _runs(batches, ["bucket"]):
             rows = _received(b"".join(group.column("packed").to_pylist()))
-            rows = rows[np.lexsort((rows["cls"], rows["n"], rows["token"]))]
+            rows = rows[np.lexsort((rows["cls"], ~rows["inner"], rows["n"], rows["token"]))]
             rows = rows[np.append(True, rows[1:] != rows[:-1])]
-            n = rows["n"].astype(np.int64)
-            near = (rows["token"][1:] == rows["token"][:-1]) & like.sizes(n[:-1], n[1:])
-            live = np.append(near, False) | np.append(False, near)
+            n, place = rows["n"].astype(np.int64), np.arange(len(rows))
+            # of equal sizes inner ones come first: each meets the next row, and any row the last inner one before it
+            meets = np.append(rows["inner"][:-1] & (rows["token"][1:] == rows["token"][:-1]) & like.sizes(n[:-1], n[1:]), False)
+            last = np.maximum.accumulate(np.append(-1, np.where(rows["inner"], place, -1)))[:-1]
+            live = meets | (last >= 0) & (rows["token"][last] == rows["token"]) & like.sizes(n[last], n)
             rows = rows[live]
             if not len(rows):
                 continue
@@ -390,13 +402,13 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, num: int,
     for turn in range(ROUNDS + 1):
         sketches = durable(_sketches(rows, words, like, frequent))
         dealt = (sketches.agg(F.sum(F.octet_length("first"))).first()[0] or 0) // 8
-        fresh = np.setdiff1d(_frequent(sketches, dealt), frequent) if turn < ROUNDS else frequent[:0]
+        fresh = np.setdiff1d(_frequent(sketches, dealt, like), frequent) if turn < ROUNDS else frequent[:0]
         if not len(fresh):
             break
         frequent = np.union1d(frequent, fresh)
     buckets = max(8 * partitions, -(-dealt // BUCKET_HASHES))
-    live = _live(_scatter(sketches, buckets, frequent), like, partitions)
-    live = durable(live.union(_live_at_once(sketches, frequent)) if len(frequent) else live)
+    live = _live(_scatter(sketches, buckets, frequent, like), like, partitions)
+    live = durable(live.union(_live_at_once(sketches, frequent, like)) if len(frequent) else live)
     late = F.pmod("token", F.lit(EARLY)) != 0
     early = durable(_candidates(live.where(~late), sketches, like, partitions))
     known = components(early).select(F.col("node").alias("cls"), F.col("label").alias("_label"))
