@@ -15,16 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
+from lodestone.functions import tables as table_functions
 from lodestone.operators import catalog, chunking, embedding, graph, jobs, metrics, retrieval, validation, vectors
 from lodestone.operators.durable import shared_folder
 from lodestone.operators.inverted import InvertedIndex
 from lodestone.operators.vector_index import VectorIndex
 from lodestone.operators.versioned import Table
 from lodestone.plans.ingestion import ingest
+from lodestone.plans.reindex import fragment_table, reindex
 from lodestone.sources import files as sources
 from lodestone.sources.extract import extract_blocks
 from lodestone.streaming import jobs as job_streams
 from lodestone.streaming.landing import event_counts
+from lodestone.streaming.latencies import latencies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -314,6 +317,34 @@ def document_fragments(spark, sf_dir):
     return cut.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("content", 256).alias("digest"))
 
 
+@query(_FRAGMENTS + """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_index, sha256(p) AS digest FROM p WHERE p <> ''""")
+def fragments_in_sql(spark, sf_dir):
+    """The same by the table function, called in SQL."""
+    table_functions.register(spark)
+    rows = spark.sql("SELECT doc_id, f.chunk_index, f.content FROM {docs}, LATERAL fragments(text, most => 1200, overlap => 150) f", docs=table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("content", 256).alias("digest"))
+
+
+#: Files before and after a change of every sixth document; the second ones have greater numbers.
+_CHANGED = _FRAGMENTS.replace("FROM documents)", "FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000, CASE WHEN doc_id % 6 = 0 THEN text || ' and more' ELSE text END FROM documents))", 1)
+
+
+@query(_CHANGED + """, h AS (SELECT doc_id % 1000000000 AS doc_id, doc_id >= 1000000000 AS late, sha256(p) AS digest FROM p WHERE p <> ''),
+  old AS (SELECT DISTINCT doc_id, digest FROM h WHERE NOT late), new AS (SELECT h.doc_id, h.digest, o.digest IS NULL AS fresh FROM h LEFT JOIN old o ON o.doc_id = h.doc_id AND o.digest = h.digest WHERE late),
+  gone AS (SELECT h.doc_id FROM h WHERE NOT late AND (h.doc_id, digest) NOT IN (SELECT (doc_id, digest) FROM new)),
+  per AS (SELECT doc_id, count(*) AS chunk_count, sum(CAST(fresh AS BIGINT)) AS embedded FROM new GROUP BY doc_id)
+  SELECT lang AS course_id, count(*) AS documents, count(chunk_count) AS indexed, count(*) - count(chunk_count) AS failed, CAST(coalesce(sum(chunk_count), 0) AS BIGINT) AS chunk_count, CAST(coalesce(sum(embedded), 0) AS BIGINT) AS embedded,
+    CAST(coalesce(sum(chunk_count - embedded), 0) AS BIGINT) AS reused, (SELECT count(*) FROM gone JOIN documents d USING (doc_id) WHERE d.lang = documents.lang) AS removed
+  FROM documents LEFT JOIN per USING (doc_id) GROUP BY lang""")
+def reindexed_courses(spark, sf_dir):
+    """All courses are indexed, every sixth document changes, and all are indexed again: only what changed is embedded."""
+    docs = table(spark, sf_dir, "documents")
+    files = lambda text: docs.select(F.col("doc_id").cast("string").alias("document_id"), F.col("lang").alias("course_id"), F.lit("text/plain").alias("media_type"), F.encode(text, "UTF-8").alias("content"))
+    held = fragment_table(spark, _new_folder(spark))
+    reindex(files(F.col("text")), held)
+    return reindex(files(F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit(" and more"))).otherwise(F.col("text"))), held).courses()
+
+
 @query(_FRAGMENTS + """, f AS (SELECT doc_id, k, p, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM p WHERE p <> '')
   SELECT a.doc_id, a.i - 1 AS chunk_index, (SELECT coalesce(max(n), 0) FROM (SELECT unnest(range(1, 151)) AS n) WHERE n <= length(a.p) AND n <= length(b.p) AND right(b.p, n) = left(a.p, n)) AS overlap
   FROM f a LEFT JOIN f b ON a.doc_id = b.doc_id AND b.i = a.i - 1""")
@@ -779,6 +810,16 @@ def hourly_events(spark, sf_dir):
     return event_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 6))
 
 
+@query("""WITH a AS (SELECT user_id, date_trunc('millisecond', ts) AS t FROM events WHERE event_type = 'click'), b AS (SELECT user_id, date_trunc('millisecond', ts) AS t FROM events WHERE event_type = 'purchase')
+  SELECT a.user_id, epoch_ms(a.t) AS started_at, round(epoch_us(b.t) / 1e6 - epoch_us(a.t) / 1e6, 3) AS seconds FROM a LEFT JOIN b ON a.user_id = b.user_id AND b.t >= a.t AND b.t <= a.t + INTERVAL 6 HOUR""")
+def click_latencies(spark, sf_dir):
+    """From a click to the purchases of the same user in the next six hours; clicks that lead to none are kept."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", F.date_trunc("millisecond", "ts").alias("at"))
+    of = lambda kind: events.where(F.col("event_type") == kind)
+    out = latencies(of("click"), of("purchase"), "user_id", timedelta(hours=6))
+    return out.select("user_id", F.unix_millis("started_at").alias("started_at"), F.round("seconds", 3).alias("seconds"))
+
+
 # validation: documents are assignments or claims, their source the section
 
 
