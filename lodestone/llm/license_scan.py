@@ -6,14 +6,15 @@ part them), and, for files that are licence files, also the whole text, which is
 full texts of licences. Its terms are its distinct words, lower-cased A-Z; a term weighs
 its inverse document frequency, counted over all files for the terms of the templates, and
 as if found once for any other term. Notices and full texts have each their own terms. The best
-template of at least ``least`` cosine is the file's own licence, a full text before any notice. Runs are as long
+template of at least ``least`` cosine is the file's own licence, a full text before any notice. Where the first two lines with words of a file
+that is like a full text are the title of another licence (``TITLES``, and the titles of the full texts), it is that one. Runs are as long
 as may be: one is given up only when no longer one of the same first line can reach ``least``. A file without one takes the licence of the nearest ancestor directory with a licence
 file: paths are joined with the directories above them.
 
 Defined results: a null text has no licence of its own; a null path has no directory and
 inherits nothing; of equally good templates the first by name wins, of equally good passages the one of
-fewest lines, then the first; of several licence files in one directory the best, then the first by path. A licence whose full text is not
-among ``full_texts`` may be taken for one that shares its words (AGPL-3.0 for GPL-3.0). Repeated rows each get a result. Columns
+fewest lines, then the first; of several licence files in one directory the best, then the first by path. A licence whose full text and title are not
+known may be taken for one that shares its words. Repeated rows each get a result. Columns
 other than the id, the path and the text are not looked at.
 """
 
@@ -58,6 +59,14 @@ TEMPLATES = [
 #: Licences whose full texts are files of the folder ``licence_texts`` (fixed values).
 FULL_TEXTS = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0"]
 
+#: Titles of licences whose full texts are none of those, but share words with them (fixed values).
+TITLES = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"), ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"), ("EPL-2.0", "Eclipse Public License - v 2.0"), ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+]
+#: Least cosine of a title.
+TITLE_LEAST = 0.97
+
 #: Names of files that speak for their directory (fixed value).
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|unlicense|notice)([-.].*)?$"
 #: Directories with a licence that are broadcast at most; more are joined by a shuffle.
@@ -197,6 +206,11 @@ def full_texts() -> list[tuple[str, str]]:
     return [(n, (folder / f"{n}.txt").read_text("utf-8")) for n in FULL_TEXTS]
 
 
+def _title(text: str) -> list[str]:
+    """The first two lines with words of a text."""
+    return [line for line in text.split("\n") if len(_one(line))][:2]
+
+
 def _frequencies(texts: DataFrame, *templates: Templates) -> None:
     """Weighs templates by the number of files, and of files with each of their terms: a row for each term comes to the driver."""
     terms = np.unique(np.concatenate([t.terms for t in templates]))
@@ -226,9 +240,10 @@ def licences(files: DataFrame, templates: list[tuple[str, str]] | None = None, w
     if none), and ``licence``, its own or the inherited, with ``inherited_from``, the directory. ``templates`` are notices, and
     ``whole`` full texts, by default the built-in ones."""
     known, entire = Templates(templates or TEMPLATES), Templates(whole or full_texts())
+    titles = Templates([(n, "\n".join(_title(t))) for n, t in whole or full_texts()] + ([] if whole else TITLES))
     rows = in_small_batches(files).select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     rows = rows.withColumn("speaks", F.coalesce(F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE), F.lit(False)))
-    _frequencies(rows.select("text"), known, entire)
+    _frequencies(rows.select("text"), known, entire, titles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,19 +252,24 @@ def licences(files: DataFrame, templates: list[tuple[str, str]] | None = None, w
                 line, hashes, owner, lines = _terms(raw, at)
                 name, score = known.best(line, hashes, len(lines), least)
                 one = np.flatnonzero(name >= 0)
-                # passages: the lines, then runs of lines, then whole texts, which go before all others
+                # passages: the lines, then runs of lines, then whole texts, which go before these, then their titles where they say otherwise
                 found = [(one, np.ones(len(one), np.int64), name[one], score[one], np.zeros(len(one), np.int64))]
                 found.append((*(more := known.runs(line, hashes, owner, least)), np.zeros(len(more[0]), np.int64)))
                 speaks = np.array(part.column("speaks").to_pylist(), bool)[owner[line]]
                 pairs = np.unique(np.rec.fromarrays([owner[line[speaks]], hashes[speaks]], names="row,hash"))
                 name, score = entire.best(pairs["row"], pairs["hash"], part.num_rows, least)
                 row = np.flatnonzero(name >= 0)
-                found.append((line[np.searchsorted(owner[line], row)], np.zeros(len(row), np.int64), name[row], score[row], np.ones(len(row), np.int64)))
+                begin = np.searchsorted(owner[line], row)
+                found.append((line[begin], np.zeros(len(row), np.int64), name[row], score[row], np.ones(len(row), np.int64)))
+                heads = [np.unique(hashes[a : a + np.searchsorted(line[a:], np.unique(line[a : np.searchsorted(owner[line], r, "right")])[:2][-1], "right")]) for a, r in zip(begin.tolist(), row.tolist(), strict=True)]
+                named, near = titles.best(np.repeat(np.arange(len(row)), [len(h) for h in heads]), np.concatenate(heads) if heads else hashes[:0], len(row), TITLE_LEAST)
+                other = np.array([k for k in np.flatnonzero(named >= 0).tolist() if titles.names[named[k]] != entire.names[name[row[k]]]], np.int64)
+                found.append((line[begin[other]], np.zeros(len(other), np.int64), named[other], near[other], np.full(len(other), 2)))
                 first, size, name, score, all_of_it = (np.concatenate(x) for x in zip(*found, strict=True))
                 order = np.lexsort((first, size, -score, -all_of_it, owner[first]))
                 row, at_first = np.unique(owner[first[order]], return_index=True)
                 top = dict(zip(row.tolist(), order[at_first].tolist(), strict=True))
-                names = [(entire if all_of_it[k] else known).names[name[k]] if (k := top.get(r)) is not None else None for r in range(part.num_rows)]
+                names = [(known, entire, titles)[all_of_it[k]].names[name[k]] if (k := top.get(r)) is not None else None for r in range(part.num_rows)]
                 breaks = np.concatenate([[0], np.cumsum(raw == 10)])
                 place = [int(breaks[lines.start[first[k]]] - breaks[at[r]]) + 1 if (k := top.get(r)) is not None else None for r in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("path"), pa.array(names, pa.string()), pa.array([float(score[top[r]]) if r in top else None for r in range(part.num_rows)], pa.float64()), pa.array(place, pa.int64())], ["id", "path", "own_licence", "cosine", "line"])

@@ -376,6 +376,15 @@ def test_wrapped_headers_and_whole_licence_files(spark):
     }
 
 
+def test_titles_tell_full_texts_apart(spark):
+    """An AGPL text, of which no full text is known, is all but a GPL text; its title is its own."""
+    gpl = dict(full_texts())["GPL-3.0"].split("\n")
+    agpl = ["                    GNU AFFERO GENERAL PUBLIC LICENSE", "                       Version 3, 19 November 2007", *gpl[2:]]
+    rows = [(1, "a/COPYING", "\n".join(agpl)), (2, "a/x.c", "int x"), (3, "b/COPYING", "\n".join(gpl)), (4, "c/COPYING", "\n\n".join(["Ours", *agpl])), *((20 + k, f"p/{k}", f"file number {k}") for k in range(30))]
+    got = {r.doc_id: r.licence for r in licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {k: got[k] for k in (1, 2, 3, 4)} == {1: "AGPL-3.0", 2: "AGPL-3.0", 3: "GPL-3.0", 4: "GPL-3.0"}
+
+
 def test_licences_of_one_family_are_told_apart(spark):
     rows = [(k, f"d{k}/a.c", "/*\n * A tool.\n" + "\n".join(f" * {x}" for x in textwrap.wrap(t, 60)) + "\n */\nint main;") for k, (_, t) in enumerate(TEMPLATES)]
     got = {r.doc_id: r.own_licence for r in licences(spark.createDataFrame(rows + [(100 + k, f"q/{k}", f"file {k} of other words") for k in range(30)], "doc_id long, path string, text string")).collect()}
