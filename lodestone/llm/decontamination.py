@@ -43,19 +43,36 @@ def exact_words(text: Column) -> Column:
     return split_words(F.translate(text, _UPPER, _LOWER))
 
 
+def _gram_hashes(h: str, k: int) -> str:
+    """SQL: the hashes of the k-grams of an array of word hashes."""
+    return f"transform(sequence(0, size({h}) - {k}), i -> xxhash64({', '.join(f'{h}[i + {j}]' for j in range(k))}))"
+
+
+def _least(g: str, window: int) -> str:
+    """SQL: the least of each ``window`` neighbouring k-grams."""
+    return f"transform(sequence(1, size({g}) - {window - 1}), s -> array_min(slice({g}, s, {window})))" if window > 1 else g
+
+
+def _hashed(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.select(*keep, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+
+
 def _grams(rows: DataFrame, k: int, window: int, keep: tuple[str, ...]) -> DataFrame:
     """(keep, g, m): the hashes of a row's k-grams and the least of each ``window`` neighbouring ones. ``rows`` has ``w``,
     the array of words; rows too short for a window are left out."""
-    gram = ", ".join(f"h[i + {j}]" for j in range(k))
-    rows = rows.where(F.size("w") >= k + window - 1).select(*keep, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    rows = rows.select(*keep, F.expr(f"transform(sequence(0, size(h) - {k}), i -> xxhash64({gram}))").alias("g"))
-    least = F.expr(f"transform(sequence(1, size(g) - {window - 1}), s -> array_min(slice(g, s, {window})))") if window > 1 else F.col("g")
-    return rows.select(*keep, "g", least.alias("m"))
+    rows = _hashed(rows.where(F.size("w") >= k + window - 1), *keep).select(*keep, F.expr(_gram_hashes("h", k)).alias("g"))
+    return rows.select(*keep, "g", F.expr(_least("g", window)).alias("m"))
 
 
-def minima(rows: DataFrame, k: int, window: int, *keep: str) -> DataFrame:
-    """(keep, f): the distinct fingerprints of each row."""
-    return _grams(rows, k, window, keep).select(*keep, F.explode(F.array_distinct("m")).alias("f"))
+def minima(rows: DataFrame, families: list[tuple[int, int]], *keep: str) -> DataFrame:
+    """(keep, family, f): the distinct fingerprints of each row, for each family, a length of k-grams and a window. The words of a row are
+    split and hashed once for all of them."""
+    none = "cast(array() AS array<struct<family: int, f: bigint>>)"
+    each = []
+    for t, (k, window) in enumerate(families):
+        least = f"transform(array({_gram_hashes('h', k)}), g -> array_distinct({_least('g', window)}))[0]"
+        each.append(f"CASE WHEN size(h) >= {k + window - 1} THEN transform({least}, f -> struct({t} AS family, f AS f)) ELSE {none} END")
+    return _hashed(rows, *keep).select(*keep, F.explode(F.expr(f"flatten(array({', '.join(each)}))")).alias("e")).select(*keep, "e.family", "e.f")
 
 
 def fingerprints(rows: DataFrame, k: int, window: int, *keep: str) -> DataFrame:
@@ -73,13 +90,14 @@ def shared_runs(docs: DataFrame, items: DataFrame, words: int, k: int) -> DataFr
     short = [r.n for r in items.where(F.size("iw") < words).select(F.size("iw").alias("n")).distinct().orderBy("n").collect()]
     every = docs.select("key", split_words(F.lower("text")).alias("w"))
     families = [(k, words - k + 1, F.size("iw") >= words), *((m, 1, F.size("iw") == m) for m in short)]
-    theirs, met = [], []
+    theirs = []
     for size, window, which in families:
         own = fingerprints(items.where(which), size, window, "item").select("item", F.col("i").alias("q"), "f")
         theirs.append(small(durable(own), BROADCAST_FINGERPRINTS))
-        met.append(minima(every, size, window, "key").join(small(own.select("f").distinct(), BROADCAST_FINGERPRINTS), "f", "left_semi").select("key"))
+    known = reduce(DataFrame.union, [own.select(F.lit(t).alias("family"), "f").distinct() for t, own in enumerate(theirs)])
+    met = minima(every, [(size, window) for size, window, _ in families], "key").join(small(durable(known), BROADCAST_FINGERPRINTS), ["family", "f"], "left_semi").select("key")
     # texts that share a fingerprint with any item, one of each; only for these are places looked up
-    keys = small(durable(reduce(DataFrame.union, met).distinct()))
+    keys = small(durable(met.distinct()))
     texts = durable(docs.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", exact_words(F.col("text")).alias("dw"), split_words(F.lower("text")).alias("w")))
     found = [fingerprints(texts, size, window, "key").join(own, "f").select("key", "item", (F.col("i") - F.col("q")).alias("shift")) for (size, window, _), own in zip(families, theirs, strict=True)]
     hits, texts = reduce(DataFrame.union, found).distinct(), texts.select("key", "dw")

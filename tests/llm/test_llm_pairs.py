@@ -1,18 +1,22 @@
 """The Jaccard join, decontamination and quality rules against brute force."""
 
 import collections
+import itertools
+import math
 import random
 import re
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import ngram_jaccard
 from lodestone.llm.components import components
 from lodestone.llm.decontamination import clean, contamination
 from lodestone.llm.ngram_jaccard import near_duplicates, one_of_each
-from lodestone.llm.quality_rules import judge, ratios, trusted
+from lodestone.llm.quality_rules import SCALE, THRESHOLD, judge, ratios, trusted
 from lodestone.llm.signature_tree import Groups, Similarity, bitmap, join_all, width
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -222,8 +226,6 @@ def test_rule_counts_equal_brute_force(spark, extra):
 
 
 def test_ratio_is_the_log_likelihood_ratio(spark):
-    import math
-
     good, bad = "alpha beta gamma delta " * 20, "### *** ### *** " * 20
     df = spark.createDataFrame([(1, good), (2, good), (3, bad), (4, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (9, 1)], "doc_id long, quality int")
@@ -239,6 +241,48 @@ def test_ratio_is_the_log_likelihood_ratio(spark):
     assert filtered.count() == 2
 
 
+def bucketed(text, n):
+    """The buckets of a text's tokens and of its pairs, by Spark's hash worked out in Python."""
+    tokens = regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+", text or "")
+
+    def hashed(*parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p.encode(), seed)
+        return (seed - (seed >> 63 << 64)) % n
+
+    return [hashed(a) for a in tokens] + [n + hashed(a, b) for a, b in itertools.pairwise(tokens)]
+
+
+def log_ratios(trusted_rows, every, n):
+    def logs(rows):
+        c = collections.Counter(b for r in rows for b in r)
+        sums = [sum(v for k, v in c.items() if k // n == half) for half in (0, 1)]
+        return [math.log((c[k] + 1) / (sums[k // n] + n)) for k in range(2 * n)]
+
+    return [round((a - b) * SCALE) for a, b in zip(logs(trusted_rows), logs(every), strict=True)]
+
+
+def test_verdicts_equal_brute_force(spark):
+    """The ratio and the verdict of odd and of random texts."""
+    rng = random.Random(12)
+    words = [f"w{k}é" for k in range(40)] + ["###", "!?", "Ünï", "12"]
+    texts = [None, "", " \n", "#", "one", "one two", "\U0001f642 \U0001f642!", "a" * 5000] + [" ".join(rng.choice(words[: rng.choice([5, 44])]) for _ in range(rng.choice([3, 60, 200]))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(0, 88, 2)], "doc_id long, quality int")
+    n = 1 << 10
+    buckets = [bucketed(t, n) for t in texts]
+    ratio = log_ratios([buckets[k] for k in range(0, 88, 2) if k % 3 == 0], buckets, n)
+    got = {r.doc_id: r for r in judge(df, ratios(df, trusted(df, labels), buckets=n)).collect()}
+    verdicts = set()
+    for k, own in enumerate(buckets):
+        llr = sum(ratio[b] for b in own) / max(len(own), 1) / SCALE
+        assert abs(got[k].llr - llr) < 1e-9
+        assert got[k].kept == (not got[k].base_failed and llr >= THRESHOLD)
+        verdicts.add((got[k].kept, got[k].base_failed))
+    assert len(verdicts) >= 2
+
+
 def test_rules_on_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert judge(df, ratios(df, df)).count() == 0
