@@ -34,6 +34,16 @@ def check_request(course: str, text: str, top_k: int = 5, purpose: str = "contex
         raise ValueError("evidence is asked for as mandatory or as context")
 
 
+def request_errors(course: Column | None = None, text: Column | None = None, top_k: Column | None = None, purpose: Column | None = None, limit: Column | None = None, offset: Column | None = None) -> Column:
+    """The same of requests that are rows: the names of the fields that are out of bounds, in order; a null is. Fields that are not given are not
+    looked at. Pages have 1 to 100 rows and begin at 0 or later."""
+    rules = {
+        "course_id": course is not None and course.rlike(r"\A[A-Za-z0-9][A-Za-z0-9._-]{0,63}\z"), "limit": limit is not None and limit.between(1, 100), "offset": offset is not None and (offset >= 0),
+        "purpose": purpose is not None and purpose.isin("mandatory", "context"), "query": text is not None and F.length(text).between(1, 2000), "top_k": top_k is not None and top_k.between(1, 50),
+    }
+    return F.array_compact(F.array(*(F.when(~F.coalesce(good, F.lit(False)), name) for name, good in rules.items() if good is not False), F.lit(None).cast("string")))
+
+
 def admitted(purpose: str, role: Column) -> Column:
     """Mandatory evidence comes from primary sources alone, context from all."""
     return role == "primary" if purpose == "mandatory" else role.isNotNull()

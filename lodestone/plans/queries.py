@@ -24,6 +24,7 @@ from lodestone.operators.versioned import Table
 from lodestone.plans.ingestion import ingest
 from lodestone.plans.reindex import fragment_table, reindex
 from lodestone.sources import files as sources
+from lodestone.sources import store
 from lodestone.sources.extract import extract_blocks
 from lodestone.streaming import jobs as job_streams
 from lodestone.streaming.landing import event_counts
@@ -502,6 +503,18 @@ def retrieve_mandatory(spark, sf_dir):
     return _shown(retrieval.dense(stored, documents, chunks, queries, 5, "mandatory"))
 
 
+@query("""WITH r AS (SELECT event_id, event_type || '-' || user_id || CASE WHEN event_id % 11 = 0 THEN '!' ELSE '' END AS course, props AS text, user_id % 60 AS top_k, CASE event_id % 3 WHEN 0 THEN 'context' WHEN 1 THEN 'mandatory' END AS purpose, event_id % 130 AS "limit", user_id - 3 AS "offset" FROM events)
+  SELECT event_id, concat_ws(',', CASE WHEN NOT regexp_full_match(course, '[A-Za-z0-9][A-Za-z0-9._-]{0,63}') THEN 'course_id' END, CASE WHEN "limit" NOT BETWEEN 1 AND 100 THEN 'limit' END, CASE WHEN "offset" < 0 THEN 'offset' END,
+    CASE WHEN purpose IS NULL THEN 'purpose' END, CASE WHEN length(text) NOT BETWEEN 1 AND 2000 THEN 'query' END, CASE WHEN top_k NOT BETWEEN 1 AND 50 THEN 'top_k' END) AS fields FROM r""")
+def request_checks(spark, sf_dir):
+    """Every event as a request, and what is wrong with it."""
+    number = F.col("event_id")
+    course = F.concat_ws("", "event_type", F.lit("-"), F.col("user_id").cast("string"), F.when(number % 11 == 0, "!").otherwise(""))
+    purpose = F.when(number % 3 == 0, "context").when(number % 3 == 1, "mandatory")
+    fields = retrieval.request_errors(course, F.col("props"), F.col("user_id") % 60, purpose, number % 130, F.col("user_id") - 3)
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(fields, ",").alias("fields"))
+
+
 @query("SELECT vec_id AS record_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def dangling_vectors(spark, sf_dir):
     stored, _, chunks, _ = _vector_tables(spark, sf_dir)
@@ -914,6 +927,20 @@ def evaluation_runs(spark, sf_dir):
     return validation.evaluate(rows).withColumn("mean", F.round("mean", 6))
 
 
+@query("SELECT page_id || '.html' AS filename, 'text/html' AS media_type, sha256(html) AS checksum_sha256, octet_length(encode(html)) AS size FROM pages WHERE length(html) > 0 AND page_id % 9 <> 4")
+def stored_files(spark, sf_dir):
+    """Pages are saved as files, some are taken out, and the rest is read again."""
+    store.register(spark)
+    folder = _new_folder(spark)
+    name = F.sha2(F.col("page_id").cast("string"), 256)
+    pages = table(spark, sf_dir, "pages").where("length(html) > 0").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), F.encode("html", "UTF-8").alias("content"), name.alias("name"))
+    pages = pages.withColumn("storage_uri", sources.storage_uri(F.col("name"), F.col("filename")))
+    pages.select("storage_uri", "filename", "content").write.format("documents").mode("append").option("path", folder).save()
+    sources.remove_files(pages.where("page_id % 9 = 4"), store.local(folder))
+    found = spark.read.format("documents").option("path", folder).load()
+    return found.select("filename", "media_type", F.sha2("content", 256).alias("checksum_sha256"), F.octet_length("content").cast("long").alias("size"))
+
+
 @query("""SELECT page_id, sha256(html) AS checksum_sha256, CASE WHEN length(encode(html)) > 8000 THEN 'DOCUMENT_TOO_LARGE' WHEN length(html) = 0 THEN 'EMPTY_DOCUMENT' WHEN page_id % 10 = 0 OR page_id % 20 = 1 THEN 'UNSUPPORTED_DOCUMENT_FORMAT' END AS error_code FROM (SELECT page_id, CASE WHEN page_id % 20 = 11 THEN '%PDF-' || html ELSE html END AS html FROM pages)""".replace("length(encode(html))", "octet_length(encode(html))"))
 def upload_checks(spark, sf_dir):
     name = F.concat(F.lit("a\\b/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 10 == 0, ".exe").when(F.col("page_id") % 10 == 1, ".pdf").otherwise(".HTML"))
