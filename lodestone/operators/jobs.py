@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable, Mapping
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import seconds_between
 from lodestone.operators.catalog import latest
-from lodestone.operators.durable import durable
+from lodestone.operators.durable import durable, forget
 
 #: State by the last event of a job, and what each type of job is aimed at (fixed values).
 STATES = {"job.queued": "queued", "job.started": "running", "job.succeeded": "succeeded", "job.failed": "failed"}
@@ -102,6 +104,22 @@ def run(jobs: DataFrame, log: DataFrame, handlers: Mapping[str, Handler], at: Co
     return whole.withColumn("recorded_at", at)
 
 
+def wait(log: Callable[[], DataFrame], job_ids: DataFrame, limit: timedelta, every: timedelta = timedelta(seconds=1)) -> DataFrame:
+    """(job_id, status): the last states of jobs once all of them have ended. ``log`` reads the log anew each time it is asked, every ``every``. Jobs that
+    have not ended within ``limit`` raise TimeoutError, which names how many; a job that the log does not know has not ended."""
+    wanted, until = durable(job_ids.select("job_id").distinct()), time.monotonic() + limit.total_seconds()
+    while True:
+        states = job_states(log()).select("job_id", "status")
+        done = durable(wanted.join(states.where(F.col("status").isin(FINAL)), "job_id", "left"))
+        open_ = done.where("status IS NULL").count()
+        if not open_:
+            return done
+        forget(done)
+        if time.monotonic() >= until:
+            raise TimeoutError(f"{open_} jobs have not ended")
+        time.sleep(every.total_seconds())
+
+
 def job_view(jobs: DataFrame) -> DataFrame:
     """What a client sees of a job; ``error`` only where it failed."""
     failed = F.when(F.col("status") == "failed", F.struct(F.coalesce("error_code", F.lit("UNKNOWN")).alias("code"), F.coalesce("error_message", F.lit("")).alias("message")))

@@ -5,7 +5,7 @@ from datetime import UTC, datetime, timedelta
 
 import pytest
 
-from lodestone.operators.jobs import STATES
+from lodestone.operators.jobs import STATES, wait
 from lodestone.streaming.jobs import PROVIDER, TIMER, job_stream, taken
 
 SCHEMA = "job_id string, log_id long, event_type string, recorded_at timestamp"
@@ -61,3 +61,18 @@ def test_stream_equals_a_fold(spark, store, tmp_path):
     assert sorted(got, key=str) == sorted((r for r in want if r[3] <= end), key=str)
     assert ("alone", TIMER, "failed", millis(START + timedelta(minutes=31)), "JOB_TIMED_OUT") in got
     assert len({r[4] for r in got}) == 3
+
+
+def test_wait_for_jobs(spark):
+    rows = [("a", 1, "job.queued", START), ("b", 2, "job.succeeded", START)]
+    reads = []
+
+    def log():
+        reads.append(1)
+        return spark.createDataFrame(rows + ([("a", 3, "job.failed", START)] if len(reads) > 1 else []), SCHEMA)
+
+    jobs = spark.createDataFrame([("a",), ("b",), ("b",)], "job_id string")
+    got = {r.job_id: r.status for r in wait(log, jobs, timedelta(minutes=1), timedelta(0)).collect()}
+    assert got == {"a": "failed", "b": "succeeded"} and len(reads) == 2
+    with pytest.raises(TimeoutError, match="1 jobs"):
+        wait(log, jobs.limit(0).unionByName(spark.createDataFrame([("never",)], "job_id string")), timedelta(0), timedelta(0))
