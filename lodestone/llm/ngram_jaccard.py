@@ -259,11 +259,11 @@ def _live(scattered: DataFrame, like: Similarity, partitions: int) -> DataFrame:
     return scattered.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "token long, cls long, n int").distinct()
 
 
-def _linked(rows: DataFrame, key: str, weight: str, limit: int, join: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+def _linked(rows: DataFrame, key: str, weight: str, limit: int, join: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
     """The links that ``join`` finds among the classes of each key of ``rows`` (key, cls, weight, ..., and ``known`` if there is one).
 
     ``join`` takes rows with (x, y), which together with the key name a task, and ``known``, a class that a
-    class is linked with already; its second argument says whether it is called more than once. A key of more than ``limit`` weight is joined in blocks:
+    class is linked with already; its second argument has the keys that are large, the first time, when all the others are joined. A key of more than ``limit`` weight is joined in blocks:
     first each block by itself, then one class of each group so found, and at last every pair of blocks
     that has classes outside the key's largest group. So a large group of copies costs as many tasks as
     it has blocks, not as many as these have pairs; and no pair of groups is left out.
@@ -273,7 +273,7 @@ def _linked(rows: DataFrame, key: str, weight: str, limit: int, join: Callable[[
         rows = rows.withColumn("known", none)
     total = rows.groupBy(key).agg(F.sum(weight).alias("_w"))
     large = durable(total.where(F.col("_w") > limit).select(key))
-    links = join(rows.join(small(large), key, "left_anti").withColumns({"x": F.lit(0), "y": F.lit(0)}), False)
+    links = join(rows.join(small(large), key, "left_anti").withColumns({"x": F.lit(0), "y": F.lit(0)}), large)
     if large.isEmpty():
         return links
     links, rows = durable(links), durable(rows.drop("known").join(small(large), key))
@@ -288,7 +288,7 @@ def _linked(rows: DataFrame, key: str, weight: str, limit: int, join: Callable[[
         return durable(rows.join(labels, "cls", "left").withColumn("known", F.coalesce("_label", "cls")).select(*rows.columns, "known"))
 
     def each(part: DataFrame) -> DataFrame:
-        return durable(join(cut(part).withColumns({"x": F.col("b"), "y": F.col("b")}), True))
+        return durable(join(cut(part).withColumns({"x": F.col("b"), "y": F.col("b")}), None))
 
     links = links.union(each(rows.withColumn("known", none)))
     links = links.union(each(_one_of_each_group(grouped(), key)))
@@ -305,7 +305,7 @@ def _linked(rows: DataFrame, key: str, weight: str, limit: int, join: Callable[[
     own = F.col("b") + F.col("_t")
     meet_top = top.withColumn("y", F.explode(F.sequence(F.col("m"), F.col("m") + F.col("_r") - 1))).select(*kept, F.col("b").alias("x"), "y")
     meet_rest = rest.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_t") + F.col("m") - 1))).select(*kept, F.least("_o", own).alias("x"), F.greatest("_o", own).alias("y"))
-    return links.union(join(meet_top.union(meet_rest), True))
+    return links.union(join(meet_top.union(meet_rest), None))
 
 
 def _one_of_each_group(rows: DataFrame, key: str) -> DataFrame:
@@ -342,27 +342,35 @@ def _candidates(live: DataFrame, sketches: DataFrame, like: Similarity, partitio
                 join_all(keys, group.column("n").to_numpy().astype(np.int64), [np.frombuffer(b, np.uint64) for b in group.column("bits").to_pylist()], like, groups)
         yield _links(groups)
 
-    def join(rows: DataFrame, _: bool) -> DataFrame:
+    def join(rows: DataFrame, _: DataFrame | None) -> DataFrame:
         return _dealt(rows.join(bits, "cls").select("token", "x", "y", "cls", "n", "bits", "known"), ["token", "x", "y"], partitions).mapInArrow(run, "a long, b long")
 
     return _linked(live.withColumn("one", F.lit(1)), "token", "one", BLOCK_CLASSES, join)
 
 
 def _full_sets(rows: DataFrame, sketches: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """(cls, shingles) of the classes in ``labels``, from one text each."""
-    wanted = sketches.join(labels, F.col("cls") == F.col("node"), "left_semi").groupBy("cls").agg(F.min("id").alias("id")).where("id IS NOT NULL").select("id").distinct()
-    texts = rows.join(small(durable(wanted)), "id", "left_semi").union(rows.where("id IS NULL"))
+    """(label, cls, shingles) of the classes in ``labels``, from one text each. Labels go along with the texts, so that sets need not be joined with them."""
+    labels = labels.select(F.col("node").alias("cls"), "label")
+    wanted = sketches.select("cls", "id").join(labels, "cls").groupBy("cls", "label").agg(F.min("id").alias("id"))
+    own = rows.join(small(durable(wanted.where("id IS NOT NULL"))), "id").select("text", "cls", "label")
+    texts = own.union(rows.where("id IS NULL").select("text", F.lit(None).cast("long"), F.lit(None).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, k):
-            sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _binary(sets)], ["cls", "n", "shingles"])
+        for part, sets in _sets(batches, k):
+            cls = [_class_of(s) if len(s) else None for s in sets]
+            # other texts of the same id are of other classes
+            good = [j for j, (c, w) in enumerate(zip(cls, part.column("cls").to_pylist(), strict=True)) if c is not None and w in (None, c)]
+            yield pa.RecordBatch.from_arrays([part.column("label").take(pa.array(good, pa.int64())), pa.array([cls[j] for j in good], pa.int64()), _binary([sets[j] for j in good])], ["label", "cls", "shingles"])
 
-    return texts.mapInArrow(run, "cls long, n int, shingles binary").select("cls", "shingles")
+    sets = texts.mapInArrow(run, "label long, cls long, shingles binary")
+    if sketches.where("id IS NULL AND n > 0").isEmpty():
+        return sets
+    lost = sets.where("label IS NULL").drop("label").join(labels, "cls").select("label", "cls", "shingles")
+    return sets.where("label IS NOT NULL").union(lost)
 
 
 def _confirmed(sets: DataFrame, sizes: DataFrame, like: Similarity, partitions: int) -> DataFrame:
-    """Links (a, b) between classes that are alike; ``sizes`` has (label, cls, n)."""
+    """Links (a, b) between classes that are alike; ``sets`` has (label, cls, shingles), ``sizes`` (label, cls, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, ["label", "x", "y"]):
@@ -383,10 +391,14 @@ def _confirmed(sets: DataFrame, sizes: DataFrame, like: Similarity, partitions:
 
     held: list[DataFrame] = []
 
-    def join(rows: DataFrame, again: bool) -> DataFrame:
-        if again and not held:
-            held.append(durable(sets))  # else each call would read the texts anew
-        return _dealt(rows.join(held[0] if again else sets, "cls").select("label", "x", "y", "cls", "shingles", "known"), ["label", "x", "y"], partitions).mapInArrow(run, "a long, b long")
+    def join(rows: DataFrame, large: DataFrame | None) -> DataFrame:
+        if large is not None:  # all groups but the large ones, in one piece each
+            whole = sets.join(small(large), "label", "left_anti").withColumns({"x": F.lit(0), "y": F.lit(0), "known": F.lit(None).cast("long")})
+        else:
+            if not held:
+                held.append(durable(sets.drop("label")))  # else each call would read the texts anew
+            whole = rows.join(held[0], "cls")
+        return _dealt(whole.select("label", "x", "y", "cls", "shingles", "known"), ["label", "x", "y"], partitions).mapInArrow(run, "a long, b long")
 
     return _linked(sizes, "label", "n", BLOCK_SHINGLES, join)
 
