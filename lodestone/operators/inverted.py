@@ -57,11 +57,10 @@ class InvertedIndex:
         return self.documents.delete(docs.select(F.col(id_col).alias("document")))
 
     def compact(self) -> int:
-        """Writes the postings anew without dead ones, and each bucket as one segment; the new version of the postings."""
+        """Writes the postings anew without dead ones, each bucket as one segment; the new version of the postings. An addition meanwhile makes this a conflict."""
         base = self.postings.snapshot()
         alive = self.postings.read(base.version).join(self.documents.read().select("document", "mark"), ["document", "mark"], "left_semi").dropDuplicates(["word", "document", "mark"])
-        buckets = [int(b) for b in base.parts]
-        return self.postings._commit(base, "compact", *self.postings._write(alive, base), buckets)
+        return self.postings.overwrite(alive, base)
 
     def search(self, queries: DataFrame, top_k: int, version: int | None = None, id_col: str = "doc_id") -> DataFrame:
         """(query_id, id, score, rank) as ``retrieval.bm25`` gives it. ``queries`` has query_id and text."""

@@ -235,6 +235,11 @@ class Table:
         forget(gone)
         return done
 
+    def overwrite(self, rows: DataFrame, base: Snapshot | None = None) -> int:
+        """Puts ``rows`` in place of all that the table has. Whatever others have committed since ``base`` is a conflict."""
+        base = base or self.snapshot()
+        return self._commit(base, "overwrite", *self._write(rows, base), list(range(base.buckets)))
+
     def compact(self) -> int:
         """Writes buckets of several segments as one."""
         base = self.snapshot()

@@ -3,7 +3,6 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from lodestone.functions.tables import register
 from lodestone.operators.embedding import hashed_vector
