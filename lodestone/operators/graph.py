@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.durable import durable, forget
+from lodestone.operators.durable import durable, forget, small
 
 #: Edges of one vertex that are joined in one task, about.
 PART = 10_000
@@ -61,6 +61,37 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 50, toleranc
     return now.select(F.col("v").alias("entity"), "rank")
 
 
+def memberships(mentions: DataFrame, context: str, entity: str) -> DataFrame:
+    """(v, u, size): each entity once for every context it is named in, with the number of that context's entities. Rows with a null, and contexts of one
+    entity, which link nothing, are left out."""
+    own = durable(mentions.select(F.col(entity).alias("v"), F.col(context).alias("u")).where("v IS NOT NULL AND u IS NOT NULL").distinct())
+    sizes = durable(own.groupBy("u").agg(F.count("*").alias("size")).where("size > 1"))
+    return own.join(small(sizes), "u").select("v", "u", "size")
+
+
+def pagerank_of_contexts(mentions: DataFrame, context: str, entity: str, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-9) -> DataFrame:
+    """``pagerank`` of the edges that ``retrieval.cooccurrence`` gives, without making them: what flows between two entities flows through their contexts. An
+    entity gets what all members of its contexts put in, less what it has put in itself, so that a round takes as many steps as there are memberships, not pairs."""
+    links = durable(memberships(mentions, context, entity))
+    strength = durable(links.groupBy("v").agg(F.sum(F.col("size") - 1).alias("strength"), F.count("*").alias("degree")))
+    n = strength.count()
+    (out, of_many), (back, in_many) = _cut(links.select("v", "u"), "v"), _cut(links.select("v", "u"), "u")
+    out, back = durable(out), durable(back)
+    now = durable(strength.select("*", F.lit(1.0 / max(n, 1)).alias("rank")))
+    for _ in range(rounds if n else 0):
+        share = now.select("v", (F.col("rank") / F.col("strength")).alias("share"))
+        held = durable(out.join(small(_spread(share, "v", of_many)), ["v", "part"]).groupBy("u").agg(F.sum("share").alias("held")))
+        flow = back.join(small(_spread(held, "u", in_many)), ["u", "part"]).groupBy("v").agg(F.sum("held").alias("flow"))
+        own = F.col("degree") * F.col("rank") / F.col("strength")
+        after = durable(now.join(flow, "v").select("v", "strength", "degree", ((1 - damping) / n + damping * (F.col("flow") - own)).alias("rank"), F.col("rank").alias("before")))
+        forget(now, held)
+        now = after
+        if now.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < tolerance:
+            break
+    forget(links, out, back)
+    return now.select(F.col("v").alias("entity"), "rank")
+
+
 def modularity(edges: DataFrame, groups: DataFrame) -> float:
     """Of a grouping (entity, community) of the vertices: the share of weight inside communities less what chance would put there."""
     links = both_ways(edges)

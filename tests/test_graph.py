@@ -4,8 +4,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import graph
+from lodestone.operators.retrieval import cooccurrence
 
 SCHEMA = "a string, b string, weight long"
 
@@ -48,6 +50,25 @@ def test_pagerank_equals_loops(spark, monkeypatch, part):
     assert graph.pagerank(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("part", [10_000, 3])
+def test_pagerank_of_contexts_equals_that_of_pairs(spark, monkeypatch, part):
+    monkeypatch.setattr(graph, "PART", part)
+    rng = random.Random(5)
+    rows = [(f"c{rng.randrange(12)}", f"e{rng.randrange(20)}") for _ in range(90)] + [("alone", "x"), (None, "e1"), ("c1", None), ("c1", "e2"), ("c1", "e2")]
+    mentions = spark.createDataFrame(rows, "c string, e string")
+    want = {r.entity: r["rank"] for r in graph.pagerank(cooccurrence(mentions, "c", "e")[0], rounds=7, tolerance=0).collect()}
+    got = {r.entity: r["rank"] for r in graph.pagerank_of_contexts(mentions, "c", "e", rounds=7, tolerance=0).collect()}
+    assert set(got) == set(want) and "x" not in got and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+    assert graph.pagerank_of_contexts(mentions.limit(0), "c", "e").count() == 0
+
+
+def test_no_pair_is_made_for_central_users(spark):
+    """A context of 40,000 entities has 800 million pairs; each of its entities has the same share."""
+    mentions = spark.range(40_000).select(F.lit("c").alias("c"), F.col("id").alias("e"))
+    got = graph.pagerank_of_contexts(mentions, "c", "e", rounds=2).agg(F.count("*").alias("n"), F.min("rank").alias("a"), F.max("rank").alias("b")).first()
+    assert got.n == 40_000 and abs(got.a - 1 / 40_000) < 1e-15 and abs(got.b - 1 / 40_000) < 1e-15
+
+
 def test_planted_communities_are_found(spark, monkeypatch):
     monkeypatch.setattr(graph, "PART", 5)
     rng = random.Random(3)
