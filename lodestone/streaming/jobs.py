@@ -7,7 +7,8 @@ time and number, so that the outcome does not depend on how they came. Each row
 * ``ILLEGAL_TRANSITION`` for any other, which changes nothing.
 
 A job that runs for ``timeout`` of event time without an end is failed with ``JOB_TIMED_OUT`` by a timer, even if no row of it comes any more. A
-later end of it is then illegal. What is kept of a job is its state and the rows that the watermark has not passed.
+later end of it is then illegal. What is kept of a job is its state and the rows that the watermark has not passed,
+as one list, and a timer for the next moment at which any of this changes.
 
 Defined results: rows without a job, a time, a number or a known event are left out; of rows of one number of a job the first to come counts, a copy
 that comes once the watermark has passed it is dropped, as is any such row in a windowed stream; rows that the watermark has not passed by the end of the
@@ -66,25 +67,37 @@ class _Jobs(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.job = handle.getValueState("job", "status string, since long")
-        self.waiting = handle.getMapState("waiting", "number long", "at long, status string")
+        self.waiting = handle.getListState("waiting", "number long, at long, status string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - names of the interface
+        first = None
         for batch in rows:
-            for number, at, status in zip(batch["log_id"].tolist(), batch["at"].tolist(), batch["status"].tolist(), strict=True):
-                if not self.waiting.containsKey((number,)):
-                    self.waiting.updateValue((number,), (at, status))
-                    self.handle.registerTimer(at + 1)
+            numbers, at, statuses = batch["log_id"].tolist(), batch["at"].tolist(), batch["status"].tolist()
+            if numbers:
+                self.waiting.appendList(list(zip(numbers, at, statuses, strict=True)))
+                first = min(at) if first is None else min(first, *at)
+        if first is not None:
+            self.handle.registerTimer(first + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        until = expiredTimerInfo.getExpiryTimeInMs() - 1
-        due = [(at, number, status) for (number,), (at, status) in self.waiting.iterator() if at <= until]
-        for _, number, _ in due:
-            self.waiting.removeKey((number,))
+        # all that the watermark has passed is taken at once, so a job's rows are read once for each batch, not once for each row
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) - 1
+        rows: dict[int, tuple[int, str]] = {}
+        for number, at, status in self.waiting.get():
+            rows.setdefault(number, (at, status))
+        due = [(at, number, status) for number, (at, status) in rows.items() if at <= until]
+        left = [(number, at, status) for number, (at, status) in rows.items() if at > until]
+        if due:
+            self.waiting.put(left) if left else self.waiting.clear()
         state, out = taken(tuple(self.job.get()) if self.job.exists() else (None, None), due, until, self.timeout)
         self.job.update(state)
+        # of the timers that may be set for one of these moments already, setting it again changes nothing
+        wake = [min(at for _, at, _ in left) + 1] if left else []
         if state[0] == "running":
-            self.handle.registerTimer(state[1] + self.timeout + 1)
+            wake.append(state[1] + self.timeout + 1)
+        if wake:
+            self.handle.registerTimer(min(wake))
         if out:
             number, status, at, problem = zip(*out, strict=True)
             yield pd.DataFrame({"job_id": [key[0]] * len(out), "log_id": number, "status": status, "at": at, "problem": pd.array(problem, object)})

@@ -2,11 +2,13 @@
 
 import random
 from datetime import UTC, datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 from lodestone.operators.jobs import STATES, wait
-from lodestone.streaming.jobs import PROVIDER, TIMER, job_stream, taken
+from lodestone.streaming.jobs import PROVIDER, TIMER, _Jobs, job_stream, taken
 
 SCHEMA = "job_id string, log_id long, event_type string, recorded_at timestamp"
 START = datetime(2024, 5, 1, tzinfo=UTC)
@@ -63,6 +65,58 @@ def test_stream_equals_a_fold(spark, store, tmp_path):
     assert len({r[4] for r in got}) == 3
 
 
+class Counted:
+    """A state that counts the calls that a processor makes."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, []
+
+    def getValueState(self, name, schema):  # noqa: N802 - names of the interface
+        return self._State(self, name, None)
+
+    getListState = getMapState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
+
+    class _State:
+        def __init__(self, owner, name, empty):
+            self.owner, self.name = owner, name
+
+        def __getattr__(self, call):
+            def done(*values):
+                own, name = self.owner, self.name
+                own.calls += 1
+                if call == "appendList":
+                    own.held.setdefault(name, []).extend(values[0])
+                elif call in ("update", "put"):
+                    own.held[name] = values[0]
+                elif call == "clear":
+                    own.held.pop(name, None)
+                elif call == "exists":
+                    return name in own.held
+                return iter(own.held.get(name, [])) if name == "waiting" else own.held.get(name)
+
+            return done
+
+
+def test_calls_do_not_grow_with_rows():
+    """A job's rows go to the state together and come back together; one call for each row took hours at 60 times the table."""
+    calls = {}
+    for n in (10, 1000):
+        handle = Counted()
+        jobs = _Jobs(3_600_000)
+        jobs.init(handle)
+        rows = pd.DataFrame({"log_id": range(n), "at": range(n), "status": ["queued", *["running"] * (n - 1)]})
+        list(jobs.handleInputRows(("a",), iter([rows, rows]), None))
+        now, passed = SimpleNamespace(getExpiryTimeInMs=lambda: 1), SimpleNamespace(getCurrentWatermarkInMs=lambda: 5_000_000)
+        out = pd.concat(jobs.handleExpiredTimer(("a",), passed, now))
+        assert len(out) == n + 1 and out["log_id"].iloc[-1] == TIMER
+        calls[n] = handle.calls
+    assert calls[10] == calls[1000] < 12
+
+
 def test_wait_for_jobs(spark):
     rows = [("a", 1, "job.queued", START), ("b", 2, "job.succeeded", START)]
     reads = []
