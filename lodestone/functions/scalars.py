@@ -42,6 +42,12 @@ def collapse_space(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]+", " ")
 
 
+def closed_references(html: Column) -> Column:
+    """HTML in which a character reference without its semicolon, such as one that a title was cut off in, stands for itself. Parsers read some of these
+    as if they were closed."""
+    return F.regexp_replace(html, "&(#?[A-Za-z0-9]++)(?!;)", "&amp;$1")
+
+
 _TOKEN = r"[\p{L}\p{N}_]+"
 
 
