@@ -10,9 +10,12 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from lodestone.operators.chunking import MAX_CHARS, OVERLAP, check_sizes, fragment_blocks
+from lodestone.operators.durable import small_batches
 from lodestone.sources.extract import blocks as read_blocks
 from lodestone.sources.extract import normalized
 
+#: Texts that are handed to Python at once.
+ROWS = 1000
 SCHEMA = T.StructType().add("chunk_index", "integer").add("content", "string").add("section_path", T.ArrayType(T.StringType())).add("page_number", "integer")
 
 
@@ -43,5 +46,9 @@ class Fragments:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the functions known to a session's SQL. Rows go to Python and back in Arrow batches."""
+    """Makes the functions known to a session's SQL. Rows go to Python and back in small Arrow batches: all fragments of a batch are held at once."""
+    small_batches(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ROWS:
+        spark.conf.set(rows, str(ROWS))
     spark.udtf.register("fragments", udtf(Fragments, useArrow=True))

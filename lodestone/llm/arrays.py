@@ -6,17 +6,15 @@ worked on as a few long arrays instead of many Python strings.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+
+from lodestone.operators.durable import in_small_batches  # noqa: F401 - for the operators on texts
 
 #: Bytes of text that are held as arrays at once; a longer text stands alone.
 SLICE_BYTES = 1 << 19
-#: Bytes of rows that Spark hands to Python at once; its own default holds 64 MB on both sides.
-BATCH_BYTES = 4 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,15 +68,6 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session that hands over batches of ``BATCH_BYTES`` at most."""
-    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
-    now = re.fullmatch(r"(\d+)b?", conf.get(key, "64m"))
-    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
-        conf.set(key, str(BATCH_BYTES))
-    return df
-
-
 class Words:
     """The words of a batch: ``start`` and ``end`` byte positions, and ``first[d]``,
     the index of the first word of row d (n+1 entries)."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Rows that are broadcast at most, and bytes of them; more are joined by a shuffle.
 BROADCAST_KEYS, BROADCAST_BYTES = 500_000, 64 << 20
+#: Bytes of rows that Spark hands to Python at once; its own default holds 64 MB on both sides.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -71,3 +74,17 @@ def small(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     the tasks; one row of sums comes to the driver."""
     size = df.select(_row_bytes(df).alias("b")).agg(F.count("*").alias("rows"), F.sum("b").alias("bytes")).first()
     return F.broadcast(df) if size.rows <= most and (size.bytes or 0) <= BROADCAST_BYTES else df
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session hand over batches of ``BATCH_BYTES`` at most."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, "64m"))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands over batches of ``BATCH_BYTES`` at most."""
+    small_batches(df.sparkSession)
+    return df

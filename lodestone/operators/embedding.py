@@ -14,7 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.durable import in_small_batches
+
 DIMENSIONS = 1024
+#: Vectors that a worker holds at once.
+VECTORS = 256
 
 
 def model_id(dimensions: int = DIMENSIONS) -> str:
@@ -48,9 +52,11 @@ def embed(rows: DataFrame, text_col: str, dimensions: int = DIMENSIONS, client:
     def vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             if client is None:
-                yield pd.Series([hashed_vector(t, dimensions) for t in batch])
+                # some at a time, since a vector may be much longer than its text
+                for k in range(0, len(batch), VECTORS):
+                    yield pd.Series([hashed_vector(t, dimensions) for t in batch[k : k + VECTORS]])
             else:
                 values = batch.fillna("").tolist()
                 yield pd.Series([v for k in range(0, len(values), 256) for v in client(values[k : k + 256])])
 
-    return rows.withColumn("embedding", vectors(F.col(text_col)))
+    return in_small_batches(rows).withColumn("embedding", vectors(F.col(text_col)))

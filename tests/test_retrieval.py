@@ -1,12 +1,14 @@
 import math
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
+from lodestone.functions import tables
 from lodestone.operators import catalog, jobs, metrics, retrieval, validation, vectors
-from lodestone.operators.embedding import hashed_vector
+from lodestone.operators.embedding import embed, hashed_vector
 from lodestone.plans.ingestion import ingest
 from lodestone.sources.files import checked_uploads
 
@@ -219,3 +221,12 @@ def test_bm25_cuts_each_text_once(spark):
     above, below = plan.split("Generate", 1)
     assert "regexp_extract_all" not in above and plan.count("regexp_extract_all") == below.count("regexp_extract_all") >= 1
     assert retrieval.bm25(docs.limit(0), asked, 5).count() == retrieval.bm25(docs, asked.limit(0), 5).count() == 0
+
+
+def test_vectors_and_fragments_are_handed_over_in_small_batches(spark):
+    for begin in (lambda: embed(spark.range(600).select(F.concat(F.lit("a b w"), "id").alias("text")), "text").count(), lambda: tables.register(spark)):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        begin()
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    rows = embed(spark.range(600).select("id", F.concat(F.lit("a b w"), "id").alias("text")), "text").collect()
+    assert len(rows) == 600 and all(np.array_equal(r.embedding, hashed_vector(r.text)) for r in rows)
