@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 QUERY_BLOCK, BLOCK_BYTES = 2048, 64 << 20
 #: Distances that a task works out at once.
 DISTANCES = 1 << 22
+#: Vectors of which one result of single precision is kept.
+GROUP = 64
 
 
 def upsert(vectors: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -46,8 +48,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int, id_col: str = "rec
     """(query_id, record_id, distance, rank): of each query (query_id, embedding) the ``top`` vectors of least cosine
     distance, to nine digits, then least id.
 
-    Up to ``QUERY_BLOCK`` queries are sent to the vectors, which stay where they are. For more the vectors are dealt once into blocks of ``BLOCK_BYTES``, each held by
-    one task, which the queries stream past: a vector is shuffled once, however many queries there are. A task
+    Up to ``QUERY_BLOCK`` queries are sent to the vectors, which stay where they are. For more, vectors are dealt into blocks of up to ``BLOCK_BYTES`` and queries into lots, so
+    that there are as many pairs of these as tasks; the queries of a lot stream past a block that one task holds. Neither is shuffled more often than there are lots or blocks. A task
     keeps the best ``top`` of each query, and a window ranks what the tasks have kept.
 
     Null vectors and queries take no part; a vector without length has distance 1 to any; all vectors have one length, else this raises;
@@ -56,16 +58,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int, id_col: str = "rec
     kind, record = queries.schema["query_id"], vectors.schema[id_col]
     if top <= 0:
         return queries.sparkSession.createDataFrame([], T.StructType([*_found(kind.dataType, record.dataType), T.StructField("rank", T.IntegerType())])).withColumnRenamed("record", id_col)
-    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("e")).where("e IS NOT NULL")
-    rows = vectors.where("embedding IS NOT NULL").select(F.col(id_col).alias("record"), F.col("embedding").cast("array<double>").alias("e"))
+    # single precision, where both have it, is shuffled as it is and made double in the tasks
+    both = {getattr(t.schema["embedding"].dataType, "elementType", None) for t in (vectors, queries)}
+    e = F.col("embedding").cast("array<float>" if both == {T.FloatType()} else "array<double>").alias("e")
+    asked = queries.select("query_id", e).where("e IS NOT NULL")
+    rows = vectors.where("embedding IS NOT NULL").select(F.col(id_col).alias("record"), e)
     few = asked.limit(QUERY_BLOCK + 1).toArrow()
     if few.num_rows <= QUERY_BLOCK:
         best = rows.mapInArrow(_search(few.combine_chunks(), top), _found(kind.dataType, record.dataType))
     else:
         size = rows.agg(F.count("*").alias("n"), F.max(F.size("e")).alias("width")).first()
         n = block_count(rows, size.n, size.width or 1)
-        own = rows.select(F.pmod(F.xxhash64("record", "e"), F.lit(n)).alias("block"), "record", "e")
-        every = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"), "query_id", "e")
+        # blocks are few, since each looks at all queries; tasks come of dealing out the queries as well, each of which meets every block once
+        lots = max(1, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n))
+        each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+        own = rows.select((F.pmod(F.xxhash64("record", "e"), F.lit(n)) * lots).alias("b"), each(lots).alias("lot"), "record", "e").select((F.col("b") + F.col("lot")).alias("block"), "record", "e")
+        every = asked.select(each(n).alias("b"), F.pmod(F.xxhash64("query_id"), F.lit(lots)).alias("lot"), "query_id", "e").select((F.col("b") * lots + F.col("lot")).alias("block"), "query_id", "e")
         best = met(own, every, top)
     return first(best, top).withColumnRenamed("record", id_col)
 
@@ -81,9 +89,9 @@ def first(best: DataFrame, top: int) -> DataFrame:
 
 
 def block_count(rows: DataFrame, n: int, width: int) -> int:
-    """Blocks that n vectors are dealt into: as many as their bytes need, or as there are tasks to share the work."""
+    """Blocks that n vectors are dealt into: as many as their bytes need, or, of 16,384 vectors at least, as the root of the number of tasks."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, -(-8 * n * width // BLOCK_BYTES), min(tasks, n // 4096))
+    return max(1, -(-8 * n * width // BLOCK_BYTES), min(round(tasks**0.5), n // 16384))
 
 
 def met(rows: DataFrame, asked: DataFrame, top: int) -> DataFrame:
@@ -166,22 +174,34 @@ def _search(asked: pa.Table | None, top: int):
                 elif waiting:
                     if held is None:
                         table = pa.Table.from_batches(waiting)
-                        held, waiting = (table.column("record").to_numpy(), _matrix(table.column("e"))), [None]
+                        unit = _matrix(table.column("e"))
+                        held, waiting = (table.column("record").to_numpy(), unit, unit.astype(np.float32)), [None]
                     yield from _best_of(part, *held, top)
 
     return given if asked is not None else blocks
 
 
-def _best_of(part: pa.RecordBatch, records: np.ndarray, unit: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
-    """The best ``top`` of a block for each query of a batch, which may have any number of queries."""
+def _best_of(part: pa.RecordBatch, records: np.ndarray, unit: np.ndarray, single: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
+    """The best ``top`` of a block for each query of a batch, which may have any number of queries. All pairs are compared in single precision, of which only the
+    greatest of each ``GROUP`` vectors is looked at; groups that may hold one of the best, the error of single precision allowed for, are compared again in full."""
     asked, step = _matrix(part.column("e")), max(1, DISTANCES // len(records))
+    groups = -(-len(records) // GROUP)
+    slack, full = 1e-6 + 1e-7 * unit.shape[1], len(records) // groups * groups
     for a in range(0, len(asked), step):
-        distance = np.round(1 - asked[a : a + step] @ unit.T, 9)
+        own = asked[a : a + step]
+        near = own.astype(np.float32) @ single.T
+        # group g has the vectors g, g + groups, ...
+        peak = near[:, :full].reshape(len(own), -1, groups).max(1)
+        np.maximum(peak[:, : len(records) - full], near[:, full:], out=peak[:, : len(records) - full])
+        # as many groups as results reach this, so that many vectors do
+        least = np.partition(peak, groups - top, axis=1)[:, groups - top] if groups > top else np.full(len(own), -np.inf)
         where, found = [], []
-        for d in distance:
-            some = np.flatnonzero(d <= np.partition(d, top - 1)[top - 1]) if len(d) > top else np.arange(len(d))
-            order = some[np.lexsort((records[some], d[some]))[:top]]
-            where.append(order)
+        for q, good in zip(own, peak >= (least - slack)[:, None], strict=True):
+            some = (np.flatnonzero(good)[:, None] + groups * np.arange(GROUP)).ravel()
+            some = some[some < len(records)]
+            d = np.round(1 - unit[some] @ q, 9)
+            order = np.lexsort((records[some], d))[:top]
+            where.append(some[order])
             found.append(d[order])
-        each = pa.array(np.repeat(np.arange(a, a + len(distance)), [len(w) for w in where]))
+        each = pa.array(np.repeat(np.arange(a, a + len(own)), [len(w) for w in where]))
         yield pa.RecordBatch.from_arrays([part.column("query_id").take(each), pa.array(records[np.concatenate(where)]), pa.array(np.concatenate(found))], ["query_id", "record", "distance"])

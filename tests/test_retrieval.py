@@ -2,6 +2,7 @@ import math
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +224,25 @@ def test_bm25_cuts_each_text_once(spark):
     assert retrieval.bm25(docs.limit(0), asked, 5).count() == retrieval.bm25(docs, asked.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 64, 1000])
+def test_single_precision_loses_no_neighbour(n):
+    """Copies, near copies and zero vectors, against all distances in full."""
+    rng = np.random.default_rng(n)
+    base = rng.normal(size=(n, 16))
+    base[n // 2 :] = base[: n - n // 2] * (1 + 1e-8 * rng.normal(size=(n - n // 2, 16)))
+    base[0] = 0
+    asked = np.concatenate([base[:40], rng.normal(size=(20, 16))])
+    part = pa.RecordBatch.from_pydict({"query_id": list(range(len(asked))), "e": asked.tolist()})
+    lists = lambda m: vectors._matrix(pa.array(m.tolist()))
+    records, unit = rng.permutation(n), lists(base)
+    got = pa.Table.from_batches(vectors._best_of(part, records, unit, unit.astype(np.float32), 3)).to_pylist()
+    distance = np.round(1 - lists(asked) @ unit.T, 9)
+    for q, d in enumerate(distance):
+        want = np.lexsort((records, d))[:3]
+        mine = [r for r in got if r["query_id"] == q]
+        assert [r["record"] for r in mine] == records[want].tolist() and np.allclose([r["distance"] for r in mine], d[want], atol=2e-9)
+
+
 def test_vectors_and_fragments_are_handed_over_in_small_batches(spark):
     for begin in (lambda: embed(spark.range(600).select(F.concat(F.lit("a b w"), "id").alias("text")), "text").count(), lambda: tables.register(spark)):
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
