@@ -89,3 +89,23 @@ def test_no_grouping_of_a_small_graph_is_better(spark):
     got = {r.entity: r.community for r in graph.communities(spark.createDataFrame(edges, SCHEMA)).collect()}
     best = max(brute_modularity(edges, dict(zip("abcdef", g, strict=True))) for g in itertools.product(range(3), repeat=6))
     assert abs(brute_modularity(edges, got) - best) < 1e-12
+
+
+@pytest.mark.parametrize("most", [8192, 3])
+def test_communities_of_contexts_equal_those_of_pairs(spark, monkeypatch, most):
+    for name in ("VERTICES", "COMMUNITIES", "AT_ONCE"):
+        monkeypatch.setattr(graph, name, most)
+    rng = random.Random(7)
+    rows = [(f"{g}{rng.randrange(8)}", f"{g if rng.random() < 0.8 else 'q'}{rng.randrange(9)}") for g in "xyz" for _ in range(45)] + [("alone", "x"), (None, "x1"), ("x1", None)]
+    mentions = spark.createDataFrame(rows, "c string, e string")
+    want = {r.entity: r.community for r in graph.communities(cooccurrence(mentions, "c", "e")[0], rounds=6, levels=3).collect()}
+    got = {r.entity: r.community for r in graph.communities_of_contexts(mentions, "c", "e", rounds=6, levels=3).collect()}
+    assert got == want and len(set(got.values())) > 1
+    assert graph.communities_of_contexts(mentions.limit(0), "c", "e").count() == 0
+
+
+def test_no_pair_is_made_for_user_communities(spark, sf_dir, monkeypatch):
+    from lodestone.plans import queries
+
+    monkeypatch.setattr(queries.retrieval, "cooccurrence", None)
+    assert queries.QUERIES["user_communities"](spark, sf_dir).count() > 0
