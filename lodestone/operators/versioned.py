@@ -18,17 +18,21 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators.durable import durable, forget
+from lodestone.operators.durable import BROADCAST_KEYS, durable, forget, shared_folder
 
 BUCKETS = 16
 #: Times a writer tries to commit on top of others that do not touch its buckets.
 ATTEMPTS = 20
+#: Buckets that are written at the same time.
+TOGETHER = 16
 
 
 class Conflict(RuntimeError):
@@ -212,18 +216,43 @@ class Table:
         forget(fresh)
         return done
 
-    def replace(self, rows: DataFrame, of: DataFrame | None = None, base: Snapshot | None = None) -> int:
+    def replace(self, rows: DataFrame, of: DataFrame | None = None, base: Snapshot | None = None, finish: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> int:
         """Puts ``rows`` in place of all rows whose bucket columns are in ``of`` (those of ``rows``, if not given): all fragments of some
-        documents at once, for instance, so that no reader sees old and new ones together."""
+        documents at once, for instance, so that no reader sees old and new ones together. ``finish`` makes the table's rows from those of one bucket, as they are written,
+        and the bucket's old rows; so wide columns need not be dealt out. Rows that stay are copied bucket by bucket, without a shuffle."""
         base = base or self.snapshot()
         fresh, gone = durable(rows), durable((of if of is not None else rows).select(*base.bucket_by).distinct())
         outside = fresh.join(gone, base.bucket_by, "left_anti")
         if not outside.isEmpty():
             raise ValueError("rows to put in belong to none of those to replace")
-        touched = self._touched(gone, base)
-        kept = self._rows(base, touched).join(gone, base.bucket_by, "left_anti")
-        done = self._commit(base, "replace", *self._write(kept.unionByName(fresh), base), touched)
-        forget(fresh, gone)
+        touched, segment = self._touched(gone, base), uuid.uuid4().hex
+        names = T.StructType.fromJson(json.loads(base.schema)).names
+        if not finish and sorted(fresh.columns) != sorted(names):
+            raise ValueError(f"the table has the columns {', '.join(names)}")
+        bucket, part = self._bucket(base).alias("_bucket"), f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        dealt = fresh.select("*", bucket).hint("rebalance", "_bucket")
+        if base.order:
+            dealt = dealt.sortWithinPartitions("_bucket", *base.order)
+        dealt.write.partitionBy("_bucket").parquet(part)
+        filled = {int(n.split("=")[1]) for n in _Folder(self.spark, part).names() if n.startswith("_bucket=")}
+        gone_by = durable(gone.withColumn("_bucket", bucket))
+        few = (gone_by.groupBy("_bucket").count().agg(F.max("count")).first()[0] or 0) <= BROADCAST_KEYS
+
+        def write(b: int) -> None:
+            old, place = self._rows(base, [b]), f"{self.path}/data/{segment}/_bucket={b}"
+            if str(b) in base.parts:
+                keys = gone_by.where(F.col("_bucket") == b).drop("_bucket")
+                old.join(F.broadcast(keys) if few else keys, base.bucket_by, "left_anti").select(*names).write.parquet(place)
+            if b in filled:
+                new = self.spark.read.schema(fresh.schema).parquet(f"{part}/_bucket={b}")
+                (finish(new, old) if finish else new).select(*names).write.mode("append").parquet(place)
+
+        with ThreadPoolExecutor(TOGETHER) as pool:
+            list(pool.map(write, touched))
+        written = [b for b in touched if b in filled or str(b) in base.parts]
+        done = self._commit(base, "replace", segment, written, touched)
+        forget(fresh, gone, gone_by)
+        _Folder(self.spark, part).remove("")
         return done
 
     def delete(self, keys: DataFrame, base: Snapshot | None = None) -> int:

@@ -76,25 +76,35 @@ def reindex(files: DataFrame, table: Table, most: int = MAX_CHARS, overlap: int
     cut = durable(cut.withColumns({"digest": F.sha2("text", 256), "collection": collection_name(F.col("course_id"), model)}))
     lap("cut")
 
-    # what the table has of these documents
-    old = durable(table.read_keys(read.where("error_code IS NULL"), base.version))
-    held = old.groupBy("document_id", "digest", "collection").agg(F.first("embedding").alias("embedding"))
-    joined = durable(cut.join(held, ["document_id", "digest", "collection"], "left"))
+    # what the table has of these documents; vectors stay where they are until they are written
+    keys = ["document_id", "digest", "collection"]
+    good = durable(read.where("error_code IS NULL").select("document_id"))
+    old = durable(table.read_keys(good, base.version).select(*keys, "chunk_index", F.col("embedding").isNotNull().alias("held")))
+    joined = durable(cut.join(old.where("held").select(*keys, "held").distinct(), keys, "left").withColumn("held", F.coalesce("held", F.lit(False))))
     place = F.array_sort(F.collect_list(F.struct("chunk_index", "digest", "collection")))
     now, before = joined.groupBy("document_id").agg(place.alias("now")), old.groupBy("document_id").agg(place.alias("before"))
     changed = durable(now.join(before, "document_id", "full").where("NOT now <=> before").select("document_id"))
     lap("compare")
 
-    fresh = durable(embed(joined.where("embedding IS NULL").select("digest", "text").dropDuplicates(["digest"]), "text", dimensions, client).select("digest", F.col("embedding").alias("_e")))
+    # a client is sent equal texts once; the hashing needs only the row
+    fresh = durable(embed(joined.where("NOT held").select("digest", "text").dropDuplicates(["digest"]), "text", dimensions, client).select("digest", "embedding")) if client else None
     lap("embed")
 
-    whole = joined.join(changed, "document_id", "left_semi").join(fresh, "digest", "left").withColumn("embedding", F.coalesce("embedding", "_e"))
-    version = base.version
+    def with_vectors(rows: DataFrame, had: DataFrame) -> DataFrame:
+        new, carried = rows.where("NOT held"), rows.where("held")
+        new = new.join(fresh, "digest", "left") if client else embed(new, "text", dimensions)
+        if not some_held:
+            return new
+        vectors = had.where("embedding IS NOT NULL").join(carried.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.first("embedding").alias("embedding"))
+        return new.select(*FRAGMENTS.names).unionByName(carried.join(vectors, keys).select(*FRAGMENTS.names))
+
+    whole = joined.join(changed, "document_id", "left_semi").select(*(c for c in FRAGMENTS.names if c != "embedding"), "text", "held")
+    version, some_held = base.version, not old.isEmpty()
     if not changed.isEmpty():
-        version = table.replace(whole.select(*FRAGMENTS.names), changed, base)
+        version = table.replace(whole, changed, base, with_vectors)
     lap("write")
 
-    per = joined.groupBy("document_id").agg(F.sum(F.col("embedding").isNull().cast("long")).alias("embedded"), F.count("*").alias("n"))
+    per = joined.groupBy("document_id").agg(F.sum((~F.col("held")).cast("long")).alias("embedded"), F.count("*").alias("n"))
     gone = old.join(cut.select("document_id", "digest", "collection"), ["document_id", "digest", "collection"], "left_anti").groupBy("document_id").agg(F.count("*").alias("removed"))
     sums = lambda of: F.aggregate("_f", F.lit(0).cast("long"), lambda n, f: n + of(f["text"]))
     documents = read.join(per, "document_id", "left").join(gone, "document_id", "left")
@@ -104,5 +114,5 @@ def reindex(files: DataFrame, table: Table, most: int = MAX_CHARS, overlap: int
         sums(F.length).alias("characters"), sums(lambda t: F.size(tokens(t))).alias("tokens"), number(F.col("embedded")).alias("embedded"), number(F.col("n") - F.col("embedded")).alias("reused"), number(F.col("removed")).alias("removed"),
     )
     out = Reindexed(version, durable(documents), timings)
-    forget(read, cut, old, joined, changed, fresh)
+    forget(read, cut, good, old, joined, changed, fresh)
     return out

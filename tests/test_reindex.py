@@ -6,7 +6,7 @@ import pytest
 
 from lodestone.functions.tables import register
 from lodestone.operators.embedding import hashed_vector
-from lodestone.operators.versioned import Conflict
+from lodestone.operators.versioned import Conflict, Table
 from lodestone.plans.reindex import fragment_table, reindex
 from lodestone.streaming.latencies import latencies
 
@@ -73,3 +73,17 @@ def test_streamed_latencies_equal_those_of_tables(spark, tmp_path):
         latencies(*streams, "job", timedelta(minutes=10)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
     assert got == want
+
+
+def test_vectors_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Rows to put in have no vectors yet when they are dealt into buckets, and carried vectors are those that the table had."""
+    files = lambda more: spark.createDataFrame([(f"d{k}", "c", "text/plain", bytearray(f"one {k}\n\n{'word ' * 300}{more if k < 2 else ''}".encode())) for k in range(6)], "document_id string, course_id string, media_type string, content binary")
+    seen, replace = [], Table.replace
+    monkeypatch.setattr(Table, "replace", lambda self, rows, *rest: seen.append(rows.columns) or replace(self, rows, *rest))
+    table = fragment_table(spark, str(tmp_path / "f"))
+    reindex(files(""), table)
+    before = {(r.document_id, r.digest): r.embedding for r in table.read().collect()}
+    reindex(files("more"), table)
+    after = {(r.document_id, r.digest): r.embedding for r in table.read().collect()}
+    assert len(seen) == 2 and not any("embedding" in columns for columns in seen)
+    assert len(after) == len(before) and all(after[k] == before[k] for k in after.keys() & before.keys()) and all(len(v) == 1024 for v in after.values())
