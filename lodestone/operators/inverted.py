@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions.scalars import postings
 from lodestone.operators.durable import durable, small
-from lodestone.operators.retrieval import asked_words, bm25_weight, ranked
+from lodestone.operators.retrieval import asked_words, bm25_weight, ranked, summed
 from lodestone.operators.versioned import Table
 
 
@@ -72,5 +72,4 @@ class InvertedIndex:
         held = durable(held)
         df = durable(held.groupBy("word").agg(F.count("*").alias("df")))
         weighed = held.join(small(df), "word").select("word", F.col("document").alias(id_col), bm25_weight(F.col("f"), F.col("length"), F.col("df"), totals.n, totals.average).alias("w"))
-        sums = weighed.join(small(asked), "word").groupBy("query_id", id_col).agg(F.round(F.sum("w"), 9).alias("score"))
-        return ranked(sums, top_k, id_col)
+        return ranked(summed(weighed, asked, id_col), top_k, id_col)

@@ -102,8 +102,13 @@ def bm25(docs: DataFrame, queries: DataFrame, top_k: int, id_col: str = "doc_id"
     held = durable(each.join(small(asked.select("word").distinct()), "word", "left_semi"))
     df = durable(held.groupBy("word").agg(F.count("*").alias("df")))
     weighed = held.join(small(df), "word").select("word", id_col, bm25_weight(F.col("f"), F.col("length"), F.col("df"), totals.n, totals.average, k1, b).alias("w"))
-    sums = weighed.join(small(asked), "word").groupBy("query_id", id_col).agg(F.round(F.sum("w"), 9).alias("score"))
-    return ranked(sums, top_k, id_col)
+    return ranked(summed(weighed, asked, id_col), top_k, id_col)
+
+
+def summed(weighed: DataFrame, asked: DataFrame, id_col: str) -> DataFrame:
+    """(query_id, id, score): the weights (word, id, w) of each query's words, added up. A document's words are brought together before they meet the queries, so that its sums are
+    whole where they are made, and only the best of each task go on to be ranked."""
+    return weighed.repartition(id_col).join(small(asked), "word").groupBy("query_id", id_col).agg(F.round(F.sum("w"), 9).alias("score"))
 
 
 def fuse(rankings: list[DataFrame], top_k: int, id_col: str, k: int = RRF_K) -> DataFrame:

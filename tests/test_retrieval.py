@@ -250,3 +250,14 @@ def test_vectors_and_fragments_are_handed_over_in_small_batches(spark):
         assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
     rows = embed(spark.range(600).select("id", F.concat(F.lit("a b w"), "id").alias("text")), "text").collect()
     assert len(rows) == 600 and all(np.array_equal(r.embedding, hashed_vector(r.text)) for r in rows)
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
+    from lodestone.operators import retrieval
+
+    docs, queries = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string"), spark.createDataFrame([(7, "b a")], "query_id long, text string")
+    found = retrieval.bm25(docs, queries, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(query_id" in plan
+    assert not [line for line in plan.splitlines() if "hashpartitioning(query_id" in line and "doc_id" in line]
+    assert [(r.doc_id, r["rank"]) for r in found.orderBy("rank").collect()] == [(1, 1), (2, 2)]
