@@ -7,7 +7,8 @@ does; a local disk nearly so). The loser looks at what was committed since it be
 replaced are untouched, it commits on top; else it raises ``Conflict`` and has changed nothing.
 
 Readers name a version, or take the newest when they begin, and keep reading the same files whatever is committed later, until ``vacuum`` removes them.
-Changes by key read and rewrite only the buckets that hold the keys; a manifest is as long as buckets times segments, not rows.
+Changes by key read and rewrite only the buckets that hold the keys; a manifest is as long as buckets times segments, not rows. ``replace`` does not even rewrite
+those: it writes the fresh rows and the keys that are gone, and readers leave out what earlier segments have of these, until a bucket has so many segments that it is written anew.
 
 Defined results: rows with a null in the key belong to a bucket like any other, but match no row; of several fresh rows with one key any one is taken by ``upsert``;
 columns stand in the order of the table, and a missing or an unknown one raises; an empty change is a version as well.
@@ -15,6 +16,7 @@ columns stand in the order of the table, and a missing or an unknown one raises;
 
 from __future__ import annotations
 
+import functools
 import json
 import time
 import uuid
@@ -32,7 +34,13 @@ BUCKETS = 16
 #: Times a writer tries to commit on top of others that do not touch its buckets.
 ATTEMPTS = 20
 #: Buckets that are written at the same time.
-TOGETHER = 16
+TOGETHER = 4
+#: Segments of a bucket from which on ``replace`` writes it anew.
+DEEP = 8
+
+
+#: How rows are written that are many and wide.
+_SMALL = {"compression": "zstd"}
 
 
 class Conflict(RuntimeError):
@@ -52,6 +60,8 @@ class Snapshot:
     #: Segments of each bucket, and the buckets that this version changed.
     parts: dict[str, list[str]] = field(default_factory=dict)
     changed: list[int] = field(default_factory=list)
+    #: Of each bucket: segments with keys that are gone from so many of its first segments, and the number of these keys.
+    drops: dict[str, list[list]] = field(default_factory=dict)
 
 
 class _Folder:
@@ -146,18 +156,40 @@ class Table:
         return F.pmod(F.xxhash64(*s.bucket_by), F.lit(s.buckets)).cast("int")
 
     def _rows(self, s: Snapshot, buckets: list[int] | None = None) -> DataFrame:
-        schema = T.StructType.fromJson(json.loads(s.schema))
-        paths = [f"{self.path}/data/{segment}/_bucket={b}" for b, held in sorted(s.parts.items()) if buckets is None or int(b) in buckets for segment in held]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        schema, data = T.StructType.fromJson(json.loads(s.schema)), f"{self.path}/data"
+        # files that the same keys are gone from are read together, as far as these keys can be broadcast
+        groups: dict[tuple, list[tuple[int, list[str], list[str]]]] = {(): [(0, [], [])]}
+        for b, held in sorted(s.parts.items()):
+            if buckets is not None and int(b) not in buckets:
+                continue
+            for at, segment in enumerate(held):
+                gone = [d for d in s.drops.get(b, []) if at < d[1]]
+                group, n = groups.setdefault(tuple(d[0] for d in gone), [(0, [], [])]), sum(d[2] for d in gone)
+                known, files, keys = group[-1]
+                if files and known + n > BROADCAST_KEYS:
+                    group.append((0, [], []))
+                    known, files, keys = group[-1]
+                more = [place for d in gone if (place := f"{data}/{d[0]}/gone/_bucket={b}") not in keys]
+                group[-1] = (known + n if more else known, [*files, f"{data}/{segment}/_bucket={b}"], [*keys, *more])
+        out = []
+        for known, files, keys in (g for group in groups.values() for g in group if g[1]):
+            rows = self.spark.read.schema(schema).parquet(*files)
+            if keys:
+                left = self.spark.read.schema(T.StructType([schema[c] for c in s.bucket_by])).parquet(*keys)
+                rows = rows.join(F.broadcast(left) if known <= BROADCAST_KEYS else left, s.bucket_by, "left_anti").select(*schema.names)
+            out.append(rows)
+        return functools.reduce(DataFrame.unionByName, out) if out else self.spark.createDataFrame([], schema)
 
     def read(self, version: int | None = None) -> DataFrame:
         return self._rows(self.snapshot(version))
 
-    def read_keys(self, keys: DataFrame, version: int | None = None) -> DataFrame:
-        """The rows whose bucket columns are among ``keys``; only the files of their buckets are read."""
+    def read_keys(self, keys: DataFrame, version: int | None = None, *columns: Column | str) -> DataFrame:
+        """The rows whose bucket columns are among ``keys``; only the files of their buckets are read. ``columns``, the bucket's among them, are what is wanted of the rows, made
+        where they are read."""
         s = self.snapshot(version)
         wanted = durable(keys.select(*s.bucket_by).distinct())
-        return self._rows(s, self._touched(wanted, s)).join(wanted, s.bucket_by, "left_semi")
+        rows = self._rows(s, self._touched(wanted, s))
+        return (rows.select(*columns) if columns else rows).join(wanted, s.bucket_by, "left_semi")
 
     def changes(self, since: int, until: int | None = None) -> DataFrame:
         """Rows that are in one of two versions and not in the other, with ``change`` 'added' or 'removed'. Only the buckets that were
@@ -183,14 +215,17 @@ class Table:
         dealt.write.partitionBy("_bucket").parquet(f"{self.path}/data/{segment}")
         return segment, [int(n.split("=")[1]) for n in self.folder.names(f"data/{segment}") if n.startswith("_bucket=")]
 
-    def _commit(self, base: Snapshot, operation: str, segment: str, written: list[int], replaced: list[int] | None) -> int:
-        """``replaced`` buckets consist of the new segment alone; None for rows that are only added."""
-        touched = set(replaced if replaced is not None else written)
+    def _commit(self, base: Snapshot, operation: str, segment: str, written: list[int], replaced: list[int] | None, dropped: dict[int, int] | None = None) -> int:
+        """``replaced`` buckets consist of the new segment alone, but for ``dropped`` ones, from which so many keys are gone; None for rows that are only added."""
+        touched, dropped = set(replaced if replaced is not None else written), dropped or {}
         for _ in range(ATTEMPTS):
-            parts = {b: held for b, held in base.parts.items() if replaced is None or int(b) not in touched}
+            stays = lambda b: replaced is None or int(b) not in touched or int(b) in dropped
+            parts, drops = ({b: held for b, held in x.items() if stays(b)} for x in (base.parts, base.drops))
+            for b, n in dropped.items():
+                drops[str(b)] = [*drops.get(str(b), []), [segment, len(parts[str(b)]), n]]
             for b in written:
                 parts[str(b)] = [*parts.get(str(b), []), segment]
-            now = replace(base, version=base.version + 1, operation=operation, at=time.time(), parts=parts, changed=sorted(touched))
+            now = replace(base, version=base.version + 1, operation=operation, at=time.time(), parts=parts, drops=drops, changed=sorted(touched))
             if self._put(now):
                 return now.version
             newest = self.snapshot()
@@ -216,43 +251,56 @@ class Table:
         forget(fresh)
         return done
 
+    def deal(self, rows: DataFrame, base: Snapshot | None = None) -> DataFrame:
+        """``rows`` written to an intermediate table, in a folder for each bucket and without a shuffle, with ``_bucket``. ``forget`` removes it."""
+        base, path = base or self.snapshot(), f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        dealt = rows.withColumn("_bucket", self._bucket(base))
+        dealt = dealt.sortWithinPartitions("_bucket", *(c for c in base.order if c in rows.columns))
+        dealt.write.options(**_SMALL).partitionBy("_bucket").parquet(path)
+        out = self.spark.read.schema(dealt.schema).parquet(path)
+        out._durable = path
+        return out
+
     def replace(self, rows: DataFrame, of: DataFrame | None = None, base: Snapshot | None = None, finish: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> int:
         """Puts ``rows`` in place of all rows whose bucket columns are in ``of`` (those of ``rows``, if not given): all fragments of some
         documents at once, for instance, so that no reader sees old and new ones together. ``finish`` makes the table's rows from those of one bucket, as they are written,
-        and the bucket's old rows; so wide columns need not be dealt out. Rows that stay are copied bucket by bucket, without a shuffle."""
+        and the rows that they replace; so wide columns need not be dealt out. Rows with a ``_bucket``, made from what ``deal`` gave, are not dealt out again; they must give the same
+        each time and belong to rows of ``of``. Rows that stay are not written but in buckets of ``DEEP`` segments or more, which are copied without a shuffle."""
         base = base or self.snapshot()
-        fresh, gone = durable(rows), durable((of if of is not None else rows).select(*base.bucket_by).distinct())
-        outside = fresh.join(gone, base.bucket_by, "left_anti")
-        if not outside.isEmpty():
-            raise ValueError("rows to put in belong to none of those to replace")
-        touched, segment = self._touched(gone, base), uuid.uuid4().hex
         names = T.StructType.fromJson(json.loads(base.schema)).names
-        if not finish and sorted(fresh.columns) != sorted(names):
+        if not finish and sorted(c for c in rows.columns if c != "_bucket") != sorted(names):
             raise ValueError(f"the table has the columns {', '.join(names)}")
-        bucket, part = self._bucket(base).alias("_bucket"), f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
-        dealt = fresh.select("*", bucket).hint("rebalance", "_bucket")
-        if base.order:
-            dealt = dealt.sortWithinPartitions("_bucket", *base.order)
-        dealt.write.partitionBy("_bucket").parquet(part)
-        filled = {int(n.split("=")[1]) for n in _Folder(self.spark, part).names() if n.startswith("_bucket=")}
-        gone_by = durable(gone.withColumn("_bucket", bucket))
-        few = (gone_by.groupBy("_bucket").count().agg(F.max("count")).first()[0] or 0) <= BROADCAST_KEYS
+        own = None if "_bucket" in rows.columns else self.deal(rows, base)
+        fresh, segment = rows if own is None else own, uuid.uuid4().hex
+        gone = durable((fresh if of is None else of).select(*base.bucket_by, self._bucket(base).alias("_bucket")).distinct())
+        counts = {r["_bucket"]: r["n"] for r in gone.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
+        touched, filled = sorted(counts), set(counts)
+        if own is not None:
+            filled = {int(n.split("=")[1]) for n in _Folder(self.spark, own._durable).names() if n.startswith("_bucket=")}
+            if not fresh.join(gone.drop("_bucket"), base.bucket_by, "left_anti").isEmpty():
+                raise ValueError("rows to put in belong to none of those to replace")
+        deep = {b for b in touched if len(base.parts.get(str(b), [])) >= DEEP}
+        dropped = {b: counts[b] for b in touched if str(b) in base.parts and b not in deep}
+        if dropped:
+            gone.where(F.col("_bucket").isin(*dropped)).write.partitionBy("_bucket").parquet(f"{self.path}/data/{segment}/gone")
+        packed = _SMALL | {f"parquet.enable.dictionary#{f.name}.list.element": "false" for f in T.StructType.fromJson(json.loads(base.schema)) if f.dataType == T.ArrayType(T.DoubleType())}
 
         def write(b: int) -> None:
-            old, place = self._rows(base, [b]), f"{self.path}/data/{segment}/_bucket={b}"
-            if str(b) in base.parts:
-                keys = gone_by.where(F.col("_bucket") == b).drop("_bucket")
-                old.join(F.broadcast(keys) if few else keys, base.bucket_by, "left_anti").select(*names).write.parquet(place)
+            old, keys, place = self._rows(base, [b]), gone.where(F.col("_bucket") == b).drop("_bucket"), f"{self.path}/data/{segment}/_bucket={b}"
+            keys = F.broadcast(keys) if counts[b] <= BROADCAST_KEYS else keys
+            if b in deep:
+                old.join(keys, base.bucket_by, "left_anti").select(*names).write.options(**packed).parquet(place)
             if b in filled:
-                new = self.spark.read.schema(fresh.schema).parquet(f"{part}/_bucket={b}")
-                (finish(new, old) if finish else new).select(*names).write.mode("append").parquet(place)
+                new = fresh.where(F.col("_bucket") == b).drop("_bucket")
+                new = new.sortWithinPartitions(*base.order) if base.order else new
+                (finish(new, old.join(keys, base.bucket_by, "left_semi")) if finish else new).select(*names).write.options(**packed).mode("append").parquet(place)
 
-        with ThreadPoolExecutor(TOGETHER) as pool:
+        # all keys that are broadcast at the same time are as many as may be broadcast once
+        together = min(TOGETHER, max(1, BROADCAST_KEYS // max(counts.values(), default=1))) if base.parts else TOGETHER
+        with ThreadPoolExecutor(together) as pool:
             list(pool.map(write, touched))
-        written = [b for b in touched if b in filled or str(b) in base.parts]
-        done = self._commit(base, "replace", segment, written, touched)
-        forget(fresh, gone, gone_by)
-        _Folder(self.spark, part).remove("")
+        done = self._commit(base, "replace", segment, [b for b in touched if b in filled or b in deep], touched, dropped)
+        forget(gone, own)
         return done
 
     def delete(self, keys: DataFrame, base: Snapshot | None = None) -> int:
@@ -270,16 +318,16 @@ class Table:
         return self._commit(base, "overwrite", *self._write(rows, base), list(range(base.buckets)))
 
     def compact(self) -> int:
-        """Writes buckets of several segments as one."""
+        """Writes buckets of several segments, or with keys that are gone, as one segment."""
         base = self.snapshot()
-        many = [int(b) for b, held in base.parts.items() if len(held) > 1]
+        many = [int(b) for b, held in base.parts.items() if len(held) > 1 or b in base.drops]
         return self._commit(base, "compact", *self._write(self._rows(base, many), base), many)
 
     def restore(self, version: int) -> int:
         """A new version with the rows of an old one; no data is written."""
         base, old = self.snapshot(), self.snapshot(version)
-        changed = sorted({int(b) for b in base.parts.keys() | old.parts.keys() if base.parts.get(b) != old.parts.get(b)})
-        if not self._put(replace(base, version=base.version + 1, operation="restore", at=time.time(), parts=old.parts, changed=changed)):
+        changed = sorted({int(b) for b in base.parts.keys() | old.parts.keys() if (base.parts.get(b), base.drops.get(b)) != (old.parts.get(b), old.drops.get(b))})
+        if not self._put(replace(base, version=base.version + 1, operation="restore", at=time.time(), parts=old.parts, drops=old.drops, changed=changed)):
             raise Conflict("another version was committed")
         return base.version + 1
 
@@ -288,7 +336,7 @@ class Table:
         does a writer that is at work: this is for a time when none is."""
         versions = self.versions()
         kept = [self.snapshot(v) for v in versions[-keep:]]
-        used = {segment for s in kept for held in s.parts.values() for segment in held}
+        used = {segment for s in kept for held in s.parts.values() for segment in held} | {d[0] for s in kept for held in s.drops.values() for d in held}
         for v in versions[:-keep]:
             self.folder.remove(f"versions/{v:012d}.json")
         for segment in self.folder.names("data"):

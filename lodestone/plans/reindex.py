@@ -1,11 +1,14 @@
 """Re-indexing of courses: only fragments whose text has changed are embedded, and a document's fragments and vectors are swapped together.
 
 Fragments and vectors are one versioned table, a row for each fragment, in buckets of documents. A fragment is known by the digest of what is embedded of
-it. Files are cut up anew, their fragments meet those that the table has of the same documents, and vectors of equal digests are
+it. Files are cut up anew, the digests of their fragments meet those that the table has of the same documents, and vectors of equal digests are
 carried over; documents of which nothing has changed are not written at all. All other documents that could be read are replaced in one commit, so that a reader sees
 each of them old or new; one that cannot be read keeps its old fragments and is reported.
 
-Defined results: of several files of one document the one of the greatest checksum counts; a file without a document id is left out; a document that is empty or
+Fragments are written twice: once as they are cut, in a folder for each of the table's buckets, and with their vectors into the table. What is shuffled is ids and digests, and
+the fragments and vectors of changed documents that are carried over.
+
+Defined results: of several files of one document the one of the greatest checksum counts, then that of the greatest course and type; a file without a document id is left out; a document that is empty or
 cannot be read fails with a code; documents that the files do not name stay as they are; no files change nothing.
 """
 
@@ -15,13 +18,14 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.scalars import collection_name, embedding_text, tokens
+from lodestone.functions.scalars import collection_name, embedding_text, token_count
 from lodestone.operators.chunking import MAX_CHARS, OVERLAP, fragment_files, number_fragments
-from lodestone.operators.durable import durable, forget
+from lodestone.operators.durable import BROADCAST_BYTES, BROADCAST_KEYS, durable, forget, small
 from lodestone.operators.embedding import DIMENSIONS, embed, model_id
 from lodestone.operators.versioned import Snapshot, Table
 from lodestone.sources.extract import BLOCKS
@@ -57,6 +61,42 @@ def fragment_table(spark: SparkSession, path: str, buckets: int = 16) -> Table:
     return Table.create(spark, path, FRAGMENTS, ["document_id", "chunk_index"], ["document_id"], ["document_id", "chunk_index"], buckets)
 
 
+@F.pandas_udf(T.StructType([T.StructField("carry", T.ArrayType(T.IntegerType())), T.StructField("removed", T.LongType())]))
+def _carried(now: pd.Series, digests: pd.Series, places: pd.Series, same: pd.Series, held: pd.Series) -> pd.DataFrame:
+    """For each digest that a document has now the place of the first old fragment whose vector it takes, and how many old fragments are among them no more. Old fragments
+    count if they are of the ``same`` collection; a place that is there twice gives no vector."""
+    out = []
+    for new, old, at, fits, has in zip(now, digests, places, same, held, strict=True):
+        new, first, twice = list(new), {}, set()
+        if old is None:
+            out.append(([None] * len(new), 0))
+            continue
+        at = [int(a) for a in at]
+        for a, b in zip(at, at[1:], strict=False):
+            if a == b:
+                twice.add(a)
+        for digest, a, f, h in zip(old, at, fits, has, strict=True):
+            if f and h and a not in twice:
+                first.setdefault(digest, a)
+        known = set(new)
+        out.append(([first.get(d) for d in new], sum(not (f and d in known) for d, f in zip(old, fits, strict=True))))
+    return pd.DataFrame(out, columns=["carry", "removed"])
+
+
+def _latest(read: DataFrame, table: Table, base: Snapshot) -> DataFrame:
+    """``read`` with one row for each document."""
+    repeated = durable(read.groupBy("document_id").count().where("count > 1").select("document_id"))
+    if not repeated.isEmpty():
+        several = read.join(small(repeated), "document_id", "left_semi").select("document_id", "_mark", "course_id", "media_type", "_row")
+        last = several.groupBy("document_id").agg(F.max(F.struct("_mark", "course_id", "media_type", "_row")).alias("m")).select("m._row")
+        lost = durable(several.select("_row").join(last, "_row", "left_anti"))
+        once = table.deal(read.drop("_bucket").join(small(lost), "_row", "left_anti"), base)
+        forget(read, lost)
+        read = once
+    forget(repeated)
+    return read
+
+
 def reindex(files: DataFrame, table: Table, most: int = MAX_CHARS, overlap: int = OVERLAP, dimensions: int = DIMENSIONS, client: Callable[[list[str]], list[list[float]]] | None = None, base: Snapshot | None = None) -> Reindexed:
     """Brings ``table`` up to ``files`` (document_id, course_id, media_type, content). ``client`` embeds in place of the hashing; texts that
     are the same are sent to it once. ``base`` is the version to compare with, if not the newest; if another writer has changed these documents' buckets since, this
@@ -69,50 +109,67 @@ def reindex(files: DataFrame, table: Table, most: int = MAX_CHARS, overlap: int
         timings[name], clock = round(1000 * (now - clock)), now
 
     model = F.lit(model_id(dimensions))
-    own = files.where("document_id IS NOT NULL").groupBy(F.col("document_id").cast("string").alias("document_id")).agg(F.max_by(F.struct("course_id", "media_type", "content"), F.sha2("content", 256)).alias("f"))
-    read = own.select("document_id", "f.course_id", fragment_files(most, overlap)(F.col("f.media_type"), F.col("f.content")).alias("_x"))
-    read = durable(read.select("document_id", "course_id", F.coalesce("_x.blocks", F.array().cast(BLOCKS)).alias("_f"), "_x.error_code", "_x.error_message"))
-    cut = number_fragments(read.where("error_code IS NULL"), F.col("_f"), "document_id", "course_id").withColumn("text", embedding_text(F.col("section_path"), F.col("content")))
-    cut = durable(cut.withColumns({"digest": F.sha2("text", 256), "collection": collection_name(F.col("course_id"), model)}))
+    own = files.where("document_id IS NOT NULL").select(F.col("document_id").cast("string").alias("document_id"), "course_id", "media_type", F.sha2("content", 256).alias("_mark"), fragment_files(most, overlap)(F.col("media_type"), F.col("content")).alias("_x"))
+    own = own.select("document_id", "course_id", "media_type", "_mark", "_x.error_code", "_x.error_message", F.coalesce("_x.blocks", F.array().cast(BLOCKS)).alias("_f"))
+    sums = lambda of: F.aggregate("_f", F.lit(0).cast("long"), lambda n, f: n + of(f["text"]))
+    counts = {"chunk_count": F.size("_f").cast("long"), "characters": sums(F.length), "tokens": sums(token_count)}
+    read = _latest(table.deal(own.withColumns(counts | {"_row": F.monotonically_increasing_id()}), base), table, base)
     lap("cut")
 
-    # what the table has of these documents; vectors stay where they are until they are written
-    keys = ["document_id", "digest", "collection"]
-    good = durable(read.where("error_code IS NULL").select("document_id"))
-    old = durable(table.read_keys(good, base.version).select(*keys, "chunk_index", F.col("embedding").isNotNull().alias("held")))
-    joined = durable(cut.join(old.where("held").select(*keys, "held").distinct(), keys, "left").withColumn("held", F.coalesce("held", F.lit(False))))
-    place = F.array_sort(F.collect_list(F.struct("chunk_index", "digest", "collection")))
-    now, before = joined.groupBy("document_id").agg(place.alias("now")), old.groupBy("document_id").agg(place.alias("before"))
-    changed = durable(now.join(before, "document_id", "full").where("NOT now <=> before").select("document_id"))
+    # what the table has of these documents; fragments and vectors stay where they are until they are written
+    digest = lambda f: F.sha2(embedding_text(f["section_path"], f["text"]), 256)
+    collection, good, some_held = collection_name(F.col("course_id"), model), F.col("error_code").isNull(), bool(base.parts)
+    report = ["document_id", "course_id", "error_code", "error_message", "chunk_count", "characters", "tokens"]
+    now = F.transform("_f", lambda f, i: F.struct(i.alias("chunk_index"), F.unhex(digest(f)).alias("digest"), F.col("collection").alias("collection")))
+    if some_held:
+        held = F.col("embedding").isNotNull() & F.col("chunk_index").isNotNull()
+        old = table.read_keys(read.where(good), base.version, "document_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.unhex("digest").alias("digest"), "collection", held.alias("held"))
+        before = old.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "digest", "collection", "held"))).alias("_old"))
+        status = read.withColumn("collection", collection).select(*report, "_bucket", "collection", now.alias("_now")).join(before, "document_id", "left")
+        old_now = F.transform("_old", lambda o: F.struct(o["chunk_index"].alias("chunk_index"), o["digest"].alias("digest"), o["collection"].alias("collection")))
+        of_old = lambda f: F.transform("_old", f)
+        compared = _carried(F.col("_now.digest"), F.col("_old.digest"), of_old(lambda o: F.coalesce(o["chunk_index"], F.lit(-1))), of_old(lambda o: o["collection"].eqNullSafe(F.col("collection"))), F.col("_old.held"))
+        changed = good & F.when(F.col("_old").isNull(), F.size("_now") > 0).otherwise(~F.col("_now").eqNullSafe(old_now))
+        status = status.select(*report, "_bucket", changed.alias("changed"), compared.alias("_c")).select(*report, "_bucket", "changed", "_c.carry", "_c.removed")
+    else:
+        status = read.select(*report, "_bucket", (good & (F.size("_f") > 0)).alias("changed"), F.transform("_f", lambda f: F.lit(None).cast("int")).alias("carry"), F.lit(0).cast("long").alias("removed"))
+    embedded = F.size(F.filter("carry", lambda c: c.isNull())).cast("long")
+    status = durable(status.withColumn("embedded", embedded))
+    changed = status.where("changed")
+    sizes = changed.groupBy("_bucket").agg(F.count("*").alias("n"), F.sum(F.octet_length("document_id") + 4 * F.size("carry") + 64).alias("bytes")).agg(F.max("n").alias("n"), F.max("bytes").alias("bytes")).first()
     lap("compare")
 
+    docs = read.where(good).withColumn("collection", collection)
+    if some_held:
+        few = (sizes["n"] or 0) <= BROADCAST_KEYS and (sizes["bytes"] or 0) <= BROADCAST_BYTES
+        picked = changed.select("_bucket", "document_id", "carry")
+        docs = docs.join(F.broadcast(picked) if few else picked, ["_bucket", "document_id"])
+    place = lambda i: F.get("carry", i) if some_held else F.lit(None).cast("int")
+    pieces = F.transform("_f", lambda f, i: F.struct(f["text"].alias("text"), f["section_path"].alias("section_path"), f["page_number"].alias("page_number"), place(i).alias("_from")))
+    whole = number_fragments(docs, pieces, "document_id", "course_id", "collection", "_bucket")
+    text = embedding_text(F.col("section_path"), F.col("content"))
+    whole = whole.withColumn("digest", F.sha2(text, 256))
+
     # a client is sent equal texts once; the hashing needs only the row
-    fresh = durable(embed(joined.where("NOT held").select("digest", "text").dropDuplicates(["digest"]), "text", dimensions, client).select("digest", "embedding")) if client else None
+    fresh = durable(embed(whole.where("_from IS NULL").select("digest", text.alias("text")).dropDuplicates(["digest"]), "text", dimensions, client).select("digest", "embedding")) if client else None
     lap("embed")
 
     def with_vectors(rows: DataFrame, had: DataFrame) -> DataFrame:
-        new, carried = rows.where("NOT held"), rows.where("held")
-        new = new.join(fresh, "digest", "left") if client else embed(new, "text", dimensions)
+        new = rows.where("_from IS NULL")
+        new = new.join(fresh, "digest", "left") if client else embed(new.withColumn("text", text), "text", dimensions)
         if not some_held:
             return new
-        vectors = had.where("embedding IS NOT NULL").join(carried.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.first("embedding").alias("embedding"))
-        return new.select(*FRAGMENTS.names).unionByName(carried.join(vectors, keys).select(*FRAGMENTS.names))
+        vectors = had.select("document_id", F.col("chunk_index").alias("_from"), "embedding")
+        return new.select(*FRAGMENTS.names).unionByName(rows.join(vectors, ["document_id", "_from"]).select(*FRAGMENTS.names))
 
-    whole = joined.join(changed, "document_id", "left_semi").select(*(c for c in FRAGMENTS.names if c != "embedding"), "text", "held")
-    version, some_held = base.version, not old.isEmpty()
-    if not changed.isEmpty():
+    version = base.version
+    if sizes["n"]:
         version = table.replace(whole, changed, base, with_vectors)
     lap("write")
 
-    per = joined.groupBy("document_id").agg(F.sum((~F.col("held")).cast("long")).alias("embedded"), F.count("*").alias("n"))
-    gone = old.join(cut.select("document_id", "digest", "collection"), ["document_id", "digest", "collection"], "left_anti").groupBy("document_id").agg(F.count("*").alias("removed"))
-    sums = lambda of: F.aggregate("_f", F.lit(0).cast("long"), lambda n, f: n + of(f["text"]))
-    documents = read.join(per, "document_id", "left").join(gone, "document_id", "left")
-    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    documents = documents.select(
-        "document_id", "course_id", F.when(F.col("error_code").isNull(), "indexed").otherwise("failed").alias("ingestion_status"), "error_code", "error_message", F.size("_f").cast("long").alias("chunk_count"),
-        sums(F.length).alias("characters"), sums(lambda t: F.size(tokens(t))).alias("tokens"), number(F.col("embedded")).alias("embedded"), number(F.col("n") - F.col("embedded")).alias("reused"), number(F.col("removed")).alias("removed"),
+    documents = status.select(
+        "document_id", "course_id", F.when(good, "indexed").otherwise("failed").alias("ingestion_status"), "error_code", "error_message", "chunk_count",
+        "characters", "tokens", "embedded", (F.size("carry") - F.col("embedded")).alias("reused"), "removed",
     )
-    out = Reindexed(version, durable(documents), timings)
-    forget(read, cut, good, old, joined, changed, fresh)
-    return out
+    forget(read, fresh)
+    return Reindexed(version, documents, timings)

@@ -87,3 +87,29 @@ def test_vectors_are_not_shuffled(spark, tmp_path, monkeypatch):
     after = {(r.document_id, r.digest): r.embedding for r in table.read().collect()}
     assert len(seen) == 2 and not any("embedding" in columns for columns in seen)
     assert len(after) == len(before) and all(after[k] == before[k] for k in after.keys() & before.keys()) and all(len(v) == 1024 for v in after.values())
+
+
+def test_documents_that_stay_are_not_written(spark, tmp_path):
+    """A second run writes the changed documents alone, carries vectors of moved, repeated and shortened texts, and sees files without content and several files of a document."""
+    some = {f"d{k}": f"text {k}\n\n" + "\n\n".join(f"{'word ' * 220}{j}" for j in range(4)) for k in range(12)}
+    rows = lambda docs, *more: files(spark, *((d, "c", "text/plain", t) for d, t in docs.items()), *more)
+    table = fragment_table(spark, str(tmp_path / "f"), 2)
+    first = reindex(rows(some, ("empty", "none", "text/plain", None), ("d1", "a", "text/plain", some["d1"])), table, dimensions=64)
+    report = {r.document_id: (r.course_id, r.ingestion_status, r.error_code) for r in first.documents.collect()}
+    assert report["empty"] == ("none", "failed", "EMPTY_DOCUMENT") and report["d1"] == ("c", "indexed", None) and len(report) == 13
+    before, old = set(table.folder.names("data")), {(r.document_id, r.digest): r.embedding for r in table.read().collect()}
+    parts = some["d3"].split("\n\n")
+    now = some | {"d3": "\n\n".join([*parts[2:], "one more", parts[1], parts[1]])}
+    second = reindex(rows(now), table, dimensions=64)
+    (segment,) = set(table.folder.names("data")) - before
+    written = [r for b in table.folder.names(f"data/{segment}") if b.startswith("_bucket=") for r in spark.read.parquet(f"{table.path}/data/{segment}/{b}").collect()]
+    assert {r.document_id for r in written} == {"d3"}
+    got = sorted(table.read().where("document_id = 'd3'").collect(), key=lambda r: r.chunk_index)
+    assert [r.chunk_index for r in got] == list(range(len(got))) and [r.content for r in got][-1] == parts[1].strip()
+    assert all(r.embedding == hashed_vector(r.content, 64).tolist() for r in got)
+    per = {r.document_id: (r.embedded, r.reused, r.removed) for r in second.documents.collect()}
+    new, had = [("d3", r.digest) for r in got], [k for k in old if k[0] == "d3"]
+    assert per.pop("d3") == (sum(k not in old for k in new), sum(k in old for k in new), sum(k not in new for k in had)) and {x[0] for x in per.values()} == {0}
+    # without a course as well, what has not changed is not embedded again
+    alone = files(spark, ("x", None, "text/plain", "alone"))
+    assert [(r.embedded, r.reused) for r in (*reindex(alone, table, dimensions=64).documents.collect(), *reindex(alone, table, dimensions=64).documents.collect())] == [(1, 0), (0, 1)]

@@ -96,3 +96,43 @@ def test_odd_changes(spark, table, monkeypatch):
     monkeypatch.setattr(versioned, "ATTEMPTS", 0)
     with pytest.raises(Conflict):
         table.append(frame(spark, [("a", 0, "x")]))
+
+
+def test_replace_writes_only_fresh_rows(spark, table, monkeypatch):
+    """Rows that stay are not written again until a bucket has many segments; every version stays as it was."""
+    held = {(f"d{i}", k): "old" for i in range(12) for k in range(2)}
+    table.append(frame(spark, [(*k, v) for k, v in held.items()]))
+    seen = {1: dict(held)}
+    monkeypatch.setattr(versioned, "DEEP", 4)
+    monkeypatch.setattr(versioned, "BROADCAST_KEYS", 2)
+    for step in range(5):
+        before = set(table.folder.names("data"))
+        version = table.replace(frame(spark, [("d0", 0, f"new{step}")]), frame(spark, [("d0", 0, ""), ("d1", 0, "")] if step == 1 else [("d0", 0, "")]))
+        held = {k: v for k, v in held.items() if k[0] != "d0" and (step != 1 or k[0] != "d1")} | {("d0", 0): f"new{step}"}
+        seen[version] = dict(held)
+        (segment,) = set(table.folder.names("data")) - before
+        written = [r for b in table.folder.names(f"data/{segment}") if b.startswith("_bucket=") for r in rows_of(spark.read.schema(SCHEMA).parquet(f"{table.path}/data/{segment}/{b}"))]
+        assert written == [("d0", 0, f"new{step}")] or step == 3  # then the bucket is written anew
+    assert not any(len(s) > 4 for s in table.snapshot().parts.values())
+    for version, rows in seen.items():
+        assert rows_of(table.read(version)) == sorted(((*k, v) for k, v in rows.items()), key=str)
+    table.append(frame(spark, [("d0", 7, "later")]))  # comes after what is gone
+    assert ("d0", 7, "later") in rows_of(table.read()) and rows_of(table.read_keys(frame(spark, [("d0", 0, "")]), None, "document_id", "content")) == [("d0", "later"), ("d0", "new4")]
+    table.restore(3)
+    assert rows_of(table.read()) == sorted(((*k, v) for k, v in seen[3].items()), key=str)
+    table.vacuum()
+    assert rows_of(table.read()) == sorted(((*k, v) for k, v in seen[3].items()), key=str)
+    table.compact()
+    table.vacuum()
+    assert rows_of(table.read()) == sorted(((*k, v) for k, v in seen[3].items()), key=str) and not table.snapshot().drops
+
+
+def test_one_of_two_replacements_loses(spark, table):
+    table.append(frame(spark, [("a", 0, "old"), ("b", 0, "old")]))
+    base = table.snapshot()
+    table.replace(frame(spark, [("a", 0, "first")]), None, base)
+    with pytest.raises(Conflict):
+        table.replace(frame(spark, [("a", 0, "second")]), None, base)
+    other = next(k for k in "bcdefgh" if table._touched(frame(spark, [(k, 0, "")]), base) != table._touched(frame(spark, [("a", 0, "")]), base))
+    assert table.replace(frame(spark, [(other, 1, "x")]), None, base) == 3
+    assert {("a", 0, "first"), (other, 1, "x")} <= set(rows_of(table.read()))
