@@ -15,10 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.durable import in_small_batches
+from lodestone.operators.packed import VECTORS, packed
 
 DIMENSIONS = 1024
-#: Vectors that a worker holds at once.
-VECTORS = 256
 
 
 def model_id(dimensions: int = DIMENSIONS) -> str:
@@ -44,19 +43,20 @@ def hashed_vector(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray:
     return out / norm if norm else out
 
 
-def embed(rows: DataFrame, text_col: str, dimensions: int = DIMENSIONS, client: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+def embed(rows: DataFrame, text_col: str, dimensions: int = DIMENSIONS, client: Callable[[list[str]], list[list[float]]] | None = None, as_bytes: bool = False) -> DataFrame:
     """``rows`` with ``embedding``. ``client`` embeds a batch of texts (256 at most) in place of the hashing; it
-    is called on the executors and must be safe to call again."""
+    is called on the executors and must be safe to call again. ``as_bytes`` gives vectors as ``packed`` does."""
+    made = packed if as_bytes else lambda v: v
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("binary" if as_bytes else "array<double>")
     def vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             if client is None:
                 # some at a time, since a vector may be much longer than its text
                 for k in range(0, len(batch), VECTORS):
-                    yield pd.Series([hashed_vector(t, dimensions) for t in batch[k : k + VECTORS]])
+                    yield pd.Series([made(hashed_vector(t, dimensions)) for t in batch[k : k + VECTORS]])
             else:
                 values = batch.fillna("").tolist()
-                yield pd.Series([v for k in range(0, len(values), 256) for v in client(values[k : k + 256])])
+                yield pd.Series([made(v) for k in range(0, len(values), 256) for v in client(values[k : k + 256])])
 
     return in_small_batches(rows).withColumn("embedding", vectors(F.col(text_col)))

@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators.durable import BROADCAST_KEYS, durable, forget, shared_folder
+from lodestone.operators.durable import BROADCAST_KEYS, durable, forget, in_small_batches, shared_folder
+from lodestone.operators.packed import pack, unpack
 
 BUCKETS = 16
 #: Times a writer tries to commit on top of others that do not touch its buckets.
@@ -62,6 +63,8 @@ class Snapshot:
     changed: list[int] = field(default_factory=list)
     #: Of each bucket: segments with keys that are gone from so many of its first segments, and the number of these keys.
     drops: dict[str, list[list]] = field(default_factory=dict)
+    #: Columns of vectors that are bytes in the files.
+    packed: list[str] = field(default_factory=list)
 
 
 class _Folder:
@@ -111,12 +114,15 @@ class Table:
         self.spark, self.path, self.folder = spark, path.rstrip("/"), _Folder(spark, path.rstrip("/"))
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, schema: T.StructType, key: list[str], bucket_by: list[str] | None = None, order: list[str] | None = None, buckets: int = BUCKETS) -> Table:
-        """An empty table. ``bucket_by`` are the columns of the key by which rows are dealt into buckets, all of them if not given; files are sorted by ``order``."""
+    def create(cls, spark: SparkSession, path: str, schema: T.StructType, key: list[str], bucket_by: list[str] | None = None, order: list[str] | None = None, buckets: int = BUCKETS, packed: list[str] | None = None) -> Table:
+        """An empty table. ``bucket_by`` are the columns of the key by which rows are dealt into buckets, all of them if not given; files are sorted by ``order``.
+        ``packed`` columns, vectors with many zeros, are stored as bytes, which rows to write may have as well (``packed.packed``)."""
         out, by = cls(spark, path), bucket_by or key
         if not set(key) | set(by) | set(order or []) <= set(schema.names):
             raise ValueError("the key, the buckets and the order are of columns of the table")
-        if not out._put(Snapshot(0, schema.json(), key, by, order or [], buckets, at=time.time())):
+        if any(schema[c].dataType != T.ArrayType(T.DoubleType()) for c in packed or []):
+            raise ValueError("only arrays of doubles can be packed")
+        if not out._put(Snapshot(0, schema.json(), key, by, order or [], buckets, at=time.time(), packed=packed or [])):
             raise Conflict(f"{path} is a table already")
         return out
 
@@ -155,8 +161,19 @@ class Table:
     def _bucket(self, s: Snapshot) -> Column:
         return F.pmod(F.xxhash64(*s.bucket_by), F.lit(s.buckets)).cast("int")
 
+    def _plain(self, rows: DataFrame, s: Snapshot) -> DataFrame:
+        """``rows`` with vectors as the schema has them."""
+        names = {c for c in s.packed if c in rows.columns and rows.schema[c].dataType == T.BinaryType()}
+        return in_small_batches(rows).withColumns({c: unpack(F.col(c)) for c in names}) if names else rows
+
+    def _stored(self, rows: DataFrame, s: Snapshot) -> DataFrame:
+        """``rows`` with vectors as they are in the files."""
+        names = {c for c in s.packed if c in rows.columns and rows.schema[c].dataType != T.BinaryType()}
+        return in_small_batches(rows).withColumns({c: pack(F.col(c)) for c in names}) if names else rows
+
     def _rows(self, s: Snapshot, buckets: list[int] | None = None) -> DataFrame:
-        schema, data = T.StructType.fromJson(json.loads(s.schema)), f"{self.path}/data"
+        """Rows as they are in the files."""
+        schema, data = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name in s.packed else f for f in T.StructType.fromJson(json.loads(s.schema))]), f"{self.path}/data"
         # files that the same keys are gone from are read together, as far as these keys can be broadcast
         groups: dict[tuple, list[tuple[int, list[str], list[str]]]] = {(): [(0, [], [])]}
         for b, held in sorted(s.parts.items()):
@@ -181,22 +198,23 @@ class Table:
         return functools.reduce(DataFrame.unionByName, out) if out else self.spark.createDataFrame([], schema)
 
     def read(self, version: int | None = None) -> DataFrame:
-        return self._rows(self.snapshot(version))
+        s = self.snapshot(version)
+        return self._plain(self._rows(s), s)
 
     def read_keys(self, keys: DataFrame, version: int | None = None, *columns: Column | str) -> DataFrame:
         """The rows whose bucket columns are among ``keys``; only the files of their buckets are read. ``columns``, the bucket's among them, are what is wanted of the rows, made
-        where they are read."""
+        where they are read, of rows as they are in the files."""
         s = self.snapshot(version)
         wanted = durable(keys.select(*s.bucket_by).distinct())
         rows = self._rows(s, self._touched(wanted, s))
-        return (rows.select(*columns) if columns else rows).join(wanted, s.bucket_by, "left_semi")
+        return self._plain((rows.select(*columns) if columns else rows).join(wanted, s.bucket_by, "left_semi"), s)
 
     def changes(self, since: int, until: int | None = None) -> DataFrame:
         """Rows that are in one of two versions and not in the other, with ``change`` 'added' or 'removed'. Only the buckets that were
         changed in between are compared; repeated rows count each."""
         old, new = self.snapshot(since), self.snapshot(until)
         between = {b for v in range(old.version + 1, new.version + 1) for b in self.snapshot(v).changed}
-        a, b = (self._rows(s, sorted(between)) for s in (old, new))
+        a, b = (self._plain(self._rows(s, sorted(between)), s) for s in (old, new))
         return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(a.exceptAll(b).withColumn("change", F.lit("removed")))
 
     # writing
@@ -209,7 +227,7 @@ class Table:
         segment, names = uuid.uuid4().hex, T.StructType.fromJson(json.loads(s.schema)).names
         if sorted(rows.columns) != sorted(names):
             raise ValueError(f"the table has the columns {', '.join(names)}")
-        dealt = rows.select(*names, self._bucket(s).alias("_bucket")).hint("rebalance", "_bucket")
+        dealt = self._stored(rows, s).select(*names, self._bucket(s).alias("_bucket")).hint("rebalance", "_bucket")
         if s.order:
             dealt = dealt.sortWithinPartitions("_bucket", *s.order)
         dealt.write.partitionBy("_bucket").parquet(f"{self.path}/data/{segment}")
@@ -244,7 +262,7 @@ class Table:
     def upsert(self, rows: DataFrame, base: Snapshot | None = None) -> int:
         """Puts rows in place of those of the same key. ``base`` is the version the rows were made from, if not the newest."""
         base = base or self.snapshot()
-        fresh = durable(rows.dropDuplicates(base.key))
+        fresh = durable(self._stored(rows.dropDuplicates(base.key), base))
         touched = self._touched(fresh, base)
         kept = self._rows(base, touched).join(fresh.select(*base.key), base.key, "left_anti")
         done = self._commit(base, "upsert", *self._write(kept.unionByName(fresh), base), touched)
@@ -264,13 +282,13 @@ class Table:
     def replace(self, rows: DataFrame, of: DataFrame | None = None, base: Snapshot | None = None, finish: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> int:
         """Puts ``rows`` in place of all rows whose bucket columns are in ``of`` (those of ``rows``, if not given): all fragments of some
         documents at once, for instance, so that no reader sees old and new ones together. ``finish`` makes the table's rows from those of one bucket, as they are written,
-        and the rows that they replace; so wide columns need not be dealt out. Rows with a ``_bucket``, made from what ``deal`` gave, are not dealt out again; they must give the same
+        and the rows that they replace as they are in the files; so wide columns need not be dealt out. Rows with a ``_bucket``, made from what ``deal`` gave, are not dealt out again; they must give the same
         each time and belong to rows of ``of``. Rows that stay are not written but in buckets of ``DEEP`` segments or more, which are copied without a shuffle."""
         base = base or self.snapshot()
         names = T.StructType.fromJson(json.loads(base.schema)).names
         if not finish and sorted(c for c in rows.columns if c != "_bucket") != sorted(names):
             raise ValueError(f"the table has the columns {', '.join(names)}")
-        own = None if "_bucket" in rows.columns else self.deal(rows, base)
+        own = None if "_bucket" in rows.columns else self.deal(self._stored(rows, base), base)
         fresh, segment = rows if own is None else own, uuid.uuid4().hex
         gone = durable((fresh if of is None else of).select(*base.bucket_by, self._bucket(base).alias("_bucket")).distinct())
         counts = {r["_bucket"]: r["n"] for r in gone.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
@@ -283,17 +301,18 @@ class Table:
         dropped = {b: counts[b] for b in touched if str(b) in base.parts and b not in deep}
         if dropped:
             gone.where(F.col("_bucket").isin(*dropped)).write.partitionBy("_bucket").parquet(f"{self.path}/data/{segment}/gone")
-        packed = _SMALL | {f"parquet.enable.dictionary#{f.name}.list.element": "false" for f in T.StructType.fromJson(json.loads(base.schema)) if f.dataType == T.ArrayType(T.DoubleType())}
+        options = _SMALL | {f"parquet.enable.dictionary#{c}": "false" for c in base.packed}
 
         def write(b: int) -> None:
             old, keys, place = self._rows(base, [b]), gone.where(F.col("_bucket") == b).drop("_bucket"), f"{self.path}/data/{segment}/_bucket={b}"
             keys = F.broadcast(keys) if counts[b] <= BROADCAST_KEYS else keys
             if b in deep:
-                old.join(keys, base.bucket_by, "left_anti").select(*names).write.options(**packed).parquet(place)
+                old.join(keys, base.bucket_by, "left_anti").select(*names).write.options(**options).parquet(place)
             if b in filled:
                 new = fresh.where(F.col("_bucket") == b).drop("_bucket")
                 new = new.sortWithinPartitions(*base.order) if base.order else new
-                (finish(new, old.join(keys, base.bucket_by, "left_semi")) if finish else new).select(*names).write.options(**packed).mode("append").parquet(place)
+                new = finish(new, old.join(keys, base.bucket_by, "left_semi")) if finish else new
+                self._stored(new, base).select(*names).write.options(**options).mode("append").parquet(place)
 
         # all keys that are broadcast at the same time are as many as may be broadcast once
         together = min(TOGETHER, max(1, BROADCAST_KEYS // max(counts.values(), default=1))) if base.parts else TOGETHER

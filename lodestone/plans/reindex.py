@@ -58,7 +58,7 @@ class Reindexed:
 
 def fragment_table(spark: SparkSession, path: str, buckets: int = 16) -> Table:
     """An empty table of fragments with their vectors."""
-    return Table.create(spark, path, FRAGMENTS, ["document_id", "chunk_index"], ["document_id"], ["document_id", "chunk_index"], buckets)
+    return Table.create(spark, path, FRAGMENTS, ["document_id", "chunk_index"], ["document_id"], ["document_id", "chunk_index"], buckets, ["embedding"])
 
 
 @F.pandas_udf(T.StructType([T.StructField("carry", T.ArrayType(T.IntegerType())), T.StructField("removed", T.LongType())]))
@@ -151,12 +151,12 @@ def reindex(files: DataFrame, table: Table, most: int = MAX_CHARS, overlap: int
     whole = whole.withColumn("digest", F.sha2(text, 256))
 
     # a client is sent equal texts once; the hashing needs only the row
-    fresh = durable(embed(whole.where("_from IS NULL").select("digest", text.alias("text")).dropDuplicates(["digest"]), "text", dimensions, client).select("digest", "embedding")) if client else None
+    fresh = durable(embed(whole.where("_from IS NULL").select("digest", text.alias("text")).dropDuplicates(["digest"]), "text", dimensions, client, "embedding" in base.packed).select("digest", "embedding")) if client else None
     lap("embed")
 
     def with_vectors(rows: DataFrame, had: DataFrame) -> DataFrame:
         new = rows.where("_from IS NULL")
-        new = new.join(fresh, "digest", "left") if client else embed(new.withColumn("text", text), "text", dimensions)
+        new = new.join(fresh, "digest", "left") if client else embed(new.withColumn("text", text), "text", dimensions, as_bytes="embedding" in base.packed)
         if not some_held:
             return new
         vectors = had.select("document_id", F.col("chunk_index").alias("_from"), "embedding")
