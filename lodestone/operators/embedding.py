@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 import re
@@ -18,25 +17,48 @@ from lodestone.operators.durable import in_small_batches
 from lodestone.operators.packed import VECTORS, packed
 
 DIMENSIONS = 1024
+#: Hashes that a worker keeps.
+HASHES = 200_000
+#: Of ASCII characters, those of tokens in lower case and spaces for all others.
+_ASCII = {c: chr(c).lower() if re.match(r"\w", chr(c)) else " " for c in range(128)}
 
 
 def model_id(dimensions: int = DIMENSIONS) -> str:
     return f"hashing-bow-{dimensions}"
 
 
-@functools.lru_cache(maxsize=200_000)
 def token_hash(token: str) -> int:
     """The first eight bytes of BLAKE2b of a token: the remainder by the number of dimensions is its place,
     the top bit its sign."""
     return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest())
 
 
+class _Hashes(dict):
+    """Hashes of tokens that have been seen, up to a number of them."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= HASHES:
+            self.clear()
+        out = self[token] = token_hash(token)
+        return out
+
+
+_hashes = _Hashes()
+
+
+def words(text: str) -> list[str]:
+    """Runs of letters, digits and underscores, lower-cased once matched."""
+    if text.isascii():
+        return text.translate(_ASCII).split()
+    return [*map(str.lower, re.findall(r"\w+", text))]
+
+
 def hashed_vector(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray:
     """The unit vector of a text's tokens, each weighing 1 + ln(count); zero if it has none."""
-    counts = Counter(map(str.lower, re.findall(r"\w+", text or "")))
+    counts = Counter(words(text or ""))
     out = np.zeros(dimensions)
     if counts:
-        hashes = np.fromiter(map(token_hash, counts), np.uint64, len(counts))
+        hashes = np.fromiter(map(_hashes.__getitem__, counts), np.uint64, len(counts))
         weights = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
         np.add.at(out, (hashes % np.uint64(dimensions)).astype(np.int64), np.where(hashes >> np.uint64(63), weights, -weights))
     norm = math.sqrt(float(out @ out))

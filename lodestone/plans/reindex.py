@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions.scalars import collection_name, embedding_text, token_count
 from lodestone.operators.chunking import MAX_CHARS, OVERLAP, fragment_files, number_fragments
-from lodestone.operators.durable import BROADCAST_BYTES, BROADCAST_KEYS, durable, forget, small
+from lodestone.operators.durable import BROADCAST_BYTES, BROADCAST_KEYS, durable, forget, in_small_batches, small
 from lodestone.operators.embedding import DIMENSIONS, embed, model_id
 from lodestone.operators.versioned import Snapshot, Table
 from lodestone.sources.extract import BLOCKS
@@ -109,7 +109,7 @@ def reindex(files: DataFrame, table: Table, most: int = MAX_CHARS, overlap: int
         timings[name], clock = round(1000 * (now - clock)), now
 
     model = F.lit(model_id(dimensions))
-    own = files.where("document_id IS NOT NULL").select(F.col("document_id").cast("string").alias("document_id"), "course_id", "media_type", F.sha2("content", 256).alias("_mark"), fragment_files(most, overlap)(F.col("media_type"), F.col("content")).alias("_x"))
+    own = in_small_batches(files).where("document_id IS NOT NULL").select(F.col("document_id").cast("string").alias("document_id"), "course_id", "media_type", F.sha2("content", 256).alias("_mark"), fragment_files(most, overlap)(F.col("media_type"), F.col("content")).alias("_x"))
     own = own.select("document_id", "course_id", "media_type", "_mark", "_x.error_code", "_x.error_message", F.coalesce("_x.blocks", F.array().cast(BLOCKS)).alias("_f"))
     sums = lambda of: F.aggregate("_f", F.lit(0).cast("long"), lambda n, f: n + of(f["text"]))
     counts = {"chunk_count": F.size("_f").cast("long"), "characters": sums(F.length), "tokens": sums(token_count)}

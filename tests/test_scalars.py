@@ -1,8 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
-from lodestone.operators.embedding import hashed_vector, model_id, token_hash
+from lodestone.operators.embedding import hashed_vector, model_id, token_hash, words
 from lodestone.sources.extract import normalized
 
 
@@ -73,3 +75,9 @@ def test_seconds_between(spark):
     df = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS a, timestamp'2024-01-01 00:00:01.5' AS b, cast(null AS timestamp) AS n")
     row = df.select(S.seconds_between(F.col("a"), F.col("b")).alias("x"), S.seconds_between(F.col("a"), F.col("n")).alias("y")).first()
     assert (row.x, row.y) == (1.5, None)
+
+
+def test_words_of_ascii_texts_are_those_of_others():
+    for text in ("".join(map(chr, range(128))), "One two_2\tTHREE\x1cfour\n-", ""):
+        assert words(text) == words(text + " é")[: -1] == [w.lower() for w in re.findall(r"\w+", text)]
+    assert words("İx ΣΑΣ") == ["i̇x", "σας"]
